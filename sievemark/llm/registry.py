@@ -6,22 +6,92 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, mixing, near_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op7_mix_sources": op7_mix_sources,
+        "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
 
+_OP7 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(sha256(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rn
+  FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][((rn - 1) % 3 + 1)::INT]::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
+o AS (
+  SELECT *, row_number() OVER k AS place, (sum(source_size) OVER ())::DOUBLE AS total,
+         (sum(cap) OVER k - cap)::DOUBLE AS cap_before, ((sum(weight) OVER ()) - (sum(weight) OVER k - weight))::DOUBLE AS weight_left
+  FROM w WINDOW k AS (ORDER BY cap / weight, rn ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, min(CASE WHEN (total - cap_before) * weight <= cap * weight_left THEN place END) OVER () AS free FROM o),
+g AS (
+  SELECT *, max(CASE WHEN place = free THEN total - cap_before END) OVER () AS rest,
+         max(CASE WHEN place = free THEN weight_left END) OVER () AS rest_weight
+  FROM f),
+t AS (
+  SELECT source, source_size, CASE WHEN place < free THEN cap ELSE weight * rest / rest_weight END AS target FROM g),
+b AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
+         CASE WHEN source_size > 0 THEN target - floor(target / source_size) * source_size ELSE 0 END AS budget
+  FROM t),
+c AS (
+  SELECT d.doc_id, d.size, b.source_size, b.target, b.whole, b.budget,
+         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h))::DOUBLE AS upto,
+         (sum(d.size) OVER (PARTITION BY d.source, d.h))::DOUBLE AS same
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target,
+       size * (whole + CASE WHEN upto <= budget OR (upto - same <= budget AND upto - budget < budget - (upto - same)) THEN 1 ELSE 0 END) AS taken
+FROM c
+"""
+
+_OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE
+           WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])
+           WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END)) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+  FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * shared >= 85 * (na.n + nb.n - shared)),
+r(doc_id, reach) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
+"""
+
 _OP9 = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -34,5 +104,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_mix_sources": _OP7,
+        "op8_minhash_near_dedup": _OP8,
         "op9_exact_dedup": _OP9,
     }
