@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing
+from . import exact_dedup, host_rules, mixing, near_dedup, packing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.host_rules(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -31,12 +35,39 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op3_host_rules": op3_host_rules,
         "op7_mix_sources": op7_mix_sources,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
 
+_OP3 = r"""
+WITH t AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM t),
+g AS (
+  SELECT doc_id, i, word || ' ' || lead(word, 1) OVER k || ' ' || lead(word, 2) OVER k || ' ' || lead(word, 3) OVER k || ' ' || lead(word, 4) OVER k AS gram
+  FROM w WINDOW k AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g WHERE gram IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT i + j)::BIGINT AS n_repeat_words FROM c, (SELECT unnest(range(5)) AS j) WHERE n > 1 GROUP BY doc_id),
+l AS (
+  SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+b AS (
+  SELECT t.doc_id, source, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM t LEFT JOIN r ON r.doc_id = t.doc_id LEFT JOIN l ON l.doc_id = t.doc_id),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM f WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
+q AS (SELECT m, CASE WHEN v > 1e-6 AND m * (1 - m) > v THEN least(m * (1 - m) / v - 1, 1000.0) ELSE 1000.0 END AS s FROM p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce((k + m * s) / (n + s) > 0.5, false) AS kept
+FROM f LEFT JOIN h ON h.source = f.source CROSS JOIN q
+"""
+
 _OP7 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -109,6 +140,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_host_rules": _OP3,
         "op7_mix_sources": _OP7,
         "op8_minhash_near_dedup": _OP8,
         "op9_exact_dedup": _OP9,
