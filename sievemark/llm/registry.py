@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, host_rules, language_id, mixing, near_dedup, packing
+from . import exact_dedup, host_rules, language_id, mixing, near_dedup, packing, resampling
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return resampling.resample(table(spark, sf_dir, "documents"), labels.where("quality = 1"), resampling.target_share(labels))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -45,6 +50,7 @@ def queries() -> dict[str, Query]:
         "op7_mix_sources": op7_mix_sources,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_importance_resampling": op10_importance_resampling,
     }
 
 
