@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, host_rules, language_id, mixing, near_dedup, packing, resampling
+from . import exact_dedup, host_rules, language_id, mixing, near_dedup, packing, resampling, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(docs, language_id.learn(docs))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Query]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op3_host_rules": op3_host_rules,
         "op4_language_id": op4_language_id,
+        "op5_warc_revisits": op5_warc_revisits,
         "op7_mix_sources": op7_mix_sources,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
@@ -80,6 +85,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN h ON h.source = f.source CROSS JOIN q
 """
 
+_OP5 = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS original FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> original THEN original END AS refers_to
+FROM o
+"""
+
 _OP7 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -153,6 +168,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_host_rules": _OP3,
+        "op5_warc_revisits": _OP5,
         "op7_mix_sources": _OP7,
         "op8_minhash_near_dedup": _OP8,
         "op9_exact_dedup": _OP9,
