@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, host_rules, language_id, mixing, near_dedup, packing, resampling, warc
+from . import exact_dedup, host_rules, html_extract, language_id, mixing, near_dedup, packing, perspectives, resampling, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_rules(table(spark, sf_dir, "documents")).drop("host_rate")
 
@@ -29,6 +33,11 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = perspectives.perspectives(table(spark, sf_dir, "conversations"))
+    return seen.withColumn("spans", perspectives.span_text(seen["spans"]))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -49,9 +58,11 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_html_extraction": op2_html_extraction,
         "op3_host_rules": op3_host_rules,
         "op4_language_id": op4_language_id,
         "op5_warc_revisits": op5_warc_revisits,
+        "op6_perspective_rotation": op6_perspective_rotation,
         "op7_mix_sources": op7_mix_sources,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
@@ -95,6 +106,26 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM o
 """
 
+_OP6 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(nullif(regexp_replace(trim(coalesce(role, '')), '[\x00-\x20]+', '_', 'g'), ''), 'unknown') AS name,
+         regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') AS text
+  FROM conversations),
+s AS (SELECT DISTINCT conv_id, name AS assistant FROM t WHERE name <> 'system'),
+p AS (
+  SELECT t.*, s.assistant,
+         '<|im_start|>' || CASE WHEN name = assistant THEN 'assistant' WHEN name = 'system' THEN name ELSE 'user name=' || name END || chr(10) AS head,
+         text || '<|im_end|>' AS body
+  FROM t JOIN s ON s.conv_id = t.conv_id),
+o AS (
+  SELECT *, sum(length(head) + length(body) + 1) OVER k - length(body) - 1 AS a, sum(length(head) + length(body) + 1) OVER k - 1 AS b
+  FROM p WINDOW k AS (PARTITION BY conv_id, assistant ORDER BY turn NULLS LAST, name, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, assistant, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn NULLS LAST, name, text) AS text,
+       string_agg(a::VARCHAR || '-' || b::VARCHAR, ',' ORDER BY turn NULLS LAST, name, text) FILTER (name = assistant) AS spans,
+       sum(b - a) FILTER (name = assistant)::BIGINT AS n_loss_chars
+FROM o GROUP BY conv_id, assistant
+"""
+
 _OP7 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -169,6 +200,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_host_rules": _OP3,
         "op5_warc_revisits": _OP5,
+        "op6_perspective_rotation": _OP6,
         "op7_mix_sources": _OP7,
         "op8_minhash_near_dedup": _OP8,
         "op9_exact_dedup": _OP9,
