@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def importable(spark: SparkSession) -> SparkSession:
@@ -19,3 +20,23 @@ def importable(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *(p for p in paths if p)])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only where that is unset (tests in local mode) a folder is chosen here.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        current = sc._jsc.sc().getCheckpointDir()
+    return named or current.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder; computes ``df`` once."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
