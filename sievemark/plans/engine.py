@@ -168,7 +168,7 @@ class Engine:
             scoped, unknown = self._timed(self._scoped(r, path=False), r, True)
             found = cut(S.matching_lines(scoped, p, ranges=True))
             expanded = not found.isEmpty()
-        if r.get("changes"):
+        if r.get("changes") is not None:
             if self.base is None:
                 raise CapabilityError("there is no earlier version to compare with", "E_CHANGES")
             found = cut(S.in_changed_lines(found, self._changed_ranges(scoped)))
