@@ -11,6 +11,7 @@ from ..functions import paths as P
 from ..functions import redaction as R
 from ..functions import text as T
 from ..functions.pattern import Pattern
+from ..operators import access as AC
 from ..operators import audit as A
 from ..operators import budget as B
 from ..operators import changes as C
@@ -634,6 +635,61 @@ def class_counts(spark, d):
     return ST.class_counts(corpus.documents(spark, d), "lang")
 
 
+# Access and order
+
+
+def _sized(spark, d) -> DataFrame:
+    return corpus.documents(spark, d).select("path", F.octet_length("text").cast("long").alias("size"))
+
+
+@query(
+    f"""WITH {_SOURCES}, z AS (SELECT path, octet_length(encode(text))::BIGINT AS size FROM s),
+r AS (SELECT *, sum(CASE WHEN size > 20000 THEN 500001 ELSE size END) OVER (ORDER BY path) AS upto, row_number() OVER (ORDER BY path) AS k FROM z)
+SELECT path, size, CASE WHEN upto <= 500000 AND k <= 150 THEN 'admitted' ELSE 'unavailable' END AS status FROM r"""
+)
+def source_budget_sticky(spark, d):
+    return AC.admit(_sized(spark, d), "sticky", 500_000, 150, 20_000)
+
+
+@query(
+    f"""WITH {_SOURCES}, z AS (SELECT path, octet_length(encode(text))::BIGINT AS size FROM s),
+r AS (SELECT *, sum(size) OVER (ORDER BY path) AS upto, row_number() OVER (ORDER BY path) AS k FROM z WHERE size <= 20000)
+SELECT path, size, 'admitted' AS status FROM r WHERE upto <= 500000 AND k <= 150"""
+)
+def source_budget_stop(spark, d):
+    return AC.admit(_sized(spark, d), "stop", 500_000, 150, 20_000)
+
+
+@query()
+def source_budget_skip(spark, d):
+    return AC.admit(_sized(spark, d), "skip", 500_000, 150, 20_000)
+
+
+@query(
+    f"""WITH {_SOURCES}, i AS (SELECT source, path, doc_id, (doc_id % 3)::BIGINT AS tier FROM s),
+t AS (SELECT *, row_number() OVER (PARTITION BY tier, source ORDER BY doc_id) AS turn FROM i)
+SELECT tier, path, row_number() OVER (PARTITION BY tier ORDER BY turn, source)::INT AS ord FROM t"""
+)
+def round_robin(spark, d):
+    items = corpus.documents(spark, d).select("path", "source", "doc_id", (F.col("doc_id") % 3).alias("tier"))
+    return AC.round_robin(items, "tier", "source", "doc_id").select("tier", "path", "ord")
+
+
+@query(
+    f"""WITH {_SOURCES} SELECT path, unnest(['outer', 'outer', 'outer', 'in', 'in', 'deep', 'next']) AS name, unnest([0, 40, 90, 10, 30, 20, 60])::BIGINT AS "start", unnest([10, 60, 100, 20, 40, 30, 90])::BIGINT AS "end" FROM s"""
+)
+def own_ranges(spark, d):
+    nested = [("outer", 0, 100), ("in", 10, 40), ("deep", 20, 30), ("next", 60, 90)]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for n, a, b in nested]))
+    return AC.own_ranges(corpus.documents(spark, d).select("path", each.alias("x")).select("path", "x.*"))
+
+
+@query(f"WITH {_SOURCES} SELECT path FROM s WHERE lang <> 'fr'")
+def visible_history(spark, d):
+    docs = corpus.documents(spark, d)
+    return AC.visible_history(docs.select("path"), docs.where("lang = 'fr'"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
