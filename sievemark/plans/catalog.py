@@ -52,6 +52,15 @@ def query(sql: str | None = None):
 TION = Pattern("tion", literal=True)
 
 
+def _skip(key: str, one: int, most: int, files: int) -> str:
+    """A fold that skips what does not fit."""
+    return f"""WITH RECURSIVE {_SOURCES}, z AS (SELECT path, {key} AS g, octet_length(encode(text))::BIGINT AS size FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY path) AS k FROM z WHERE size <= {one}),
+t(g, k, used, n, path, size, ok) AS (SELECT DISTINCT g, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, false FROM r UNION ALL
+SELECT r.g, r.k, used + CASE WHEN used + r.size <= {most} AND n < {files} THEN r.size ELSE 0 END, n + CASE WHEN used + r.size <= {most} AND n < {files} THEN 1 ELSE 0 END, r.path, r.size, used + r.size <= {most} AND n < {files}
+FROM t JOIN r ON r.g = t.g AND r.k = t.k + 1)"""
+
+
 # Content search
 
 
@@ -193,7 +202,14 @@ def conversation_search(spark, d):
     return S.summary(corpus.conversations(spark, d), Pattern("user", literal=True)).select("path", "match_lines")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_LINES}, m AS (SELECT path, line_no, row_number() OVER (PARTITION BY path ORDER BY line_no) AS k FROM l WHERE contains(line, 'tion')),
+t(path, k, starts) AS (SELECT DISTINCT path, 0::BIGINT, []::BIGINT[] FROM m UNION ALL
+SELECT t.path, m.k, CASE WHEN len(starts) < 2 AND (len(starts) = 0 OR greatest(1, line_no - 3) > starts[-1] + 6) THEN list_append(starts, greatest(1, line_no - 3)::BIGINT) ELSE starts END
+FROM t JOIN m ON m.path = t.path AND m.k = t.k + 1),
+f AS (SELECT path, unnest(arg_max(starts, k)) AS start_line FROM t GROUP BY path)
+SELECT path, start_line, start_line + 6 AS end_line FROM f"""
+)
 def preview_windows(spark, d):
     return S.preview_windows(S.matching_lines(corpus.documents(spark, d), TION))
 
@@ -308,7 +324,7 @@ def page_n(spark, d):
     return B.page(c, 1, 30, ["order_", "path"]).drop("order_")
 
 
-@query()
+@query(_skip("source", 1 << 40, 20_000, 50) + " SELECT path, g AS source, size FROM t WHERE ok")
 def retained(spark, d):
     sized = corpus.documents(spark, d).select("path", "source", F.octet_length("text").cast("long").alias("size"))
     return B.retained(sized, "size", ["path"], "source", 20_000, 50)
@@ -483,7 +499,13 @@ def rank_correction(spark, d):
     return scored.select("vec_id", F.round(M.ranking_score(F.col("score"), F.col("vec_id") % 700), 9).alias("ranking_score"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SOURCES}, t(path, text, n, a, b) AS (SELECT path, text, length(text), 0, CASE WHEN length(text) <= 1000 THEN length(text)
+WHEN 1001 - strpos(reverse(substring(text, 1, 1001)), chr(10)) > 500 AND contains(substring(text, 1, 1001), chr(10)) THEN 1001 - strpos(reverse(substring(text, 1, 1001)), chr(10)) + 1 ELSE 1000 END FROM s WHERE length(text) > 0 UNION ALL
+SELECT path, text, n, a2, CASE WHEN a2 + 1000 >= n THEN n WHEN contains(w, chr(10)) AND length(w) - strpos(reverse(w), chr(10)) > 500 THEN a2 + length(w) - strpos(reverse(w), chr(10)) + 1 ELSE a2 + 1000 END
+FROM (SELECT path, text, n, greatest(a + 1, b - 160) AS a2, substring(text, greatest(a + 1, b - 160) + 1, 1001) AS w FROM t WHERE b < n))
+SELECT path, a::BIGINT AS "start", b::BIGINT AS "end", (a - length(replace(substring(text, 1, a), chr(10), '')) + 1)::BIGINT AS line FROM t"""
+)
 def passages(spark, d):
     return M.passages(corpus.documents(spark, d)).drop("text")
 
@@ -660,7 +682,7 @@ def source_budget_stop(spark, d):
     return AC.admit(_sized(spark, d), "stop", 500_000, 150, 20_000)
 
 
-@query()
+@query(_skip("0", 20_000, 500_000, 150) + ", y AS (SELECT path FROM t WHERE ok) SELECT z.path, z.size, CASE WHEN y.path IS NULL THEN 'unavailable' ELSE 'admitted' END AS status FROM z LEFT JOIN y ON y.path = z.path")
 def source_budget_skip(spark, d):
     return AC.admit(_sized(spark, d), "skip", 500_000, 150, 20_000)
 
