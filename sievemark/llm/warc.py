@@ -61,11 +61,11 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     verdict = resolve_revisits(headers, min_bytes)
     total = headers.agg(F.sum("bytes_"), F.count(F.lit(1))).first()
     files = max(1, -(-int(total[0] or 0) // ARCHIVE_BYTES))
-    salt = F.coalesce(F.col("key_"), F.lit(-1))
+    salt = F.coalesce(F.col("key_").cast("string"), F.lit("none"))  # equal for null ids, unlike the id itself
     # Payloads move once, to the archive they are written to; the join adds no exchange of its own.
-    body = rows.withColumn("digest", digest).repartition(files, salt, "digest").withColumn("salt", salt)
+    body = rows.withColumn("digest", digest).withColumn("salt", salt).repartition(files, "salt", "digest")
     verdict = verdict.withColumn("salt", salt).repartition(files, "salt", "digest").withColumnRenamed("key_", "k_")
-    j = body.join(verdict.hint("merge"), ["salt", "digest"]).where(F.col("key_").eqNullSafe(F.col("k_")))
+    j = body.join(verdict.hint("merge"), ["salt", "digest"])
     nth = F.row_number().over(Window.partitionBy("salt", "digest").orderBy("k_", "url_"))
     j = j.withColumn("nth", nth)
     big = F.octet_length("body_") >= min_bytes
