@@ -21,6 +21,8 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 #: A host is rejected above this shrunken rate of failures.
 MAX_HOST_RATE = 0.5
+#: The prior weighs at most so many documents.
+MAX_STRENGTH = 1000.0
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -94,17 +96,17 @@ def base_rules(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id"
 def host_rates(base: DataFrame) -> DataFrame:
     """``host, n_docs, n_failed, rate, host_failed`` with the shrunken rate; null hosts are no host.
 
-    Counts are aggregated before the shuffle; the prior is fitted on one row for each host.
+    Counts are aggregated before the shuffle; the prior is two numbers, fitted on one row for each host.
     """
     hosts = base.where("host_ IS NOT NULL").groupBy(F.col("host_").alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     p = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(p).alias("m"), F.var_pop(p).alias("v"))
+    mean, spread = hosts.agg(F.avg(p), F.var_pop(p)).first()
+    mean, spread = mean or 0.0, spread or 0.0
     # Moments of a beta distribution; with (almost) equal rates or with one host the prior weighs as much as it may.
-    weight = F.when((F.col("v") > 1e-6) & (F.col("m") * (1 - F.col("m")) > F.col("v")), F.least(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1000.0))).otherwise(F.lit(1000.0))
-    prior = prior.select("m", weight.alias("strength"))
-    rate = (F.col("n_failed") + F.col("m") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
-    one_row = hosts.join(F.broadcast(prior))
-    return one_row.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > MAX_HOST_RATE).alias("host_failed"))
+    room = mean * (1 - mean)
+    strength = min(room / spread - 1, MAX_STRENGTH) if spread > 1e-6 and room > spread else MAX_STRENGTH
+    rate = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
+    return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > MAX_HOST_RATE).alias("host_failed"))
 
 
 def host_rules(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
