@@ -3,6 +3,7 @@ import html
 import itertools
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -75,7 +76,9 @@ def test_extraction_of_a_table(spark):
     assert X.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("archive_bytes", [W.ARCHIVE_BYTES, 400])
+def test_warc_round_trip(spark, monkeypatch, archive_bytes):
+    monkeypatch.setattr(W, "ARCHIVE_BYTES", archive_bytes)
     big = "<p>é\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n" + "x" * 200
     small = "<p>small</p>"
     rows = [(5, "http://a/ b\r\nX: y", big), (3, "http://b", big), (9, None, big), (9, None, big), (1, "u", small), (2, "u", small), (4, "u", None), (6, "u", ""), (None, "n", big), (7, "u", "y" * 100), (8, "u", "y" * 100), (10, "u", "z" * 300_000)]
