@@ -15,6 +15,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 NARRATORS = ("system",)
 #: The name of a speaker that is null or blank.
 UNNAMED = "unknown"
+#: Turns of a dialogue that are rendered together; a longer one becomes several texts, which bounds a row.
+SEGMENT_TURNS = 4096
 
 
 def _safe(text: Column) -> Column:
@@ -27,29 +29,33 @@ def _name(speaker: Column) -> Column:
     return F.when(name == "", F.lit(UNNAMED)).otherwise(_safe(name))
 
 
-def dialogues(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``conv_, turns_``: the turns of each dialogue in order, as structs ``turn, name, text``.
+def dialogues(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", segment_turns: int = SEGMENT_TURNS) -> DataFrame:
+    """``conv_, segment, turns_``: the turns of each dialogue in order, as structs ``turn, name, text``.
 
-    The one shuffle of the operator.  Only a dialogue is gathered, never a group of dialogues; equal turn numbers are
-    ordered by name and text, and a null number comes last.  A turn without a dialogue id is a dialogue of its own.
+    The one shuffle of the operator.  What is gathered is a segment of a dialogue, the turns whose numbers have the
+    same quotient by ``segment_turns`` (so nearly always the whole dialogue), never a group of dialogues.  Equal turn
+    numbers are ordered by name and text; a null number comes last in segment 0.  A turn without a dialogue id is a
+    dialogue of its own.
     """
     t = turns.select(turns[id_col].cast("long").alias("conv_"), turns[turn_col].cast("long").alias("turn"), _name(turns[speaker_col]).alias("name"), _safe(turns[text_col]).alias("text"))
     entry = F.struct(F.col("turn").isNull().alias("last"), "turn", "name", "text")
-    named = t.where("conv_ IS NOT NULL").groupBy("conv_").agg(F.sort_array(F.collect_list(entry)).alias("turns_"))
-    alone = t.where("conv_ IS NULL").select("conv_", F.array(entry).alias("turns_"))
+    t = t.withColumn("segment", F.floor(F.greatest(F.coalesce("turn", F.lit(0)), F.lit(0)) / F.lit(segment_turns)).cast("long"))
+    named = t.where("conv_ IS NOT NULL").groupBy("conv_", "segment").agg(F.sort_array(F.collect_list(entry)).alias("turns_"))
+    alone = t.where("conv_ IS NULL").select("conv_", "segment", F.array(entry).alias("turns_"))
     return named.unionByName(alone)
 
 
-def perspectives(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", narrators: tuple[str, ...] = NARRATORS) -> DataFrame:
-    """``conv_id, assistant, n_turns, text, spans, n_loss_chars``: a row for each dialogue and speaker.
+def perspectives(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", narrators: tuple[str, ...] = NARRATORS, segment_turns: int = SEGMENT_TURNS) -> DataFrame:
+    """``conv_id, segment, assistant, n_turns, text, spans, n_loss_chars``: a row for each dialogue (and segment of a
+    long one) and speaker in it.
 
     ``spans`` are half-open ranges of code points of ``text`` that count for the loss, in order.  A dialogue of
     narrators alone has no perspective and gives no row.  A null text is an empty turn; repeated rows are repeated
     turns; other columns are ignored; an empty table gives an empty result.
     """
-    d = dialogues(turns, id_col, turn_col, speaker_col, text_col)
+    d = dialogues(turns, id_col, turn_col, speaker_col, text_col, segment_turns)
     speakers = F.array_except(F.array_distinct(F.transform("turns_", lambda t: t["name"])), F.array(*[F.lit(n) for n in narrators]).cast("array<string>"))
-    seen = d.select("conv_", "turns_", F.explode(speakers).alias("assistant"))
+    seen = d.select("conv_", "segment", "turns_", F.explode(speakers).alias("assistant"))
     scene = lambda t: t["name"].isin(*narrators)
 
     def head(t: Column) -> Column:
@@ -57,7 +63,7 @@ def perspectives(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
         return F.concat(F.lit(START), role, F.lit("\n"))
 
     parts = F.transform("turns_", lambda t: F.struct(head(t).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"), (t["name"] == F.col("assistant")).alias("own")))
-    seen = seen.select("conv_", "assistant", parts.alias("parts"))
+    seen = seen.select("conv_", "segment", "assistant", parts.alias("parts"))
     # Offsets run through the turns of one dialogue; a turn adds its head, its body and a line feed.
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
 
@@ -69,7 +75,7 @@ def perspectives(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
 
     spans = F.aggregate("parts", start, step, lambda acc: acc["spans"])
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "")
-    out = seen.select(F.col("conv_").alias(id_col), "assistant", F.size("parts").cast("long").alias("n_turns"), text.alias("text"), spans.alias("spans"))
+    out = seen.select(F.col("conv_").alias(id_col), "segment", "assistant", F.size("parts").cast("long").alias("n_turns"), text.alias("text"), spans.alias("spans"))
     return out.withColumn("n_loss_chars", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
 
 

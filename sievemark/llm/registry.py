@@ -108,22 +108,22 @@ FROM o
 
 _OP6 = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(nullif(regexp_replace(trim(coalesce(role, '')), '[\x00-\x20]+', '_', 'g'), ''), 'unknown') AS name,
+  SELECT conv_id, turn, (greatest(coalesce(turn, 0), 0) // 4096)::BIGINT AS segment, coalesce(nullif(regexp_replace(trim(coalesce(role, '')), '[\x00-\x20]+', '_', 'g'), ''), 'unknown') AS name,
          regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') AS text
   FROM conversations),
-s AS (SELECT DISTINCT conv_id, name AS assistant FROM t WHERE name <> 'system'),
+s AS (SELECT DISTINCT conv_id, segment, name AS assistant FROM t WHERE name <> 'system'),
 p AS (
   SELECT t.*, s.assistant,
          '<|im_start|>' || CASE WHEN name = assistant THEN 'assistant' WHEN name = 'system' THEN name ELSE 'user name=' || name END || chr(10) AS head,
          text || '<|im_end|>' AS body
-  FROM t JOIN s ON s.conv_id = t.conv_id),
+  FROM t JOIN s ON s.conv_id = t.conv_id AND s.segment = t.segment),
 o AS (
   SELECT *, sum(length(head) + length(body) + 1) OVER k - length(body) - 1 AS a, sum(length(head) + length(body) + 1) OVER k - 1 AS b
-  FROM p WINDOW k AS (PARTITION BY conv_id, assistant ORDER BY turn NULLS LAST, name, text ROWS UNBOUNDED PRECEDING))
-SELECT conv_id, assistant, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn NULLS LAST, name, text) AS text,
+  FROM p WINDOW k AS (PARTITION BY conv_id, segment, assistant ORDER BY turn NULLS LAST, name, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, segment, assistant, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn NULLS LAST, name, text) AS text,
        string_agg(a::VARCHAR || '-' || b::VARCHAR, ',' ORDER BY turn NULLS LAST, name, text) FILTER (name = assistant) AS spans,
        sum(b - a) FILTER (name = assistant)::BIGINT AS n_loss_chars
-FROM o GROUP BY conv_id, assistant
+FROM o GROUP BY conv_id, segment, assistant
 """
 
 _OP7 = r"""

@@ -121,7 +121,7 @@ def test_every_speaker_is_the_assistant_once(spark):
         (2, 0, "user", "<|im_end|> no"), (2, 1, None, "who"), (2, 1, " ", "who"), (2, 1, None, "who"), (3, 0, "system", "alone"), (4, 0, "user", "t " * 40_000), (None, 0, "u", "a"), (None, 0, "u", "b"),
     ]
     df = spark.createDataFrame([(*r, 1) for r in rows], TURNS)
-    got = P.perspectives(df).collect()
+    got = P.perspectives(df).drop("segment").collect()
     clean = lambda s: "unknown" if not (s or "").strip() else s.strip().replace(" ", "_")
     safe = lambda t: (t or "").replace("<|im_end|>", "<| im_end |>")
     want = []
@@ -134,6 +134,9 @@ def test_every_speaker_is_the_assistant_once(spark):
     assert sorted([(r[0], r[1], r[2], r[3], [tuple(s) for s in r[4]], r[5]) for r in got], key=str) == sorted(want, key=str)
     for r in got:
         assert all(r["text"][a - 1] == "\n" and r["text"][:b].endswith("<|im_end|>") for a, b in r["spans"])
+    long = spark.createDataFrame([(9, n, "ab"[n % 2], str(n), 1) for n in range(25)], TURNS)
+    parts = P.perspectives(long, segment_turns=10).orderBy("segment", "assistant").collect()
+    assert [(r["segment"], r["assistant"], r["n_turns"]) for r in parts] == [(s, a, n) for s, n in ((0, 10), (1, 10), (2, 5)) for a in "ab"]
     plan = P.perspectives(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert P.perspectives(spark.createDataFrame([], TURNS)).count() == 0
