@@ -243,7 +243,11 @@ def files_rank(spark, d):
     return FI.discover(corpus.documents(spark, d), "src1 fr")
 
 
-@query()
+@query(
+    f"""WITH {_SOURCES}, a AS (SELECT path, nullif(strpos(path, 's'), 0) AS p1 FROM s), b AS (SELECT *, p1 + nullif(strpos(substring(path, p1 + 1), '1'), 0) AS p2 FROM a),
+c AS (SELECT *, p2 + nullif(strpos(substring(path, p2 + 1), 'e'), 0) AS p3 FROM b), e AS (SELECT *, p3 + nullif(strpos(substring(path, p3 + 1), '7'), 0) AS p4 FROM c)
+SELECT path, floor(160.0 / (p4 - p1 + 1) + 0.5)::INT AS score FROM e WHERE p4 IS NOT NULL AND NOT contains(path, 's1e7')"""
+)
 def files_fuzzy(spark, d):
     return FI.discover(corpus.documents(spark, d), "s1e7")
 
@@ -441,10 +445,16 @@ def intersect_ranges(spark, d):
     return G.intersect(*_range_inputs(spark, d))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_RANGES}, e AS (SELECT k, a, b, (a * 37 + b * 11) % 1000 AS rank FROM a0 UNION ALL SELECT k, a, b, (a * 37 + b * 11) % 1000 FROM b0),
+q AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rank, a) AS n FROM e),
+fold(k, n, kept) AS (SELECT DISTINCT k, 0::BIGINT, []::STRUCT(a BIGINT, b BIGINT, rank BIGINT)[] FROM q UNION ALL
+SELECT fold.k, q.n, CASE WHEN len(list_filter(kept, lambda r: r.a < q.b AND q.a < r.b)) = 0 THEN list_append(kept, {{'a': q.a, 'b': q.b, 'rank': q.rank}}) ELSE kept END FROM fold JOIN q ON q.k = fold.k AND q.n = fold.n + 1),
+f AS (SELECT k, unnest(arg_max(kept, n)) AS x FROM fold GROUP BY k) SELECT k AS path, x.a AS "start", x.b AS "end", x.rank AS rank FROM f"""
+)
 def greedy_dedupe(spark, d):
     a, b = _range_inputs(spark, d)
-    every = a.union(b).withColumn("rank", F.pmod(F.xxhash64("path", "start", "end"), F.lit(1000)))
+    every = a.union(b).withColumn("rank", (F.col("start") * 37 + F.col("end") * 11) % 1000)
     return G.greedy_dedupe(every)
 
 
