@@ -71,3 +71,9 @@ def validate(saved: DataFrame, current: DataFrame) -> DataFrame:
 
 def validation_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.when(F.col("status") == "stale", 0).when(F.col("status") == "unknown", 1).otherwise(2), "path")
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two scans gave the same rows, as often; told by counts of rows on each side in one pass."""
+    both = a.withColumn("side_", F.lit(1)).unionByName(b.withColumn("side_", F.lit(-1)))
+    return both.groupBy(*a.columns).agg(F.sum("side_").alias("n_")).where("n_ <> 0").isEmpty()

@@ -8,10 +8,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CapabilityError
+from .budget import running_sum
 from .ranges import greedy_dedupe, overlap_anti
 
 PASSAGE_CHARACTERS, PASSAGE_OVERLAP = 1000, 160
@@ -185,9 +186,69 @@ def judged_order(rows: DataFrame, classes: tuple[str, ...]) -> DataFrame:
     The places of judged rows are filled by class, probability and place; the others stay where they are.
     """
     priority = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class"))
-    from pyspark.sql import Window
-
     judged = rows.where("class IS NOT NULL")
     places = judged.select(F.row_number().over(Window.orderBy("pos")).alias("k"), F.col("pos").alias("new_pos"))
     order = judged.withColumn("k", F.row_number().over(Window.orderBy(priority, F.desc("probability"), "pos")))
     return order.join(places, "k").drop("k").unionByName(rows.where("class IS NULL").withColumn("new_pos", F.col("pos")))
+
+
+WINDOW_TOKENS, WINDOW_OVERLAP = 256, 64
+JUDGE_CANDIDATES, JUDGE_BYTES = 8, 64 << 10
+
+
+def token_windows(tokens: int, size: int = WINDOW_TOKENS, overlap: int = WINDOW_OVERLAP) -> list[tuple[int, int]]:
+    """Half-open windows over the tokens of a passage that overlap; an encoder's vector of a passage is its best one."""
+    step = size - overlap
+    return [(a, min(tokens, a + size)) for a in range(0, max(1, tokens - overlap), step)] if tokens else []
+
+
+def prune_cache(cache: DataFrame, max_bytes: int, used: str = "used_ms") -> DataFrame:
+    """Cached vectors (``key, embedding, used_ms``) without those unused longest, in at most ``max_bytes``."""
+    sized = cache.withColumn("bytes_", F.size("embedding") * 4 + F.length("key")).withColumn("age_", -F.col(used))
+    return running_sum(sized, "bytes_", ["age_", "key"]).where(F.col("upto_") <= max_bytes).select(*cache.columns)
+
+
+def judge_batches(texts: list[str], most: int = JUDGE_CANDIDATES, max_bytes: int = JUDGE_BYTES) -> list[list[int]]:
+    """Candidates in groups of bounded number and size; one that is too large alone is in none."""
+    out: list[list[int]] = []
+    used = 0
+    for i, t in enumerate(texts):
+        n = len(t.encode())
+        if n > max_bytes:
+            continue
+        if not out or len(out[-1]) == most or used + n > max_bytes:
+            out.append([])
+            used = 0
+        out[-1].append(i)
+        used += n
+    return out
+
+
+def judge_candidates(judge: Judge, query: str, texts: list[str], retries: int = 1) -> tuple[list[tuple[str, float] | None], bool]:
+    """Verdicts of the candidates (None: not judged), and whether all were.
+
+    It works on the few rows of a page.  A batch that fails is halved, a single candidate is tried again; no candidate
+    is ever dropped.
+    """
+    out: list[tuple[str, float] | None] = [None] * len(texts)
+    todo = [(b, retries) for b in judge_batches(texts)]
+    while todo:
+        batch, left = todo.pop()
+        try:
+            found = judge.judge(query, [texts[i] for i in batch])
+            if len(found) != len(batch) or any(c not in judge.classes or not 0 <= p <= 1 for c, p in found):
+                raise ValueError("malformed verdicts")
+            for i, v in zip(batch, found):
+                out[i] = v
+        except Exception:  # noqa: BLE001
+            if len(batch) > 1:
+                half = len(batch) // 2
+                todo += [(batch[:half], left), (batch[half:], left)]
+            elif left:
+                todo.append((batch, left - 1))
+    return out, all(v is not None for v in out)
+
+
+def preview(both: DataFrame, literal: int = 3, most: int = 30) -> DataFrame:
+    """Of combined results (``tier, ord``) the first exact ones and all concepts."""
+    return both.where((F.col("tier") == 1) | (F.col("ord") <= literal)).orderBy("ord").limit(most)

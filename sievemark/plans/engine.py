@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CapabilityError, EvidenceError
@@ -23,6 +23,7 @@ from ..operators import search as S
 from ..operators import semantic as M
 from ..operators import stats as ST
 from ..operators import structure as X
+from ..operators.changes import changed_lines
 from ..session import cut
 from ..sources.corpus import content_hash
 from .contract import Limits, Request, parse
@@ -64,11 +65,11 @@ class Engine:
     for validation.  ``base`` is an earlier version of the sources for ``changes``."""
 
     def __init__(
-        self, sources: DataFrame, *, current=None, base: DataFrame | None = None, encoder: M.Encoder | None = None, syntax: X.SyntaxProvider | None = None,
+        self, sources: DataFrame, *, current=None, base: DataFrame | None = None, encoder: M.Encoder | None = None, judge: M.Judge | None = None, syntax: X.SyntaxProvider | None = None,
         facts: Mapping[str, DataFrame] | None = None, limits: Limits = Limits(), clock=None, partial_reasons: list[str] | None = None,
     ):
         self.sources, self.current, self.base = sources, current or (lambda: sources), base
-        self.encoder, self.syntax, self.facts, self.limits = encoder, syntax, facts, limits
+        self.encoder, self.judge, self.syntax, self.facts, self.limits = encoder, judge, syntax, facts, limits
         self.reasons = partial_reasons or []
         spark = sources.sparkSession
         timed = {"clock": clock} if clock else {}
@@ -229,8 +230,6 @@ class Engine:
         return Result(c.kind, "lines" if sized else "items", out, {"retained": s.count, "returned": len(out)}, cursor=str(after) if after else None, facts={"snapshot": s.id})
 
     def _changed_ranges(self, scoped: DataFrame) -> DataFrame:
-        from ..operators.changes import changed_lines
-
         old, new = self.base.select("path", "text"), scoped.select("path", "text")
         ranges = changed_lines(old, new).where("side = 'new'").select("path", "start_line", "end_line")
         added = new.join(old.select("path"), "path", "left_anti").select("path", F.lit(1).cast("long").alias("start_line"), F.lit(2**53).cast("long").alias("end_line"))
@@ -303,16 +302,38 @@ class Engine:
         exact = cut(S.matching_lines(scoped, p, ranges=True).select("path", "line_no", F.explode("occurrences").alias("o")).select("path", "line_no", "o.start", "o.end"))
         # Passages count from the start of the text, matches from the start of their line.
         begin = T.lines(scoped).select("path", "line_no", F.length("line").alias("k"))
-        from pyspark.sql import Window
-
         w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
         begin = begin.withColumn("at", F.coalesce(F.sum(F.col("k") + 1).over(w), F.lit(0))).drop("k")
         placed = cut(exact.join(begin, ["path", "line_no"]).select("path", (F.col("start") + F.col("at")).alias("start"), (F.col("end") + F.col("at")).alias("end")))
         ranked = cut(M.concept(scoped, r.get("query"), encoder))
+        # The exact scan must say the same after the ranking as before it; otherwise the sources changed meanwhile.
+        again = S.matching_lines(scoped, p, ranges=True).select("path", "line_no", F.explode("occurrences").alias("o")).select("path", "line_no", "o.start", "o.end")
+        if not A.same_rows(exact, again):
+            raise EvidenceError("the sources changed during the search", "E_SOURCES_CHANGED", recovery="retry")
         both = M.hybrid(placed, ranked, r.get("conceptLimit", self.limits.concept_limit))
-        out = self._analysis("hybrid", "evidence-items", both.withColumn("order_", -F.coalesce("score", F.lit(0.0))), ["tier", "order_", "path", "start"], "analysis-hybrid", close_ranks=M.close_ranks(ranked))
+        snap = self.snapshots.add("analysis-hybrid", both.withColumn("order_", -F.coalesce("score", F.lit(0.0))), ["tier", "order_", "path", "start"])
+        rows = [x.asDict() for x in M.preview(snap.rows, most=self.limits.page_items).collect()]
+        counts = {"found": snap.count, "retained": snap.count, "returned": len(rows), "exact": placed.count()}
+        out = Result("hybrid", "evidence-items", rows, counts, cursor=str(Cursor(snap.id, snap.kind, 0)) if snap.count > len(rows) else None, facts={"snapshot": snap.id, "close_ranks": M.close_ranks(ranked)})
+        if self.judge is not None:
+            self._judged(r, out, scoped)
         return self._coverage(r, out)
 
+    def _judged(self, r: Request, out: Result, scoped: DataFrame) -> None:
+        """Classes for the rows of the page; the order follows them, and nothing is removed."""
+        paths = sorted({x["path"] for x in out.rows})
+        texts = {x["path"]: x["text"] for x in scoped.where(F.col("path").isin(*paths)).select("path", "text").collect()} if paths else {}
+        verdicts, whole = M.judge_candidates(self.judge, r.get("query"), [texts[x["path"]][x["start"] : x["end"]] for x in out.rows])
+        places = [i for i, v in enumerate(verdicts) if v is not None]
+        ranked = sorted(places, key=lambda i: (self.judge.classes.index(verdicts[i][0]), -verdicts[i][1], i))
+        rows = list(out.rows)
+        for place, i in zip(places, ranked):
+            rows[place] = out.rows[i] | {"class": verdicts[i][0], "probability": verdicts[i][1]}
+        out.rows = rows
+        if not whole:
+            out.partial = True
+            out.reasons.append("some candidates were not judged")
+
     def _structure(self, r: Request) -> Result:
         X.required(self.syntax, "structure search")
         raise CapabilityError("the syntax provider has no structure search")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sievemark.errors import CapabilityError, CursorError, EvidenceError
 from sievemark.functions.pattern import Pattern
+from sievemark.operators import access, audit, semantic
 from sievemark.operators.semantic import HashingEncoder
 from sievemark.plans.contract import Limits, context_tier, parse
 from sievemark.plans.engine import Engine
@@ -117,7 +118,45 @@ def test_other_modes(spark, engine):
         with pytest.raises(CapabilityError):
             engine.search(raw)
     both = Engine(engine.sources, encoder=HashingEncoder()).search({"mode": "hybrid", "query": "needle"})
-    assert [r["tier"] for r in both.rows] == sorted(r["tier"] for r in both.rows) and both.counts["found"] >= 9
+    assert [r["tier"] for r in both.rows] == sorted(r["tier"] for r in both.rows) and both.counts["exact"] == 10
+    assert sum(r["tier"] == 0 for r in both.rows) == 3
+
+
+class Judge:
+    classes = ("good", "bad")
+
+    def judge(self, query, texts):
+        if len(texts) > 2:
+            raise ValueError("too many")
+        return [("good" if query in t else "bad", 0.5) for t in texts]
+
+
+def test_a_judge_orders_and_never_removes(engine):
+    plain = Engine(engine.sources, encoder=HashingEncoder())
+    judged = Engine(engine.sources, encoder=HashingEncoder(), judge=Judge())
+    ask = {"mode": "hybrid", "query": "Needle"}
+    key = lambda out: sorted((r["path"], r["start"]) for r in out.rows)
+    out = judged.search(ask)
+    assert key(out) == key(plain.search(ask)) and not out.partial
+    assert [r["class"] for r in out.rows] == sorted((r["class"] for r in out.rows), key=Judge.classes.index)
+
+
+def test_batches_windows_and_caches(spark):
+    assert semantic.judge_batches(["a" * 30, "b" * 30, "c" * 90, "d", "e"], 2, 60) == [[0, 1], [3, 4]]
+    assert semantic.token_windows(0) == [] and semantic.token_windows(256) == [(0, 256)] and semantic.token_windows(300) == [(0, 256), (192, 300)]
+    cache = spark.createDataFrame([("a", [1.0], 5), ("b", [1.0], 9), ("c", [1.0], 7)], "key string, embedding array<float>, used_ms long")
+    assert {r["key"] for r in semantic.prune_cache(cache, 10).collect()} == {"b", "c"}
+    one, two = spark.createDataFrame([(1,), (1,)], "x int"), spark.createDataFrame([(1,)], "x int")
+    assert audit.same_rows(one, one) and not audit.same_rows(one, two)
+    pages, at = access.Continuations("aé😀b" * 5, 7), 0
+    text = ""
+    while at is not None:
+        piece, at = pages.page(at)
+        text += piece
+    assert text == "aé😀b" * 5
+    with pytest.raises(EvidenceError):
+        pages.page(1)
+    assert access.source_page("x" * 50, 25, 10) == (20, 30) and len(("é" * 50)[slice(*access.source_page("é" * 50, 0, 10))].encode()) <= 10
 
 
 def test_validation_of_saved_evidence(spark):
