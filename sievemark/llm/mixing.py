@@ -17,6 +17,8 @@ from .common import count_words, cut, packed, unpacked
 #: Bits of the hash that one round of refinement settles; the hash has 60.
 BITS = 12
 _HASH_BITS = 60
+#: A table of sources is broadcast if its names and numbers are known to take at most so many bytes.
+BROADCAST_BYTES = 8 << 20
 
 
 def doc_hash(key: Column) -> Column:
@@ -84,10 +86,23 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _times(docs: DataFrame, weights, max_repeats: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
-    sized = cut(docs.select(docs[id_col].alias("id_"), docs[source_col].alias("source_"), count_words(docs[text_col]).alias("size"), doc_hash(docs[id_col]).alias("h")))
+    sized = cut(docs.select(docs[id_col].alias("id_"), docs[source_col].cast("string").alias("source_"), count_words(docs[text_col]).alias("size"), doc_hash(docs[id_col]).alias("h")))
     return sized, cut(thresholds(sized, source_targets(sized, weights, max_repeats)))
 
 
+def _by_source(rows: DataFrame, edge: DataFrame) -> DataFrame:
+    """``rows`` with the thresholds of their ``source_``.
+
+    The settled table of sources is measured: up to ``BROADCAST_BYTES`` it goes to the rows, so that no text moves and
+    a hot source stays spread; a larger one is joined by a shuffle, which the skew-join rule can split.
+    """
+    edge = edge.withColumnRenamed("source_", "s_")
+    held = edge.agg(F.sum(F.coalesce(F.octet_length("s_"), F.lit(0)) + 64)).first()[0] or 0
+    if held <= BROADCAST_BYTES:
+        edge = F.broadcast(edge)
+    return rows.join(edge, F.col("source_").eqNullSafe(F.col("s_")))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row; ``taken`` counts repeats.
 
@@ -96,8 +111,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int
     takes nothing.  Other columns are ignored.  The choice depends on ids alone, so reruns agree.
     """
     sized, edge = _times(docs, weights, max_repeats, id_col, text_col, source_col)
-    edge = edge.withColumnRenamed("source_", "s_")
-    j = sized.join(edge, sized["source_"].eqNullSafe(edge["s_"]))
+    j = _by_source(sized, edge)
     times = F.col("whole") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)
     return j.select(F.col("id_").alias(id_col), "size", "source_size", "target", (F.col("size") * times).alias("taken"))
 
@@ -105,8 +119,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as the mix takes them, repeated rows included; all columns as they were."""
     _, edge = _times(docs, weights, max_repeats, id_col, text_col, source_col)
-    rows = packed(docs, source_=docs[source_col], h=doc_hash(docs[id_col]))
-    edge = edge.withColumnRenamed("source_", "s_")
-    j = rows.join(edge, F.col("source_").eqNullSafe(F.col("s_")))
+    rows = packed(docs, source_=docs[source_col].cast("string"), h=doc_hash(docs[id_col]))
+    j = _by_source(rows, edge)
     times = (F.col("whole") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)).cast("int")
     return unpacked(j.select("row_", times.alias("times")).where("times > 0").select("row_", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy_")), docs)
