@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .pattern import Pattern
+from .pattern import Pattern, escape
 
 #: Display limit of one line, in UTF-16 units where text is ASCII.
 LINE_CHARACTERS = 500
@@ -54,6 +54,8 @@ def occurrences(line: Column, pattern: Pattern) -> Column:
     """
     if pattern.may_be_empty:
         return _python_occurrences(pattern)(line)
+    if pattern.plain:
+        return _literal_occurrences(line, pattern.text)
     gaps = F.split(line, pattern.java, -1)
     found = F.regexp_extract_all(line, F.lit(pattern.java), F.lit(0))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(ArrayType(RANGE)).alias("out"))
@@ -68,6 +70,19 @@ def occurrences(line: Column, pattern: Pattern) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
+def _literal_occurrences(line: Column, term: str) -> Column:
+    """All matches are equally long, so the gaps between them are enough."""
+    gaps, k = F.split(line, escape(term), -1), len(term)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(ArrayType(RANGE)).alias("out"))
+
+    def step(acc: Column, gap: Column) -> Column:
+        a = acc["at"] + F.length(gap)
+        one = F.struct(a.cast("long").alias("start"), (a + k).cast("long").alias("end"))
+        return F.struct((a + k).cast("long").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    return F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), start, step, lambda acc: acc["out"])
+
+
 def _python_occurrences(pattern: Pattern):
     java, flags = pattern.java, "(?i)" if pattern.insensitive else ""
     body = flags + java[java.index(")") + 1 :]

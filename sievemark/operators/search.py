@@ -7,6 +7,7 @@ have it; lines that don't match never leave the scan stage.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,14 +71,20 @@ def _checked(terms: Sequence[str], low: int, high: int) -> list[str]:
     return list(terms)
 
 
+def _has_any(column: str, terms: list[str]) -> Column:
+    """Few terms are searched as they are; many as one alternation, so that the text is read once."""
+    if len(terms) > 8:
+        return F.col(column).rlike("|".join(escape(t) for t in terms))
+    return reduce(Column.__or__, [F.col(column).contains(t) for t in terms])
+
+
 def any_of(sources: DataFrame, terms: Sequence[str], *keys: str) -> DataFrame:
     """``keys, term_index, term, line_no, start, end`` for each occurrence of each term, case-sensitive.
 
     Occurrences of one term don't overlap; those of different terms may.  One pass reads the text for all terms.
     """
     terms, keys = _checked(terms, 2, 64), keys or ("path",)
-    some = "|".join(escape(t) for t in terms)
-    lines = T.lines(sources.where(F.col("text").rlike(some)), *keys).where(F.col("line").rlike(some))
+    lines = T.lines(sources.where(_has_any("text", terms)), *keys).where(_has_any("line", terms))
     per_term = F.array(*[F.struct(F.lit(i).alias("term_index"), F.lit(t).alias("term"), T.occurrences(F.col("line"), Pattern(t, literal=True)).alias("ranges")) for i, t in enumerate(terms)])
     hit = lines.select(*keys, "line_no", F.explode(F.filter(per_term, lambda x: F.size(x["ranges"]) > 0)).alias("x"))
     return hit.select(*keys, "x.term_index", "x.term", "line_no", F.explode("x.ranges").alias("r")).select(*keys, "term_index", "term", "line_no", "r.start", "r.end")
