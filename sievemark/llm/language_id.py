@@ -83,7 +83,7 @@ def _sampled(batches):
             ends = np.searchsorted(pair, (np.arange(chunk.rows) + 1) * BUCKETS)
             packed_ = (pair % BUCKETS) << 32 | count
             lists += np.split(packed_, ends[:-1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], names=["label_", "grams_"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in lists], pa.binary())], names=["label_", "grams_"])
 
 
 @dataclass
@@ -100,8 +100,8 @@ class LanguageModel:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, list[int]]], seed: int = 5) -> LanguageModel:
-    """Train on (label, bucket << 32 | count) rows."""
+def fit(rows: list[tuple[str, bytes]], seed: int = 5) -> LanguageModel:
+    """Train on rows of a label and int64 numbers ``bucket << 32 | count``."""
     labels = sorted({label for label, _ in rows})
     rng = np.random.default_rng(seed)
     n_labels = len(labels)
@@ -110,7 +110,7 @@ def fit(rows: list[tuple[str, list[int]]], seed: int = 5) -> LanguageModel:
     y = np.array([labels.index(label) for label, _ in rows])
     docs = []
     for _, grams in rows:
-        g = np.array(grams, np.int64)
+        g = np.frombuffer(grams, np.int64)
         count = (g & 0xFFFFFFFF).astype(np.float64)
         docs.append(((g >> 32).astype(np.int64), count / max(1.0, count.sum())))
     check = np.arange(len(rows)) % CALIBRATION_SHARE == 0 if len(rows) >= 4 * CALIBRATION_SHARE else np.zeros(len(rows), bool)
@@ -171,8 +171,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     # Which rows are taken is settled on ids alone, before texts are read.
     ids = rows.select("id_", F.xxhash64(F.col("id_").cast("string")).alias("h")).orderBy("h", "id_").limit(sample_rows)
     near = rows.join(F.broadcast(ids.select("id_").distinct()), "id_", "left_semi")
-    grams = near.select("label_", "text_").mapInArrow(_sampled, "label_ string, grams_ array<long>").limit(2 * sample_rows)
-    return fit(sorted((r["label_"], r["grams_"]) for r in grams.collect() if r["grams_"]))
+    grams = near.select("label_", "text_").mapInArrow(_sampled, "label_ string, grams_ binary").limit(2 * sample_rows)
+    return fit(sorted((r["label_"], bytes(r["grams_"])) for r in grams.collect() if r["grams_"]))
 
 
 _PREDICTED = "id_ long, lang_ string, lang_pred string, score double, accepted boolean"
