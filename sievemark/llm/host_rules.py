@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, measured
 from .vectext import U64, Chunk, chunks, mix, windows, word_hashes, words
 
 MIN_WORDS = 10
@@ -117,7 +117,7 @@ def host_rules(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id"
     result.  Words, windows and lines are compared by 64-bit hashes inside one document.
     """
     base = cut(base_rules(docs, host_col, id_col, text_col))
-    verdict = host_rates(base).select("host", "rate", "host_failed")
+    verdict = measured(cut(host_rates(base).select("host", "rate", "host_failed")), "host")
     j = base.join(verdict, base["host_"] == verdict["host"], "left")
     kept = ~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))
     return j.select(F.col("id_").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("rate").alias("host_rate"))
