@@ -12,13 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, cut, packed, unpacked
+from .common import count_words, cut, measured, packed, unpacked
 
 #: Bits of the hash that one round of refinement settles; the hash has 60.
 BITS = 12
 _HASH_BITS = 60
-#: A table of sources is broadcast if its names and numbers are known to take at most so many bytes.
-BROADCAST_BYTES = 8 << 20
 
 
 def doc_hash(key: Column) -> Column:
@@ -91,15 +89,8 @@ def _times(docs: DataFrame, weights, max_repeats: int, id_col: str, text_col: st
 
 
 def _by_source(rows: DataFrame, edge: DataFrame) -> DataFrame:
-    """``rows`` with the thresholds of their ``source_``.
-
-    The settled table of sources is measured: up to ``BROADCAST_BYTES`` it goes to the rows, so that no text moves and
-    a hot source stays spread; a larger one is joined by a shuffle, which the skew-join rule can split.
-    """
-    edge = edge.withColumnRenamed("source_", "s_")
-    held = edge.agg(F.sum(F.coalesce(F.octet_length("s_"), F.lit(0)) + 64)).first()[0] or 0
-    if held <= BROADCAST_BYTES:
-        edge = F.broadcast(edge)
+    """``rows`` with the thresholds of their ``source_``."""
+    edge = measured(edge.withColumnRenamed("source_", "s_"), "s_")
     return rows.join(edge, F.col("source_").eqNullSafe(F.col("s_")))
 
 
