@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import line_array
@@ -24,11 +24,18 @@ def change_set(base: DataFrame, target: DataFrame, renames: DataFrame | None = N
 
 
 def _line_counts(sources: DataFrame) -> DataFrame:
-    """``path, size, line, n, bytes``; a line counts with its line feed."""
+    """``path, size, line, n, bytes``; a line is the digest of its text with its line feed, so that long lines travel short."""
     pieces = F.posexplode(line_array(F.col("text")))
     lines = sources.select("path", F.octet_length("text").cast("long").alias("size"), F.size(line_array(F.col("text"))).alias("k"), F.col("text").endswith("\n").alias("closed"), pieces.alias("i", "line"))
-    feed = F.when((F.col("i") < F.col("k") - 1) | F.col("closed"), 1).otherwise(0)
-    return lines.withColumn("feed", feed).groupBy("path", "size", "line", "feed").agg(F.count(F.lit(1)).alias("n"), F.first(F.octet_length("line") + F.col("feed")).alias("bytes"))
+    whole = F.when((F.col("i") < F.col("k") - 1) | F.col("closed"), F.concat("line", F.lit("\n"))).otherwise(F.col("line"))
+    return lines.select("path", "size", F.unhex(F.sha2(whole.cast("binary"), 256)).alias("line"), F.octet_length(whole).cast("long").alias("bytes")).groupBy("path", "size", "line", "bytes").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rarest(lines: DataFrame, often: DataFrame, least: int) -> DataFrame:
+    """The rarest lines of each source, down to where the bytes that are left are too few for a pair."""
+    w = Window.partitionBy("path").orderBy("often", "line").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("size") - F.coalesce(F.sum(F.col("n") * F.col("bytes")).over(w), F.lit(0))
+    return lines.join(often, "line").withColumn("left", left).where(100 * F.col("left") >= least * F.col("size")).select("path", "size", "line")
 
 
 def similarity(deleted: DataFrame, added: DataFrame, least: int = 50) -> DataFrame:
@@ -36,15 +43,23 @@ def similarity(deleted: DataFrame, added: DataFrame, least: int = 50) -> DataFra
 
     Pairs come from shared lines, never from a product of both sides.  Equal texts score 100, others at most 99, and
     texts of which one is less than half as long score nothing.
+
+    In an order of all lines that is the same for both sides, the first line that a pair shares has all shared bytes
+    at or behind it, on either side.  So a pair with enough of them meets in the leading lines behind which at least
+    ``least`` percent remain; with the rarest lines first, frequent ones seldom lead, and no pair is lost.
     """
     o, n = _line_counts(deleted), _line_counts(added)
-    a = o.select(F.col("path").alias("old_path"), F.col("size").alias("s1"), "line", "feed", F.col("n").alias("n1"), "bytes")
-    b = n.select(F.col("path").alias("new_path"), F.col("size").alias("s2"), "line", "feed", F.col("n").alias("n2"))
-    j = a.join(b, ["line", "feed"]).groupBy("old_path", "new_path", "s1", "s2").agg(F.sum(F.least("n1", "n2") * F.col("bytes")).alias("common"))
+    often = o.select("line").union(n.select("line")).groupBy("line").agg(F.count(F.lit(1)).alias("often"))
+    a = _rarest(o, often, least).select(F.col("path").alias("old_path"), F.col("size").alias("s1"), "line")
+    b = _rarest(n, often, least).select(F.col("path").alias("new_path"), F.col("size").alias("s2"), "line")
     big, small = F.greatest("s1", "s2"), F.least("s1", "s2")
+    met = a.join(b, "line").where(2 * small >= big).select("old_path", "new_path", "s1", "s2").distinct()
+    mine = o.select(F.col("path").alias("old_path"), "line", F.col("n").alias("n1"), "bytes")
+    theirs = n.select(F.col("path").alias("new_path"), "line", F.col("n").alias("n2"))
+    j = met.join(mine, "old_path").join(theirs, ["new_path", "line"]).groupBy("old_path", "new_path", "s1", "s2").agg(F.sum(F.least("n1", "n2") * F.col("bytes")).alias("common"))
     h1 = deleted.select(F.col("path").alias("old_path"), F.sha2(F.col("text").cast("binary"), 256).alias("h1"))
     h2 = added.select(F.col("path").alias("new_path"), F.sha2(F.col("text").cast("binary"), 256).alias("h2"))
-    near = j.where(2 * small >= big).join(h1, "old_path").join(h2, "new_path")
+    near = j.where(100 * F.col("common") >= least * big).join(h1, "old_path").join(h2, "new_path")
     score = F.when(F.col("h1") == F.col("h2"), F.lit(100)).otherwise(F.least(F.lit(99), F.floor(100 * F.col("common") / big))).cast("long")
     return near.select("old_path", "new_path", score.alias("score")).where(F.col("score") >= least)
 

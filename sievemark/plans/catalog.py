@@ -547,9 +547,9 @@ def judged_order(spark, d):
 # Versions
 
 
-def _moved(spark, d) -> tuple[DataFrame, DataFrame]:
+def _moved(spark, d, of: str) -> tuple[DataFrame, DataFrame]:
     """Documents as deleted files, and some of them, changed a little, as added ones."""
-    docs = corpus.documents(spark, d).where("doc_id % 20 = 0")
+    docs = corpus.documents(spark, d).where(of)
     edited = F.when(F.col("doc_id") % 40 == 0, F.concat("text", F.lit("\nadded line"))).otherwise(F.col("text"))
     return docs.select("path", "text"), docs.select(F.concat(F.lit("moved/"), "path").alias("path"), edited.alias("text"))
 
@@ -567,7 +567,7 @@ good AS (SELECT * FROM sim WHERE score >= 50)"""
 
 @query(f"WITH {_PAIRS} SELECT old_path, new_path, score FROM good")
 def similarity(spark, d):
-    return C.similarity(*_moved(spark, d))
+    return C.similarity(*_moved(spark, d, "doc_id % 20 = 0"))
 
 
 @query(
@@ -576,7 +576,20 @@ k AS (SELECT *, count(*) FILTER (score = mo) OVER (PARTITION BY old_path) AS ko,
 SELECT old_path, new_path, score FROM k WHERE score = mo AND score = mn AND ko = 1 AND kn = 1"""
 )
 def rename_pairs(spark, d):
-    return C.rename_pairs(C.similarity(*_moved(spark, d)))
+    return C.rename_pairs(C.similarity(*_moved(spark, d, "doc_id % 20 = 0")))
+
+
+# The SQL of the two above is over a part of the documents; these are over all, against brute force in the tests.
+
+
+@query()
+def similarity_all(spark, d):
+    return C.similarity(*_moved(spark, d, "true"))
+
+
+@query()
+def rename_pairs_all(spark, d):
+    return C.rename_pairs(C.similarity(*_moved(spark, d, "true")))
 
 
 @query(
