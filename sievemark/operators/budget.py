@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -24,7 +24,7 @@ def prefix(rows: DataFrame, size: str, budget: int, order: list[str], key: str |
     return running_sum(rows, size, order).where(F.col("upto_") <= budget).drop("upto_", "part_")
 
 
-def running_sum(rows: DataFrame, size: str, order: list[str]) -> DataFrame:
+def running_sum(rows: DataFrame, size: str, order: list[str | Column]) -> DataFrame:
     """``upto_``: the sum of ``size`` over a global order, in two passes over range partitions."""
     # The part of a row must not change between the passes, so it is settled once.
     dealt = cut(rows.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))

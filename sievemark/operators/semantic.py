@@ -8,7 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CapabilityError
@@ -187,9 +187,11 @@ def judged_order(rows: DataFrame, classes: tuple[str, ...]) -> DataFrame:
     """
     priority = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class"))
     judged = rows.where("class IS NOT NULL")
-    places = judged.select(F.row_number().over(Window.orderBy("pos")).alias("k"), F.col("pos").alias("new_pos"))
-    order = judged.withColumn("k", F.row_number().over(Window.orderBy(priority, F.desc("probability"), "pos")))
-    return order.join(places, "k").drop("k").unionByName(rows.where("class IS NULL").withColumn("new_pos", F.col("pos")))
+    # Running sums of ones number the rows by range partitions, so that no task sees them all.
+    ones = judged.withColumn("one_", F.lit(1)).withColumn("first_", priority)
+    places = running_sum(ones, "one_", ["pos"]).select("upto_", F.col("pos").alias("new_pos"))
+    order = running_sum(ones, "one_", ["first_", F.desc("probability"), "pos"]).select("upto_", *rows.columns)
+    return order.join(places, "upto_").drop("upto_").unionByName(rows.where("class IS NULL").withColumn("new_pos", F.col("pos")))
 
 
 WINDOW_TOKENS, WINDOW_OVERLAP = 256, 64

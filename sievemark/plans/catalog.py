@@ -539,7 +539,18 @@ o AS (SELECT *, row_number() OVER (ORDER BY CASE class WHEN 'relevant' THEN 1 EL
 SELECT pos, class, probability, new_pos FROM o JOIN p USING (k) UNION ALL SELECT pos, class, probability, pos FROM r WHERE class IS NULL"""
 )
 def judged_order(spark, d):
-    e = corpus.table(spark, d, "events").where("event_id <= 60")
+    return _judged(corpus.table(spark, d, "events").where("event_id <= 60"))
+
+
+# The SQL above is over a part of the events; this is over all, against brute force in the tests.
+
+
+@query()
+def judged_order_all(spark, d):
+    return _judged(corpus.table(spark, d, "events"))
+
+
+def _judged(e: DataFrame) -> DataFrame:
     cls = F.when(F.col("event_id") % 3 == 1, F.lit("relevant")).when(F.col("event_id") % 3 == 2, F.lit("other"))
     return M.judged_order(e.select(F.col("event_id").alias("pos"), cls.alias("class"), F.col("value").alias("probability")), ("relevant", "other"))
 
