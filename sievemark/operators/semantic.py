@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -27,6 +28,11 @@ class Encoder(Protocol):
     def encode(self, texts: list[str], role: str) -> np.ndarray: ...
 
 
+@lru_cache(1 << 17)
+def _trigram(t: str) -> int:
+    return int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")
+
+
 class HashingEncoder:
     """A deterministic encoder for tests: hashed character trigrams.  It says nothing about meaning."""
 
@@ -37,9 +43,9 @@ class HashingEncoder:
         out = np.zeros((len(texts), self.dimension), np.float32)
         for row, text in zip(out, texts):
             t = f" {text.lower()} "
-            for i in range(len(t) - 2):
-                h = int.from_bytes(hashlib.blake2b(t[i : i + 3].encode(), digest_size=8).digest(), "little")
-                row[h % self.dimension] += 1 if h >> 63 else -1
+            h = np.fromiter(map(_trigram, map("".join, zip(t, t[1:], t[2:]))), np.uint64)
+            at = (h % np.uint64(self.dimension)).astype(np.int64)
+            row += np.bincount(at, np.where(h >> np.uint64(63), 1, -1), self.dimension)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1, norm)
 

@@ -522,12 +522,12 @@ def passages(spark, d):
 
 @query()
 def concept(spark, d):
-    return M.concept(corpus.documents(spark, d).where("lang = 'en'"), "the thing", M.HashingEncoder(), 50).drop("text")
+    return M.concept(corpus.documents(spark, d), "the thing", M.HashingEncoder(), 50).drop("text")
 
 
 @query()
 def hybrid(spark, d):
-    docs = corpus.documents(spark, d).where("lang = 'en'")
+    docs = corpus.documents(spark, d)
     exact = S.matching_lines(docs, Pattern("thing", literal=True), ranges=True).select("path", F.explode("occurrences").alias("r")).select("path", "r.start", "r.end")
     return M.hybrid(exact, M.concept(docs, "thing", M.HashingEncoder(), 500), 3)
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from sievemark.operators import semantic as M
 from sievemark.plans import catalog
 
 
@@ -57,3 +58,23 @@ def test_judged_order_of_all_events(spark, tmp_path):
     got = catalog.queries()["judged_order_all"](spark, str(tmp_path))
     assert got.columns == ["pos", "class", "probability", "new_pos"]
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def ranked(texts, query):
+    """brute force over all passages: ``-ranking score, path, line, start, end, score``"""
+    encoder = M.HashingEncoder()
+    q = encoder.encode([query], "query")[0].astype(float).tolist()
+    out = []
+    for p, t in texts.items():
+        for a, b in M.passage_bounds(t):
+            score = sum(x * y for x, y in zip(encoder.encode([t[a:b]], "passage")[0].astype(float).tolist(), q))
+            out.append((-(score - 0.02 * (1 - min((b - a) / 500, 1) ** 0.5)), p, t.count("\n", 0, a) + 1, a, b, score))
+    return sorted(out)
+
+
+def test_concepts_of_all_languages(spark, docs):
+    want = ranked({p: t for p, (_, t) in docs[1].items()}, "the thing")[:50]
+    assert len({p.split("/")[1] for _, p, *_ in want}) > 3
+    got = catalog.queries()["concept"](spark, docs[0]).collect()
+    assert [(r["path"], r["start"], r["end"], r["line"]) for r in got] == [(p, a, b, n) for _, p, n, a, b, _ in want]
+    assert [r["ranking_score"] for r in got] == pytest.approx([-w[0] for w in want])
