@@ -178,3 +178,10 @@ def preview_windows(found: DataFrame, per_source: int = 2, before: int = 3, heig
 
     starts = F.aggregate(F.col("l").cast("array<bigint>"), none, step)
     return lines.select("path", F.explode(starts).alias("start_line")).select("path", "start_line", (F.col("start_line") + height - 1).alias("end_line"))
+
+
+def in_text(found: DataFrame, sources: DataFrame) -> DataFrame:
+    """``path, start, end`` counted from the start of the text, of ranges (``path, line_no, start, end``) that count from the start of their line."""
+    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    begin = T.lines(sources).select("path", "line_no", F.length("line").alias("k")).select("path", "line_no", F.coalesce(F.sum(F.col("k") + 1).over(w), F.lit(0)).alias("at"))
+    return found.join(begin, ["path", "line_no"]).select("path", (F.col("start") + F.col("at")).alias("start"), (F.col("end") + F.col("at")).alias("end"))

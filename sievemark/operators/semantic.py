@@ -146,18 +146,23 @@ def ranking_score(score: Column, length: Column) -> Column:
     return score - 0.02 * (1 - F.sqrt(F.least(length / 500.0, F.lit(1.0))))
 
 
+def with_ranking_score(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("ranking_score", ranking_score(F.col("score"), F.col("end") - F.col("start")))
+
+
 def rank(scored: DataFrame) -> DataFrame:
     """Passages by ranking score, then path and line."""
-    return scored.withColumn("ranking_score", ranking_score(F.col("score"), F.col("end") - F.col("start"))).orderBy(F.desc("ranking_score"), "path", "line")
+    return with_ranking_score(scored).orderBy(F.desc("ranking_score"), "path", "line")
 
 
-def concept(sources: DataFrame, query: str, encoder: Encoder | None, limit: int = 50_000, cache: DataFrame | None = None) -> DataFrame:
-    """``path, start, end, line, text, score, ranking_score`` of the passages nearest to a query."""
+def concept(sources: DataFrame, query: str, encoder: Encoder | None, limit: int | None = 50_000, cache: DataFrame | None = None) -> DataFrame:
+    """``path, start, end, line, text, score, ranking_score`` of the passages nearest to a query; without a limit of all, in no order."""
     encoder = required(encoder)
     p = passages(sources).withColumn("key", cache_key(F.col("text"), "passage"))
     vectors = embed_cached(p.select("key", "text"), encoder, cache)
     q = encoder.encode([query], "query")[0].tolist()
-    return rank(cosine(p.join(vectors, "key"), q).select("path", "start", "end", "line", "text", "score")).limit(limit)
+    scored = cosine(p.join(vectors, "key"), q).select("path", "start", "end", "line", "text", "score")
+    return with_ranking_score(scored) if limit is None else rank(scored).limit(limit)
 
 
 def hybrid(literal: DataFrame, ranked: DataFrame, limit: int = 3) -> DataFrame:

@@ -1,6 +1,7 @@
 """Registered queries over all rows of a table, against brute force."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -78,3 +79,27 @@ def test_concepts_of_all_languages(spark, docs):
     got = catalog.queries()["concept"](spark, docs[0]).collect()
     assert [(r["path"], r["start"], r["end"], r["line"]) for r in got] == [(p, a, b, n) for _, p, n, a, b, _ in want]
     assert [r["ranking_score"] for r in got] == pytest.approx([-w[0] for w in want])
+
+
+def test_hybrid_takes_the_best_of_all_free_passages(spark, tmp_path):
+    rng = random.Random(7)
+    words = "some other words that are not near to it at all".split()
+    near = [(i, "thing " * rng.randrange(1, 4), "de", "near") for i in range(600)]
+    # The match is behind the first passage, in a line that starts there.
+    late = [(1000 + i, "thin ing hin " * (60 + i) + "\n" + " ".join(rng.choices(words, k=150)) + "\na thing\n", [None, "fr", "en"][i % 3], "late") for i in range(6)]
+    far = [(2000 + i, " ".join(rng.choices(words, k=40)), None, "far") for i in range(5)]
+    spark.createDataFrame([*near, *late, *far], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {"/".join(x for x in (s, g, f"{i}.txt") if x): t for i, t, g, s in [*near, *late, *far]}
+    exact = [(p, m.start(), m.end()) for p, t in texts.items() for m in re.finditer("thing", t)]
+    held, best = {}, []
+    for p, a, b in exact:
+        held.setdefault(p, []).append((a, b))
+    for r, p, _, a, b, _ in ranked(texts, "thing"):
+        if not any(x < b and a < y for x, y in held.get(p, [])):
+            held.setdefault(p, []).append((a, b))
+            best.append((p, a, b, -r))
+    got = catalog.queries()["hybrid"](spark, str(tmp_path)).collect()
+    assert sorted((r["path"], r["start"], r["end"]) for r in got if r["tier"] == 0) == sorted(exact)
+    concepts = sorted(((r["path"], r["start"], r["end"], r["score"]) for r in got if r["tier"] == 1), key=lambda r: -r[3])
+    assert [c[:3] for c in concepts] == [b[:3] for b in best[:3]] and concepts[0][0].startswith("late")
+    assert [c[3] for c in concepts] == pytest.approx([b[3] for b in best[:3]])
