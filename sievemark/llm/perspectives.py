@@ -7,7 +7,7 @@ loss.  The turns of a dialogue are gathered once; rotation and rendering happen
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -29,33 +29,38 @@ def _name(speaker: Column) -> Column:
     return F.when(name == "", F.lit(UNNAMED)).otherwise(_safe(name))
 
 
-def dialogues(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", segment_turns: int = SEGMENT_TURNS) -> DataFrame:
-    """``conv_, segment, turns_``: the turns of each dialogue in order, as structs ``turn, name, text``.
+def dialogues(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", narrators: tuple[str, ...] = NARRATORS, segment_turns: int = SEGMENT_TURNS) -> DataFrame:
+    """``conv_, segment, assistant, turns_``: the turns of each dialogue in order, as structs ``at, name, text``, for
+    each speaker of the whole dialogue.
 
-    The one shuffle of the operator.  What is gathered is a segment of a dialogue, the turns whose numbers have the
-    same quotient by ``segment_turns`` (so nearly always the whole dialogue), never a group of dialogues.  Equal turn
-    numbers are ordered by name and text; a null number comes last in segment 0.  A turn without a dialogue id is a
-    dialogue of its own.
+    What is gathered is a segment of a dialogue, ``segment_turns`` turns by their places in it (so nearly always the
+    whole dialogue), never a group of dialogues; before them stand the narrators' turns of the segments before.  Equal
+    turn numbers are ordered by name and text; a null number comes last.  A turn without a dialogue id is a dialogue
+    of its own.
     """
     t = turns.select(turns[id_col].cast("long").alias("conv_"), turns[turn_col].cast("long").alias("turn"), _name(turns[speaker_col]).alias("name"), _safe(turns[text_col]).alias("text"))
-    entry = F.struct(F.col("turn").isNull().alias("last"), "turn", "name", "text")
-    t = t.withColumn("segment", F.floor(F.greatest(F.coalesce("turn", F.lit(0)), F.lit(0)) / F.lit(segment_turns)).cast("long"))
-    named = t.where("conv_ IS NOT NULL").groupBy("conv_", "segment").agg(F.sort_array(F.collect_list(entry)).alias("turns_"))
-    alone = t.where("conv_ IS NULL").select("conv_", "segment", F.array(entry).alias("turns_"))
-    return named.unionByName(alone)
+    entry = F.struct("at", "name", "text")
+    whole = Window.partitionBy("conv_")
+    # Texts are shuffled once, by dialogue; the speakers are reduced to different names before their own shuffle.
+    placed = t.where("conv_ IS NOT NULL").withColumn("at", F.row_number().over(whole.orderBy(F.col("turn").asc_nulls_last(), "name", "text"))).withColumn("k", F.count(F.lit(1)).over(whole))
+    segment = lambda at: F.floor((at - 1) / F.lit(segment_turns)).cast("long")
+    into = F.when(F.col("name").isin(*narrators), F.sequence(segment(F.col("at")), segment(F.col("k")))).otherwise(F.array(segment(F.col("at"))))
+    named = placed.select("conv_", F.explode(into).alias("segment"), entry.alias("entry")).groupBy("conv_", "segment").agg(F.sort_array(F.collect_list("entry")).alias("turns_"))
+    spoken = ~F.col("name").isin(*narrators)
+    speakers = t.where(F.col("conv_").isNotNull() & spoken).select("conv_", F.col("name").alias("assistant")).distinct()
+    alone = t.where(F.col("conv_").isNull() & spoken).withColumn("at", F.lit(1)).select("conv_", F.lit(0).cast("long").alias("segment"), F.col("name").alias("assistant"), F.array(entry).alias("turns_"))
+    return named.join(speakers, "conv_").select("conv_", "segment", "assistant", "turns_").unionByName(alone)
 
 
 def perspectives(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", narrators: tuple[str, ...] = NARRATORS, segment_turns: int = SEGMENT_TURNS) -> DataFrame:
     """``conv_id, segment, assistant, n_turns, text, spans, n_loss_chars``: a row for each dialogue (and segment of a
-    long one) and speaker in it.
+    long one) and speaker in the dialogue, also where the speaker is silent in the segment.
 
     ``spans`` are half-open ranges of code points of ``text`` that count for the loss, in order.  A dialogue of
     narrators alone has no perspective and gives no row.  A null text is an empty turn; repeated rows are repeated
     turns; other columns are ignored; an empty table gives an empty result.
     """
-    d = dialogues(turns, id_col, turn_col, speaker_col, text_col, segment_turns)
-    speakers = F.array_except(F.array_distinct(F.transform("turns_", lambda t: t["name"])), F.array(*[F.lit(n) for n in narrators]).cast("array<string>"))
-    seen = d.select("conv_", "segment", "turns_", F.explode(speakers).alias("assistant"))
+    seen = dialogues(turns, id_col, turn_col, speaker_col, text_col, narrators, segment_turns)
     scene = lambda t: t["name"].isin(*narrators)
 
     def head(t: Column) -> Column:

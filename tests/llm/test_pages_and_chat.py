@@ -140,3 +140,19 @@ def test_every_speaker_is_the_assistant_once(spark):
     plan = P.perspectives(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert P.perspectives(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_segments_of_a_long_dialogue_have_all_speakers_and_the_scene(spark):
+    turns = [(0, "system", "scene")] + [(1_000_000 * n, "ab"[n % 2], f"t{n}") for n in range(1, 12)] + [(12_000_000, "system", "later"), (13_000_000, "c", "once")] + [(14_000_000 + n, "a", f"end{n}") for n in range(8)] + [(None, "b", "null")]
+    rows = [(1, *t, 1) for t in turns] + [(2, 5_000, "x", "hi", 1), (2, 9_000, "y", "yo", 1)] + [(3, None, "z", str(n), 1) for n in range(12)]
+    got = {(r["conv_id"], r["segment"], r["assistant"]): (r["n_turns"], r["text"], [tuple(s) for s in r["spans"]], r["n_loss_chars"]) for r in P.perspectives(spark.createDataFrame(rows, TURNS), segment_turns=10).collect()}
+    want = {}
+    for c, talk in ((1, turns), (2, [(0, "x", "hi"), (1, "y", "yo")]), (3, [(None, "z", str(n)) for n in (0, 1, 10, 11, *range(2, 10))])):
+        for k in range(0, len(talk), 10):
+            part = [t for t in talk[:k] if t[1] == "system"] + talk[k : k + 10]
+            full = render(part + [(None, n, "") for n in sorted({n for _, n, _ in talk})])
+            for who in full:
+                text = "".join(f"<|im_start|>{'assistant' if n == who else n if n == 'system' else f'user name={n}'}\n{t}<|im_end|>\n" for _, n, t in part)
+                spans = [s for s in full[who][2] if s[1] <= len(text)]
+                want[c, k // 10, who] = (len(part), text, spans, sum(b - a for a, b in spans))
+    assert got == want and len(got) == 3 * 3 + 2 + 2
