@@ -151,8 +151,12 @@ def all_of_file(spark, d):
     return S.all_of(corpus.documents(spark, d), ["tion", "ing", "ou"])
 
 
+#: An end that no text reaches.  The SQL of the queries with it ends at 100,000, which is the same for shorter lines.
+_NO_END = 1 << 53
+
+
 def _scopes(spark, d) -> DataFrame:
-    scope = F.explode(F.array(F.struct(F.lit("head").alias("scope"), F.lit(0).alias("start"), F.lit(100).alias("end")), F.struct(F.lit("tail").alias("scope"), F.lit(100).alias("start"), F.lit(100_000).alias("end"))))
+    scope = F.explode(F.array(*[F.struct(F.lit(n).alias("scope"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for n, a, b in (("head", 0, 100), ("tail", 100, _NO_END))]))
     return corpus.documents(spark, d).select("path", scope.alias("x")).select("path", "x.*")
 
 
@@ -465,7 +469,7 @@ SELECT path, x AS "at", arg_min(name, b - a) AS name FROM j GROUP BY path, x"""
 )
 def smallest_enclosing(spark, d):
     docs = corpus.documents(spark, d)
-    named = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("start"), F.lit(b).alias("end")) for n, a, b in (("file", 0, 100_000), ("head", 0, 100), ("mid", 50, 100))]))
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for n, a, b in (("file", 0, _NO_END), ("head", 0, 100), ("mid", 50, 100))]))
     ranges = docs.select("path", named.alias("x")).select("path", "x.*")
     points = S.any_of(docs, TERMS).select("path", F.col("start").alias("at")).distinct()
     return G.smallest_enclosing(points, ranges).select("path", "at", "name")

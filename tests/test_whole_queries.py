@@ -103,3 +103,9 @@ def test_hybrid_takes_the_best_of_all_free_passages(spark, tmp_path):
     concepts = sorted(((r["path"], r["start"], r["end"], r["score"]) for r in got if r["tier"] == 1), key=lambda r: -r[3])
     assert [c[:3] for c in concepts] == [b[:3] for b in best[:3]] and concepts[0][0].startswith("late")
     assert [c[3] for c in concepts] == pytest.approx([b[3] for b in best[:3]])
+
+
+def test_scopes_reach_the_end_of_long_lines(spark, tmp_path):
+    spark.createDataFrame([(1, "x" * 100_001 + "tion the ing", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in catalog.queries()["all_of_within"](spark, str(tmp_path)).collect()] == [("s/en/1.txt", "tail")]
+    assert sorted(tuple(r) for r in catalog.queries()["smallest_enclosing"](spark, str(tmp_path)).collect()) == [("s/en/1.txt", 100_001 + n, "file") for n in (0, 5, 9)]
