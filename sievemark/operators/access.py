@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EvidenceError
+from ..session import cut
 from .budget import retained, running_sum
 
 FILES, BYTES, SOURCE_BYTES = 200, 32 << 20, 5 << 20
-#: An inventory lists at most so many sources; a fold over all of them is bounded by it.
+#: A fold over all sources takes so many at a time.
 ENUMERATED = 50_000
 
 
@@ -18,14 +19,13 @@ def admit(sources: DataFrame, on_budget: str = "skip", max_bytes: int = BYTES, m
 
     ``skip`` leaves out a source that doesn't fit and goes on; ``sticky`` makes everything after the first such source
     unavailable; ``stop`` returns only what comes before it.  Sources above ``source_bytes`` are skipped in each case
-    but ``sticky``, where they use the budget up.  ``skip`` is a fold, so it goes by ``key``; without one it goes over the
-    first ``ENUMERATED`` sources, the most that an inventory lists.
+    but ``sticky``, where they use the budget up.  ``skip`` is a fold, so it goes by ``key``; without one it takes
+    ``ENUMERATED`` sources at a time, only those that may still fit, until the file budget is spent or none is left.
     """
     rows = sources.select(*([key] if key else []), "path", "size")
     if on_budget == "skip":
         near = rows.where(F.col("size") <= source_bytes)
-        one = near if key else near.withColumn("key_", F.lit(0)).orderBy("path").limit(ENUMERATED)
-        kept = retained(one, "size", ["path"], key or "key_", max_bytes, max_files).select("path", F.lit("admitted").alias("status"))
+        kept = (retained(near, "size", ["path"], key, max_bytes, max_files) if key else _retained_of_all(near, max_bytes, max_files)).select("path", F.lit("admitted").alias("status"))
         return rows.join(kept, "path", "left").select(*([key] if key else []), "path", "size", F.coalesce("status", F.lit("unavailable")).alias("status"))
     if on_budget not in ("sticky", "stop"):
         raise EvidenceError("on_budget is skip, sticky or stop", "E_BUDGET")
@@ -43,6 +43,23 @@ def admit(sources: DataFrame, on_budget: str = "skip", max_bytes: int = BYTES, m
     return out if on_budget == "sticky" else out.where("status = 'admitted'")
 
 
+def _retained_of_all(rows: DataFrame, max_bytes: int, max_files: int) -> DataFrame:
+    """``retained`` over all rows as one group; the driver sees counts, sums and the last path of each step."""
+    kept, left = None, rows.withColumn("key_", F.lit(0))
+    while True:
+        # What is above the bytes that are left can't fit later either.
+        left = left.where(F.col("size") <= max_bytes)
+        some = cut(left.orderBy("path").limit(ENUMERATED))
+        more = cut(retained(some, "size", ["path"], "key_", max_bytes, max_files))
+        kept = more if kept is None else kept.union(more)
+        n, last = some.agg(F.count(F.lit(1)), F.max("path")).first()
+        files, size = more.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        max_files, max_bytes = max_files - files, max_bytes - size
+        if n < ENUMERATED or max_files <= 0:
+            return kept
+        left = left.where(F.col("path") > last)
+
+
 def round_robin(items: DataFrame, tier: str = "tier", key: str = "path", position: str = "position") -> DataFrame:
     """Items by tier, then one of each source in turn, then by source: ``ord`` from 1 within a tier."""
     turn = F.row_number().over(Window.partitionBy(tier, key).orderBy(position))

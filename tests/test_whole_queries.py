@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from sievemark.operators import access as AC
 from sievemark.operators import semantic as M
 from sievemark.plans import catalog
 
@@ -109,3 +110,16 @@ def test_scopes_reach_the_end_of_long_lines(spark, tmp_path):
     spark.createDataFrame([(1, "x" * 100_001 + "tion the ing", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in catalog.queries()["all_of_within"](spark, str(tmp_path)).collect()] == [("s/en/1.txt", "tail")]
     assert sorted(tuple(r) for r in catalog.queries()["smallest_enclosing"](spark, str(tmp_path)).collect()) == [("s/en/1.txt", 100_001 + n, "file") for n in (0, 5, 9)]
+
+
+def test_sources_behind_the_first_step_are_tried(spark, monkeypatch):
+    monkeypatch.setattr(AC, "ENUMERATED", 10)
+    rng = random.Random(8)
+    rows = [(f"p{i:03}", rng.randrange(1, 60)) for i in range(45)]
+    for most, files in ((200, 30), (2000, 12), (2000, 99)):
+        used, want = 0, set()
+        for p, n in rows:
+            if n <= 50 and used + n <= most and len(want) < files:
+                used, want = used + n, want | {p}
+        got = AC.admit(spark.createDataFrame(rows, "path string, size long"), "skip", most, files, 50).collect()
+        assert {r["path"] for r in got if r["status"] == "admitted"} == want and len(got) == 45
