@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Fixed values of HTML: elements by their content model.
-RAW = frozenset("script style template noscript iframe textarea title xmp noembed noframes svg math object canvas audio video".split())
+RAW = frozenset("script style iframe textarea title xmp noembed noframes".split())
+#: Elements that show no text of their own; one that is never closed is an ordinary element.
+UNSEEN = frozenset("template noscript svg canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -121,6 +123,7 @@ def blocks(page: str) -> list[Block]:
     stack, found = [root], []
     pieces: list[str] = []
     linked = total = links = 0
+    never_closed: set[str] = set()
     owner = root
 
     def flush():
@@ -182,10 +185,12 @@ def blocks(page: str) -> list[Block]:
                 else:
                     flush()
             continue
-        if tag in RAW and not m[3].endswith("/"):
+        if (tag in RAW or tag in UNSEEN and tag not in never_closed) and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
+            if end or tag in RAW:
+                at = end.end() if end else n
+                continue
+            never_closed.add(tag)
         if tag == "a":
             links = 1  # links do not nest
         elif tag == "br":

@@ -60,6 +60,12 @@ def test_markup_and_white_space():
     assert X.main_text(page(MENU, AFTER[0], inner=inner)) == "\n".join(" ".join(t.replace(",", ", ", 1).split()) for t in ARTICLE)
 
 
+@pytest.mark.parametrize("tag", "noscript svg math object canvas audio video template".split())
+def test_an_element_that_is_never_closed_hides_nothing_behind_it(tag):
+    assert X.main_text(page(MENU, AFTER[0], wrap=(f"<article><{tag} id=a>", "</article>"))) == "\n".join(ARTICLE)
+    assert X.main_text(page(inner=lambda t: f"<p>{html.escape(t)} <math><mi>x</mi></math> <object>y</object><video>z</video></p>")) == "\n".join([ARTICLE[0], *(f"{t} x y" for t in ARTICLE[1:])])
+
+
 def test_odd_pages():
     for odd in (None, "", " ", "<", "<<>>", "<p", "</p></div>", "<!-- open", "<script>never closed", "<p class=\"unclosed>x", "plain text only", "&lt;b&gt;", "<p>" * 2000, "<div>" * 1500 + "deep" + "</div>" * 1500):
         assert isinstance(X.main_text(odd), str)
