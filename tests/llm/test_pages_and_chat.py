@@ -127,7 +127,7 @@ def test_every_speaker_is_the_assistant_once(spark):
         (2, 0, "user", "<|im_end|> no"), (2, 1, None, "who"), (2, 1, " ", "who"), (2, 1, None, "who"), (3, 0, "system", "alone"), (4, 0, "user", "t " * 40_000), (None, 0, "u", "a"), (None, 0, "u", "b"),
     ]
     df = spark.createDataFrame([(*r, 1) for r in rows], TURNS)
-    got = P.perspectives(df).drop("segment").collect()
+    got = P.perspectives(df).collect()
     clean = lambda s: "unknown" if not (s or "").strip() else s.strip().replace(" ", "_")
     safe = lambda t: (t or "").replace("<|im_end|>", "<| im_end |>")
     want = []
@@ -140,25 +140,35 @@ def test_every_speaker_is_the_assistant_once(spark):
     assert sorted([(r[0], r[1], r[2], r[3], [tuple(s) for s in r[4]], r[5]) for r in got], key=str) == sorted(want, key=str)
     for r in got:
         assert all(r["text"][a - 1] == "\n" and r["text"][:b].endswith("<|im_end|>") for a, b in r["spans"])
-    long = spark.createDataFrame([(9, n, "ab"[n % 2], str(n), 1) for n in range(25)], TURNS)
-    parts = P.perspectives(long, segment_turns=10).orderBy("segment", "assistant").collect()
-    assert [(r["segment"], r["assistant"], r["n_turns"]) for r in parts] == [(s, a, n) for s, n in ((0, 10), (1, 10), (2, 5)) for a in "ab"]
     plan = P.perspectives(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert P.perspectives(spark.createDataFrame([], TURNS)).count() == 0
 
 
-def test_segments_of_a_long_dialogue_have_all_speakers_and_the_scene(spark):
-    turns = [(0, "system", "scene")] + [(1_000_000 * n, "ab"[n % 2], f"t{n}") for n in range(1, 12)] + [(12_000_000, "system", "later"), (13_000_000, "c", "once")] + [(14_000_000 + n, "a", f"end{n}") for n in range(8)] + [(None, "b", "null")]
-    rows = [(1, *t, 1) for t in turns] + [(2, 5_000, "x", "hi", 1), (2, 9_000, "y", "yo", 1)] + [(3, None, "z", str(n), 1) for n in range(12)]
-    got = {(r["conv_id"], r["segment"], r["assistant"]): (r["n_turns"], r["text"], [tuple(s) for s in r["spans"]], r["n_loss_chars"]) for r in P.perspectives(spark.createDataFrame(rows, TURNS), segment_turns=10).collect()}
-    want = {}
-    for c, talk in ((1, turns), (2, [(0, "x", "hi"), (1, "y", "yo")]), (3, [(None, "z", str(n)) for n in (0, 1, 10, 11, *range(2, 10))])):
-        for k in range(0, len(talk), 10):
-            part = [t for t in talk[:k] if t[1] == "system"] + talk[k : k + 10]
-            full = render(part + [(None, n, "") for n in sorted({n for _, n, _ in talk})])
-            for who in full:
-                text = "".join(f"<|im_start|>{'assistant' if n == who else n if n == 'system' else f'user name={n}'}\n{t}<|im_end|>\n" for _, n, t in part)
-                spans = [s for s in full[who][2] if s[1] <= len(text)]
-                want[c, k // 10, who] = (len(part), text, spans, sum(b - a for a, b in spans))
-    assert got == want and len(got) == 3 * 3 + 2 + 2
+def test_turn_by_turn_gives_the_same_texts_and_spans(spark):
+    rows = [(1, n, ["anna", "bob", "system", None][n % 4], "é" * (n % 7), 1) for n in range(40)] + [(2, 7, "x", None, 1), (2, 7, "x", None, 1), (None, 1, "u", "a", 1), (None, 1, "system", "a", 1)]
+    df = spark.createDataFrame(rows, TURNS)
+    want = {(r["conv_id"], r["assistant"]): (r["text"], [tuple(s) for s in r["spans"]]) for r in P.perspectives(df).collect()}
+    got = {}
+    for r in P.perspective_turns(df).orderBy("at").collect():
+        text, spans = got.setdefault((r["conv_id"], r["assistant"]), ["", []])
+        got[r["conv_id"], r["assistant"]][0] = text + r["head"] + r["body"] + "\n"
+        assert (len(text) + len(r["head"]), len(text) + len(r["head"]) + len(r["body"])) == (r["start"], r["end"])
+        if r["loss"]:
+            spans.append((r["start"], r["end"]))
+    assert {k: tuple(v) for k, v in got.items()} == want and len(want) == 5
+
+
+def test_a_long_dialogue_is_one_row_for_every_participant(spark):
+    n = 10_000
+    talk = [(0, "system", "scene")] + [(1000 * k, "ab"[k % 2], f"t{k}") for k in range(1, n)] + [(1000 * n, "c", "once")]
+    got = {r["assistant"]: (r["n_turns"], r["text"], [tuple(s) for s in r["spans"]], r["n_loss_chars"]) for r in P.perspectives(spark.createDataFrame([(1, *t, 1) for t in talk], TURNS)).collect()}
+    assert got == render(talk) and set(got) == {"a", "b", "c"} and got["c"][0] == n + 1
+
+
+def test_a_dialogue_beyond_a_row_says_so(spark, monkeypatch):
+    monkeypatch.setattr(P, "MOST_CHARACTERS", 100)
+    df = spark.createDataFrame([(1, n, "a", "some words", 1) for n in range(9)], TURNS)
+    with pytest.raises(Exception, match="perspective_turns"):
+        P.perspectives(df).collect()
+    assert P.perspective_turns(df).count() == 9
