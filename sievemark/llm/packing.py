@@ -10,6 +10,8 @@ has reached the lower bound (total length over capacity, rounded up) stops.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from functools import lru_cache, partial
 
@@ -24,8 +26,8 @@ from .common import cut
 SHARD_PIECES = 16384
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 4
-GENERATIONS = 6
+POPULATION = 6
+GENERATIONS = 8
 
 
 @lru_cache(1)
@@ -41,22 +43,44 @@ def _encoding(path: str, pattern: str):
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(1)
+def _marks(path: str) -> tuple[str, ...]:
+    """The strings that the file makes tokens of their own wherever they stand."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens", ()))
+
+
+#: A run of white space (Unicode's) that the matcher of tiktoken would need a deep stack for.
+_LONG_GAP = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 class BpeTokenizer:
-    """Ids of a ``tokenizers`` file; with ``ranks`` (the same vocabulary as tiktoken ranks) they are computed by
-    tiktoken, which gives the same ids several times as fast."""
+    """Ids of a ``tokenizers`` file, special tokens in a text included (``add_special_tokens=False`` adds none).
+
+    With ``ranks`` (the same vocabulary as tiktoken ranks) they are computed by tiktoken, which gives the same ids
+    several times as fast: for texts without special tokens, and with very long white space taken out first, as its
+    matcher fails there.  ``pattern`` must be one of those that end a word where white space begins, and give the last
+    character of white space to the word behind it.
+    """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         self.path, self.ranks, self.pattern = path, ranks, pattern
 
     def __call__(self, text: str) -> list[int]:
-        if self.ranks:
-            return _encoding(self.ranks, self.pattern).encode_ordinary(text)
-        return _tokenizer(self.path).encode(text, add_special_tokens=False).ids
+        if not self.ranks or any(mark in text for mark in _marks(self.path)):
+            return _tokenizer(self.path).encode(text, add_special_tokens=False).ids
+        coder = _encoding(self.ranks, self.pattern)
+        out, at = [], 0
+        for gap in _LONG_GAP.finditer(text) if len(text) >= 4096 else ():
+            # The run without its last character is one piece of its own; at the end of the text, all of it is.
+            stop = gap.end() - (gap.end() < len(text))
+            out += coder.encode_ordinary(text[at : gap.start()])
+            out += coder._core_bpe.encode_single_piece(text[gap.start() : stop].encode())
+            at = stop
+        return out + coder.encode_ordinary(text[at:]) if at else coder.encode_ordinary(text)
 
 
 def default_tokenizer() -> BpeTokenizer:
@@ -142,9 +166,40 @@ class Packing:
         return self.bins, -float(((self.load / capacity) ** 2).mean()) if self.bins else 0.0
 
 
+def _exchanged(bin_of: np.ndarray, loose: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Put loose pieces, largest first, in place of smaller ones where a bin gets fuller by it; the pieces that are
+    loose then.  ``bin_of`` is changed.  Each exchange fills a bin by at least one more, so there is an end."""
+    held = np.ones(len(bin_of), bool)
+    held[loose] = False
+    room = capacity - np.bincount(bin_of[held], sizes[held], int(bin_of.max()) + 1).astype(np.int64)
+    # Full bins take no part, and stay full.
+    near = np.flatnonzero(held & (room[bin_of] > 0))
+    bins, size = bin_of[near], sizes[near]
+    spare = room[bins]
+    todo = sorted(loose.tolist(), key=lambda i: -sizes[i])
+    out, k = [], 0
+    while k < len(todo):
+        i = todo[k]
+        k += 1
+        gain = sizes[i] - size
+        gain[gain > spare] = 0
+        j = int(gain.argmax()) if len(gain) else 0
+        if not len(gain) or gain[j] <= 0:
+            out.append(i)
+            continue
+        todo.append(int(near[j]))
+        bin_of[i] = bins[j]
+        spare[bins == bins[j]] -= gain[j]
+        near[j], size[j] = i, sizes[i]
+    return np.array(out, np.int64)
+
+
 def _refill(bin_of: np.ndarray, loose: np.ndarray, sizes: np.ndarray, size_list: list[int], capacity: int, rng) -> Packing:
-    """Best-fit the loose pieces, largest first, into the other bins."""
+    """Best-fit the loose pieces, largest first, into the other bins; first they take the place of smaller pieces in
+    bins that this fills better, which leaves smaller pieces to fit."""
     bin_of = bin_of.copy()
+    if 0 < len(loose) < len(bin_of):
+        loose = _exchanged(bin_of, loose, sizes, capacity)
     held = np.ones(len(bin_of), bool)
     held[loose] = False
     used, again = np.unique(bin_of[held], return_inverse=True)

@@ -21,6 +21,25 @@ def test_both_tokenizers_give_the_same_ids():
         assert fast(text) == slow(text)
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "x" * 2_000_000, "a" + " \n" * 1_000_000 + "b", "hello <|endoftext|> x", "a" + "\u3000" * 9000 + " b", "-" * 300_000, "\x1c" * 9000 + " " * 9000 + "\x1c"])
+def test_ids_of_extreme_texts_are_those_of_the_file(text):
+    from tokenizers import Tokenizer
+
+    fast = default_tokenizer()
+    assert fast(text) == Tokenizer.from_file(fast.path).encode(text, add_special_tokens=False).ids
+
+
+def test_the_search_gets_nearer_to_the_bound_than_best_fit():
+    rng, better = np.random.default_rng(3), 0
+    for seed in range(4):
+        sizes = rng.integers(200, 700, 300)
+        plain = Packing(evolve(sizes, 1024, seed, [], generations=0), sizes).bins
+        bred = Packing(evolve(sizes, 1024, seed, [], generations=20), sizes).bins
+        assert bred <= plain
+        better += bred < plain
+    assert better >= 2
+
+
 @given(st.integers(1, 5000), st.integers(1, 600))
 def test_only_the_first_piece_is_shorter(total, capacity):
     pieces = cut_points(total, capacity)
