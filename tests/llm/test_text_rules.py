@@ -114,6 +114,26 @@ def test_held_out_accuracy_and_rejection(spark):
     assert sum(r["accepted"] for d, r in got.items() if d is not None and d < 240) >= 235
 
 
+def test_what_is_no_learnt_language_is_rejected(spark):
+    rows = [(d + 3 * n, t, lang, "s", "h", 0.0) for n in range(3) for d, t, lang, *_ in language_rows(400)][:1200]
+    rng = random.Random(8)
+    noise = ["这是一个中文句子，没有学习过的。", "Это русский текст, которого никто не видел", "αβγδ εζηθι κλμν ξοπρ", "def f(x, y):\n    return [i for i in range(x) if i % y]", "for (int i = 0; i < n; ++i) { total += a[i]; }"]
+    noise += [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 10))) for _ in range(20)) for _ in range(15)]
+    df = spark.createDataFrame(rows, DOCS)
+    model = L.learn(df)
+    odd = spark.createDataFrame([(k, t, None, None, None, None) for k, t in enumerate(noise)], DOCS)
+    assert not [r["doc_id"] for r in L.languages(odd, model).collect() if r["accepted"]]
+    held = [r["accepted"] for r in L.languages(df, model).collect() if r["held_out"]]
+    assert len(held) > 100 and np.mean(held) >= 0.99
+
+
+def test_a_repeated_id_does_not_change_the_model(spark):
+    rows = language_rows(60)
+    again = rows + [(rows[0][0], "mi mi tu", "bb", "s", "h", 0.0)] * 300
+    one, two = (L.learn(spark.createDataFrame(x, DOCS).repartition(k)) for x, k in ((again, 1), (again, 7)))
+    assert np.array_equal(one.scores, two.scores) and one.threshold == two.threshold
+
+
 @pytest.mark.parametrize("labels", [[], ["aa"]])
 def test_without_enough_languages(spark, labels):
     rows = [(i, "some text", (labels or [None])[0], "s", "h", 0.0) for i in range(6)] if labels is not None else []
