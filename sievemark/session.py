@@ -25,12 +25,15 @@ def importable(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests in local mode) a folder is chosen here.
+    Only where that is unset and all runs in one process (tests in local mode) a folder is chosen here; on a cluster
+    the executors would not share it, so there it must be set.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
         current = sc._jsc.sc().getCheckpointDir()
     return named or current.get()
@@ -40,3 +43,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder; computes ``df`` once."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete the files behind frames that :func:`cut` made and that nothing reads any more."""
+    for df in cuts:
+        name = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if name.isDefined():
+            remove(df.sparkSession, name.get())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds, in whatever file system it lies."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
