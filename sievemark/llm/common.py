@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir
+from ..session import cut, release, remove, shared_dir
 
-__all__ = ["BROADCAST_BYTES", "SPACE_CLASS", "WORD_PATTERN", "count_words", "cut", "measured", "one_space", "packed", "shared_dir", "table", "unpacked"]
+__all__ = ["BROADCAST_BYTES", "SPACE_CLASS", "WORD_PATTERN", "count_words", "cut", "measured", "one_space", "packed", "release", "remove", "shared_dir", "table", "unpacked"]
 
 #: White space as the operators understand it: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"

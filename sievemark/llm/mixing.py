@@ -94,6 +94,11 @@ def _by_source(rows: DataFrame, edge: DataFrame) -> DataFrame:
     return rows.join(edge, F.col("source_").eqNullSafe(F.col("s_")))
 
 
+def _copies(max_repeats: int) -> Column:
+    """How often a document is taken, never more than ``max_repeats`` times, also without words."""
+    return F.least(F.col("whole") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0), F.lit(max_repeats))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row; ``taken`` counts repeats.
 
@@ -103,8 +108,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int
     """
     sized, edge = _times(docs, weights, max_repeats, id_col, text_col, source_col)
     j = _by_source(sized, edge)
-    times = F.col("whole") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)
-    return j.select(F.col("id_").alias(id_col), "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return j.select(F.col("id_").alias(id_col), "size", "source_size", "target", (F.col("size") * _copies(max_repeats)).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -112,5 +116,4 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: in
     _, edge = _times(docs, weights, max_repeats, id_col, text_col, source_col)
     rows = packed(docs, source_=docs[source_col].cast("string"), h=doc_hash(docs[id_col]))
     j = _by_source(rows, edge)
-    times = (F.col("whole") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)).cast("int")
-    return unpacked(j.select("row_", times.alias("times")).where("times > 0").select("row_", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy_")), docs)
+    return unpacked(j.select("row_", _copies(max_repeats).cast("int").alias("times")).where("times > 0").select("row_", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy_")), docs)

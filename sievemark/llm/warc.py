@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, release, remove, shared_dir
 
 #: Equal payloads below this are written in full.
 MIN_BYTES = 100
@@ -38,15 +38,17 @@ def _header_safe(value: Column) -> Column:
 
 
 def resolve_revisits(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``key_, digest, refers_to, response_`` for each different (id, digest) of ``headers``.
+    """``key_, url_, digest, response_, refers_to, refers_url`` for each different (id, address, digest) of ``headers``.
 
-    The smallest id of a digest is aggregated before the shuffle; headers carry no payload.
+    The original of a digest, with the smallest id (null last) and address, is aggregated before the shuffle; headers
+    carry no payload.
     """
-    originals = headers.where(F.col("bytes_") >= min_bytes).groupBy(F.col("digest").alias("d_")).agg(F.min("key_").alias("original"))
-    rows = headers.select("key_", "digest", "bytes_").distinct()
+    at = F.struct(F.col("key_").isNull().alias("n"), F.col("key_").alias("k"), F.col("url_").isNull().alias("m"), F.col("url_").alias("u"))
+    originals = headers.where(F.col("bytes_") >= min_bytes).groupBy(F.col("digest").alias("d_")).agg(F.min(at).alias("original"))
+    rows = headers.select("key_", "url_", "digest").distinct()
     j = rows.join(originals, rows["digest"] == originals["d_"], "left")
-    response = F.col("d_").isNull() | F.col("key_").eqNullSafe(F.col("original"))
-    return j.select("key_", "digest", response.alias("response_"), F.col("original").alias("refers_to"))
+    response = F.col("d_").isNull() | F.col("original").eqNullSafe(at)
+    return j.select("key_", "url_", "digest", response.alias("response_"), F.col("original.k").alias("refers_to"), F.col("original.u").alias("refers_url"))
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_BYTES) -> None:
@@ -57,16 +59,18 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     """
     rows = pages.select(pages[id_col].cast("long").alias("key_"), pages[url_col].cast("string").alias("url_"), F.coalesce(pages[payload_col], F.lit("")).alias("body_"))
     digest = F.sha2("body_", 256)
-    headers = cut(rows.select("key_", digest.alias("digest"), F.octet_length("body_").cast("long").alias("bytes_")))
+    headers = cut(rows.select("key_", "url_", digest.alias("digest"), F.octet_length("body_").cast("long").alias("bytes_")))
     verdict = resolve_revisits(headers, min_bytes)
     total = headers.agg(F.sum("bytes_"), F.count(F.lit(1))).first()
     files = max(1, -(-int(total[0] or 0) // ARCHIVE_BYTES))
-    salt = F.coalesce(F.col("key_").cast("string"), F.lit("none"))  # equal for null ids, unlike the id itself
+    # Rows of one id and address go together; so null ids, whose addresses differ, are spread as well.
+    salt = F.xxhash64("key_", "url_")
     # Payloads move once, to the archive they are written to; the join adds no exchange of its own.
     body = rows.withColumn("digest", digest).withColumn("salt", salt).repartition(files, "salt", "digest")
-    verdict = verdict.withColumn("salt", salt).repartition(files, "salt", "digest").withColumnRenamed("key_", "k_")
-    j = body.join(verdict.hint("merge"), ["salt", "digest"])
-    nth = F.row_number().over(Window.partitionBy("salt", "digest").orderBy("k_", "url_"))
+    verdict = verdict.withColumn("salt", salt).repartition(files, "salt", "digest").withColumnRenamed("key_", "k_").withColumnRenamed("url_", "u_").withColumnRenamed("digest", "e_").withColumnRenamed("salt", "s_")
+    same = (body["salt"] == verdict["s_"]) & (body["digest"] == verdict["e_"])
+    j = body.join(verdict.hint("merge"), same).where(F.col("key_").eqNullSafe(F.col("k_")) & F.col("url_").eqNullSafe(F.col("u_")))
+    nth = F.row_number().over(Window.partitionBy("salt", "digest").orderBy("key_", "url_"))
     j = j.withColumn("nth", nth)
     big = F.octet_length("body_") >= min_bytes
     revisit = big & (~F.col("response_") | (F.col("nth") > 1))
@@ -76,20 +80,21 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     record = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", _record_id(F.lit("record"), F.col("key_"), F.col("digest"), F.col("nth"))),
+        line("WARC-Record-ID", _record_id(F.lit("record"), F.col("key_"), F.col("url_"), F.col("digest"), F.col("nth"))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", _header_safe(F.col("url_"))),
         F.when(F.col("key_").isNotNull(), line("WARC-Page-ID", F.col("key_").cast("string"))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(revisit, F.concat(
             line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-            line("WARC-Refers-To", _record_id(F.lit("record"), F.col("refers_to"), F.col("digest"), F.lit(1))),
+            line("WARC-Refers-To", _record_id(F.lit("record"), F.col("refers_to"), F.col("refers_url"), F.col("digest"), F.lit(1))),
         )).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"), block,
     )
     j.select(record.alias("value")).write.option("lineSep", _END).option("compression", "gzip").mode("overwrite").text(path)
+    release(headers)
 
 
 def _plain(chunk_source):
@@ -173,14 +178,23 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     found = cut(files.mapInArrow(_read, _READ))
-    responses = found.where("record_type = 'response'").select(F.col("record_id").alias("o_"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_"))
-    j = found.join(responses, found["refers_to_id"] == responses["o_"], "left")
-    return j.select("page_id", "url", "record_type", "refers_to", F.coalesce("payload_bytes", "full_").alias("payload_bytes"), "payload_digest")
+    # Responses need no partner; only revisits are joined, so nothing meets under a null key.
+    responses = found.where("record_type = 'response'")
+    originals = responses.select(F.col("record_id").alias("o_"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_"))
+    revisits = found.where("record_type <> 'response'").join(originals, F.col("refers_to_id") == F.col("o_"), "left")
+    alone = responses.select("page_id", "url", "record_type", F.lit(None).cast("long").alias("refers_to"), "payload_bytes", "payload_digest")
+    return alone.unionByName(revisits.select("page_id", "url", "record_type", "refers_to", F.col("full_").alias("payload_bytes"), "payload_digest"))
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None, **columns: str) -> DataFrame:
-    """Write ``pages`` as deduplicated archives below ``path`` (a new folder in the shared one), and read them."""
+    """Write ``pages`` as deduplicated archives below ``path``, and read them.
+
+    Without a path the archives stand in a new folder of the shared one, until they are read.
+    """
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, path, **columns)
-    return read_archives(spark, path)
+    folder = path or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    write_archives(pages, folder, **columns)
+    found = read_archives(spark, folder)
+    if path is None:
+        remove(spark, folder)
+    return found
