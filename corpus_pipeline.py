@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sievemark.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from sievemark.llm.common import shared_dir, table
+from sievemark.llm.common import cut, remove, shared_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between stages the documents are a table in the shared folder."""
+    """All stages over ``documents``; between stages the documents are a table in the shared folder, which is deleted
+    when the next stage has its own."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{base}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{base}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove(spark, f"{base}/{before}")
+        docs, before = spark.read.schema(out.schema).parquet(f"{base}/{name}"), name
+    packed = cut(STAGES[-1][1](spark, docs, sf_dir))
+    remove(spark, base)
+    return packed
