@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node that has an edge to another one.
 
     Each step keeps a linear number of edges and moves ids only; the minimum of a node's neighbours is aggregated
-    before the shuffle, so a node with very many edges does not meet them in one task.  Rounds grow with the
-    logarithm of the component size.  Nulls and loops are ignored.
+    before the shuffle, and brought back to them by a join whose hot keys the skew-join rule can split, so a node with
+    very many edges does not meet them in one task.  Rounds grow with the logarithm of the component size.  Nulls and
+    loops are ignored.
     """
     e = cut(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct())
     state = None
     while True:
-        e = cut(_small(_large(e)))
+        old, e = e, cut(_small(_large(e)))
+        release(old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or now[0] == 0:
             break
@@ -27,13 +29,24 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
+def _brought(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """``u, v, m``: the edges with the minimum of their ``u``.
+
+    The rule that splits hot keys of a join wants both sides straight from an exchange of the join's own.  ``low``
+    lies by ``u`` already, and would be joined where it was aggregated; dealt out evenly, its few rows are exchanged
+    for the join like the edges.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.join(low.repartition(parts).hint("merge"), "u").select("u", "v", "m")
+
+
 def _large(e: DataFrame) -> DataFrame:
     both = e.union(e.select("v", "u"))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _brought(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
     low = e.groupBy("u").agg(F.min("v").alias("m"))
-    step = e.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
+    step = _brought(e, low).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
     return step.select("x.u", "x.v").where("u <> v").distinct()

@@ -5,8 +5,8 @@ each coordinate-value pair.  Two classes that match in at least ``matches`` coor
 ``COORDINATES - matches + 1`` pairs of each, when all order their pairs by the same frequencies: only these are
 joined (prefix), and of those only pairs that a second class has at all.  Inside a group of classes that meet, the
 collisions of the remaining coordinates are not merged but looked up for candidates alone, and candidates that are
-already connected are skipped.  Every link is confirmed on full shingle sets; only a spanning forest of each group
-leaves its task, so groups of copies are not expanded into pairs.
+already connected are skipped.  Every link is confirmed on full shingle sets; only a spanning forest leaves a task, so
+groups of copies are not expanded into pairs.  A large group is dealt over tasks in blocks.
 
 ``matches`` lies five standard deviations under the mean of a pair at the threshold: such a pair is missed with a
 chance of a few in a million.
@@ -19,16 +19,17 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, unpacked
+from .common import cut, packed, release, unpacked
 from .components import components
 from .vectext import LOWER, U64, chunks, keys, mix, windows, word_hashes, words
 
 COORDINATES = 64
-#: Shingles that the sets of one group of candidates may have in a task; larger groups are compared block by block.
+#: Shingles and members that a group of candidates may have in a task; larger groups are dealt in blocks of that size.
 GROUP_SHINGLES = 2_000_000
+GROUP_MEMBERS = 512
 _MULTIPLIERS = keys(COORDINATES, 7) | U64(1)
 
 
@@ -100,13 +101,30 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """(member, smallest connected member) for the members that a confirmed link connects.
+class _Forest:
+    """Groups of members; a merge renames the smaller one."""
 
-    side: with two different values only pairs of different sides are compared.
+    def __init__(self, label: np.ndarray):
+        _, self.label = np.unique(label, return_inverse=True)
+        order = np.argsort(self.label, kind="stable")
+        self.members = np.split(order, np.cumsum(np.bincount(self.label))[:-1])
+
+    def join(self, i: int, j: int) -> None:
+        a, b = sorted((self.label[i], self.label[j]), key=lambda g: len(self.members[g]))
+        if a != b:
+            self.label[self.members[a]] = b
+            self.members[b] = np.concatenate((self.members[b], self.members[a]))
+            self.members[a] = self.members[a][:0]
+
+
+def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(member, smallest connected member) for the members that confirmed links connect.
+
+    side: with two different values only pairs of different sides are compared.  known: members with equal values are
+    connected already; they are not compared, and are told only where they meet others.
     """
     m, need = len(ids), matches_needed(percent)
-    if m == 2:
+    if m == 2 and known is None:
         return [(int(max(ids)), int(min(ids)))] if ids[0] != ids[1] and similar(sets[0], sets[1], percent) else []
     two_sided = len(np.unique(side)) > 1
     sig = np.stack([signature(s) for s in sets])
@@ -115,7 +133,8 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, pe
     shared = count[inverse] > 1
     order = np.lexsort((inverse, count[inverse]), axis=1)
     lists: dict[int, list[int]] = {}
-    label = np.arange(m)
+    forest = _Forest(np.arange(m) if known is None else known)
+    label, joined = forest.label, []
     for i in np.argsort(ids, kind="stable"):
         n_prefix = int(shared[i].sum()) - need + 1
         if n_prefix <= 0:
@@ -134,8 +153,8 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, pe
             k = 0
             while k < len(cand):
                 if similar(sets[i], sets[cand[k]], percent):
-                    a, b = label[i], label[cand[k]]
-                    label[label == max(a, b)] = min(a, b)
+                    joined += [int(i), int(cand[k])]
+                    forest.join(i, cand[k])
                     cand = cand[k + 1 :]
                     cand, k = cand[label[cand] != label[i]], 0
                 else:
@@ -143,62 +162,114 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, pe
         for t in prefix:
             lists.setdefault(t, []).append(i)
     low: dict[int, int] = {}
-    for x, g in zip(ids.tolist(), label.tolist()):
-        low[g] = min(x, low.get(g, x))
-    return [(x, low[g]) for x, g in zip(ids.tolist(), label.tolist()) if x != low[g]]
+    for i in set(joined):
+        low[label[i]] = min(int(ids[i]), low.get(label[i], int(ids[i])))
+    return sorted({(int(ids[i]), low[label[i]]) for i in joined if int(ids[i]) != low[label[i]]})
+
+
+_UNIT = ["kind", "unit_", "block_", "other_"]
 
 
 def _verify(batches, percent: int):
-    key, ids, sets, side = None, [], [], []
+    key, ids, sets, side, known = None, [], [], [], []
 
     def done():
-        links = spanning_links(np.array(ids), [np.frombuffer(s, U64) for s in sets], np.array(side), percent) if len(ids) > 1 else []
+        if key[0] == 2 and len(set(side)) < 2:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
+        links = spanning_links(np.array(ids), [np.frombuffer(s, U64) for s in sets], np.array(side), percent, np.array(known) if key[0] == 2 else None)
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for *k, own, cid, s in zip(*(batch.column(i).to_pylist() for i in range(7))):
+        for *k, own, group, cid, s in zip(*(batch.column(i).to_pylist() for i in range(8))):
             if k != key:
                 if len(ids) > 1:
                     yield done()
-                key, ids, sets, side = k, [], [], []
+                key, ids, sets, side, known = k, [], [], [], []
             ids.append(cid)
             sets.append(s)
             side.append(own)
+            known.append(group)
     if len(ids) > 1:
         yield done()
 
 
-def _groups(postings: DataFrame, classes: DataFrame, group_shingles: int) -> DataFrame:
-    """``class_, unit_, lo_b, hi_b, own_``: the groups to compare, dealt into pairs of blocks where they are large.
+def _compared(units: DataFrame, body: DataFrame, size: int, percent: int) -> DataFrame:
+    """``a, b``: the confirmed links inside each unit (``kind, unit_, block_, other_``) of rows ``class_, own_,
+    known_``."""
+    wanted = units.select("class_").distinct()
+    texts = body.join(wanted, body["id_"] == wanted["class_"]).select("class_", "text_")
+    # An id with several texts has several sets; each is compared, under that id.
+    sets = texts.mapInArrow(partial(_sets, size=size), "class_ long, set_ binary")
+    dealt = units.join(sets, "class_").repartition(*_UNIT).select(*_UNIT, "own_", "known_", "class_", "set_")
+    return dealt.sortWithinPartitions(*_UNIT).mapInArrow(partial(_verify, percent=percent), "a long, b long")
+
 
-    A group is a component of the graph of classes and posted pairs.  Where its sets exceed the bound, the lists of
-    its single pairs take its place, at most ``COORDINATES - matches + 1`` for a class; lists that are themselves
-    too large are compared in pairs of blocks.
+def _blocks(members: Column, shingles: Column, group_members: int, group_shingles: int) -> Column:
+    return F.greatest(F.ceil(members / F.lit(group_members)), F.ceil(shingles / F.lit(group_shingles)), F.lit(1)).cast("long")
+
+
+def _block(of: str, blocks: str, seed: int) -> Column:
+    return F.pmod(F.xxhash64(of, F.lit(seed)), F.col(blocks))
+
+
+def _links(postings: DataFrame, classes: DataFrame, body: DataFrame, size: int, percent: int, group_members: int, group_shingles: int) -> DataFrame:
+    """``a, b``: links that connect all classes that similar pairs connect.
+
+    A group is a component of the graph of classes and posted pairs; a small one is compared in one task.  Of a large
+    one the lists of its pairs are taken in two steps.  First the classes that share the smallest class of a list
+    are compared in blocks, each block with that class: a group of copies is connected by this, however large it is,
+    and every set moves once for each such class.  Then, in lists with classes that are still apart, those
+    outside of the largest connected part are compared with all others, block by block.
     """
     lead = postings.groupBy("token").agg(F.min("class_").alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
     met = cut(postings.join(lead, "token").select("token", "class_", "lead"))
-    coarse = cut(components(met, "class_", "lead"))
+    coarse = components(met, "class_", "lead")
     sized = coarse.join(classes.select("class_", "n_"), coarse["node"] == classes["class_"]).select("class_", "component", "n_")
-    total = sized.groupBy("component").agg(F.sum("n_").alias("total"))
-    member = cut(sized.join(total, "component"))
-    small = member.where(F.col("total") <= group_shingles).select("class_", F.lit(0).alias("kind"), F.col("component").alias("unit_"), F.lit(1).alias("blocks"))
-    if member.where(F.col("total") > group_shingles).isEmpty():
-        units = small
-    else:
-        big = met.join(member.where(F.col("total") > group_shingles).select("class_", "n_"), "class_")
-        by_token = big.groupBy("token").agg(F.sum("n_").alias("total"))
-        large = big.join(by_token, "token").select(
-            "class_", F.lit(1).alias("kind"), F.col("token").alias("unit_"), F.ceil(F.col("total") / F.lit(group_shingles)).cast("int").alias("blocks")
-        )
-        units = small.union(large)
-    own = F.pmod(F.xxhash64("class_"), F.col("blocks")).cast("int")
-    dealt = units.withColumn("own_", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("class_", "kind", "unit_", F.least("own_", "other").alias("lo_b"), F.greatest("own_", "other").alias("hi_b"), "own_")
+    total = sized.groupBy("component").agg(F.sum("n_").alias("shingles"), F.count(F.lit(1)).alias("members"))
+    member = cut(sized.join(total, "component").select("class_", "n_", "component", ((F.col("shingles") > group_shingles) | (F.col("members") > group_members)).alias("large")))
+    none = F.lit(None).cast("long")
+    small = member.where("NOT large").select("class_", F.lit(0).alias("kind"), F.col("component").alias("unit_"), F.lit(0).cast("long").alias("block_"), F.lit(0).cast("long").alias("other_"), F.lit(0).alias("own_"), none.alias("known_"))
+    large = member.where("large").select("class_", "n_")
+    if large.isEmpty():
+        found = cut(_compared(small, body, size, percent))
+        release(met, member)
+        return found
+    big = cut(met.join(large, "class_"))
+
+    star = big.where("class_ <> lead").select("lead", "class_", "n_").distinct()
+    per = star.groupBy("lead").agg(F.count(F.lit(1)).alias("m"), F.sum("n_").alias("s")).select(F.col("lead").alias("l_"), _blocks(F.col("m"), F.col("s"), group_members, group_shingles).alias("blocks"))
+    per = cut(per)
+    of_star = lambda c, block: [c.alias("class_"), F.lit(1).alias("kind"), F.col("lead").alias("unit_"), block.alias("block_"), F.lit(0).cast("long").alias("other_"), F.lit(0).alias("own_"), none.alias("known_")]
+    spread = star.join(per, star["lead"] == per["l_"]).select(*of_star(F.col("class_"), _block("class_", "blocks", 1)))
+    heads = per.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("lead", F.col("l_")).select(*of_star(F.col("l_"), F.col("block")))
+    first = cut(_compared(small.union(spread).union(heads), body, size, percent))
+
+    so_far = cut(components(first, "a", "b"))
+    known = big.join(so_far.withColumnRenamed("component", "c_"), big["class_"] == so_far["node"], "left").select("token", "class_", "n_", F.coalesce("c_", "class_").alias("known_"))
+    parts = known.groupBy("token", "known_").agg(F.count(F.lit(1)).alias("m"), F.sum("n_").alias("s"))
+    lists = parts.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.max(F.struct("m", "s", "known_")).alias("main")).where("parts > 1")
+    lists = cut(lists.select(
+        F.col("token").alias("t_"), F.col("main.known_").alias("main"), _blocks(F.col("m"), F.col("s"), group_members, group_shingles).alias("blocks"),
+        _blocks(F.col("m") - F.col("main.m"), F.col("s") - F.col("main.s"), group_members, group_shingles).alias("others"),
+    ))
+    result = first
+    if not lists.isEmpty():
+        open_ = cut(known.join(lists, known["token"] == lists["t_"]))
+        rows = lambda block, other, own: [F.col("class_"), F.lit(2).alias("kind"), F.col("token").alias("unit_"), block.alias("block_"), other.alias("other_"), F.lit(own).alias("own_"), F.col("known_")]
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        all_ = open_.withColumn("o", every("others")).select(*rows(_block("class_", "blocks", 2), F.col("o"), 0))
+        rest = open_.where("known_ <> main").withColumn("b", every("blocks")).select(*rows(F.col("b"), _block("class_", "others", 3), 1))
+        second = cut(_compared(all_.union(rest), body, size, percent))
+        # ``a`` and ``b`` of the second step connect what the first has connected.
+        result = first.union(second)
+    release(met, member, big, per, so_far, lists)
+    return result
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", group_shingles: int = GROUP_SHINGLES
-) -> DataFrame:
+    docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+    group_shingles: int = GROUP_SHINGLES, group_members: int = GROUP_MEMBERS,
+) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
     Documents are linked when 100 * shared >= percent * united distinct shingles; ``component_id`` is the smallest id
@@ -218,22 +289,15 @@ def near_duplicates(
     prefix = ranked.where(F.size("l") >= need).select("class_", F.explode(F.slice("l", F.lit(1), F.size("l") - need + 1)).alias("x"))
     postings = cut(prefix.select("class_", F.col("x.token").alias("token")))
 
-    groups = cut(_groups(postings, classes, group_shingles))
-    wanted = groups.select("class_").distinct()
-    texts = body.join(wanted, body["id_"] == wanted["class_"]).select("class_", "text_")
-    # An id with several texts has several sets; each is compared, under that id.
-    sets = texts.mapInArrow(partial(_sets, size=shingle), "class_ long, set_ binary")
-    dealt = groups.join(sets, "class_").repartition("kind", "unit_", "lo_b", "hi_b")
-    ordered = dealt.select("kind", "unit_", "lo_b", "hi_b", "own_", "class_", "set_").sortWithinPartitions("kind", "unit_", "lo_b", "hi_b")
-    links = ordered.mapInArrow(partial(_verify, percent=percent), "a long, b long")
+    links = _links(postings, classes, body, shingle, percent, group_members, group_shingles)
     label = components(links, "a", "b")
 
     mine = feats.join(classes.select("hi_", "lo_", "n_", "class_"), ["hi_", "lo_", "n_"], "left")
     all_rows = mine.join(label, mine["class_"] == label["node"], "left")
     component = F.when(F.col("n_") > 0, F.coalesce("component", "class_")).otherwise(F.col("id_"))
-    return all_rows.select(
-        F.col("id_").alias(id_col), F.col("n_").alias("n_shingles"), component.alias("component_id"), F.col("id_").eqNullSafe(component).alias("kept")
-    )
+    out = cut(all_rows.select(F.col("id_").alias(id_col), F.col("n_").alias("n_shingles"), component.alias("component_id"), F.col("id_").eqNullSafe(component).alias("kept")))
+    release(feats, classes, postings)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from sievemark.llm.components import components
-from sievemark.llm.near_dedup import drop_near_duplicates, near_duplicates
+from sievemark.llm.near_dedup import drop_near_duplicates, near_duplicates, spanning_links
 
 DOCS = "doc_id long, text string, component_id string"
 
@@ -49,19 +50,46 @@ def corpus(seed, n=150):
     return rows
 
 
-@pytest.mark.parametrize(("size", "percent", "group"), [(3, 85, 2_000_000), (5, 80, 600)])
-def test_components_equal_all_pairs(spark, size, percent, group):
-    # The small bound on a group makes pairs of blocks.
+@pytest.mark.parametrize(("size", "percent", "shingles_", "members"), [(5, 80, 2_000_000, 512), (3, 60, 900, 4)])
+def test_components_equal_all_pairs(spark, size, percent, shingles_, members):
+    # The small bounds on a group make blocks.
     rows = corpus(percent)
     rows += [(900, None), (901, ""), (902, " \n"), (903, "Two Words"), (904, "two words"), (905, "two"), (906, "Two  WORDS\n"), (907, "É a b c"), (908, "é a b c")]
     df = spark.createDataFrame([(*r, "x") for r in rows], DOCS)
-    got = near_duplicates(df, size, percent, group_shingles=group).collect()
+    got = near_duplicates(df, size, percent, group_shingles=shingles_, group_members=members).collect()
     want = brute(rows, size, percent)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     assert len({c for _, c in want.values()}) < len(rows) - 50
 
 
+def test_a_large_group_is_the_same_in_blocks(spark):
+    # Copies of one base, some at the threshold, some linked only through others: a chain across blocks.
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for j in range(i % 9):
+            w[rng.randrange(120)] = f"x{i}_{j}"
+        rows.append((1000 - i, " ".join(w)))
+    rows += [(i, " ".join(base[:60] + [f"c{k}" for k in range(i, i + 60)])) for i in range(30)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], DOCS)
+    want = brute(rows, 3, 85)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df, 3, 85, group_members=7).collect()}
+    assert got == want
+    assert len({c for _, c in want.values()}) > 2
+
+
+def test_known_links_are_skipped():
+    sets = [np.unique(np.arange(100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))] * 4
+    ids, side = np.array([4, 3, 2, 1]), np.zeros(4, int)
+    assert spanning_links(ids, sets, side, 80, np.array([7, 7, 7, 7])) == []
+    one = spanning_links(ids, sets, side, 80, np.array([7, 7, 8, 8]))
+    assert len(one) == 1 and {x > 2 for x in one[0]} == {True, False}
+    assert spanning_links(ids, sets, np.array([0, 0, 0, 1]), 80, None)
+
+
 def test_nulls_repeats_and_long_texts(spark):
     long = " ".join(f"t{i}" for i in range(30_000))
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "alone x y z"), (7, long), (8, long + " end")]
