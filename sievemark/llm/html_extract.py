@@ -1,22 +1,25 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes its text blocks in page order.  A linear classifier gives each block a cost of being content and a cost
-of being boilerplate, the capacities of its edges to the two terminals; neighbouring blocks, and blocks close to each
-other in the document tree, are joined by smoothness edges.  The minimum cut, found by maximum flow, labels all blocks
-of the page at once.
+A page becomes its text blocks in page order.  A fitted classifier (:mod:`.html_model`) gives each block a cost of being
+content and a cost of being boilerplate, the capacities of its edges to the two terminals; neighbouring blocks, and
+blocks close to each other in the document tree, are joined by smoothness edges.  The minimum cut, found by maximum
+flow, labels all blocks of the page at once.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import html_model
+
 # Fixed values of HTML: elements by their content model.
 RAW = frozenset("script style iframe textarea title xmp noembed noframes".split())
 #: Elements that show no text of their own; one that is never closed is an ordinary element.
@@ -40,22 +43,32 @@ ENDS = {
 }
 CLOSES_P = BLOCK - {"button", "option", "legend", "summary", "html", "body", "head"}
 
-# Words in tags, roles, classes and ids that tell boilerplate or content.
+# Tags, roles and words of classes and ids that tell boilerplate or content.
 BAD_TAGS = frozenset("nav footer aside form menu dialog button select option search fieldset".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
-BAD_WORDS = frozenset(
-    "ad ads advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay sidebar side aside rail menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead "
-    "topbar toolbar comment comments commentlist disqus replies reply respond discussion share sharing social related recommended "
-    "recommendations trending newsletter subscribe subscription signup login search widget pagination pager skip copyright legal "
-    "disclaimer form tags".split()
+#: A name made of these, and of helpers, is that of boilerplate.
+SURE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
+    "notices alert popup modal overlay sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar "
+    "toolbar comment comments commentlist disqus replies respond sharing social recommended recommendations trending newsletter "
+    "subscribe subscription signup login widget widgets pagination pager copyright disclaimer".split()
+)
+#: These may as well be about the matter of the text.
+HINT_WORDS = frozenset("aside side foot search skip reply discussion share related form legal tags".split())
+HELPER_WORDS = frozenset(
+    "list box wrap wrapper bar block blocks section container area links link buttons button item items inner outer top bottom "
+    "left right content text group row col column panel zone unit slot site page post posts article articles user reader readers "
+    "latest more main header title body primary secondary".split()
 )
 GOOD_WORDS = frozenset("article content post entry story main body text prose".split())
 NEUTRAL_WORDS = frozenset("has with no without is".split())
 
-WEIGHTS = {"bias": -0.6, "bad": -9.0, "header": -7.0, "inner_header": -2.0, "article": 4.0, "good": 2.0, "outside": -4.0, "length": 1.6, "links": -4.0, "heading": 0.8, "stop": 0.7}
-ADJACENT = 0.45
-TREE = 0.45
+#: The costs of a block differ by at most this; so neighbours can overrule any classifier's verdict, if all agree.
+MOST_COST = 5.0
+ADJACENT = 0.5
+TREE = 1.6
+#: What is left of an edge between blocks that tags, roles or names tell apart.
+CONTRAST = 0.1
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -73,6 +86,7 @@ class Element:
     article: bool = False
     good: bool = False
     hidden: bool = False
+    named: int = 0  # how surely names tell boilerplate: 0 not at all, 1 by a word among others, 2 by a hint, 3 surely
 
 
 @dataclass
@@ -91,25 +105,39 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+@lru_cache(4096)
+def _told(name: str) -> int:
+    """How surely one name of a class or an id tells boilerplate."""
+    words = {w.lower() for w in _NAME_PART.findall(name)}
+    words = {w for w in words if not w.isdigit()}
+    if words & NEUTRAL_WORDS or not words & (SURE_WORDS | HINT_WORDS):
+        return 0
+    if words - SURE_WORDS - HINT_WORDS - HELPER_WORDS:
+        return 1
+    return 3 if words & SURE_WORDS else 2
+
+
 def _element(tag: str, raw: str, parent: Element) -> Element:
-    e = Element(tag, parent, parent.bad, parent.header, parent.article, parent.good, parent.hidden)
+    e = Element(tag, parent, parent.bad, parent.header, parent.article, parent.good, parent.hidden, parent.named)
     a = _attributes(raw)
-    names = [w.lower() for w in _NAME_PART.findall(a.get("class", "") + " " + a.get("id", ""))] if tag not in ("html", "body") else []
+    names = (a.get("class", "") + " " + a.get("id", "")).split() if tag not in ("html", "body") else []
     role = a.get("role", "").lower()
     if tag == "header" or role == "banner":
         e.header = max(e.header, 2 if parent.article else 1)
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(a.get("style", "")):
         e.hidden = True
-    told = set(names)
-    telling = not told & NEUTRAL_WORDS
-    if tag in BAD_TAGS or (role in BAD_ROLES and role != "banner") or (telling and tag != "main" and told & BAD_WORDS):
+    if tag in BAD_TAGS or (role in BAD_ROLES and role != "banner"):
         e.bad = True
-    if "header" in told and telling and not parent.article and tag not in ("article", "main"):
-        e.header = max(e.header, 1)
     if tag in ("article", "main") or role in ("article", "main"):
         e.article = True
-    elif telling and told & GOOD_WORDS:
+        return e
+    words = {w.lower() for name in names for w in _NAME_PART.findall(name)}
+    told = max(map(_told, names), default=0)
+    if told == 0 and "header" in words and not words & NEUTRAL_WORDS and not parent.article:
+        e.header = max(e.header, 1)
+    elif told == 0 and words & GOOD_WORDS and not words & NEUTRAL_WORDS:
         e.good = True
+    e.named = max(e.named, told)
     return e
 
 
@@ -121,6 +149,8 @@ def blocks(page: str) -> list[Block]:
     """
     root = Element("#root", None)
     stack, found = [root], []
+    open_: Counter[str] = Counter()
+    last_end = page.rfind(">")  # no tag ends behind it
     pieces: list[str] = []
     linked = total = links = 0
     never_closed: set[str] = set()
@@ -138,6 +168,8 @@ def blocks(page: str) -> list[Block]:
     def close(upto: int):
         nonlocal owner
         flush()
+        for e in stack[upto:]:
+            open_[e.tag] -= 1
         del stack[upto:]
         owner = stack[-1]
 
@@ -164,7 +196,7 @@ def blocks(page: str) -> list[Block]:
             end = page.find(">", at)
             at = n if end < 0 else end + 1
             continue
-        m = _TAG.match(page, at) or _LOOSE_TAG.match(page, at)
+        m = (_TAG.match(page, at) or _LOOSE_TAG.match(page, at)) if at < last_end else None
         if not m:
             pieces.append("<")
             total += 1
@@ -178,15 +210,13 @@ def blocks(page: str) -> list[Block]:
             elif tag == "br":
                 pieces.append(" ")
             elif tag in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        close(k)
-                        break
+                if open_[tag]:
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
                 else:
                     flush()
             continue
         if (tag in RAW or tag in UNSEEN and tag not in never_closed) and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at, last_end + 1)
             if end or tag in RAW:
                 at = end.end() if end else n
                 continue
@@ -203,53 +233,70 @@ def blocks(page: str) -> list[Block]:
                 close(len(stack) - 1)
             if tag in ENDS:
                 ended, scope = ENDS[tag]
-                cut_at = None
+                cut_at, many = None, sum(open_[t] for t in ended)
                 for k in range(len(stack) - 1, 0, -1):
+                    if not many:
+                        break
                     if stack[k].tag in ended:
-                        cut_at = k
+                        cut_at, many = k, many - 1
                     elif stack[k].tag in scope:
                         break
                 if cut_at is not None:
                     close(cut_at)
             owner = _element(tag, m[3], stack[-1])
             stack.append(owner)
+            open_[tag] += 1
             if tag in ("article", "main", "nav", "footer", "header", "aside", "section", "body"):
                 links = 0
     flush()
     return found
 
 
-def scores(found: list[Block]) -> np.ndarray:
-    """The classifier: positive for content."""
-    w = WEIGHTS
-    has_article = any(b.element.article and not b.element.bad for b in found)
-    out = []
-    for b in found:
-        e = b.element
-        s = w["bias"] + w["length"] * min(len(b.text), 200) / 200 + w["links"] * b.link_share
-        heading = e.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        s += w["heading"] * heading + w["stop"] * (b.text[-1] in ".!?…:;。”\"")
-        s += w["bad"] * e.bad + w["good"] * e.good
-        s += w["header"] * (e.header == 1) + w["inner_header"] * (e.header == 2 and not heading)
-        s += w["article"] if e.article else w["outside"] * has_article
-        out.append(s)
-    return np.array(out)
+def scores(found: list[Block], weights: tuple[float, ...] | None = None) -> np.ndarray:
+    """The classifier: the log odds of content, within ``MOST_COST``."""
+    w = np.array(weights or html_model.weights())
+    return np.clip(html_model.features(found) @ w, -MOST_COST, MOST_COST)
+
+
+def _steps(a: Element, b: Element) -> int:
+    """Steps between two elements through the tree, 4 at most."""
+    up = {id(a): 0}
+    for k in (1, 2, 3):
+        if a.parent is None:
+            break
+        a = a.parent
+        up[id(a)] = k
+    for k in range(4):
+        if id(b) in up:
+            return min(4, k + up[id(b)])
+        if b.parent is None:
+            break
+        b = b.parent
+    return 4
 
 
 def smoothness(found: list[Block]) -> dict[tuple[int, int], float]:
-    """Edges between neighbours in page order, and to the block before under the same element."""
+    """Edges between neighbours in page order, and to the block before under the same element.
+
+    Capacities fall with the distance in the tree, and where the markup around the two ends tells them apart.
+    """
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
+    kind = [(b.element.bad, b.element.named > 1, b.element.header, b.element.article) for b in found]
+
+    def add(i: int, j: int, capacity: float):
+        edges[i, j] = edges.get((i, j), 0.0) + capacity * (1.0 if kind[i] == kind[j] else CONTRAST)
+
     for i, b in enumerate(found):
         if i:
-            edges[i - 1, i] = ADJACENT
+            add(i - 1, i, ADJACENT * 2 / max(2, _steps(found[i - 1].element, b.element)))
         parent = b.element.parent if b.element.parent is not None else b.element
-        # Siblings are two steps apart, cousins four: the capacity falls with the distance.
+        # Siblings are two steps apart, cousins four.
         for distance, e in ((2, parent), (4, parent.parent)):
             if e is not None:
                 j = last.get(id(e))
                 if j is not None and j != i:
-                    edges[j, i] = edges.get((j, i), 0.0) + TREE * 2 / distance
+                    add(j, i, TREE * 2 / distance)
                 last[id(e)] = i
     return edges
 
@@ -344,20 +391,20 @@ def _max_flow(n: int, source: list[float], sink: list[float], links: list[tuple[
                 a = to[path.pop() ^ 1]
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: tuple[float, ...] | None = None) -> str:
     """The content blocks of a page, joined by line feeds; empty for null or where there is none."""
     found = blocks(page or "")
     if not found:
         return ""
-    z = scores(found)
+    z = scores(found, weights)
     content = np.logaddexp(0, z)
     keep = minimum_cut(content, content - z, smoothness(found))
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 
-def _extract(batches):
+def _extract(batches, weights: tuple[float, ...]):
     for batch in batches:
-        texts = [main_text(page) for page in batch.column(2).to_pylist()]
+        texts = [main_text(page, weights) for page in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -368,4 +415,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     columns are ignored; an empty table gives an empty result.
     """
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(partial(_extract, weights=html_model.weights()), "page_id long, url string, text string, n_chars long")

@@ -1,6 +1,7 @@
 import hashlib
 import html
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sievemark.llm import html_extract as X
+from sievemark.llm import html_model as H
 from sievemark.llm import perspectives as P
 from sievemark.llm import warc as W
 
@@ -74,6 +76,50 @@ def test_odd_pages():
     assert X.main_text(f"<article>{many}</article>").count("\n") == 4999
 
 
+def test_names_inside_an_article_are_no_verdict():
+    body = (
+        '<p>A first paragraph that is long enough.</p><section id="discussion"><h2>Discussion</h2><p>We discuss the results at some length here.</p></section><div class="share-price">EUR 12.40</div>'
+        '<blockquote class="form">A form of words, he said.</blockquote><p class="legal">The law of the land was read out to them all.</p><p>Energy is <math>E=m</math> in this text.</p>'
+    )
+    want = ["A first paragraph that is long enough.", "Discussion", "We discuss the results at some length here.", "EUR 12.40", "A form of words, he said.", "The law of the land was read out to them all.", "Energy is E=m in this text."]
+    extra = '<div class="ad">Buy this now, it is good for you.</div><section class="comments"><h3>2 comments</h3><p>I like this text a lot, thanks.</p></section><ul class="social-links"><li><a href="/t">Post</a></li><li><a href="/f">Share</a></li></ul>'
+    assert X.main_text(f"<html><body>{MENU}<article><h1>The title</h1>{body}{extra}</article>{AFTER[0]}</body></html>") == "\n".join(["The title", *want])
+
+
+def test_the_cut_corrects_the_classifier():
+    # Nothing but links in the middle of a text, and an item without a link in the middle of a menu that has no name.
+    body = "<p>The first paragraph is about the matter of the text.</p><p><a href='/s'>Source</a></p><p>The second paragraph goes on about it for a while.</p>"
+    menu = "<div><ul>" + "".join(f"<li>{t}</li>" if t.startswith("Here") else f"<li><a href='/x'>{t}</a></li>" for t in ("News", "Sport", "Here we are at this very moment", "Weather", "Games")) + "</ul></div>"
+    found = X.blocks(f"<html><body>{menu}<div>{body}</div></body></html>")
+    alone = {b.text: z > 0 for b, z in zip(found, X.scores(found))}
+    kept = X.main_text(f"<html><body>{menu}<div>{body}</div></body></html>").split("\n")
+    assert kept == ["The first paragraph is about the matter of the text.", "Source", "The second paragraph goes on about it for a while."]
+    assert [t for t, content in alone.items() if content != (t in kept)]
+
+
+def test_labels_of_made_up_pages():
+    rng = np.random.default_rng(1234)
+    total = right = alone = 0
+    for _ in range(120):
+        found = X.blocks(H.made_up_page(rng))
+        want = np.array([H._MARK not in b.text for b in found])
+        for b in found:
+            b.text = b.text.replace(H._MARK, "") or " "
+        z = X.scores(found)
+        content = np.logaddexp(0, z)
+        total += len(want)
+        alone += int(((z > 0) == want).sum())
+        right += int((X.minimum_cut(content, content - z, X.smoothness(found)) == want).sum())
+    assert right / total >= 0.99 and right - alone > total / 200
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<div>", "</video ", "<a '<b \"", "&#", "<td><div>"])
+def test_broken_markup_takes_time_in_proportion(piece):
+    began = time.perf_counter()
+    X.main_text("<article>" + piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 12
+
+
 def test_extraction_of_a_table(spark):
     rows = [(1, "u", page(MENU), "x", 1), (1, "u", page(MENU), "x", 1), (None, None, None, None, None), (3, "v", "", "x", 1)]
     got = sorted((tuple(r) for r in X.extract(spark.createDataFrame(rows, PAGES)).collect()), key=str)
