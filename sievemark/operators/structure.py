@@ -5,8 +5,9 @@ JavaScript, TypeScript and Go need a syntax provider, which gives the fact table
 
 from __future__ import annotations
 
-import re
+import tokenize
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
@@ -44,89 +45,94 @@ def required(provider: SyntaxProvider | None, what: str) -> SyntaxProvider:
 
 # Python outline
 
-_DECLARED = re.compile(r"([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+([^\W\d]\w*)[ \t]*(?=[:(])")
-_STRING = re.compile(r"""\"{3}|'{3}|"(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?|\#.*""")
-
-
-def _blanked(lines: list[str]) -> list[str]:
-    """Lines with strings and comments as blanks; only triple quotes go over lines."""
-    out, quote = [], None
-    for line in lines:
-        code, at = "", 0
-        while at < len(line):
-            if quote:
-                end = line.find(quote, at)
-                stop = len(line) if end < 0 else end + 3
-                code, at = code + " " * (stop - at), stop
-                quote = quote if end < 0 else None
-                continue
-            m = _STRING.search(line, at)
-            if not m:
-                code += line[at:]
-                break
-            code += line[at : m.start()] + " " * len(m[0])
-            at = m.end()
-            if m[0] in ('"""', "'''"):
-                quote = m[0]
-        out.append(code)
-    return out
+
+@dataclass
+class Statement:
+    """A statement, or the head of one: its first line, how deep it is indented in blocks, and its words."""
+
+    line: int
+    level: int
+    words: list[str]
+
+
+_SILENT = {tokenize.NL, tokenize.COMMENT, tokenize.ENCODING, tokenize.ENDMARKER, tokenize.TYPE_COMMENT}
+
+
+_TOP = ("def ", "class ", "async ", "@")
+
+
+def _read(lines: list[str], first: int, end: int) -> tuple[list[Statement], bool]:
+    """The statements of some lines from the tokens of the language, and whether these went through to the end."""
+    out, level, now = [], 0, None
+    rest = iter(lines[first:end])
+    try:
+        for t in tokenize.generate_tokens(lambda: (line + "\n" if (line := next(rest, None)) is not None else "")):
+            if t.type in (tokenize.INDENT, tokenize.DEDENT):
+                level += 1 if t.type == tokenize.INDENT else -1
+            elif t.type == tokenize.NEWLINE:
+                now = None
+            elif t.type not in _SILENT:
+                if now is None:
+                    now = Statement(first + t.start[0], level, [])
+                    out.append(now)
+                now.words.append(t.string)
+    except (tokenize.TokenError, SyntaxError):
+        return out, False
+    return out, True
+
+
+def statements(lines: list[str]) -> list[Statement]:
+    """The statements of Python lines.
+
+    Where the tokens break off (an open string or bracket, an indentation that fits nothing) each part up to the next
+    declaration at the start of a line is read for itself, as far as it goes.
+    """
+    out, whole = _read(lines, 0, len(lines))
+    if whole:
+        return out
+    tops = [0, *(i for i, line in enumerate(lines) if i and line.startswith(_TOP)), len(lines)]
+    return [s for a, b in zip(tops, tops[1:]) for s in _read(lines, a, b)[0]]
+
+
+def _declared(words: list[str]) -> tuple[str, str] | None:
+    at = 1 if words[0] == "async" else 0
+    if words[at : at + 1] in (["def"], ["class"]) and words[at + 1 : at + 2] and words[at + 1].isidentifier() and words[at + 2 : at + 3] in (["("], [":"], ["["]):
+        return words[at], words[at + 1]
+    return None
+
+
+def _has_inline_body(words: list[str]) -> bool:
+    """Whether words follow the colon that ends a head."""
+    depth = 0
+    for i, word in enumerate(words):
+        depth += (word in ("(", "[", "{")) - (word in (")", "]", "}"))
+        if word == ":" and depth == 0:
+            return i + 1 < len(words)
+    return False
 
 
 def python_outline(text: str) -> list[tuple]:
     """(name, kind, start_line, end_line, scope, has_body, signature) of functions, methods and classes.
 
-    A declaration ends before the next line outside brackets that is indented no deeper.
+    A declaration ends on the line before the next statement that is indented no deeper; a function right inside
+    a class is a method.
     """
     lines = text.split("\n")
-    code = _blanked(lines)
-    indent = [len(x.expandtabs(1)) + 3 * x.count("\t") for x in (re.match(r"[ \t]*", line)[0] for line in lines)]
-    depth, before, colon = 0, [], []
-    for c in code:
-        before.append(depth)
-        first = -1
-        for i, ch in enumerate(c):
-            if ch in "([{":
-                depth += 1
-            elif ch in ")]}":
-                depth = max(0, depth - 1)
-            elif ch == ":" and depth == 0 and first < 0:
-                first = i
-        colon.append(first)
-    solid = [bool(c.strip()) for c in code]
-    # The next solid line outside brackets that is indented no deeper, from the end with a stack.
-    end, stack = [len(lines)] * len(lines), []
-    for i in range(len(lines) - 1, -1, -1):
-        if not solid[i] or before[i]:
-            continue
-        while stack and indent[stack[-1]] > indent[i]:
-            stack.pop()
-        end[i] = stack[-1] if stack else len(lines)
-        stack.append(i)
-    out, open_ = [], []
-    for i, c in enumerate(code):
-        m = _DECLARED.match(c)
-        if not m:
-            continue
-        while open_ and open_[-1][0] >= indent[i]:
-            open_.pop()
-        kind = "class" if m[2] == "class" else "method" if open_ and open_[-1][2] == "class" else "function"
-        header, level = None, 0
-        for j in range(i, end[i]):
-            at = -1
-            for k, ch in enumerate(code[j]):
-                if ch in "([{":
-                    level += 1
-                elif ch in ")]}":
-                    level = max(0, level - 1)
-                elif ch == ":" and level == 0 and at < 0:
-                    at = k
-            if at >= 0:
-                header = (j, at)
-                break
-        body = header is not None and (bool(code[header[0]][header[1] + 1 :].strip()) or any(solid[j] and indent[j] > indent[i] for j in range(i + 1, end[i])))
-        out.append((m[3], kind, i + 1, end[i], [name for _, name, _ in open_], body, lines[i][:SIGNATURE_CHARACTERS].rstrip()))
-        open_.append((indent[i], m[3], "class" if m[2] == "class" else "function"))
-    return out
+    found, around = [], []
+    above: Statement | None = None
+    for s in statements(lines):
+        if above is not None and found and found[-1]["statement"] is above and s.level > above.level:
+            found[-1]["body"] = True
+        while around and around[-1]["statement"].level >= s.level:
+            around.pop()["end"] = s.line - 1
+        what = _declared(s.words)
+        if what:
+            entry = {"statement": s, "kind": what[0], "name": what[1], "scope": [e["name"] for e in around], "inside": around[-1]["kind"] if around else "", "end": len(lines), "body": _has_inline_body(s.words)}
+            found.append(entry)
+            around.append(entry)
+        above = s
+    kind = lambda e: "class" if e["kind"] == "class" else "method" if e["inside"] == "class" else "function"
+    return [(e["name"], kind(e), e["statement"].line, e["end"], e["scope"], e["body"], lines[e["statement"].line - 1][:SIGNATURE_CHARACTERS].rstrip()) for e in found]
 
 
 def outline(sources: DataFrame) -> DataFrame:

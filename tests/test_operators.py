@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -11,7 +12,7 @@ from sievemark.errors import CapabilityError, EvidenceError, RegexError
 from sievemark.functions import paths as P
 from sievemark.functions import text as T
 from sievemark.functions.pattern import Pattern, escape, smart_case_is_sensitive
-from sievemark.functions.redaction import redact, redaction_count
+from sievemark.functions.redaction import mask, redact, redaction_count, sensitive
 from sievemark.operators import audit as A
 from sievemark.operators import budget as B
 from sievemark.operators import changes as C
@@ -227,6 +228,28 @@ def test_python_outline():
     assert got == [("A", "class", 2, 10, [], True), ("f", "method", 4, 8, ["A"], True), ("inner", "function", 6, 6, ["A", "f"], True), ("g", "method", 9, 10, ["A"], True), ("top", "function", 11, 11, [], True), ("Empty", "class", 12, 13, [], False)]
 
 
+def test_outline_of_broken_sources():
+    got = X.python_outline("def a(:\n  pass\n\nclass B:\n  def m(self): return (1,\n2)\n  x = \"\"\"open\n def no(): 0\n")
+    assert ("B", "class") in [g[:2] for g in got] and ("m", "method") in [g[:2] for g in got] and "no" not in [g[0] for g in got]
+    odd = X.python_outline("class A:\n    def f(x):\n        y = 1\n      bad = 2\ndef after(): pass\n")
+    assert [g[:2] for g in odd][:2] == [("A", "class"), ("f", "method")] and odd[-1][:2] == ("after", "function")
+    began = time.perf_counter()
+    assert len(X.python_outline("def a(\n" * 20_000)) == 20_000 and time.perf_counter() - began < 20
+    for text in ("", "\n\n", "\x00", "def", "class :", "?" * 50, "(" * 300, "\t def x():\n", "a" * 100_000):
+        assert isinstance(X.python_outline(text), list)
+
+
+def test_names_of_secrets():
+    yes = ["password", "db_password", "MY-SECRET", "apiKey", "api_key_2", "aws-secret-access-key", "x_service-key", "access_token", "privatekey"]
+    no = ["passwords", "tokenize", "keys", "key", "_token", "token_", "1_token", "secretary", "api", "apiary_key"]
+    assert [n for n in yes if not sensitive(n)] == [] and [n for n in no if sensitive(n)] == []
+    for text, want in (
+        ("a token = 'x\ny'", 1), ('{"password": null, "token": "abc"}', 1), ("token=", 0), ("token = password = x", 1), ("use sk-12345678, ghp_abcdefgh. and sk-1234567", 2), ("re-sk-abcdefgh-", 1), ("ask-abcdefgh", 0),
+        ("password: 'string'; secret: \"stringy\"", 1), ("-----BEGIN PRIVATE KEY-----x", 0), ("-----BEGIN A PRIVATE KEY-----x-----END A PRIVATE KEY----- token: 1", 2),
+    ):
+        assert mask(text)[1] == want, text
+
+
 def test_import_traces(spark):
     imports = [("a.ts", "x", "x", "./b", "named"), ("a.ts", "y", "y", "./b", "named"), ("a.ts", "p", "default", "pkg", "default"), ("a.ts", "n", "*", "./c.js", "namespace"), ("a.ts", "m", "m", "./missing", "named"), ("a.ts", "s", "s", "./star", "named"), ("a.ts", "l", "l", "./loop", "named"), ("b.ts", "z", "w", "./d/", "named")]
     exports = [("b.ts", "x", None, None, "named"), ("b.ts", "y", "z", None, "named"), ("d/index.ts", "w", None, None, "named"), ("star.ts", None, None, "./b", "star"), ("loop.ts", "l", "l", "./loop", "named")]
