@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .pattern import Pattern, escape
+from .pattern import Pattern
 
 #: Display limit of one line, in UTF-16 units where text is ASCII.
 LINE_CHARACTERS = 500
@@ -50,12 +50,13 @@ def occurrences(line: Column, pattern: Pattern) -> Column:
     """Matches that don't overlap, as an array of half-open ranges.
 
     The gaps between matches and the matches themselves come from the same matcher, so running sums of their lengths
-    are the offsets.  Only patterns that can match the empty string need Python.
+    are the offsets.  Patterns that can match the empty string need Python, and literals are found there in time that
+    grows with the line only.
     """
     if pattern.may_be_empty:
         return _python_occurrences(pattern)(line)
     if pattern.plain:
-        return _literal_occurrences(line, pattern.text)
+        return _literal_occurrences(pattern.text)(line)
     gaps = F.split(line, pattern.java, -1)
     found = F.regexp_extract_all(line, F.lit(pattern.java), F.lit(0))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(ArrayType(RANGE)).alias("out"))
@@ -70,17 +71,21 @@ def occurrences(line: Column, pattern: Pattern) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
-def _literal_occurrences(line: Column, term: str) -> Column:
-    """All matches are equally long, so the gaps between them are enough."""
-    gaps, k = F.split(line, escape(term), -1), len(term)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(ArrayType(RANGE)).alias("out"))
+def _literal_occurrences(term: str):
+    k = len(term)
 
-    def step(acc: Column, gap: Column) -> Column:
-        a = acc["at"] + F.length(gap)
-        one = F.struct(a.cast("long").alias("start"), (a + k).cast("long").alias("end"))
-        return F.struct((a + k).cast("long").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def found(line: str) -> list[dict]:
+        out, at = [], line.find(term)
+        while at >= 0:
+            out.append({"start": at, "end": at + k})
+            at = line.find(term, at + k)
+        return out
 
-    return F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), start, step, lambda acc: acc["out"])
+    @F.pandas_udf(ArrayType(RANGE))
+    def ranges(column: pd.Series) -> pd.Series:
+        return column.map(lambda s: None if s is None else found(s))
+
+    return ranges
 
 
 def _python_occurrences(pattern: Pattern):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,7 +76,7 @@ def greedy_dedupe(candidates: DataFrame, key: str = "path", rank: str = "rank")
             for i, (k, a, b) in enumerate(zip(part[key], part["start"], part["end"])):
                 if k != now:
                     now, starts, ends = k, [], []
-                at = int(np.searchsorted(starts, a)) if starts else 0
+                at = bisect_left(starts, a)
                 if (at < len(starts) and starts[at] < b) or (at and ends[at - 1] > a):
                     continue
                 starts.insert(at, a)

@@ -6,11 +6,15 @@ have it; lines that don't match never leave the scan stage.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType
 
 from ..errors import EvidenceError
 from ..functions import text as T
@@ -63,7 +67,39 @@ def context_windows(found: DataFrame, total_lines: Column | None = None, context
     return found.select(*keys, "line_no", start.cast("long").alias("start_line"), end.cast("long").alias("end_line"))
 
 
-def _checked(terms: Sequence[str], low: int, high: int) -> list[str]:
+def _hit_numbers(sources: DataFrame, pattern: Pattern, *keys: str) -> DataFrame:
+    """``keys, lines_, hits_``: the lines of the sources with a match, and the numbers of those that match, in order."""
+    near = sources.where(T.may_match(F.col("text"), pattern)).select(*keys, T.line_array(F.col("text")).alias("lines_"))
+    hits = F.filter(F.transform("lines_", lambda line, i: F.when(T.matches(line, pattern), i + 1)), lambda n: n.isNotNull())
+    return near.select(*keys, "lines_", hits.alias("hits_")).where(F.size("hits_") > 0)
+
+
+def first_match_of(sources: DataFrame, pattern: Pattern, *keys: str) -> DataFrame:
+    """:func:`first_match` of the sources themselves; a source stays in its row, so nothing is shuffled."""
+    keys = keys or ("path",)
+    first = F.element_at("hits_", 1)
+    return _hit_numbers(sources, pattern, *keys).select(*keys, first.alias("line_no"), F.element_at("lines_", first).alias("line"))
+
+
+def context_windows_of(sources: DataFrame, pattern: Pattern, context: int = 2, *keys: str) -> DataFrame:
+    """:func:`context_windows` of the sources themselves, cut off at their ends; nothing is shuffled."""
+    keys = keys or ("path",)
+    if not 0 <= context <= 20:
+        raise EvidenceError("context is 0 to 20 lines", "E_CONTEXT")
+    found = _hit_numbers(sources, pattern, *keys)
+    # Three arrays side by side: the match before, the match, the match behind.
+    none = F.array(F.lit(None).cast("int"))
+    n = F.size("hits_")
+    rows = F.arrays_zip(F.concat(none, F.slice("hits_", F.lit(1), n - 1)).alias("p"), F.col("hits_").alias("line"), F.concat(F.slice("hits_", F.lit(2), n), none).alias("q"))
+    x = found.select(*keys, F.size("lines_").alias("k"), F.explode(rows).alias("x")).select(*keys, "k", F.col("x.p").alias("p"), F.col("x.line").alias("line_no"), F.col("x.q").alias("q"))
+    line = F.col("line_no")
+    start = F.greatest(F.lit(1), line - context, F.coalesce(F.floor((F.col("p") + line) / 2) + 1, F.lit(1)))
+    end = F.least(line + context, F.coalesce(F.floor((line + F.col("q")) / 2), line + context), F.col("k"))
+    return x.select(*keys, "line_no", start.cast("long").alias("start_line"), end.cast("long").alias("end_line"))
+
+
+def checked_terms(terms: Sequence[str], low: int = 2, high: int = 3) -> list[str]:
+    """The terms, if they are as many as allowed, different, and each a short line."""
     if not low <= len(terms) <= high or len(set(terms)) != len(terms):
         raise EvidenceError(f"{low} to {high} different terms are needed", "E_TERMS")
     if any(not t or len(t.encode()) > 256 or "\n" in t or "\0" in t for t in terms):
@@ -78,16 +114,40 @@ def _has_any(column: str, terms: list[str]) -> Column:
     return reduce(Column.__or__, [F.col(column).contains(t) for t in terms])
 
 
-def any_of(sources: DataFrame, terms: Sequence[str], *keys: str) -> DataFrame:
+def _occurring(batches, terms: list[str], by_line: bool):
+    for batch in batches:
+        names = batch.schema.names[:-1]
+        rows, index, number, start, end = [], [], [], [], []
+        for r, text in enumerate(batch.column(len(names)).to_pylist()):
+            begins = [0, *accumulate(len(line) + 1 for line in text.split("\n"))] if by_line else [0]
+            for i, term in enumerate(terms):
+                at = text.find(term)
+                while at >= 0:
+                    line = bisect_right(begins, at)
+                    rows.append(r)
+                    index.append(i)
+                    number.append(line)
+                    start.append(at - begins[line - 1])
+                    at = text.find(term, at + len(term))
+            end += [a + len(terms[i]) for a, i in zip(start[len(end) :], index[len(end) :])]
+        keys = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(len(names))]
+        out = [*keys, pa.array(index, pa.int32()), pa.array([terms[i] for i in index], pa.string()), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
+        yield pa.RecordBatch.from_arrays(out, names=[*names, "term_index", "term", "line_no", "start", "end"])
+
+
+def any_of(sources: DataFrame, terms: Sequence[str], *keys: str, by_line: bool = True) -> DataFrame:
     """``keys, term_index, term, line_no, start, end`` for each occurrence of each term, case-sensitive.
 
-    Occurrences of one term don't overlap; those of different terms may.  One pass reads the text for all terms.
+    Offsets count from the start of the line, or without ``by_line`` from the start of the text (and ``line_no`` is 1).
+    Occurrences of one term don't overlap; those of different terms may.  One pass reads the text for all terms, in time
+    that grows with the text and the occurrences.
     """
-    terms, keys = _checked(terms, 2, 64), keys or ("path",)
-    lines = T.lines(sources.where(_has_any("text", terms)), *keys).where(_has_any("line", terms))
-    per_term = F.array(*[F.struct(F.lit(i).alias("term_index"), F.lit(t).alias("term"), T.occurrences(F.col("line"), Pattern(t, literal=True)).alias("ranges")) for i, t in enumerate(terms)])
-    hit = lines.select(*keys, "line_no", F.explode(F.filter(per_term, lambda x: F.size(x["ranges"]) > 0)).alias("x"))
-    return hit.select(*keys, "x.term_index", "x.term", "line_no", F.explode("x.ranges").alias("r")).select(*keys, "term_index", "term", "line_no", "r.start", "r.end")
+    terms, keys = checked_terms(terms, 2, 64), keys or ("path",)
+    near = sources.where(_has_any("text", terms)).select(*keys, "text")
+    schema = near.drop("text").schema
+    for name, kind in (("term_index", IntegerType()), ("term", StringType()), ("line_no", IntegerType()), ("start", LongType()), ("end", LongType())):
+        schema = schema.add(name, kind)
+    return near.mapInArrow(partial(_occurring, terms=terms, by_line=by_line), schema)
 
 
 def term_counts(sources: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -95,7 +155,7 @@ def term_counts(sources: DataFrame, terms: Sequence[str]) -> DataFrame:
 
     A source adds its counts in its own row; the shuffle carries one row for each term and task.
     """
-    terms = _checked(terms, 2, 64)
+    terms = checked_terms(terms, 2, 64)
     count = lambda t: ((F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit(t), F.lit("")))) / F.lit(len(t.encode()))).cast("long")
     sums = sources.agg(*[F.sum(count(t)).alias(f"n{i}") for i, t in enumerate(terms)], *[F.sum((count(t) > 0).cast("long")).alias(f"s{i}") for i, t in enumerate(terms)])
     rows = F.array(*[F.struct(F.lit(i).alias("term_index"), F.lit(t).alias("term"), F.coalesce(f"n{i}", F.lit(0)).alias("occurrences"), F.coalesce(f"s{i}", F.lit(0)).alias("sources")) for i, t in enumerate(terms)])
@@ -104,7 +164,7 @@ def term_counts(sources: DataFrame, terms: Sequence[str]) -> DataFrame:
 
 def all_of(sources: DataFrame, terms: Sequence[str], *keys: str) -> DataFrame:
     """``keys`` of the sources that have all terms, case-sensitive; a filter, without a join."""
-    terms, keys = _checked(terms, 2, 3), keys or ("path",)
+    terms, keys = checked_terms(terms, 2, 3), keys or ("path",)
     out = sources
     for t in terms:
         out = out.where(F.col("text").contains(t))
@@ -180,8 +240,9 @@ def preview_windows(found: DataFrame, per_source: int = 2, before: int = 3, heig
     return lines.select("path", F.explode(starts).alias("start_line")).select("path", "start_line", (F.col("start_line") + height - 1).alias("end_line"))
 
 
-def in_text(found: DataFrame, sources: DataFrame) -> DataFrame:
-    """``path, start, end`` counted from the start of the text, of ranges (``path, line_no, start, end``) that count from the start of their line."""
+def in_text(found: DataFrame, sources: DataFrame, *more: str) -> DataFrame:
+    """``path, start, end`` (and ``more``) counted from the start of the text, of ranges (``path, line_no, start,
+    end``) that count from the start of their line."""
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     begin = T.lines(sources).select("path", "line_no", F.length("line").alias("k")).select("path", "line_no", F.coalesce(F.sum(F.col("k") + 1).over(w), F.lit(0)).alias("at"))
-    return found.join(begin, ["path", "line_no"]).select("path", (F.col("start") + F.col("at")).alias("start"), (F.col("end") + F.col("at")).alias("end"))
+    return found.join(begin, ["path", "line_no"]).select("path", *more, (F.col("start") + F.col("at")).alias("start"), (F.col("end") + F.col("at")).alias("end"))

@@ -9,7 +9,6 @@ import tokenize
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import CapabilityError
 from ..session import cut
+from .syntax import SyntaxProvider
 
 SIGNATURE_CHARACTERS = 600
 MAX_HOPS = 8
@@ -25,18 +25,6 @@ SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs")
 COMPILED = {".js": (".ts", ".tsx"), ".jsx": (".tsx",), ".mjs": (".mts",), ".cjs": (".cts",)}
 
 
-class SyntaxProvider(Protocol):
-    """Facts of source code; ``languages`` are those it can parse."""
-
-    languages: frozenset[str]
-
-    def symbols(self, path: str, text: str) -> list[tuple]: ...
-
-    def roles(self, path: str, text: str) -> list[tuple]: ...
-
-    def structure(self, pattern: str, path: str, text: str) -> list[tuple[int, int]]: ...
-
-
 def required(provider: SyntaxProvider | None, what: str) -> SyntaxProvider:
     if provider is None:
         raise CapabilityError(f"{what} needs a syntax provider; none is configured", recovery="choose-capability")

@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CapabilityError, EvidenceError
@@ -23,6 +23,7 @@ from ..operators import search as S
 from ..operators import semantic as M
 from ..operators import stats as ST
 from ..operators import structure as X
+from ..operators import syntax as SX
 from ..operators.changes import changed_lines
 from ..session import cut
 from ..sources.corpus import content_hash
@@ -65,7 +66,7 @@ class Engine:
     for validation.  ``base`` is an earlier version of the sources for ``changes``."""
 
     def __init__(
-        self, sources: DataFrame, *, current=None, base: DataFrame | None = None, encoder: M.Encoder | None = None, judge: M.Judge | None = None, syntax: X.SyntaxProvider | None = None,
+        self, sources: DataFrame, *, current=None, base: DataFrame | None = None, encoder: M.Encoder | None = None, judge: M.Judge | None = None, syntax: SX.SyntaxProvider | None = None,
         facts: Mapping[str, DataFrame] | None = None, limits: Limits = Limits(), clock=None, partial_reasons: list[str] | None = None,
     ):
         self.sources, self.current, self.base = sources, current or (lambda: sources), base
@@ -142,6 +143,7 @@ class Engine:
         if self.reasons:
             coverage = "partial"
             out.reasons += self.reasons
+        out.reasons = list(dict.fromkeys(out.reasons))
         out.coverage["filesystem"] = coverage
         out.partial |= coverage != "complete"
         return out
@@ -174,7 +176,8 @@ class Engine:
                 raise CapabilityError("there is no earlier version to compare with", "E_CHANGES")
             found = cut(S.in_changed_lines(found, self._changed_ranges(scoped)))
         if r.get("roles"):
-            found = self._in_roles(found, r.get("roles"))
+            found, unparsed = self._in_roles(found, r.get("roles"), scoped)
+            unknown = unknown + unparsed
         total = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("path")).first()
         a = F.element_at("occurrences", 1)
         shown = found.withColumn("excerpt", T.excerpt(T.shown(F.col("line")), a["start"], a["end"], self.limits.line_characters)).withColumn("size_", F.octet_length("excerpt") + F.octet_length("path") + 32)
@@ -235,13 +238,37 @@ class Engine:
         added = new.join(old.select("path"), "path", "left_anti").select("path", F.lit(1).cast("long").alias("start_line"), F.lit(2**53).cast("long").alias("end_line"))
         return ranges.union(added)
 
-    def _in_roles(self, found: DataFrame, wanted: list[str]) -> DataFrame:
-        X.required(self.syntax, "roles")
-        if not self.facts or "roles" not in self.facts:
-            raise CapabilityError("the syntax provider has no roles")
-        each = found.select("path", "line_no", F.explode("occurrences").alias("o")).select("path", "line_no", "o.start", "o.end")
-        hit = S.with_role(each, self.facts["roles"], wanted).select("path", "line_no").distinct()
-        return cut(found.join(hit, ["path", "line_no"], "left_semi"))
+    def _in_roles(self, found: DataFrame, wanted: list[str], scoped: DataFrame) -> tuple[DataFrame, list[str]]:
+        """Matching lines with an occurrence wholly inside a role, and what could not be told."""
+        provider = X.required(self.syntax, "roles")
+        if set(wanted) - set(SX.ROLES):
+            raise EvidenceError(f"roles are {', '.join(SX.ROLES)}", "E_ROLES")
+        near = scoped.join(found.select("path").distinct(), "path", "left_semi")
+        roles = cut(SX.facts(near, provider, "roles"))
+        each = S.in_text(found.select("path", "line_no", F.explode("occurrences").alias("o")).select("path", "line_no", "o.start", "o.end"), near, "line_no")
+        known = roles.where("status = 'ok'").select("path", F.col("name").alias("role"), "start", "end")
+        hit = S.with_role(each, known, wanted).select("path", "line_no").distinct()
+        reasons = self._unparsed(roles)
+        if not near.where(~F.coalesce(P.language(F.col("path")).isin(*sorted(provider.languages)), F.lit(False))).isEmpty():
+            reasons.append("some sources with matches are in languages that the provider does not parse")
+        return cut(found.join(hit, ["path", "line_no"], "left_semi")), reasons
+
+    @staticmethod
+    def _unparsed(facts: DataFrame) -> list[str]:
+        n = facts.where("status <> 'ok'").count()
+        return [f"{n} sources can't be parsed"] if n else []
+
+    def _to_parse(self, r: Request) -> tuple[DataFrame, list[str]]:
+        """The scoped sources that a provider may parse: the first ``maxFilesToParse`` by path, if that is given."""
+        spoken = self._scoped(r).where(P.language(F.col("path")).isin(*sorted(self.syntax.languages)))
+        most = r.get("maxFilesToParse")
+        if most is None:
+            return spoken, []
+        first = cut(spoken.select("path").orderBy("path").limit(int(most) + 1))
+        if first.count() <= int(most):
+            return spoken, []
+        last = first.orderBy("path").limit(int(most)).agg(F.max("path")).first()[0]
+        return spoken.where(F.col("path") <= last), ["more sources than maxFilesToParse are in scope"]
 
     def _any_of(self, r: Request) -> Result:
         scoped = self._scoped(r)
@@ -253,10 +280,19 @@ class Engine:
         return self._coverage(r, out)
 
     def _all_of(self, r: Request) -> Result:
-        if r.get("within") == "function":
-            X.required(self.syntax, "allOf within functions")
-        found = cut(S.all_of(self._scoped(r), r.get("allOf")))
-        return self._coverage(r, self._analysis("all-of", "files", found, ["path"]))
+        if r.get("within") != "function":
+            found = cut(S.all_of(self._scoped(r), r.get("allOf")))
+            return self._coverage(r, self._analysis("all-of", "files", found, ["path"]))
+        provider = X.required(self.syntax, "allOf within functions")
+        near, reasons = self._to_parse(r)
+        found = cut(SX.all_of_in_functions(near, provider, S.checked_terms(r.get("allOf"))))
+        rows = found.where("status = 'ok'").select("path", F.col("name").alias("scope"), "start", "end")
+        return self._syntax(r, self._analysis("all-of", "functions", rows, ["path", "start", "end"]), reasons + self._unparsed(found))
+
+    def _syntax(self, r: Request, out: Result, reasons: list[str]) -> Result:
+        out.reasons += reasons
+        out.partial |= bool(reasons)
+        return self._coverage(r, out)
 
     def _analysis(self, kind: str, unit: str, rows: DataFrame, order: list[str], snap_kind: str = "analysis", **more: Any) -> Result:
         snap = self.snapshots.add(snap_kind, rows, order)
@@ -301,10 +337,7 @@ class Engine:
         p = Pattern(r.get("query"), literal=True, ignore_case=None)
         exact = cut(S.matching_lines(scoped, p, ranges=True).select("path", "line_no", F.explode("occurrences").alias("o")).select("path", "line_no", "o.start", "o.end"))
         # Passages count from the start of the text, matches from the start of their line.
-        begin = T.lines(scoped).select("path", "line_no", F.length("line").alias("k"))
-        w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-        begin = begin.withColumn("at", F.coalesce(F.sum(F.col("k") + 1).over(w), F.lit(0))).drop("k")
-        placed = cut(exact.join(begin, ["path", "line_no"]).select("path", (F.col("start") + F.col("at")).alias("start"), (F.col("end") + F.col("at")).alias("end")))
+        placed = cut(S.in_text(exact, scoped))
         ranked = cut(M.concept(scoped, r.get("query"), encoder))
         # The exact scan must say the same after the ranking as before it; otherwise the sources changed meanwhile.
         again = S.matching_lines(scoped, p, ranges=True).select("path", "line_no", F.explode("occurrences").alias("o")).select("path", "line_no", "o.start", "o.end")
@@ -335,8 +368,17 @@ class Engine:
             out.reasons.append("some candidates were not judged")
 
     def _structure(self, r: Request) -> Result:
-        X.required(self.syntax, "structure search")
-        raise CapabilityError("the syntax provider has no structure search")
+        provider = X.required(self.syntax, "structure search")
+        near, reasons = self._to_parse(r)
+        if near.isEmpty() and not self._scoped(r).isEmpty():
+            raise CapabilityError("no source in scope is in a language that the provider parses", recovery="choose-capability")
+        found = cut(SX.facts(near, provider, "structure", r.get("pattern")))
+        placed = found.where("status = 'ok'").join(near.select("path", "text"), "path")
+        before = F.substring("text", F.lit(1), F.col("start").cast("int"))
+        line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+        shown = F.substring("text", (F.col("start") + 1).cast("int"), F.least(F.col("end") - F.col("start"), F.lit(self.limits.line_characters)).cast("int"))
+        rows = placed.select("path", line.alias("line"), "start", "end", shown.alias("excerpt"))
+        return self._syntax(r, self._analysis("structure", "occurrences", rows, ["path", "start", "end"]), reasons + self._unparsed(found))
 
     def _outline(self, r: Request) -> Result:
         path = r.get("path")
@@ -361,6 +403,8 @@ class Engine:
 
     def _imports(self, r: Request) -> Result:
         rows = self._traces().where(F.col("path") == r.get("path"))
+        if r.get("line") is not None:
+            raise CapabilityError("the fact tables of imports have no lines; choose a symbol", recovery="choose-capability")
         if r.get("symbol"):
             rows = rows.where((F.col("local") == r.get("symbol")) | (F.col("name") == r.get("symbol")))
         return self._coverage(r, self._analysis("imports", "evidence-items", rows, ["path", "local"]))

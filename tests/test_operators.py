@@ -38,7 +38,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["literal_summary", "any_of", "context_windows", "audit", "overlap_anti", "rename_pairs", "cosine_topk", "prefix_budget", "redact_counts", "imports"])
+@pytest.mark.parametrize("name", ["literal_summary", "any_of", "context_windows", "audit", "overlap_anti", "intersect_ranges", "roles", "structure", "cosine_topk", "prefix_budget", "redact_counts", "imports"])
 def test_query_equals_sql(spark, duck, name):
     got = catalog.queries()[name](spark, SF)
     cur = duck.execute(catalog.oracle_sql()[name])

@@ -42,9 +42,9 @@ def scores(docs):
 def test_similarity_and_renames_of_all_documents(spark, docs):
     want = scores(docs[1])
     assert sum(int(p.split("/")[-1][:-4]) % 20 != 0 for p, _, _ in want) > 40
-    assert sorted(tuple(r) for r in catalog.queries()["similarity_all"](spark, docs[0]).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in catalog.queries()["similarity"](spark, docs[0]).collect()) == sorted(want)
     only = lambda k, r: [x for x in want if x[k] == r[k] and x[2] >= r[2]] == [r]
-    got = catalog.queries()["rename_pairs_all"](spark, docs[0]).collect()
+    got = catalog.queries()["rename_pairs"](spark, docs[0]).collect()
     assert sorted(tuple(r) for r in got) == sorted(r for r in want if only(0, r) and only(1, r))
 
 
@@ -57,7 +57,7 @@ def test_judged_order_of_all_events(spark, tmp_path):
     judged = [(i, cls[i % 3], v) for i, v in sorted(events) if i % 3]
     order = sorted(judged, key=lambda r: (r[1] != "relevant", r[2] is None, -(r[2] or 0), r[0]))
     want = [(*r, place[0]) for r, place in zip(order, judged)] + [(i, None, v, i) for i, v in events if i % 3 == 0]
-    got = catalog.queries()["judged_order_all"](spark, str(tmp_path))
+    got = catalog.queries()["judged_order"](spark, str(tmp_path))
     assert got.columns == ["pos", "class", "probability", "new_pos"]
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
 
