@@ -29,7 +29,7 @@ from .vectext import LOWER, U64, chunks, keys, mix, windows, word_hashes, words
 COORDINATES = 64
 #: Shingles and members that a group of candidates may have in a task; larger groups are dealt in blocks of that size.
 GROUP_SHINGLES = 2_000_000
-GROUP_MEMBERS = 512
+GROUP_MEMBERS = 4096
 _MULTIPLIERS = keys(COORDINATES, 7) | U64(1)
 
 
