@@ -246,3 +246,15 @@ def in_text(found: DataFrame, sources: DataFrame, *more: str) -> DataFrame:
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     begin = T.lines(sources).select("path", "line_no", F.length("line").alias("k")).select("path", "line_no", F.coalesce(F.sum(F.col("k") + 1).over(w), F.lit(0)).alias("at"))
     return found.join(begin, ["path", "line_no"]).select("path", *more, (F.col("start") + F.col("at")).alias("start"), (F.col("end") + F.col("at")).alias("end"))
+
+
+def byte_matches(contents: DataFrame, literal: bytes, *keys: str) -> DataFrame:
+    """``keys, start, end`` in bytes of each occurrence of fixed bytes in a binary column ``content``, whatever its
+    encoding; each is checked against the bytes it stands for."""
+    keys = keys or ("path",)
+    # In ISO-8859-1 a byte is a character, so offsets of the text are those of the bytes.
+    near = contents.select(*keys, "content", F.decode("content", "ISO-8859-1").alias("text"))
+    p = Pattern(literal.decode("ISO-8859-1"), literal=True)
+    hit = near.where(T.matches(F.col("text"), p)).select(*keys, "content", F.explode(T.occurrences(F.col("text"), p)).alias("r"))
+    same = F.substring("content", (F.col("r.start") + 1).cast("int"), F.lit(len(literal))) == F.lit(bytearray(literal))
+    return hit.where(same).select(*keys, "r.start", "r.end")

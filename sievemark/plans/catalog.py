@@ -244,6 +244,16 @@ def stable_matches(spark, d):
     return S.stable(S.matching_lines(docs, TION), meta(F.lit(0)), meta(changed)).select("path", "line_no")
 
 
+@query(
+    f"""WITH {_SOURCES}, g AS (SELECT path, unnest(string_split(text, 'è')) AS gap, unnest(range(len(string_split(text, 'è')))) AS i, len(string_split(text, 'è')) AS k FROM s WHERE contains(text, 'è')),
+o AS (SELECT path, i, k, (sum(octet_length(encode(gap))) OVER (PARTITION BY path ORDER BY i) + 2 * i)::BIGINT AS st FROM g)
+SELECT path, st AS "start", st + 2 AS "end" FROM o WHERE i < k - 1"""
+)
+def byte_scan(spark, d):
+    contents = corpus.documents(spark, d).select("path", F.col("text").cast("binary").alias("content"))
+    return S.byte_matches(contents, "è".encode())
+
+
 # Files and languages
 
 

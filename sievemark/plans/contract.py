@@ -66,6 +66,11 @@ class Limits:
     inspect_targets: int = 5
     inspect_lines: int = 10
     validated_sources: int = 200
+    #: Bytes of a page that are kept for its head and for the request that goes on.
+    page_reserve: int = 1024
+    summary_reserve: int = 3584
+    #: Bytes of term counts in one page.
+    term_bytes: int = 8192
 
 
 @dataclass(frozen=True)
@@ -172,3 +177,15 @@ def context_tier(remaining: float) -> tuple[str, int]:
     if remaining > 0.40:
         return "full", 2000
     return ("critical", 500) if remaining < 0.12 else ("tight", 1000)
+
+
+def page_room(limits: Limits, remaining: float | None) -> int:
+    """Bytes of a page of matches; four for each token that the context leaves, less what the page itself needs."""
+    room = limits.page_bytes - limits.page_reserve
+    return room if remaining is None else min(room, 4 * context_tier(remaining)[1] - 512)
+
+
+def summary_room(limits: Limits, remaining: float | None) -> int:
+    """Bytes of the files of a summary; where a page's tokens leave too little, 256."""
+    room = limits.page_bytes - limits.summary_reserve
+    return room if remaining is None else min(room, max(256, 4 * context_tier(remaining)[1] - 2400))

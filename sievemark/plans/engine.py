@@ -27,7 +27,7 @@ from ..operators import syntax as SX
 from ..operators.changes import changed_lines
 from ..session import cut
 from ..sources.corpus import content_hash
-from .contract import Limits, Request, parse
+from .contract import Limits, Request, context_tier, page_room, parse, summary_room
 from .operations import Operations
 from .snapshots import Cursor, SnapshotRegistry
 
@@ -67,11 +67,13 @@ class Engine:
 
     def __init__(
         self, sources: DataFrame, *, current=None, base: DataFrame | None = None, encoder: M.Encoder | None = None, judge: M.Judge | None = None, syntax: SX.SyntaxProvider | None = None,
-        facts: Mapping[str, DataFrame] | None = None, limits: Limits = Limits(), clock=None, partial_reasons: list[str] | None = None,
+        facts: Mapping[str, DataFrame] | None = None, limits: Limits = Limits(), clock=None, partial_reasons: list[str] | None = None, remaining: float | None = None,
     ):
         self.sources, self.current, self.base = sources, current or (lambda: sources), base
         self.encoder, self.judge, self.syntax, self.facts, self.limits = encoder, judge, syntax, facts, limits
         self.reasons = partial_reasons or []
+        #: The share of the reader's context that is left, if known; it bounds pages.
+        self.remaining = remaining
         spark = sources.sparkSession
         timed = {"clock": clock} if clock else {}
         self.snapshots = SnapshotRegistry(limits.snapshots, limits.snapshot_seconds, **timed)
@@ -191,12 +193,18 @@ class Engine:
         if snap.count < total[0]:
             reasons.append("more lines match than are retained")
         out = Result("matches", "lines", [], counts, bool(reasons), reasons, facts=facts)
-        first, after = self.snapshots.page(Cursor(snap.id, "matches", 0), r.get("limit", self.limits.page_matches), self.limits.page_bytes, "size_")
-        if r.mode == "summary" or (r.mode == "auto" and r.get("limit") is None and after is not None):
+        first, after = self.snapshots.page(Cursor(snap.id, "matches", 0), r.get("limit", self.limits.page_matches), page_room(self.limits, self.remaining), "size_")
+        tight = self.remaining is not None and context_tier(self.remaining)[0] != "full"
+        if r.mode == "summary" or (r.mode == "auto" and r.get("limit") is None and (after is not None or (tight and snap.count > 0) or snap.count < total[0])):
             out.kind, out.unit = "summary", "files"
             per = found.groupBy("path").agg(F.count(F.lit(1)).alias("match_lines"), F.sum("n").alias("occurrences"))
             files = S.ordered_summary(per, self.limits.summary_files).collect()
-            out.rows = [x.asDict() for x in files]
+            out.rows, room = [], summary_room(self.limits, self.remaining)
+            for x in files:
+                room -= len(x["path"].encode()) + 32
+                if out.rows and room < 0:
+                    break
+                out.rows.append(x.asDict())
             out.facts |= {"by_type": [x.asDict() for x in ST.by_type(per).collect()], "by_directory": [x.asDict() for x in ST.by_directory(per).collect()]}
             out.cursor = str(Cursor(snap.id, "matches", 0)) if snap.count else None
         else:
@@ -227,7 +235,9 @@ class Engine:
             raise EvidenceError("a cursor goes with its own request only", "E_CURSOR_OPTIONS")
         sized = c.kind == "matches"
         items = r.get("limit", self.limits.page_matches if sized else self.limits.page_items)
-        rows, after = self.snapshots.page(c, items, self.limits.page_bytes if sized else None, "size_" if sized else None)
+        terms = c.kind == "analysis-term-counts"
+        room = page_room(self.limits, self.remaining) if sized else self.limits.term_bytes if terms else None
+        rows, after = self.snapshots.page(c, 64 if terms else items, room, "size_" if sized or terms else None)
         s, _ = self.snapshots.get(c)
         out = [{k: v for k, v in x.asDict(recursive=True).items() if k != "size_"} for x in rows]
         return Result(c.kind, "lines" if sized else "items", out, {"retained": s.count, "returned": len(out)}, cursor=str(after) if after else None, facts={"snapshot": s.id})
@@ -271,12 +281,22 @@ class Engine:
         return spoken.where(F.col("path") <= last), ["more sources than maxFilesToParse are in scope"]
 
     def _any_of(self, r: Request) -> Result:
-        scoped = self._scoped(r)
-        found = cut(S.any_of(scoped, r.get("anyOf")))
-        snap = self.snapshots.add("analysis-terms", found, ["term_index", "path", "line_no", "start"])
-        per = {x["term"]: (x["occurrences"], x["sources"]) for x in S.term_counts(scoped, r.get("anyOf")).collect()}
+        """Occurrences of any term.  Counts of terms tell found and retained apart, and have pages of their own."""
+        scoped, terms = self._scoped(r), r.get("anyOf")
+        found = cut(S.any_of(scoped, terms))
+        total, order = found.count(), ["term_index", "path", "line_no", "start"]
+        kept = cut(found.orderBy("path", "line_no", "start", "term_index").limit(self.limits.retained_occurrences)) if total > self.limits.retained_occurrences else found
+        snap = self.snapshots.add("analysis-terms", kept, order)
+        retained = {x["term_index"]: x["n"] for x in kept.groupBy("term_index").agg(F.count(F.lit(1)).alias("n")).collect()}
+        counts = [(x["term_index"], x["term"], x["occurrences"], retained.get(x["term_index"], 0), x["sources"], len(x["term"].encode()) + 64) for x in S.term_counts(scoped, terms).collect()]
+        inventory = scoped.sparkSession.createDataFrame(counts, "term_index int, term string, found long, retained long, sources long, size_ long")
+        listed = self.snapshots.add("analysis-term-counts", inventory, ["term_index"])
+        first, more = self.snapshots.page(Cursor(listed.id, listed.kind, 0), 64, self.limits.term_bytes, "size_")
+        per = {x["term"]: (x["found"], x["sources"]) for x in first}
         rows, after = self.snapshots.page(Cursor(snap.id, snap.kind, 0), self.limits.page_items)
-        out = Result("any-of", "occurrences", [x.asDict() for x in rows], {"found": snap.count, "retained": snap.count, "returned": len(rows)}, cursor=str(after) if after else None, facts={"term_counts": per, "snapshot": snap.id})
+        facts = {"term_counts": per, "retained_counts": {x["term"]: x["retained"] for x in first}, "snapshot": snap.id, "term_cursor": str(more) if more else None}
+        reasons = ["more occurrences are found than retained"] if total > snap.count else []
+        out = Result("any-of", "occurrences", [x.asDict() for x in rows], {"found": total, "retained": snap.count, "returned": len(rows)}, bool(reasons), reasons, cursor=str(after) if after else None, facts=facts)
         return self._coverage(r, out)
 
     def _all_of(self, r: Request) -> Result:

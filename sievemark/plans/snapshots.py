@@ -22,7 +22,7 @@ from ..operators.budget import running_sum
 from ..session import cut
 
 _DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
-KINDS = ("matches", "summary", "analysis", "analysis-hybrid", "analysis-terms", "source")
+KINDS = ("matches", "summary", "analysis", "analysis-hybrid", "analysis-terms", "analysis-term-counts", "source")
 
 
 def base36(n: int) -> str:

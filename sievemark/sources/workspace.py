@@ -21,8 +21,14 @@ from ..functions.paths import glob_regex
 
 SOURCE_BYTES = 5 << 20
 MAX_FILES = 50_000
-#: Folders that are never read unless they are the root itself.
-PROTECTED = (".ssh", ".gnupg", ".aws", ".azure", ".kube", ".docker")
+# Folders that are never read unless they are the root itself, wherever they lie; then folders and files
+# of the home folder, and folders of the system.
+PROTECTED = (".ssh", ".gnupg", ".aws", ".azure", ".kube", ".docker", ".password-store")
+PROTECTED_AT_HOME = (
+    ".config/gcloud", ".config/gh", ".local/share/keyrings", ".netrc", ".npmrc", ".pypirc", ".git-credentials", ".mozilla/firefox",
+    ".config/google-chrome", ".config/chromium", ".config/microsoft-edge", ".config/BraveSoftware/Brave-Browser",
+)
+PROTECTED_SYSTEM = ("/proc", "/sys", "/dev")
 META = "path string, abs_path string, size long, mtime_ms double, ctime_ms double, inode long, device long, ignored boolean"
 
 
@@ -33,12 +39,18 @@ class Listing:
     reasons: list[str] = field(default_factory=list)
 
 
+def protected(path: Path) -> bool:
+    """Whether a path lies in a place of credentials or of the system."""
+    places = [Path.home() / p for p in PROTECTED_AT_HOME] + [Path(p) for p in PROTECTED_SYSTEM]
+    return bool(set(path.parts) & set(PROTECTED)) or any(path.is_relative_to(p) for p in places)
+
+
 def admitted_root(root: str, cwd: str | None = None) -> Path:
     """The real path of a root; outside the working folder, system and credential folders are refused."""
     cwd_path, path = Path(cwd or os.getcwd()).resolve(), Path(root).resolve()
     if ".git" in path.parts:
         raise EvidenceError("the .git folder is not searched", "E_PATH_POLICY")
-    if not path.is_relative_to(cwd_path) and (set(path.parts) & set(PROTECTED) or path.parts[:2] in ((os.sep, "proc"), (os.sep, "sys"), (os.sep, "dev"))):
+    if not path.is_relative_to(cwd_path) and protected(path):
         raise EvidenceError(f"{root} is protected", "E_PATH_POLICY")
     if not path.exists():
         raise EvidenceError(f"there is no {root}", "E_PATH_NOT_FOUND")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sievemark.errors import CapabilityError, CursorError, EvidenceError
 from sievemark.functions.pattern import Pattern
 from sievemark.operators import access, audit, semantic
+from sievemark.operators import syntax as SX
 from sievemark.operators.semantic import HashingEncoder
 from sievemark.plans.contract import Limits, context_tier, parse
 from sievemark.plans.engine import Engine
@@ -122,6 +123,56 @@ def test_other_modes(spark, engine):
     assert sum(r["tier"] == 0 for r in both.rows) == 3
 
 
+CODE = [
+    ("a.py", "import os\n\ndef one(x):\n    # needle here\n    return os.go(x, x)\n\nclass A:\n    def two(self):\n        return 'needle' + go(self, 1)\n"), ("b.py", "def broken(:\n needle\n"),
+    ("c.txt", "needle\n"), ("d.py", "é = '€'; go(é, é)  # needle\r\nneedle = f'{go(1, 1)!r} needle'\n"),
+]
+
+
+def test_structure_roles_and_functions_of_python(spark):
+    engine = Engine(spark.createDataFrame(CODE, "path string, text string"), syntax=SX.PythonSyntax())
+    out = engine.search({"mode": "structure", "pattern": "go($A, $A)"})
+    assert [(r["path"], r["line"], r["excerpt"]) for r in out.rows] == [("d.py", 1, "go(é, é)"), ("d.py", 2, "go(1, 1)")]
+    assert out.partial and "1 sources can't be parsed" in out.reasons
+    assert [r["excerpt"] for r in engine.search({"mode": "structure", "pattern": "$F($$$ARGS)"}).rows] == ["os.go(x, x)", "go(self, 1)", "go(é, é)", "go(1, 1)"]
+    assert [r["excerpt"] for r in engine.search({"mode": "structure", "pattern": "def $F($$$):\n    return $X"}).rows] == ["def one(x):\n    # needle here\n    return os.go(x, x)", "def two(self):\n        return 'needle' + go(self, 1)"]
+    assert [r["path"] for r in engine.search({"mode": "structure", "pattern": "go($A, $A)", "maxFilesToParse": 1}).rows] == []
+    for bad in ("go(", "  ", "x" * 5000):
+        with pytest.raises(EvidenceError):
+            engine.search({"mode": "structure", "pattern": bad})
+    lines = lambda roles: [(r["path"], r["line_no"]) for r in engine.search({"mode": "matches", "pattern": "needle", "roles": roles}).rows]
+    assert lines(["comment"]) == [("a.py", 4), ("d.py", 1)] and lines(["string"]) == [("a.py", 9), ("d.py", 2)] and lines(["code"]) == [("d.py", 2)]
+    inside = engine.search({"allOf": ["needle", "go("], "within": "function"})
+    assert [(r["path"], r["scope"]) for r in inside.rows] == [("a.py", "one"), ("a.py", "two")] and inside.partial is False
+    assert [r["path"] for r in engine.search({"allOf": ["needle", "go("]}).rows] == ["a.py", "d.py"]
+
+
+def test_terms_found_and_retained(spark):
+    df = spark.createDataFrame([(f"p{i}", "ab\n" * 5 + "cd") for i in range(6)], "path string, text string")
+    out = Engine(df, limits=Limits(retained_occurrences=10, term_bytes=70)).search({"anyOf": ["ab", "cd"]})
+    assert out.counts["found"] == 36 and out.counts["retained"] == 10 and out.partial
+    assert out.facts["term_counts"] == {"ab": (30, 6)} and out.facts["retained_counts"] == {"ab": 9}
+    engine = Engine(df, limits=Limits(term_bytes=70))
+    first = engine.search({"anyOf": ["ab", "cd"]})
+    again = engine.search({"cursor": first.facts["term_cursor"]})
+    assert [(r["term"], r["found"], r["retained"]) for r in again.rows] == [("cd", 6, 6)] and again.cursor is None
+
+
+def test_a_short_context_gives_summaries(spark):
+    df = spark.createDataFrame([(f"folder/{i:03}", "needle\n") for i in range(40)], "path string, text string")
+    assert Engine(df, limits=Limits(page_bytes=16_384)).search({"pattern": "needle"}).kind == "matches"
+    tight, full = (Engine(df, remaining=x, limits=Limits(summary_files=40)).search({"pattern": "needle"}) for x in (0.05, 0.9))
+    assert (tight.kind, full.kind) == ("summary", "matches") and len(tight.rows) < 40
+    assert len(Engine(df, remaining=0.05).search({"mode": "matches", "pattern": "needle"}).rows) < 40
+
+
+def test_credentials_are_not_listed():
+    home = workspace.Path.home()
+    for p in (home / ".config/gh/x", home / ".netrc", home / ".password-store", "/proc/1", "/x/.ssh/id"):
+        assert workspace.protected(workspace.Path(p))
+    assert not workspace.protected(workspace.Path("/x/config/gh"))
+
+
 class Judge:
     classes = ("good", "bad")
 
