@@ -63,13 +63,13 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     verdict = resolve_revisits(headers, min_bytes)
     total = headers.agg(F.sum("bytes_"), F.count(F.lit(1))).first()
     files = max(1, -(-int(total[0] or 0) // ARCHIVE_BYTES))
-    # Rows of one id and address go together; so null ids, whose addresses differ, are spread as well.
-    salt = F.xxhash64("key_", "url_")
+    # Rows of one id and address go together; so null ids, whose addresses differ, are spread as well.  The two are one
+    # key without null: a join that compares them one by one would exchange the payloads again.
+    salt = F.concat(F.coalesce(F.col("key_").cast("string"), F.lit("none")), F.lit("\n"), F.coalesce(F.concat(F.lit("at "), F.col("url_")), F.lit("none")))
     # Payloads move once, to the archive they are written to; the join adds no exchange of its own.
     body = rows.withColumn("digest", digest).withColumn("salt", salt).repartition(files, "salt", "digest")
-    verdict = verdict.withColumn("salt", salt).repartition(files, "salt", "digest").withColumnRenamed("key_", "k_").withColumnRenamed("url_", "u_").withColumnRenamed("digest", "e_").withColumnRenamed("salt", "s_")
-    same = (body["salt"] == verdict["s_"]) & (body["digest"] == verdict["e_"])
-    j = body.join(verdict.hint("merge"), same).where(F.col("key_").eqNullSafe(F.col("k_")) & F.col("url_").eqNullSafe(F.col("u_")))
+    verdict = verdict.withColumn("salt", salt).repartition(files, "salt", "digest").drop("key_", "url_")
+    j = body.join(verdict.hint("merge"), ["salt", "digest"])
     nth = F.row_number().over(Window.partitionBy("salt", "digest").orderBy("key_", "url_"))
     j = j.withColumn("nth", nth)
     big = F.octet_length("body_") >= min_bytes
