@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .budget import running_sum
 
 
 def breakdown(counts: DataFrame, key: Column, weight: str = "match_lines", top: int = 5) -> DataFrame:
@@ -42,14 +43,37 @@ def totals(counts: DataFrame) -> DataFrame:
 
 
 def score_profile(scores: DataFrame, score: str = "score", *keys: str) -> DataFrame:
-    """Count, top, second, median, minimum, spread and the margin between the first two."""
+    """Count, top, second, median, minimum, spread and the margin between the first two.
+
+    The median comes from counts by value in order, of which a running sum keeps one at a time, not from a buffer with
+    all values of a group.
+    """
     s = F.col(score)
-    out = scores.groupBy(*keys).agg(F.count(s).alias("count"), F.max(s).alias("top"), F.percentile(s, 0.5).alias("median"), F.min(s).alias("min"))
+    out = scores.groupBy(*keys).agg(F.count(s).alias("count"), F.max(s).alias("top"), F.min(s).alias("min"))
+    out = _joined(out, median(scores, score, *keys), keys)
     second = second_largest(scores, score, *keys)
-    j = out.join(second, list(keys)) if keys else out.join(F.broadcast(second))
+    j = _joined(out, second, keys)
     return j.select(*keys, "count", "top", "second", "median", "min", (F.col("top") - F.col("min")).alias("spread"), (F.col("top") - F.col("second")).alias("top_margin"))
 
 
+def _joined(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return a.join(b, list(keys), "left") if keys else a.join(F.broadcast(b), F.lit(True), "left")
+
+
+def median(scores: DataFrame, score: str, *keys: str) -> DataFrame:
+    """``keys, median``: the middle score, or half way between the two middle ones; null scores don't count."""
+    by_value = scores.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("v_")).agg(F.count(F.lit(1)).alias("n_"))
+    total = by_value.groupBy(*keys).agg(F.sum("n_").alias("all_"))
+    if keys:
+        upto = F.sum("n_").over(Window.partitionBy(*keys).orderBy("v_").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ranked = by_value.withColumn("upto_", upto).join(total, list(keys))
+    else:
+        ranked = running_sum(by_value, "n_", ["v_"]).join(F.broadcast(total))
+    low, high = F.floor((F.col("all_") + 1) / 2), F.floor(F.col("all_") / 2) + 1
+    at = lambda k: F.max(F.when((F.col("upto_") >= k) & (F.col("upto_") - F.col("n_") < k), F.col("v_")))
+    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
+
+
 def second_largest(scores: DataFrame, score: str, *keys: str) -> DataFrame:
     """The second largest score (equal to the largest where that occurs twice; null for one score)."""
     by_value = scores.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n_"))

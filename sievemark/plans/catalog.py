@@ -417,8 +417,8 @@ def ignored_files(spark, d):
 
 @query(
     f"""WITH {_SOURCES}, r AS (SELECT sha256(path || chr(0) || sha256(text)) AS h FROM s),
-b AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1)
-SELECT substr(sha256(string_agg(b || ':' || h, ',' ORDER BY b)), 1, 32) AS inventory_hash FROM b"""
+w AS (SELECT count(*) AS n, {', '.join(f"sum(('0x' || substr(h, {15 * i + 1}, 15))::BIGINT)::HUGEINT AS w{i}" for i in range(4))} FROM r)
+SELECT substr(sha256(concat_ws(',', n, w0, w1, w2, w3)), 1, 32) AS inventory_hash FROM w"""
 )
 def inventory_hash(spark, d):
     return A.inventory_hash(corpus.documents(spark, d).select("path", corpus.content_hash(F.col("text")).alias("version")))
