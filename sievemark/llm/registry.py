@@ -13,44 +13,54 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens; :func:`packing.pack_documents` says what nulls, repeats and empty tables give."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; :func:`html_extract.extract` says what nulls, broken markup and empty tables give."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and the verdict of the rules on it and on its host; see :func:`host_rules.host_rules`."""
     return host_rules.host_rules(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model that learns from those not held out; see :func:`language_id.languages`."""
     docs = table(spark, sf_dir, "documents")
     return language_id.languages(docs, language_id.learn(docs))
 
 
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back; see :func:`warc.archive_round_trip`."""
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue once for each of its speakers; see :func:`perspectives.perspectives`."""
     seen = perspectives.perspectives(table(spark, sf_dir, "conversations"))
     return seen.withColumn("spans", perspectives.span_text(seen["spans"]))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes; see :func:`mixing.mix`."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies of every document; see :func:`near_dedup.near_duplicates`."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stays for every document; see :func:`exact_dedup.exact_duplicates`."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents a sample like the good ones takes; see :func:`resampling.resample`."""
     labels = table(spark, sf_dir, "labels")
     return resampling.resample(table(spark, sf_dir, "documents"), labels.where("quality = 1"), resampling.target_share(labels))
 
