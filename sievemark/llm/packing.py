@@ -296,12 +296,17 @@ def _shards(batches, capacity: int):
         yield row(pa.Table.from_batches(held))
 
 
+def _generations(pieces: int) -> int:
+    """A small shard is searched for longer: a generation takes time in proportion to its pieces."""
+    return min(100, GENERATIONS * max(1, SHARD_PIECES // (2 * max(1, pieces))))
+
+
 def _evolve(batches, capacity: int, epoch: int):
     for batch in batches:
         for shard, island, lengths, *old in zip(*(c.to_pylist() for c in batch.columns)):
             sizes = np.array([x for x in lengths if x < capacity], np.int64)
             elites = [np.array(e, np.int64) for e in old if e is not None]
-            bin_of = evolve(sizes, capacity, hash((shard, island, epoch)) & 0xFFFFFFFF, elites)
+            bin_of = evolve(sizes, capacity, hash((shard, island, epoch)) & 0xFFFFFFFF, elites, generations=_generations(len(sizes)))
             packing = Packing(bin_of, sizes)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int64()), pa.array([island], pa.int32()), pa.array([packing.bins], pa.int64()), pa.array([-packing.fitness(capacity)[1]], pa.float64()), pa.array([packing.bin_of.tolist()], pa.list_(pa.int32()))],
