@@ -5,6 +5,8 @@ A result says what was found, retained and returned, whether its coverage is com
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -12,11 +14,12 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import CapabilityError, EvidenceError
+from ..errors import CapabilityError, CursorError, EvidenceError
 from ..functions import paths as P
 from ..functions import text as T
 from ..functions.pattern import Pattern
 from ..functions.redaction import redact, redaction_count
+from ..operators import access as AC
 from ..operators import audit as A
 from ..operators import files as FI
 from ..operators import search as S
@@ -79,6 +82,7 @@ class Engine:
         self.snapshots = SnapshotRegistry(limits.snapshots, limits.snapshot_seconds, **timed)
         self.operations = Operations(spark, **timed)
         self.session = Session()
+        self._going_on: OrderedDict[str, tuple[str, AC.Continuations]] = OrderedDict()
 
     def search(self, raw: Mapping[str, Any]) -> Result:
         request = parse(raw, self.limits)
@@ -148,6 +152,8 @@ class Engine:
         out.reasons = list(dict.fromkeys(out.reasons))
         out.coverage["filesystem"] = coverage
         out.partial |= coverage != "complete"
+        if out.partial and "snapshot" in out.facts:
+            self.snapshots.note(out.facts["snapshot"], {"stored_reasons": list(out.reasons) or ["the saved result is partial"]})
         return out
 
     def _timed(self, rows: DataFrame, r: Request, keep_unknown: bool) -> tuple[DataFrame, list[str]]:
@@ -434,7 +440,18 @@ class Engine:
         rows = X.related_tests(self._traces(), changed).withColumn("order_", (~F.col("test_like")).cast("int"))
         return self._coverage(r, self._analysis("tests", "evidence-items", rows, ["order_", "test", "target"]))
 
+    def _source_page(self, c: Cursor) -> Result:
+        """The next page of a block that did not fit; only offsets that were given out are taken."""
+        if c.snapshot not in self._going_on:
+            raise CursorError("there is no such source page", "E_CURSOR_NOT_FOUND")
+        path, pages = self._going_on[c.snapshot]
+        text, following = pages.page(c.offset)
+        cursor = str(Cursor(c.snapshot, "source", following)) if following is not None else None
+        return Result("inspect", "source blocks", [{"path": path, "start_character": c.offset, "text": text}], {"returned": 1}, cursor is not None, ["the page is full"] if cursor else [], cursor=cursor)
+
     def _inspect(self, r: Request) -> Result:
+        if r.get("cursor") and (c := Cursor.parse(r.get("cursor"))).kind == "source":
+            return self._source_page(c)
         targets = r.get("targets") or ([{"path": r.get("path"), "line": r.get("line", 1)}] if r.get("path") else None)
         if targets is None:
             s, c = self.snapshots.get(r.get("cursor"))
@@ -451,6 +468,17 @@ class Engine:
         for t in targets:
             a, b = self._window(t["path"], texts[t["path"]], int(t.get("line", 1)))
             windows.setdefault(t["path"], []).append([a, b])
+        if len(targets) == 1:
+            ((path, ((a, b),)),) = windows.items()
+            block = "\n".join(texts[path].split("\n")[a - 1 : b])
+            if len(block.encode()) > self.limits.page_bytes:
+                key = str(uuid.uuid4())
+                self._going_on[key] = (path, AC.Continuations(block, self.limits.page_bytes))
+                while len(self._going_on) > self.limits.snapshots:
+                    self._going_on.popitem(last=False)
+                out = self._source_page(Cursor(key, "source", 0))
+                out.rows[0] |= {"start_line": a, "end_line": b}
+                return out
         rows, room, cut_off = [], self.limits.page_bytes, False
         for path, spans in windows.items():
             lines = texts[path].split("\n")
@@ -487,7 +515,9 @@ class Engine:
         if len(rows) > self.limits.validated_sources:
             rows = [x | {"status": "unknown"} if i >= self.limits.validated_sources else x for i, x in enumerate(rows)]
         worst = next((x for x in ("stale", "unknown", "current") if any(y["status"] == x for y in rows)), "current")
-        return Result("validate", "sources", rows, {"returned": len(rows)}, worst != "current", [] if worst == "current" else [f"saved evidence is {worst}"], facts={"validity": worst})
+        # Evidence that was partial when it was saved stays so, however current its sources are.
+        reasons = ([] if worst == "current" else [f"saved evidence is {worst}"]) + s.facts.get("stored_reasons", [])
+        return Result("validate", "sources", rows, {"returned": len(rows)}, bool(reasons), reasons, facts={"validity": worst})
 
     def _capabilities(self, r: Request) -> Result:
         given = frozenset((lang, c) for lang in (self.syntax.languages if self.syntax else ()) for c in FI.CAPABILITIES.get(lang, ()))

@@ -101,6 +101,11 @@ class SnapshotRegistry:
         while len(self._gone) > 10 * self.capacity:
             self._gone.popitem(last=False)
 
+    def note(self, key: str, facts: dict[str, Any]) -> None:
+        """Keep something about a snapshot that is still held."""
+        if key in self._held:
+            self._held[key].facts |= facts
+
     def get(self, cursor: Cursor | str, kind: str | None = None) -> tuple[Snapshot, Cursor]:
         c = Cursor.parse(cursor) if isinstance(cursor, str) else cursor
         now = self.clock()

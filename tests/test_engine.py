@@ -166,6 +166,20 @@ def test_a_short_context_gives_summaries(spark):
     assert len(Engine(df, remaining=0.05).search({"mode": "matches", "pattern": "needle"}).rows) < 40
 
 
+def test_a_long_block_goes_on_by_cursor(spark):
+    text = "def f():\n" + "".join(f"    x{i} = 'é'\n" for i in range(60))
+    engine = Engine(spark.createDataFrame([("a.py", text)], "path string, text string"), limits=Limits(page_bytes=300))
+    out = engine.search({"mode": "inspect", "path": "a.py", "line": 3})
+    parts = [out.rows[0]["text"]]
+    while out.cursor:
+        assert out.partial and len(out.rows[0]["text"].encode()) <= 300
+        cursor, out = out.cursor, engine.search({"mode": "inspect", "cursor": out.cursor})
+        parts.append(out.rows[0]["text"])
+    assert "".join(parts) == text and len(parts) > 2 and engine.search({"mode": "inspect", "cursor": cursor}).rows[0]["text"] == parts[-1]
+    with pytest.raises(EvidenceError):
+        engine.search({"mode": "inspect", "cursor": cursor[:-1] + ("1" if cursor[-1] != "1" else "2")})
+
+
 def test_credentials_are_not_listed():
     home = workspace.Path.home()
     for p in (home / ".config/gh/x", home / ".netrc", home / ".password-store", "/proc/1", "/x/.ssh/id"):
