@@ -35,6 +35,8 @@ def languages(sources: DataFrame) -> DataFrame:
 def capabilities(sources: DataFrame, providers: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:
     """``language, capability, available, sources`` for every known language, zero where it has no source."""
     spark = sources.sparkSession
-    rows = [(name, c, (name, c) in BUILT_IN | providers) for name, cs in CAPABILITIES.items() for c in cs]
+    listed = {(name, c) for name, cs in CAPABILITIES.items() for c in cs}
+    # A provider may have more than the list.
+    rows = [(*pair, pair in BUILT_IN | providers) for pair in sorted(listed | providers)]
     known = spark.createDataFrame(rows, "language string, capability string, available boolean")
     return known.join(languages(sources), "language", "left").select("language", "capability", "available", F.coalesce("sources", F.lit(0)).alias("sources"))

@@ -30,6 +30,8 @@ class SyntaxProvider(Protocol):
     """Facts of source code; ``languages`` are those it can parse.  A source that it can't parse raises SyntaxError."""
 
     languages: frozenset[str]
+    #: What it gives for each of them.
+    offers: frozenset[str]
 
     def functions(self, text: str) -> list[tuple[str, int, int]]: ...
 
@@ -74,6 +76,7 @@ class PythonSyntax:
     """Python by its own parser."""
 
     languages = frozenset({"python"})
+    offers = frozenset({"roles", "structure"})
 
     def functions(self, text: str) -> list[tuple[str, int, int]]:
         """(name, start, end) of functions and methods, without their decorators."""

@@ -520,7 +520,7 @@ class Engine:
         return Result("validate", "sources", rows, {"returned": len(rows)}, bool(reasons), reasons, facts={"validity": worst})
 
     def _capabilities(self, r: Request) -> Result:
-        given = frozenset((lang, c) for lang in (self.syntax.languages if self.syntax else ()) for c in FI.CAPABILITIES.get(lang, ()))
+        given = frozenset((lang, c) for lang in self.syntax.languages for c in self.syntax.offers) if self.syntax else frozenset()
         rows = FI.capabilities(self._scoped(r), given).orderBy("language", "capability").collect()
         return self._coverage(r, Result("capabilities", "languages", [x.asDict() for x in rows], {"returned": len(rows)}))
 
