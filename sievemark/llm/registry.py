@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, host_rules, html_extract, language_id, mixing, near_dedup, packing, perspectives, resampling, warc
+from . import centroids, differencing, exact_dedup, host_rules, html_extract, language_id, mixing, near_dedup, packing, perspectives, phrases, resampling, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,21 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), labels.where("quality = 1"), resampling.target_share(labels))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector; see :func:`centroids.cluster`."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_multiway_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in near-equal sequences of at most 2048 tokens; see :func:`differencing.pack_documents`."""
+    return differencing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of every language; see :func:`phrases.collocations`."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -77,6 +92,9 @@ def queries() -> dict[str, Query]:
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_importance_resampling": op10_importance_resampling,
+        "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_multiway_differencing": op12_multiway_differencing,
+        "op13_phrase_collocations": op13_phrase_collocations,
     }
 
 
@@ -206,6 +224,61 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def _op11() -> str:
+    """Five rounds of assignment and update, written out one after the other."""
+    near = """SELECT v.vec_id, v.x, min({{'d': list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))), 'k': c.k}}) AS m
+  FROM v CROSS JOIN c{0} c GROUP BY v.row, v.vec_id, v.x"""
+    parts = [r"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+s AS (SELECT x, row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, 'null')), x) - 1 AS k FROM v),
+c0 AS MATERIALIZED (SELECT k, x FROM s WHERE k < 40)"""]
+    for r in range(5):
+        parts.append(f"""a{r} AS MATERIALIZED ({near.format(r)}),
+u{r} AS (SELECT m.k AS k, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2),
+n{r} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM u{r} GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(n{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN n{r} ON n{r}.k = c{r}.k)""")
+    parts.append(f"a5 AS MATERIALIZED ({near.format(5)})")
+    return ",\n".join(parts) + r"""
+SELECT vec_id, m.k::INT AS cluster, m.d::BIGINT AS distance, (sum(m.d) OVER (PARTITION BY m.k))::BIGINT AS cluster_inertia,
+       (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c5.x, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON c5.k = a5.m.k
+"""
+
+
+_OP13 = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS piece, lang, words FROM (
+    SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words FROM (
+      SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+      FROM documents))
+  WHERE len(words) > 0),
+w AS (SELECT piece, lang, unnest(words) AS word, unnest(range(len(words))) AS i FROM p),
+t AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+s AS (
+  SELECT lang, word AS w1, lead(word, 1) OVER k AS w2, lead(word, 2) OVER k AS w3, lead(word, 3) OVER k AS w4, lead(word, 4) OVER k AS w5
+  FROM w WINDOW k AS (PARTITION BY piece ORDER BY i)),
+g AS (
+  SELECT lang, [w1] AS ws FROM s UNION ALL SELECT lang, [w1, w2] FROM s WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, [w1, w2, w3] FROM s WHERE w3 IS NOT NULL UNION ALL SELECT lang, [w1, w2, w3, w4] FROM s WHERE w4 IS NOT NULL
+  UNION ALL SELECT lang, [w1, w2, w3, w4, w5] FROM s WHERE w5 IS NOT NULL),
+f AS (SELECT lang, ws, array_to_string(ws, ' ') AS phrase, count(*) AS a FROM g GROUP BY lang, ws HAVING count(*) >= 100),
+d AS (
+  SELECT DISTINCT x.lang, x.phrase FROM f x JOIN f y ON x.lang = y.lang AND len(y.ws) > len(x.ws) AND y.a >= x.a
+  AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') WHERE len(x.ws) > 1),
+c AS (
+  SELECT lang, phrase, a, ws, unnest(range(1, len(ws))) AS k FROM f WHERE len(ws) > 1 AND NOT EXISTS (SELECT 1 FROM d WHERE d.lang = f.lang AND d.phrase = f.phrase)),
+q AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, t.n, (1000 * c.a::HUGEINT * t.n) // (x.a::HUGEINT * y.a) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1:c.k] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[c.k + 1:] JOIN t ON t.lang = c.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS weak FROM q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE weak = 1)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM z WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_host_rules": _OP3,
@@ -214,4 +287,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_mix_sources": _OP7,
         "op8_minhash_near_dedup": _OP8,
         "op9_exact_dedup": _OP9,
+        "op11_centroid_clustering": _op11(),
+        "op13_phrase_collocations": _OP13,
     }
