@@ -6,9 +6,9 @@ states enumerate substrings with the number of their end positions; these counts
 
 A frequent phrase has only frequent words and frequent pairs of words.  So words are counted first, then pairs of
 frequent words, and the automata are built over what stands between rare ones: nothing that could be frequent is lost,
-however few of it a shard holds.  What is frequent comes back to each shard by a join, as the numbers that the shard
-itself gave it, so no task holds the vocabulary of the corpus.  Pairs are counted under 64-bit hashes, where two that
-meet can only let a rare pair through; phrases are counted under their texts.
+however few of it a shard holds.  What is frequent comes back to the shards as a Bloom filter of fixed size, whatever the
+corpus.  It can let rare words and pairs through, which costs work and changes no result: all that is told
+is counted under its text.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut, release, remove, shared_dir
+from .common import cut, release, remove, shared_dir
 from .vectext import LOWER, U64, keys, mix, word_hashes
 
 #: Words of a shard, about.
@@ -31,6 +31,8 @@ SHARD_WORDS = 1_000_000
 #: Bytes of text that are taken apart at a time; a longer piece is taken whole.
 SLICE_BYTES = 1 << 20
 SALTS = 64
+#: Bits of a filter as a power of two (16 MiB), and of the slices that tasks make of it.
+FILTER_BITS, SLICE_BITS = 27, 17
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAP = _BREAK.copy()
@@ -120,15 +122,44 @@ def without_rare(numbers: np.ndarray, kept: np.ndarray, size: int) -> np.ndarray
     return numbers[1:][(numbers[1:] > 0) | (numbers[:-1] > 0)]
 
 
-def _with_words(batches):
+# Filters
+
+
+def places(hashes: np.ndarray) -> np.ndarray:
+    """Two bits of a filter for each hash."""
+    h = mix(hashes)
+    return np.stack((h >> U64(64 - FILTER_BITS), h & U64((1 << FILTER_BITS) - 1))).astype(np.int64)
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = places(hashes)
+    return ((bits[at >> 3] >> (at & 7)) & 1).all(axis=0)
+
+
+def _positions(batches):
     for batch in batches:
-        for i in range(len(batch)):
-            kept = np.sort(batch.column(5)[i].values.to_numpy())
-            words, n = batch.column(2)[i].values, batch.column(3)[i].values
-            numbers = without_rare(np.frombuffer(batch.column(4)[i].as_buffer(), np.int32), kept, len(words))
-            take = pa.array(kept)
-            if len(numbers):
-                yield _shard_row(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), words.take(take), n.take(take).to_numpy(), numbers)
+        yield pa.RecordBatch.from_arrays([pa.array(places(batch.column(0).to_numpy().astype(U64)).ravel())], names=["place"])
+
+
+def _bits(batches):
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at = batch.column(1).to_numpy()
+        for part in np.unique(at >> SLICE_BITS).tolist():
+            bits = held.setdefault(part, np.zeros(1 << SLICE_BITS, bool))
+            bits[at[at >> SLICE_BITS == part] & ((1 << SLICE_BITS) - 1)] = True
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(b, bitorder="little").tobytes() for b in held.values()], pa.binary())], names=["part", "bits"])
+
+
+def bloom(hashes: DataFrame) -> np.ndarray:
+    """The filter of a table of one column of hashes; slices of it are made by tasks, and put together here."""
+    at = hashes.mapInArrow(_positions, "place long").select(F.shiftright("place", SLICE_BITS).alias("part"), "place").repartition("part")
+    out = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    width = 1 << SLICE_BITS - 3
+    for row in at.mapInArrow(_bits, "part long, bits binary").toLocalIterator():
+        out[row.part * width : (row.part + 1) * width] = np.frombuffer(row.bits, np.uint8)
+    return out
 
 
 # Pairs
@@ -149,17 +180,34 @@ def _hashes(words: pa.Array, lang: str) -> np.ndarray:
     return word_hashes(np.frombuffer(texts.buffers()[2], np.uint8), offsets[:-1], offsets[1:]) ^ salt
 
 
-def _pairs(batches, places: bool):
+def _word_hashes(batches):
+    for batch in batches:
+        for lang in batch.column(0).unique().to_pylist():
+            words = batch.column(1).filter(pc.equal(batch.column(0), lang))
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(words, lang).astype(np.int64))], names=["hash"])
+
+
+def _frequent(batches, words_filter):
+    """``lang, words, hashes, numbers`` of each shard without the words that the filter tells to be rare."""
+    bits = words_filter.value
     for batch in batches:
         for i in range(len(batch)):
-            words = batch.column(2)[i].values
-            _, kind, left, right = pairs(np.frombuffer(batch.column(4)[i].as_buffer(), np.int32), len(words))
-            h = _hashes(words, batch.column(1)[i].as_py())
-            pair = pa.array(mix(h[left] * _ODD + h[right]).astype(np.int64))
-            if places:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), batch.column(0)[i].as_py())), pair, pa.array(np.arange(len(left)))], names=["shard", "pair", "number"])
-            else:
-                yield pa.RecordBatch.from_arrays([pair, pa.array(np.bincount(kind, minlength=len(left)).astype(np.int64))], names=["pair", "n"])
+            lang, words = batch.column(1)[i].as_py(), batch.column(2)[i].values
+            h = _hashes(words, lang)
+            kept = np.flatnonzero(may_hold(bits, h))
+            numbers = without_rare(np.frombuffer(batch.column(3)[i].as_buffer(), np.int32), kept, len(words))
+            if len(numbers):
+                yield lang, words.take(pa.array(kept)), h[kept], numbers
+
+
+def _pairs(batches, words_filter):
+    for _, words, h, numbers in _frequent(batches, words_filter):
+        _, kind, left, right = pairs(numbers, len(words))
+        yield pa.RecordBatch.from_arrays([pa.array(pair_hashes(h, left, right).astype(np.int64)), pa.array(np.bincount(kind, minlength=len(left)).astype(np.int64))], names=["pair", "n"])
+
+
+def pair_hashes(h: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(h[left] * _ODD + h[right])
 
 
 # Automata
@@ -235,61 +283,42 @@ class SuffixAutomaton:
                 yield m, texts, self.count[self.state[m - 1]]
 
 
-def _phrases(batches, depth: int):
-    for batch in batches:
-        for i in range(len(batch)):
-            words = batch.column(2)[i].values
-            automaton = SuffixAutomaton(np.frombuffer(batch.column(4)[i].as_buffer(), np.int32), len(words), batch.column(5)[i].values.to_numpy(), depth)
-            for m, texts, n in automaton.substrings(words):
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(1)[i].as_py()] * len(n), pa.string()), texts, pa.array(np.full(len(n), m, np.int32)), pa.array(n, pa.int64())], names=["lang", "phrase", "m", "n"])
+def _phrases(batches, words_filter, pairs_filter, depth: int):
+    for lang, words, h, numbers in _frequent(batches, words_filter):
+        _, _, left, right = pairs(numbers, len(words))
+        allowed = np.flatnonzero(may_hold(pairs_filter.value, pair_hashes(h, left, right)))
+        for m, texts, n in SuffixAutomaton(numbers, len(words), allowed, depth).substrings(words):
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), texts, pa.array(np.full(len(n), m, np.int32)), pa.array(n, pa.int64())], names=["lang", "phrase", "m", "n"])
 
 
 # Over all shards
 
 
-def _small(df: DataFrame, size: Column) -> DataFrame:
-    """A settled table, marked for broadcast if it is measured to fit; a larger one is joined by a shuffle."""
-    held = df.agg(F.sum(size)).first()[0] or 0
-    return F.broadcast(df) if held <= BROADCAST_BYTES else df
-
-
-def _back(rows: DataFrame, frequent: DataFrame, by: list[str], size: Column) -> DataFrame:
-    """``shard_, numbers_``: for each shard the numbers that it gave to what is frequent."""
-    found = rows.join(_small(frequent.select(*by), size), by, "left_semi")
-    return cut(found.groupBy(F.col("shard").alias("shard_")).agg(F.collect_list("number").alias("numbers_")))
-
-
-def _joined(shards: DataFrame, lists: DataFrame) -> DataFrame:
-    return shards.join(_small(lists, F.size("numbers_") * 8 + 32), shards["shard"] == lists["shard_"]).select(*_SHARD_NAMES, "numbers_")
-
-
 def frequent_phrases(docs: DataFrame, least: int = 100, depth: int = 5, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, m, a`` of all phrases of 1 to ``depth`` words that occur ``least`` times, and ``lang, total``: the
     words of each language.  Both are settled."""
     spark = docs.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/phrases-{uuid.uuid4().hex}"
     rows = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"), F.coalesce(docs[lang_col], F.lit("und")).alias("lang"))
+    rows.mapInArrow(partial(_shards, shard_words=shard_words), _SHARD).write.option("compression", "zstd").parquet(base)
+    shards = spark.read.schema(_SHARD).parquet(base)
+    coded = shards.select("shard", "lang", "words", "numbers")
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"{base}/{name}")
-        return spark.read.schema(_SHARD).parquet(f"{base}/{name}")
-
-    all_shards = stored(rows.mapInArrow(partial(_shards, shard_words=shard_words), _SHARD), "all")
-    totals = cut(all_shards.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y)).alias("total")))
-    counted = all_shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("number", "w")).select("shard", "lang", "number", F.col("w.words").alias("phrase"), F.col("w.n").alias("n"))
+    totals = cut(shards.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y)).alias("total")))
+    counted = shards.select("lang", F.explode(F.arrays_zip("words", "n")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.n").alias("n"))
     words = cut(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
-    lists = _back(counted.drop("n"), words, ["lang", "phrase"], F.octet_length("lang") + F.octet_length("phrase") + 64)
-    shards = stored(_joined(all_shards, lists).mapInArrow(_with_words, _SHARD), "kept")
-    remove(spark, f"{base}/all")
-    release(lists)
-
-    frequent = cut(shards.mapInArrow(partial(_pairs, places=False), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    lists = _back(shards.mapInArrow(partial(_pairs, places=True), "shard long, pair long, number long"), frequent, ["pair"], F.lit(64))
-    found = _joined(shards, lists).mapInArrow(partial(_phrases, depth=depth), "lang string, phrase string, m int, n long")
+    words_filter = spark.sparkContext.broadcast(bloom(words.select("lang", "phrase").mapInArrow(_word_hashes, "hash long")))
+
+    frequent = coded.mapInArrow(partial(_pairs, words_filter=words_filter), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("pair")
+    pairs_filter = spark.sparkContext.broadcast(bloom(frequent))
+
+    found = coded.mapInArrow(partial(_phrases, words_filter=words_filter, pairs_filter=pairs_filter, depth=depth), "lang string, phrase string, m int, n long")
     longer = found.groupBy("lang", "phrase", "m").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     phrases = cut(words.select("lang", "phrase", F.lit(1).alias("m"), "a").union(longer))
-    release(words, frequent, lists)
+    release(words)
     remove(spark, base)
+    words_filter.destroy()
+    pairs_filter.destroy()
     return phrases, totals
 
 

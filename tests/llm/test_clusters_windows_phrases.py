@@ -243,3 +243,15 @@ def test_automaton_states_are_sets_of_end_positions():
         if len(g) == max(own) and len(g) > 1:
             outside = [g[i:] for i in range(1, len(g)) if state[g[i:]] != s]
             assert a.link[s] == (state[outside[0]] if outside else -1)
+
+
+def test_filters_lose_nothing(spark, monkeypatch):
+    hashes = np.random.default_rng(1).integers(-(2**63), 2**63, 3000)
+    df = spark.createDataFrame([(int(h),) for h in hashes], "hash long")
+    bits = phrases.bloom(df)
+    assert len(bits) == 1 << phrases.FILTER_BITS - 3 and phrases.may_hold(bits, hashes.astype(np.uint64)).all()
+    assert phrases.may_hold(bits, np.arange(100_000, dtype=np.uint64)).mean() < 0.01
+    # A full filter lets everything through, and the result is the same.
+    monkeypatch.setattr(phrases, "may_hold", lambda bits, hashes: np.ones(len(hashes), bool))
+    numbers = np.array([0, 1, 2, 3, 0, 3, 1], np.int32)
+    assert phrases.without_rare(numbers, np.array([0, 2]), 3).tolist() == [2, 1, 0]
