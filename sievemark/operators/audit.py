@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..errors import EvidenceError
 from ..functions import text as T
 from ..functions.pattern import Pattern
+from ..session import cut
+from ..sources.corpus import content_hash
 
 
 def audit(sources: DataFrame, literals: Mapping[str, str], complete: bool = True, ignore_case: bool | None = None) -> DataFrame:
@@ -33,6 +35,20 @@ def audit(sources: DataFrame, literals: Mapping[str, str], complete: bool = True
     return sums.select(F.explode(rows).alias("x")).select("x.*").withColumn("status", status)
 
 
+def manifest(sources: DataFrame) -> DataFrame:
+    """``path, version`` of the sources, settled: what they were when this was called, whatever becomes of them."""
+    return cut(sources.select("path", content_hash(F.col("text")).alias("version")))
+
+
+def staleness(saved: DataFrame, current: DataFrame) -> DataFrame:
+    """``path, status, reason`` of a settled manifest against the sources (``path, text``) as they are now."""
+    known = validate(saved, current.select("path", content_hash(F.col("text")).alias("version")))
+    there = current.select(F.col("path").alias("p_")).distinct().withColumn("there_", F.lit(True))
+    reason = F.when(F.col("status") == "current", F.lit(None).cast("string")).when(F.col("there_").isNull(), F.lit("the source is gone")).when(F.col("status") == "stale", F.lit("the source has changed")).otherwise(F.lit("a version of the source is unknown"))
+    # A source without a saved version can't be told apart from what it was, gone or not.
+    return known.join(there, known["path"] == there["p_"], "left").select("path", "status", reason.alias("reason"))
+
+
 def closure(before: DataFrame, after: DataFrame, ignored: DataFrame | None = None, skipped: int = 0) -> bool:
     """Whether a scan between two inventories (``path, version``) was complete: nothing changed, ignored or skipped."""
     if skipped or (ignored is not None and not ignored.isEmpty()):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -88,7 +89,32 @@ def greedy_dedupe(candidates: DataFrame, key: str = "path", rank: str = "rank")
 
 
 def smallest_enclosing(points: DataFrame, ranges: DataFrame, key: str = "path") -> DataFrame:
-    """For each point (``key, at``) the shortest range (``key, name, start, end``) that holds it."""
-    j = points.join(ranges, key).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
-    best = F.min_by(F.struct("name", "start", "end"), F.struct(F.col("end") - F.col("start"), F.col("start"), F.col("name")))
-    return j.groupBy(key, "at").agg(best.alias("x")).select(key, "at", "x.name", "x.start", "x.end")
+    """For each point (``key, at``) the shortest range (``key, name, start, end``) that holds it; of equally short ones
+    the first by start and name.
+
+    A sweep over the sorted starts and points of a key holds the ranges that are open, shortest on top; those that have
+    ended are taken off when they get there.  So its time grows with points and ranges, not with their product,
+    and its memory with the ranges that are open at once.
+    """
+    p = points.select(key, F.col("at").cast("long").alias("at"), F.lit(1).alias("side_"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("end")).distinct()
+    r = ranges.select(key, F.col("start").cast("long").alias("at"), F.lit(0).alias("side_"), "name", F.col("end").cast("long").alias("end")).where("end > at")
+    kind = points.schema[key].dataType.simpleString()
+
+    def sweep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, open_ = object(), []
+        for part in parts:
+            rows = []
+            for k, at, side, name, end in zip(part[key].tolist(), part["at"].tolist(), part["side_"].tolist(), part["name"].tolist(), part["end"].tolist()):
+                if k != now:
+                    now, open_ = k, []
+                if side == 0:
+                    heappush(open_, (int(end) - at, at, name is None, name))
+                    continue
+                while open_ and open_[0][0] + open_[0][1] <= at:
+                    heappop(open_)
+                if open_:
+                    length, start, _, name = open_[0]
+                    rows.append((k, at, name, start, start + length))
+            yield pd.DataFrame(rows, columns=[key, "at", "name", "start", "end"])
+
+    return p.unionByName(r).repartition(key).sortWithinPartitions(key, "at", "side_").mapInPandas(sweep, f"{key} {kind}, at long, name string, start long, end long")

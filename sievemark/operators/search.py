@@ -21,10 +21,11 @@ from ..functions import text as T
 from ..functions.pattern import Pattern, escape
 
 
-def matching_lines(sources: DataFrame, pattern: Pattern, *keys: str, ranges: bool = False) -> DataFrame:
-    """``keys, line_no, line, n`` (matches in the line) and, with ``ranges``, ``occurrences``."""
+def matching_lines(sources: DataFrame, pattern: Pattern, *keys: str, ranges: bool = False, places: bool = False) -> DataFrame:
+    """``keys, line_no, line, n`` (matches in the line) and, with ``ranges``, ``occurrences``; with ``places`` also
+    ``at``, where the line begins in its text."""
     near = sources.where(T.may_match(F.col("text"), pattern))
-    hit = T.lines(near, *keys).where(T.matches(F.col("line"), pattern))
+    hit = (T.placed_lines if places else T.lines)(near, *keys).where(T.matches(F.col("line"), pattern))
     out = hit.withColumn("n", T.occurrence_count(F.col("line"), pattern))
     return out.withColumn("occurrences", T.occurrences(F.col("line"), pattern)) if ranges else out
 
@@ -114,10 +115,10 @@ def _has_any(column: str, terms: list[str]) -> Column:
     return reduce(Column.__or__, [F.col(column).contains(t) for t in terms])
 
 
-def _occurring(batches, terms: list[str], by_line: bool):
+def _occurring(batches, terms: list[str], by_line: bool, places: bool):
     for batch in batches:
         names = batch.schema.names[:-1]
-        rows, index, number, start, end = [], [], [], [], []
+        rows, index, number, start, end, place = [], [], [], [], [], []
         for r, text in enumerate(batch.column(len(names)).to_pylist()):
             begins = [0, *accumulate(len(line) + 1 for line in text.split("\n"))] if by_line else [0]
             for i, term in enumerate(terms):
@@ -128,15 +129,18 @@ def _occurring(batches, terms: list[str], by_line: bool):
                     index.append(i)
                     number.append(line)
                     start.append(at - begins[line - 1])
+                    place.append(begins[line - 1])
                     at = text.find(term, at + len(term))
             end += [a + len(terms[i]) for a, i in zip(start[len(end) :], index[len(end) :])]
         keys = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(len(names))]
         out = [*keys, pa.array(index, pa.int32()), pa.array([terms[i] for i in index], pa.string()), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
-        yield pa.RecordBatch.from_arrays(out, names=[*names, "term_index", "term", "line_no", "start", "end"])
+        more = [pa.array(place, pa.int64())] if places else []
+        yield pa.RecordBatch.from_arrays(out + more, names=[*names, "term_index", "term", "line_no", "start", "end", "at"][: len(out + more)])
 
 
-def any_of(sources: DataFrame, terms: Sequence[str], *keys: str, by_line: bool = True) -> DataFrame:
-    """``keys, term_index, term, line_no, start, end`` for each occurrence of each term, case-sensitive.
+def any_of(sources: DataFrame, terms: Sequence[str], *keys: str, by_line: bool = True, places: bool = False) -> DataFrame:
+    """``keys, term_index, term, line_no, start, end`` for each occurrence of each term, case-sensitive; with ``places``
+    also ``at``, where its line begins in the text.
 
     Offsets count from the start of the line, or without ``by_line`` from the start of the text (and ``line_no`` is 1).
     Occurrences of one term don't overlap; those of different terms may.  One pass reads the text for all terms, in time
@@ -145,9 +149,9 @@ def any_of(sources: DataFrame, terms: Sequence[str], *keys: str, by_line: bool =
     terms, keys = checked_terms(terms, 2, 64), keys or ("path",)
     near = sources.where(_has_any("text", terms)).select(*keys, "text")
     schema = near.drop("text").schema
-    for name, kind in (("term_index", IntegerType()), ("term", StringType()), ("line_no", IntegerType()), ("start", LongType()), ("end", LongType())):
+    for name, kind in (("term_index", IntegerType()), ("term", StringType()), ("line_no", IntegerType()), ("start", LongType()), ("end", LongType()), *([("at", LongType())] if places else [])):
         schema = schema.add(name, kind)
-    return near.mapInArrow(partial(_occurring, terms=terms, by_line=by_line), schema)
+    return near.mapInArrow(partial(_occurring, terms=terms, by_line=by_line, places=places), schema)
 
 
 def term_counts(sources: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -172,10 +176,18 @@ def all_of(sources: DataFrame, terms: Sequence[str], *keys: str) -> DataFrame:
 
 
 def all_of_within(occurrences: DataFrame, scopes: DataFrame, n_terms: int) -> DataFrame:
-    """``path, scope`` for scopes (``path, scope, start, end``) that hold all terms of ``any_of`` style occurrences."""
-    j = occurrences.join(scopes.withColumnRenamed("start", "s_").withColumnRenamed("end", "e_"), "path")
-    inside = j.where((F.col("start") >= F.col("s_")) & (F.col("end") <= F.col("e_")))
-    return inside.groupBy("path", "scope").agg(F.count_distinct("term").alias("k")).where(F.col("k") == n_terms).select("path", "scope")
+    """``path, scope`` for scopes (``path, scope, start, end``) that hold all terms of ``any_of`` style occurrences.
+
+    One sweep over the starts of a source, from behind: of each term only the occurrence that ends first among those
+    that begin no earlier can decide.
+    """
+    first = [F.when(F.col("term_index") == i, F.col("end")) for i in range(n_terms)]
+    o = occurrences.select("path", "start", "end", "term_index", F.lit(None).cast("string").alias("scope"))
+    both = o.unionByName(scopes.select("path", "start", "end", F.lit(None).cast("int").alias("term_index"), "scope"))
+    # At the same place the occurrences come first, so that a scope sees them.
+    w = Window.partitionBy("path").orderBy(F.desc("start"), F.col("term_index").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.select("path", "scope", "end", "term_index", *[F.min(f).over(w).alias(f"e{i}_") for i, f in enumerate(first)])
+    return seen.where(F.col("term_index").isNull() & reduce(Column.__and__, [F.col(f"e{i}_") <= F.col("end") for i in range(n_terms)])).select("path", "scope").distinct()
 
 
 def in_changed_lines(found: DataFrame, changes: DataFrame) -> DataFrame:
@@ -185,10 +197,19 @@ def in_changed_lines(found: DataFrame, changes: DataFrame) -> DataFrame:
     return j.where(F.exists("ranges_", lambda r: (F.col("line_no") >= r["start_line"]) & (F.col("line_no") <= r["end_line"]))).drop("ranges_")
 
 
-def with_role(occurrences: DataFrame, roles: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """Occurrences that lie wholly inside an interval of a wanted role (``path, role, start, end``), each range once."""
-    r = roles.where(F.col("role").isin(*wanted)).select("path", F.col("start").alias("s_"), F.col("end").alias("e_"))
-    return occurrences.join(r, "path").where((F.col("start") >= F.col("s_")) & (F.col("end") <= F.col("e_"))).drop("s_", "e_").dropDuplicates(["path", "start", "end"])
+def with_role(occurrences: DataFrame, roles: DataFrame, wanted: Sequence[str], *apart: str) -> DataFrame:
+    """Occurrences that lie wholly inside an interval of a wanted role (``path, role, start, end``), each range once, or
+    once for each of what ``apart`` names.
+
+    One sweep over the starts of a source: an interval that begins no later and ends no earlier exists if the furthest
+    end so far is far enough.  An empty occurrence must begin before that end.
+    """
+    r = roles.where(F.col("role").isin(*wanted)).select("path", "start", "end", F.lit(0).alias("side_"))
+    packed = occurrences.dropDuplicates(["path", "start", "end", *apart]).select("path", "start", "end", F.lit(1).alias("side_"), F.struct(*occurrences.columns).alias("o_"))
+    both = packed.unionByName(r.withColumn("o_", F.lit(None).cast(packed.schema["o_"].dataType)))
+    w = Window.partitionBy("path").orderBy("start", "side_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = both.withColumn("reach_", F.max(F.when(F.col("side_") == 0, F.col("end"))).over(w))
+    return reach.where("side_ = 1 AND reach_ >= end AND reach_ > start").select("o_.*")
 
 
 def modified_between(rows: DataFrame, column: str, after: object = None, before: object = None, keep_unknown: bool = False) -> DataFrame:
@@ -240,12 +261,21 @@ def preview_windows(found: DataFrame, per_source: int = 2, before: int = 3, heig
     return lines.select("path", F.explode(starts).alias("start_line")).select("path", "start_line", (F.col("start_line") + height - 1).alias("end_line"))
 
 
-def in_text(found: DataFrame, sources: DataFrame, *more: str) -> DataFrame:
-    """``path, start, end`` (and ``more``) counted from the start of the text, of ranges (``path, line_no, start,
-    end``) that count from the start of their line."""
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    begin = T.lines(sources).select("path", "line_no", F.length("line").alias("k")).select("path", "line_no", F.coalesce(F.sum(F.col("k") + 1).over(w), F.lit(0)).alias("at"))
-    return found.join(begin, ["path", "line_no"]).select("path", *more, (F.col("start") + F.col("at")).alias("start"), (F.col("end") + F.col("at")).alias("end"))
+def in_text(found: DataFrame, *more: str) -> DataFrame:
+    """``path, start, end`` (and ``more``) of each occurrence of lines that were found with their places, counted from
+    the start of the text.  The scan has told where lines begin, so nothing is read or joined again."""
+    each = found.select("path", *more, "at", F.explode("occurrences").alias("o_"))
+    return each.select("path", *more, (F.col("o_.start") + F.col("at")).alias("start"), (F.col("o_.end") + F.col("at")).alias("end"))
+
+
+def only_inside(found: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Lines (``path, line_no, n, occurrences, at, ...``) with those of their occurrences alone that lie wholly inside a
+    range (``path, start, end`` in the text); lines that have none go."""
+    each = found.select("path", "line_no", "at", F.explode("occurrences").alias("x_")).select("path", "line_no", "x_", (F.col("x_.start") + F.col("at")).alias("start"), (F.col("x_.end") + F.col("at")).alias("end"))
+    hit = with_role(each, ranges.select("path", F.lit("").alias("role"), "start", "end"), [""])
+    kept = hit.groupBy(F.col("path").alias("p_"), F.col("line_no").alias("l_")).agg(F.sort_array(F.collect_list("x_")).alias("x_"))
+    j = found.join(kept, (F.col("path") == F.col("p_")) & (F.col("line_no") == F.col("l_")))
+    return j.select(*[F.size("x_").cast("long").alias(c) if c == "n" else F.col("x_").alias(c) if c == "occurrences" else F.col(c) for c in found.columns])
 
 
 def byte_matches(contents: DataFrame, literal: bytes, *keys: str) -> DataFrame:

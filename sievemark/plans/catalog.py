@@ -552,9 +552,9 @@ def concept(spark, d):
 @query()
 def hybrid(spark, d):
     docs = corpus.documents(spark, d)
-    exact = S.matching_lines(docs, Pattern("thing", literal=True), ranges=True).select("path", "line_no", F.explode("occurrences").alias("r")).select("path", "line_no", "r.start", "r.end")
+    exact = S.matching_lines(docs, Pattern("thing", literal=True), ranges=True, places=True)
     # Overlaps go before the best are taken, so no passage may be left out here.
-    return M.hybrid(S.in_text(exact, docs), M.concept(docs, "thing", M.HashingEncoder(), None), 3)
+    return M.hybrid(S.in_text(exact), M.concept(docs, "thing", M.HashingEncoder(), None), 3)
 
 
 @query(

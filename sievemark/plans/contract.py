@@ -9,32 +9,56 @@ from typing import Any
 
 from ..errors import EvidenceError
 
-# The modes and the fields that each accepts.
-_COMMON = ("mode", "redact")
-_FILTERS = ("path", "glob", "exclude", "hidden")
-_ORDINARY = (
-    *_COMMON, "pattern", *_FILTERS, "ignorePolicy", "literal", "ignoreCase", "context", "limit", "scope", "wholeWord", "modifiedAfter", "modifiedBefore",
-    "anyOf", "allOf", "within", "roles", "changes", "maxFilesToParse", "cursor", "matchIndex",
-)
-_NAVIGATION = (*_COMMON, *_FILTERS, "line", "symbol", "cursor", "matchIndex", "maxFilesToParse")
-FIELDS: dict[str, tuple[str, ...]] = {
-    "auto": _ORDINARY,
-    "summary": _ORDINARY,
-    "matches": _ORDINARY,
-    "audit": (*_COMMON, "patterns", *_FILTERS, "ignorePolicy"),
-    "inspect": (*_COMMON, "path", "line", "cursor", "matchIndex", "matchIndices", "targets"),
-    "outline": (*_COMMON, "path", "line", "symbol", "cursor", "matchIndex", "maxFilesToParse"),
-    "imports": _NAVIGATION,
-    "tests": _NAVIGATION,
-    "files": (*_COMMON, "query", *_FILTERS, "modifiedAfter", "modifiedBefore"),
-    "structure": (*_COMMON, "pattern", *_FILTERS, "maxFilesToParse"),
-    "concept": (*_COMMON, "query", *_FILTERS, "maxFilesToParse"),
-    "hybrid": (*_COMMON, "query", *_FILTERS, "conceptLimit", "maxFilesToParse"),
-    "validate": (*_COMMON, "cursor", "matchIndex"),
-    "capabilities": (*_COMMON, *_FILTERS),
-    "await": ("mode", "operationId"),
-    "cancel": ("mode", "operationId"),
+# The names of modes and fields.  Which mode takes a field is said once, at the field.
+_SEARCH = ("auto", "summary", "matches")
+_PLACES = ("outline", "imports", "tests")
+_GRAPH = ("imports", "tests")
+_MEANING = ("concept", "hybrid")
+_WHOLE = ("audit", "files", "structure", "capabilities", *_MEANING)
+_WAITING = ("await", "cancel")
+MODES = (*_SEARCH, "audit", "inspect", *_PLACES, "files", "structure", *_MEANING, "validate", "capabilities", *_WAITING)
+_TAKEN_BY: dict[str, tuple[str, ...]] = {
+    "mode": MODES,
+    "redact": tuple(m for m in MODES if m not in _WAITING),
+    "operationId": _WAITING,
+    # What is looked for.
+    "pattern": (*_SEARCH, "structure"),
+    "anyOf": _SEARCH,
+    "allOf": _SEARCH,
+    "patterns": ("audit",),
+    "query": ("files", *_MEANING),
+    "targets": ("inspect",),
+    # How it is read.
+    "literal": _SEARCH,
+    "ignoreCase": _SEARCH,
+    "wholeWord": _SEARCH,
+    "within": _SEARCH,
+    "roles": _SEARCH,
+    "changes": _SEARCH,
+    # Where.
+    "path": (*_SEARCH, "inspect", *_PLACES, *_WHOLE),
+    "glob": (*_SEARCH, *_GRAPH, *_WHOLE),
+    "exclude": (*_SEARCH, *_GRAPH, *_WHOLE),
+    "hidden": (*_SEARCH, *_GRAPH, *_WHOLE),
+    "ignorePolicy": (*_SEARCH, "audit"),
+    "scope": _SEARCH,
+    "modifiedAfter": (*_SEARCH, "files"),
+    "modifiedBefore": (*_SEARCH, "files"),
+    "line": ("inspect", *_PLACES),
+    "symbol": _PLACES,
+    # How much.
+    "context": _SEARCH,
+    "limit": _SEARCH,
+    "conceptLimit": ("hybrid",),
+    "maxFilesToParse": (*_SEARCH, *_PLACES, "structure", *_MEANING),
+    # From where it goes on.
+    "cursor": (*_SEARCH, "inspect", *_PLACES, "validate"),
+    "matchIndex": (*_SEARCH, "inspect", *_PLACES, "validate"),
+    "matchIndices": ("inspect",),
 }
+FIELDS: dict[str, tuple[str, ...]] = {mode: tuple(f for f, modes in _TAKEN_BY.items() if mode in modes) for mode in MODES}
+#: Fields of a search for a pattern that several terms have no use for.
+_PATTERN_ONLY = ("literal", "ignoreCase", "wholeWord", "context")
 #: Fields that mean nothing in a mode, so that leaving them out does not change the request.
 DROPPABLE = {"files": ("scope",)}
 #: What is deliberately not offered.
@@ -46,7 +70,7 @@ class Limits:
     """Bounds that are part of the results' meaning; each is a parameter."""
 
     retained_lines: int = 50_000
-    retained_occurrences: int = 200_000
+    retained_occurrences: int = 50_000
     retained_bytes: int = 32 << 20
     line_characters: int = 500
     page_bytes: int = 16_384
@@ -126,6 +150,8 @@ def _bounds(r: Request, limits: Limits) -> None:
     number("limit", 1, limits.page_matches)
     number("conceptLimit", 1, limits.max_concept_limit)
     number("line", 1, 2**53 - 1)
+    number("matchIndex", 1, 2**53 - 1)
+    number("maxFilesToParse", 1, 2**53 - 1)
     for name in ("glob", "exclude"):
         v = r.get(name)
         if v is not None and (not isinstance(v, (list, tuple)) or len(v) > limits.globs or any(not isinstance(x, str) or not x or len(x) > limits.path_characters for x in v)):
@@ -156,14 +182,28 @@ def _shape(r: Request) -> None:
             raise EvidenceError("several terms have no summary", "E_SELECTOR", issues=["mode"])
         if r.get("within") and not r.get("allOf"):
             raise EvidenceError("within needs allOf", "E_SELECTOR", issues=["within"])
+        useless = [n for n in _PATTERN_ONLY if r.get(n) is not None] if asked[0] in ("anyOf", "allOf") else []
+        if r.get("scope") == "auto" and asked[0] in ("anyOf", "allOf"):
+            useless.append("scope")
+        if r.get("matchIndex") is not None:
+            useless.append("matchIndex")
+        if asked[0] == "cursor":
+            useless += [n for n in ("roles", "changes", "context", "path", "exclude") if r.get(n) is not None]
+        if useless:
+            raise EvidenceError(f"{asked[0]} is not combined with {', '.join(useless)}", "E_SELECTOR", issues=useless)
     elif r.mode == "audit":
         need("patterns")
     elif r.mode in ("files", "concept", "hybrid"):
         need("query")
     elif r.mode == "structure":
         need("pattern")
-    elif r.mode in ("outline", "imports", "tests"):
-        need("path")
+    elif r.mode in _PLACES:
+        if r.get("cursor") is None:
+            need("path")
+        elif r.get("path") is not None:
+            raise EvidenceError("a path or a match of a cursor is needed, not both", "E_SELECTOR", issues=["path", "cursor"])
+        if r.get("matchIndex") is not None:
+            need("cursor")
     elif r.mode == "validate":
         need("cursor")
     elif r.mode in ("await", "cancel"):

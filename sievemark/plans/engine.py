@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import uuid
 from collections import OrderedDict
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ from ..operators import stats as ST
 from ..operators import structure as X
 from ..operators import syntax as SX
 from ..operators.changes import changed_lines
-from ..session import cut
+from ..operators.budget import prefix
+from ..session import cut, release
 from ..sources.corpus import content_hash
 from .contract import Limits, Request, context_tier, page_room, parse, summary_room
 from .operations import Operations
@@ -65,19 +68,24 @@ class Session:
 
 
 class Engine:
-    """``sources``: ``path, text`` and optionally ``mtime_ms`` and ``ignored``; ``current`` gives them as they are now,
-    for validation.  ``base`` is an earlier version of the sources for ``changes``."""
+    """``sources``: ``path, text`` and optionally ``mtime_ms`` and ``ignored``, as a table or as a function that reads it.
+
+    A function is called for each request, so that a search sees what a rewritten corpus holds now; a table stands for
+    the files that it was made of.  ``current`` gives the sources as they are now, for validation and audits; by default it
+    is the function.  ``base`` is an earlier version of the sources for ``changes``."""
 
     def __init__(
-        self, sources: DataFrame, *, current=None, base: DataFrame | None = None, encoder: M.Encoder | None = None, judge: M.Judge | None = None, syntax: SX.SyntaxProvider | None = None,
+        self, sources: DataFrame | Callable[[], DataFrame], *, current: Callable[[], DataFrame] | None = None, base: DataFrame | None = None, encoder: M.Encoder | None = None, judge: M.Judge | None = None, syntax: SX.SyntaxProvider | None = None,
         facts: Mapping[str, DataFrame] | None = None, limits: Limits = Limits(), clock=None, partial_reasons: list[str] | None = None, remaining: float | None = None,
     ):
-        self.sources, self.current, self.base = sources, current or (lambda: sources), base
+        self.read = sources if callable(sources) else lambda: sources
+        self.sources = self.read()
+        self.current, self.base = current or self.read, base
         self.encoder, self.judge, self.syntax, self.facts, self.limits = encoder, judge, syntax, facts, limits
         self.reasons = partial_reasons or []
         #: The share of the reader's context that is left, if known; it bounds pages.
         self.remaining = remaining
-        spark = sources.sparkSession
+        spark = self.sources.sparkSession
         timed = {"clock": clock} if clock else {}
         self.snapshots = SnapshotRegistry(limits.snapshots, limits.snapshot_seconds, **timed)
         self.operations = Operations(spark, **timed)
@@ -86,6 +94,8 @@ class Engine:
 
     def search(self, raw: Mapping[str, Any]) -> Result:
         request = parse(raw, self.limits)
+        if request.mode not in ("await", "cancel", "validate"):
+            self.sources = self.read()
         going_on = request.get("cursor") is not None and request.mode in ("auto", "matches", "summary")
         if request.mode not in ("await", "cancel"):
             self.session.continued += going_on
@@ -126,8 +136,22 @@ class Engine:
             if r.get("allOf"):
                 return self._all_of(r)
             return self._content(r)
+        if r.mode in ("outline", "imports", "tests") and r.get("cursor"):
+            r = self._chosen(r)
         return getattr(self, f"_{r.mode}")(r)
 
+    def _chosen(self, r: Request) -> Request:
+        """The request at the place of a saved match: ``matchIndex``, or the first one from the cursor."""
+        s, c = self.snapshots.get(r.get("cursor"))
+        index = r.get("matchIndex", c.offset + 1)
+        found = s.rows.where(F.col("ord") == index).collect() if "path" in s.rows.columns else []
+        if not found:
+            raise EvidenceError(f"the saved result has no place {index}", "E_MATCH_INDEX")
+        match = found[0].asDict()
+        line = match.get("line_no", match.get("line"))
+        more = {"line": line} if line is not None and r.get("line") is None and r.get("symbol") is None and r.mode != "tests" else {}
+        return Request(r.mode, {**{k: v for k, v in r.fields.items() if k not in ("cursor", "matchIndex")}, "path": match["path"], **more})
+
     # Scope
 
     def _scoped(self, r: Request, path: bool = True) -> DataFrame:
@@ -172,19 +196,26 @@ class Engine:
 
     def _content(self, r: Request) -> Result:
         p = self._pattern(r)
+        placed = r.get("changes") is not None or bool(r.get("roles"))
+
+        def scan(sources: DataFrame) -> DataFrame:
+            # The scan itself says which version of a source its matches come from.
+            versioned = sources.select("path", "text", content_hash(F.col("text")).alias("version"))
+            return cut(S.matching_lines(versioned, p, "path", "version", ranges=True, places=placed))
+
         scoped, unknown = self._timed(self._scoped(r), r, True)
-        found = cut(S.matching_lines(scoped, p, ranges=True))
+        found = scan(scoped)
         expanded = False
         if r.get("path") and r.get("scope") != "strict" and found.isEmpty():
             scoped, unknown = self._timed(self._scoped(r, path=False), r, True)
-            found = cut(S.matching_lines(scoped, p, ranges=True))
+            release(found)
+            found = scan(scoped)
             expanded = not found.isEmpty()
         if r.get("changes") is not None:
-            if self.base is None:
-                raise CapabilityError("there is no earlier version to compare with", "E_CHANGES")
-            found = cut(S.in_changed_lines(found, self._changed_ranges(scoped)))
+            found = self._replaced(found, S.only_inside(found, self._changed_ranges(scoped)))
         if r.get("roles"):
-            found, unparsed = self._in_roles(found, r.get("roles"), scoped)
+            intervals, unparsed = self._roles(found, r, scoped)
+            found = self._replaced(found, S.only_inside(found, intervals))
             unknown = unknown + unparsed
         total = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("path")).first()
         a = F.element_at("occurrences", 1)
@@ -192,7 +223,8 @@ class Engine:
         keep = shown.select("path", "line_no", "excerpt", "occurrences", "n", "size_")
         if total[0] > self.limits.retained_lines:
             keep = keep.orderBy("path", "line_no").limit(self.limits.retained_lines)
-        snap = self.snapshots.add("matches", keep, ["path", "line_no"], {"pattern": p, "expanded": expanded})
+        manifest = cut(found.select("path", "version").distinct())
+        snap = self.snapshots.add("matches", keep, ["path", "line_no"], {"pattern": p, "expanded": expanded}, manifest)
         counts = {"found": int(total[0]), "retained": snap.count, "occurrences": int(total[1]), "files": int(total[2])}
         facts = {"expanded_to_root": expanded, "snapshot": snap.id}
         reasons = list(unknown)
@@ -217,8 +249,16 @@ class Engine:
             out.rows = self._with_context(first, scoped, r.get("context", 0))
             out.cursor = str(after) if after else None
         out.counts["returned"] = len(out.rows)
+        release(found)
         return self._coverage(r, out)
 
+    @staticmethod
+    def _replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+        """A settled table in place of the one that it was made of."""
+        settled = cut(new)
+        release(old)
+        return settled
+
     def _with_context(self, rows, scoped: DataFrame, context: int) -> list[dict]:
         out = [{k: v for k, v in x.asDict(recursive=True).items() if k != "size_"} for x in rows]
         if not context or not out:
@@ -249,25 +289,33 @@ class Engine:
         return Result(c.kind, "lines" if sized else "items", out, {"retained": s.count, "returned": len(out)}, cursor=str(after) if after else None, facts={"snapshot": s.id})
 
     def _changed_ranges(self, scoped: DataFrame) -> DataFrame:
+        """``path, start, end``: what has changed in the sources, as ranges of their texts.
+
+        Changed lines reach to the start of the next one, so an occurrence that goes on into an unchanged line is in
+        none of them, nor is an empty one where that begins.  A last line without a line feed reaches one place further,
+        so that an empty one at its end is in it.
+        """
+        if self.base is None:
+            raise CapabilityError("there is no earlier version to compare with", "E_CHANGES")
         old, new = self.base.select("path", "text"), scoped.select("path", "text")
-        ranges = changed_lines(old, new).where("side = 'new'").select("path", "start_line", "end_line")
-        added = new.join(old.select("path"), "path", "left_anti").select("path", F.lit(1).cast("long").alias("start_line"), F.lit(2**53).cast("long").alias("end_line"))
+        lines = changed_lines(old, new).where("side = 'new'").select("path", "start_line", "end_line")
+        starts = new.join(lines.select("path").distinct(), "path", "left_semi").select("path", T.line_starts("text").alias("s_"))
+        at = lambda line: F.element_at("s_", line.cast("int"))
+        ranges = lines.join(starts, "path").select("path", at(F.col("start_line")).alias("start"), at(F.col("end_line") + 1).alias("end"))
+        added = new.join(old.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("start"), (F.length("text") + F.when(F.col("text").endswith("\n"), 0).otherwise(1)).cast("long").alias("end"))
         return ranges.union(added)
 
-    def _in_roles(self, found: DataFrame, wanted: list[str], scoped: DataFrame) -> tuple[DataFrame, list[str]]:
-        """Matching lines with an occurrence wholly inside a role, and what could not be told."""
-        provider = X.required(self.syntax, "roles")
+    def _roles(self, found: DataFrame, r: Request, scoped: DataFrame) -> tuple[DataFrame, list[str]]:
+        """``path, start, end``: the intervals of some roles in the sources with matches, and what could not be told."""
+        provider, wanted = X.required(self.syntax, "roles"), r.get("roles")
         if set(wanted) - set(SX.ROLES):
             raise EvidenceError(f"roles are {', '.join(SX.ROLES)}", "E_ROLES")
-        near = scoped.join(found.select("path").distinct(), "path", "left_semi")
+        near, more = self._first(scoped.join(found.select("path").distinct(), "path", "left_semi"), r)
         roles = cut(SX.facts(near, provider, "roles"))
-        each = S.in_text(found.select("path", "line_no", F.explode("occurrences").alias("o")).select("path", "line_no", "o.start", "o.end"), near, "line_no")
-        known = roles.where("status = 'ok'").select("path", F.col("name").alias("role"), "start", "end")
-        hit = S.with_role(each, known, wanted).select("path", "line_no").distinct()
-        reasons = self._unparsed(roles)
+        reasons = self._unparsed(roles) + more
         if not near.where(~F.coalesce(P.language(F.col("path")).isin(*sorted(provider.languages)), F.lit(False))).isEmpty():
             reasons.append("some sources with matches are in languages that the provider does not parse")
-        return cut(found.join(hit, ["path", "line_no"], "left_semi")), reasons
+        return roles.where((F.col("status") == "ok") & F.col("name").isin(*wanted)).select("path", "start", "end"), reasons
 
     @staticmethod
     def _unparsed(facts: DataFrame) -> list[str]:
@@ -276,52 +324,92 @@ class Engine:
 
     def _to_parse(self, r: Request) -> tuple[DataFrame, list[str]]:
         """The scoped sources that a provider may parse: the first ``maxFilesToParse`` by path, if that is given."""
-        spoken = self._scoped(r).where(P.language(F.col("path")).isin(*sorted(self.syntax.languages)))
+        return self._first(self._scoped(r).where(P.language(F.col("path")).isin(*sorted(self.syntax.languages))), r)
+
+    @staticmethod
+    def _first(sources: DataFrame, r: Request) -> tuple[DataFrame, list[str]]:
         most = r.get("maxFilesToParse")
         if most is None:
-            return spoken, []
-        first = cut(spoken.select("path").orderBy("path").limit(int(most) + 1))
-        if first.count() <= int(most):
-            return spoken, []
-        last = first.orderBy("path").limit(int(most)).agg(F.max("path")).first()[0]
-        return spoken.where(F.col("path") <= last), ["more sources than maxFilesToParse are in scope"]
+            return sources, []
+        # Ends of a bounded list of paths; a top-k, which no task sorts as a whole.
+        ends = [x["path"] for x in sources.select("path").orderBy("path").limit(int(most) + 1).collect()]
+        if len(ends) <= int(most):
+            return sources, []
+        return sources.where(F.col("path") <= ends[int(most) - 1]), ["more sources than maxFilesToParse are in scope"]
 
     def _any_of(self, r: Request) -> Result:
         """Occurrences of any term.  Counts of terms tell found and retained apart, and have pages of their own."""
-        scoped, terms = self._scoped(r), r.get("anyOf")
-        found = cut(S.any_of(scoped, terms))
+        terms = r.get("anyOf")
+        scoped, unknown = self._timed(self._scoped(r), r, True)
+        versioned = scoped.select("path", "text", content_hash(F.col("text")).alias("version"))
+        near = r.get("changes") is not None or bool(r.get("roles"))
+        found = cut(S.any_of(versioned, terms, "path", "version", places=near))
+        if near:
+            found, reasons = self._near(found, r, scoped)
+            unknown = unknown + reasons
         total, order = found.count(), ["term_index", "path", "line_no", "start"]
-        kept = cut(found.orderBy("path", "line_no", "start", "term_index").limit(self.limits.retained_occurrences)) if total > self.limits.retained_occurrences else found
-        snap = self.snapshots.add("analysis-terms", kept, order)
+        # Kept in the order of terms, as they are listed, up to a number and a size of occurrences.
+        kept = found
+        if total > self.limits.retained_occurrences or total * 512 > self.limits.retained_bytes:
+            sized = found.withColumn("size_", F.octet_length("path") + F.octet_length("term") + 64)
+            kept = cut(prefix(sized.orderBy(*order).limit(self.limits.retained_occurrences), "size_", self.limits.retained_bytes, order).drop("size_"))
+        manifest = cut(found.select("path", "version").distinct())
+        snap = self.snapshots.add("analysis-terms", kept.drop("version"), order, None, manifest)
         retained = {x["term_index"]: x["n"] for x in kept.groupBy("term_index").agg(F.count(F.lit(1)).alias("n")).collect()}
-        counts = [(x["term_index"], x["term"], x["occurrences"], retained.get(x["term_index"], 0), x["sources"], len(x["term"].encode()) + 64) for x in S.term_counts(scoped, terms).collect()]
+        told = {x["term_index"]: (x["n"], x["s"]) for x in found.groupBy("term_index").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("s")).collect()}
+        counts = [(i, t, told.get(i, (0, 0))[0], retained.get(i, 0), told.get(i, (0, 0))[1], len(t.encode()) + 64) for i, t in enumerate(terms)]
         inventory = scoped.sparkSession.createDataFrame(counts, "term_index int, term string, found long, retained long, sources long, size_ long")
         listed = self.snapshots.add("analysis-term-counts", inventory, ["term_index"])
         first, more = self.snapshots.page(Cursor(listed.id, listed.kind, 0), 64, self.limits.term_bytes, "size_")
         per = {x["term"]: (x["found"], x["sources"]) for x in first}
-        rows, after = self.snapshots.page(Cursor(snap.id, snap.kind, 0), self.limits.page_items)
+        rows, after = self.snapshots.page(Cursor(snap.id, snap.kind, 0), r.get("limit", self.limits.page_items))
         facts = {"term_counts": per, "retained_counts": {x["term"]: x["retained"] for x in first}, "snapshot": snap.id, "term_cursor": str(more) if more else None}
-        reasons = ["more occurrences are found than retained"] if total > snap.count else []
+        reasons = unknown + (["more occurrences are found than retained"] if total > snap.count else [])
+        release(found, *([kept] if kept is not found else []))
         out = Result("any-of", "occurrences", [x.asDict() for x in rows], {"found": total, "retained": snap.count, "returned": len(rows)}, bool(reasons), reasons, cursor=str(after) if after else None, facts=facts)
         return self._coverage(r, out)
 
+    def _near(self, found: DataFrame, r: Request, scoped: DataFrame) -> tuple[DataFrame, list[str]]:
+        """Occurrences of terms (with their places) that lie wholly in changed lines and in the roles asked for."""
+        reasons: list[str] = []
+        placed = found.withColumn("from_", F.col("start")).withColumn("to_", F.col("end")).withColumn("start", F.col("start") + F.col("at")).withColumn("end", F.col("end") + F.col("at"))
+        inside = lambda rows, ranges: S.with_role(rows, ranges.select("path", F.lit("").alias("role"), "start", "end"), [""], "term_index")
+        if r.get("changes") is not None:
+            placed = inside(placed, self._changed_ranges(scoped))
+        if r.get("roles"):
+            intervals, reasons = self._roles(found, r, scoped)
+            placed = inside(placed, intervals)
+        return self._replaced(found, placed.withColumn("start", F.col("from_")).withColumn("end", F.col("to_")).select(*[c for c in found.columns if c != "at"])), reasons
+
     def _all_of(self, r: Request) -> Result:
         if r.get("within") != "function":
-            found = cut(S.all_of(self._scoped(r), r.get("allOf")))
-            return self._coverage(r, self._analysis("all-of", "files", found, ["path"]))
+            scoped, unknown = self._timed(self._scoped(r), r, True)
+            versioned = scoped.select("path", "text", content_hash(F.col("text")).alias("version"))
+            if r.get("changes") is not None or r.get("roles"):
+                # A source has all terms if enough is left of each of them where it may stand.
+                hits, more = self._near(cut(S.any_of(S.all_of(versioned, r.get("allOf"), "path", "version", "text"), r.get("allOf"), "path", "version", places=True)), r, scoped)
+                found = cut(hits.groupBy("path", "version").agg(F.count_distinct("term_index").alias("k")).where(F.col("k") == len(r.get("allOf"))).drop("k"))
+                release(hits)
+                unknown = unknown + more
+            else:
+                found = cut(S.all_of(versioned, r.get("allOf"), "path", "version"))
+            return self._syntax(r, self._analysis("all-of", "files", found.select("path"), ["path"], manifest=found), unknown)
+        if r.get("changes") is not None or r.get("roles"):
+            raise EvidenceError("allOf within functions takes neither changes nor roles", "E_SELECTOR", issues=["changes", "roles"])
         provider = X.required(self.syntax, "allOf within functions")
         near, reasons = self._to_parse(r)
+        manifest = A.manifest(near)
         found = cut(SX.all_of_in_functions(near, provider, S.checked_terms(r.get("allOf"))))
         rows = found.where("status = 'ok'").select("path", F.col("name").alias("scope"), "start", "end")
-        return self._syntax(r, self._analysis("all-of", "functions", rows, ["path", "start", "end"]), reasons + self._unparsed(found))
+        return self._syntax(r, self._analysis("all-of", "functions", rows, ["path", "start", "end"], manifest=manifest), reasons + self._unparsed(found))
 
     def _syntax(self, r: Request, out: Result, reasons: list[str]) -> Result:
         out.reasons += reasons
         out.partial |= bool(reasons)
         return self._coverage(r, out)
 
-    def _analysis(self, kind: str, unit: str, rows: DataFrame, order: list[str], snap_kind: str = "analysis", **more: Any) -> Result:
-        snap = self.snapshots.add(snap_kind, rows, order)
+    def _analysis(self, kind: str, unit: str, rows: DataFrame, order: list[str], snap_kind: str = "analysis", manifest: DataFrame | None = None, **more: Any) -> Result:
+        snap = self.snapshots.add(snap_kind, rows, order, None, manifest)
         first, after = self.snapshots.page(Cursor(snap.id, snap_kind, 0), self.limits.page_items)
         return Result(kind, unit, [x.asDict(recursive=True) for x in first], {"found": snap.count, "retained": snap.count, "returned": len(first)}, cursor=str(after) if after else None, facts={"snapshot": snap.id, **more})
 
@@ -337,11 +425,15 @@ class Engine:
 
     def _audit(self, r: Request) -> Result:
         literals = {p["id"]: p["literal"] for p in r.get("patterns")}
-        before = self.sources.select("path", content_hash(F.col("text")).alias("version"))
+        # Settled before the scan; what it is compared with is read behind it.
+        before = A.manifest(self.sources)
         ignored = self.sources.where("ignored") if "ignored" in self.sources.columns and r.get("ignorePolicy") != "include" else None
         scoped = self._scoped(r)
         counted = cut(A.audit(scoped, literals, True))
-        closed = not self.reasons and A.closure(before, self.current().select("path", content_hash(F.col("text")).alias("version")), ignored)
+        after = self.current().select("path", content_hash(F.col("text")).alias("version"))
+        changed = [x["path"] for x in A.changed_files(before, after).orderBy("path").limit(self.limits.page_items).collect()]
+        closed = not self.reasons and not changed and A.closure(before, before, ignored)
+        release(before)
         rows = [x.asDict() for x in counted.orderBy("id").collect()]
         for x in rows:
             if not x["matches"] and not closed:
@@ -349,34 +441,51 @@ class Engine:
             x["reproduction"] = {"mode": "matches", "pattern": x["literal"], "literal": True}
         out = Result("audit", "findings", rows, {"found": len(rows), "returned": len(rows)}, not closed, [] if closed else ["coverage is not complete, so absence can't be told"])
         out.facts["searched_sources"] = scoped.count()
+        if changed:
+            out.facts["changed_sources"] = changed
+            out.reasons.append("sources changed during the scan")
         return self._coverage(r, out)
 
     def _concept(self, r: Request) -> Result:
-        ranked = M.concept(self._scoped(r), r.get("query"), self.encoder)
-        out = self._analysis("concept", "evidence-items", ranked.withColumn("order_", -F.col("ranking_score")), ["order_", "path", "line"])
-        profile = ST.score_profile(ranked, "score").first()
+        encoder, (scoped, reasons) = M.required(self.encoder), self._bounded(r)
+        manifest = A.manifest(scoped)
+        every = cut(M.concept(scoped, r.get("query"), encoder, None))
+        total, order = every.count(), ["order_", "path", "line"]
+        ranked = every.withColumn("order_", -F.col("ranking_score"))
+        if total > self.limits.retained_lines:
+            ranked = ranked.orderBy(*order).limit(self.limits.retained_lines)
+            reasons = reasons + ["more passages are ranked than retained"]
+        out = self._analysis("concept", "evidence-items", ranked, order, manifest=manifest)
+        out.counts["found"] = total
+        profile = ST.score_profile(every, "score").first()
         out.facts["score_profile"] = profile.asDict() if profile else None
-        return self._coverage(r, out)
+        release(every)
+        return self._syntax(r, out, reasons)
 
     def _hybrid(self, r: Request) -> Result:
-        encoder, scoped = M.required(self.encoder), self._scoped(r)
+        encoder, (scoped, reasons) = M.required(self.encoder), self._bounded(r)
         p = Pattern(r.get("query"), literal=True, ignore_case=None)
-        exact = cut(S.matching_lines(scoped, p, ranges=True).select("path", "line_no", F.explode("occurrences").alias("o")).select("path", "line_no", "o.start", "o.end"))
-        # Passages count from the start of the text, matches from the start of their line.
-        placed = cut(S.in_text(exact, scoped))
-        ranked = cut(M.concept(scoped, r.get("query"), encoder))
-        # The exact scan must say the same after the ranking as before it; otherwise the sources changed meanwhile.
-        again = S.matching_lines(scoped, p, ranges=True).select("path", "line_no", F.explode("occurrences").alias("o")).select("path", "line_no", "o.start", "o.end")
-        if not A.same_rows(exact, again):
+        manifest = A.manifest(scoped)
+        # Passages count from the start of the text, and so do these.
+        placed = cut(S.in_text(S.matching_lines(scoped, p, ranges=True, places=True)))
+        # All passages: those that overlap a better one go before the best are taken.
+        ranked = cut(M.concept(scoped, r.get("query"), encoder, None))
+        # The sources must be the same after the ranking as before the scan; otherwise they changed meanwhile.
+        if not A.changed_files(manifest, scoped.select("path", content_hash(F.col("text")).alias("version"))).isEmpty():
             raise EvidenceError("the sources changed during the search", "E_SOURCES_CHANGED", recovery="retry")
         both = M.hybrid(placed, ranked, r.get("conceptLimit", self.limits.concept_limit))
-        snap = self.snapshots.add("analysis-hybrid", both.withColumn("order_", -F.coalesce("score", F.lit(0.0))), ["tier", "order_", "path", "start"])
+        snap = self.snapshots.add("analysis-hybrid", both.withColumn("order_", -F.coalesce("score", F.lit(0.0))), ["tier", "order_", "path", "start"], None, manifest)
         rows = [x.asDict() for x in M.preview(snap.rows, most=self.limits.page_items).collect()]
         counts = {"found": snap.count, "retained": snap.count, "returned": len(rows), "exact": placed.count()}
         out = Result("hybrid", "evidence-items", rows, counts, cursor=str(Cursor(snap.id, snap.kind, 0)) if snap.count > len(rows) else None, facts={"snapshot": snap.id, "close_ranks": M.close_ranks(ranked)})
         if self.judge is not None:
             self._judged(r, out, scoped)
-        return self._coverage(r, out)
+        release(placed, ranked)
+        return self._syntax(r, out, reasons)
+
+    def _bounded(self, r: Request) -> tuple[DataFrame, list[str]]:
+        """The scoped sources: the first ``maxFilesToParse`` by path, if that is given."""
+        return self._first(self._scoped(r), r)
 
     def _judged(self, r: Request, out: Result, scoped: DataFrame) -> None:
         """Classes for the rows of the page; the order follows them, and nothing is removed."""
@@ -398,18 +507,21 @@ class Engine:
         near, reasons = self._to_parse(r)
         if near.isEmpty() and not self._scoped(r).isEmpty():
             raise CapabilityError("no source in scope is in a language that the provider parses", recovery="choose-capability")
+        manifest = A.manifest(near)
         found = cut(SX.facts(near, provider, "structure", r.get("pattern")))
         placed = found.where("status = 'ok'").join(near.select("path", "text"), "path")
         before = F.substring("text", F.lit(1), F.col("start").cast("int"))
         line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
         shown = F.substring("text", (F.col("start") + 1).cast("int"), F.least(F.col("end") - F.col("start"), F.lit(self.limits.line_characters)).cast("int"))
         rows = placed.select("path", line.alias("line"), "start", "end", shown.alias("excerpt"))
-        return self._syntax(r, self._analysis("structure", "occurrences", rows, ["path", "start", "end"]), reasons + self._unparsed(found))
+        return self._syntax(r, self._analysis("structure", "occurrences", rows, ["path", "start", "end"], manifest=manifest), reasons + self._unparsed(found))
 
     def _outline(self, r: Request) -> Result:
         path = r.get("path")
         if not path.lower().endswith((".py", ".pyi")):
             X.required(self.syntax, f"the outline of {path}")
+            if "symbols" not in (self.facts or {}):
+                raise CapabilityError(f"no provider outlines {path}", recovery="choose-capability")
             rows = self.facts["symbols"].where(F.col("path") == path)
             return self._analysis("outline", "symbols", rows, ["start_line"])
         one = self.sources.where(F.col("path") == path)
@@ -507,17 +619,35 @@ class Engine:
         return max(1, line - self.limits.inspect_lines), min(n, line + self.limits.inspect_lines)
 
     def _validate(self, r: Request) -> Result:
-        s, _ = self.snapshots.get(r.get("cursor"))
-        paths = s.rows.select("path").distinct().orderBy("path").limit(self.limits.validated_sources + 1)
-        versions = self.sources.join(paths, "path", "left_semi").select("path", content_hash(F.col("text")).alias("version"))
-        now = self.current().join(paths, "path", "left_semi").select("path", content_hash(F.col("text")).alias("version"))
-        rows = [x.asDict() for x in A.validation_order(A.validate(versions, now)).collect()]
-        if len(rows) > self.limits.validated_sources:
-            rows = [x | {"status": "unknown"} if i >= self.limits.validated_sources else x for i, x in enumerate(rows)]
-        worst = next((x for x in ("stale", "unknown", "current") if any(y["status"] == x for y in rows)), "current")
+        """Saved evidence against the sources as they are now, by the versions that the search read."""
+        s, c = self.snapshots.get(r.get("cursor"))
+        reasons = list(s.facts.get("stored_reasons", []))
+        if s.manifest is None:
+            reasons.append("no source versions are kept with this result")
+            return Result("validate", "sources", [], {"returned": 0}, True, reasons, facts={"validity": "unknown"})
+        saved = s.manifest
+        if "path" in s.rows.columns:
+            kept = s.rows if r.get("matchIndex") is None else s.rows.where(F.col("ord") == r.get("matchIndex"))
+            saved = saved.join(kept.select("path").distinct(), "path", "left_semi")
+        most = self.limits.validated_sources
+        # The first sources by path are checked, up to a bound; the others are unknown, and only counted.
+        first = saved.orderBy("path").limit(most + 1).collect()
+        rest = saved.count() - most if len(first) > most else 0
+        checked = saved.sparkSession.createDataFrame([tuple(x) for x in first[:most]], "path string, version string")
+        try:
+            rows = [x.asDict() for x in A.validation_order(A.staleness(checked, self.current())).collect()]
+        except (PySparkException, Py4JJavaError):
+            # The files behind the sources are not what they were: nothing can be told about any of them.
+            rows = [{"path": x["path"], "status": "unknown", "reason": "the sources can't be read any more"} for x in first[:most]]
+        worst = next((x for x in ("stale", "unknown", "current") if any(y["status"] == x for y in rows)), "unknown")
+        if rest:
+            worst = "unknown" if worst == "current" else worst
+            reasons.append(f"{rest} more sources were not checked")
+        if not rows:
+            reasons.append("no saved source could be checked")
         # Evidence that was partial when it was saved stays so, however current its sources are.
-        reasons = ([] if worst == "current" else [f"saved evidence is {worst}"]) + s.facts.get("stored_reasons", [])
-        return Result("validate", "sources", rows, {"returned": len(rows)}, bool(reasons), reasons, facts={"validity": worst})
+        reasons = ([] if worst == "current" else [f"saved evidence is {worst}"]) + reasons
+        return Result("validate", "sources", rows, {"returned": len(rows), "unchecked": rest}, bool(reasons), reasons, facts={"validity": worst})
 
     def _capabilities(self, r: Request) -> Result:
         given = frozenset((lang, c) for lang in self.syntax.languages for c in self.syntax.offers) if self.syntax else frozenset()

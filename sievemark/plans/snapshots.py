@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..errors import CursorError
 from ..operators.budget import running_sum
-from ..session import cut
+from ..session import cut, release
 
 _DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
 KINDS = ("matches", "summary", "analysis", "analysis-hybrid", "analysis-terms", "analysis-term-counts", "source")
@@ -69,6 +69,8 @@ class Snapshot:
     facts: dict[str, Any]
     made: float
     used: float
+    #: ``path, version`` of the sources that the rows come from, as the search read them.
+    manifest: DataFrame | None = None
     selections: dict[str, list[str]] = field(default_factory=dict)
 
 
@@ -80,8 +82,8 @@ class SnapshotRegistry:
         self._held: OrderedDict[str, Snapshot] = OrderedDict()
         self._gone: OrderedDict[str, None] = OrderedDict()
 
-    def add(self, kind: str, rows: DataFrame, order: list[str], facts: dict[str, Any] | None = None, size: str | None = None) -> Snapshot:
-        """Number the rows in order and settle them; ``size`` names a column of bytes for pages bounded by size.
+    def add(self, kind: str, rows: DataFrame, order: list[str], facts: dict[str, Any] | None = None, manifest: DataFrame | None = None) -> Snapshot:
+        """Number the rows in order and settle them; ``manifest`` is settled already and belongs to the snapshot then.
 
         The numbers come from range partitions in two passes, not from one task that sorts all rows.
         """
@@ -89,14 +91,16 @@ class SnapshotRegistry:
         numbered = running_sum(one, "one_", order).withColumnRenamed("upto_", "ord").withColumn("ord", F.col("ord").cast("long")).drop("one_", "part_")
         settled = cut(numbered)
         now = self.clock()
-        s = Snapshot(str(uuid.uuid4()), kind, settled, settled.count(), facts or {}, now, now)
+        s = Snapshot(str(uuid.uuid4()), kind, settled, settled.count(), facts or {}, now, now, manifest)
         self._held[s.id] = s
         while len(self._held) > self.capacity:
             self._forget(next(iter(self._held)))
         return s
 
     def _forget(self, key: str) -> None:
-        self._held.pop(key)
+        """Drop a snapshot and the files behind it."""
+        gone = self._held.pop(key)
+        release(gone.rows, *([gone.manifest] if gone.manifest is not None else []))
         self._gone[key] = None
         while len(self._gone) > 10 * self.capacity:
             self._gone.popitem(last=False)

@@ -46,7 +46,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(*cuts: DataFrame) -> None:
-    """Delete the files behind frames that :func:`cut` made and that nothing reads any more."""
+    """Delete the files behind frames that :func:`cut` made and that nothing reads any more; other frames are left."""
     for df in cuts:
         name = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
         if name.isDefined():

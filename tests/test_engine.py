@@ -1,3 +1,4 @@
+import os
 import subprocess
 
 import pytest
@@ -153,7 +154,8 @@ def test_terms_found_and_retained(spark):
     df = spark.createDataFrame([(f"p{i}", "ab\n" * 5 + "cd") for i in range(6)], "path string, text string")
     out = Engine(df, limits=Limits(retained_occurrences=10, term_bytes=70)).search({"anyOf": ["ab", "cd"]})
     assert out.counts["found"] == 36 and out.counts["retained"] == 10 and out.partial
-    assert out.facts["term_counts"] == {"ab": (30, 6)} and out.facts["retained_counts"] == {"ab": 9}
+    # Terms are kept in the order in which they are asked for.
+    assert out.facts["term_counts"] == {"ab": (30, 6)} and out.facts["retained_counts"] == {"ab": 10}
     engine = Engine(df, limits=Limits(term_bytes=70))
     first = engine.search({"anyOf": ["ab", "cd"]})
     again = engine.search({"cursor": first.facts["term_cursor"]})
@@ -236,6 +238,141 @@ def test_validation_of_saved_evidence(spark):
     assert out.facts["validity"] == "stale" and out.partial
 
 
+def test_a_source_that_changes_behind_a_search_is_stale(spark, tmp_path):
+    place, other = str(tmp_path / "t"), str(tmp_path / "u")
+    write = lambda rows, to: spark.createDataFrame(rows, "path string, text string").write.mode("overwrite").parquet(to)
+    write(ROWS, place)
+    engine = Engine(lambda: spark.read.parquet(place), encoder=HashingEncoder(), syntax=SX.PythonSyntax())
+    asked = {
+        "matches": {"mode": "matches", "pattern": "needle"}, "analysis-terms": {"anyOf": ["needle", "class"]}, "analysis": {"allOf": ["needle", "class"]},
+        "analysis-hybrid": {"mode": "hybrid", "query": "needle"},
+    }
+    saved = {kind: engine.search(raw) for kind, raw in asked.items()}
+    structure = engine.search({"mode": "structure", "pattern": "class $A: $$$"})
+    status = lambda kind, out, **more: {x["path"]: x["status"] for x in engine.search({"mode": "validate", "cursor": str(Cursor(out.facts["snapshot"], kind, 0)), **more}).rows}
+    assert all(set(status(kind, out).values()) == {"current"} for kind, out in saved.items())
+    write([("src/a.py", "class A: needle = 1\n"), *ROWS[1:3]], other)
+    spark.read.parquet(other).write.mode("overwrite").parquet(place)
+    assert status("matches", saved["matches"]) == {".hidden/d": "stale", "src/a.py": "stale", "src/b.txt": "current", "doc/c.md": "current"}
+    assert status("matches", saved["matches"], matchIndex=2) == {"doc/c.md": "current"}
+    assert status("analysis", saved["analysis"]) == status("analysis", structure) == {"src/a.py": "stale"}
+    assert status("analysis-terms", saved["analysis-terms"])["src/a.py"] == "stale" and status("analysis-hybrid", saved["analysis-hybrid"])[".hidden/d"] == "stale"
+    out = engine.search({"mode": "validate", "cursor": str(Cursor(saved["matches"].facts["snapshot"], "matches", 0))})
+    assert [(r["path"], r["reason"]) for r in out.rows][:2] == [(".hidden/d", "the source is gone"), ("src/a.py", "the source has changed")]
+    # The saved pages are what they were, and a new search sees the new text.
+    assert engine.search({"mode": "matches", "pattern": "class A: needle", "literal": True}).counts["found"] == 1
+
+
+def test_sources_that_cannot_be_read_again_are_unknown(spark, tmp_path):
+    place = str(tmp_path / "t")
+    spark.createDataFrame(ROWS, "path string, text string").write.parquet(place)
+    engine = Engine(spark.read.parquet(place))
+    saved = engine.search({"mode": "matches", "pattern": "needle"})
+    spark.createDataFrame(ROWS[:1], "path string, text string").write.mode("overwrite").parquet(place)
+    out = engine.search({"mode": "validate", "cursor": str(Cursor(saved.facts["snapshot"], "matches", 0))})
+    assert {x["status"] for x in out.rows} == {"unknown"} and out.partial and out.facts["validity"] == "unknown"
+
+
+def test_only_some_sources_are_checked_and_it_is_said(spark):
+    engine = Engine(spark.createDataFrame(ROWS, "path string, text string"), limits=Limits(validated_sources=3))
+    saved = engine.search({"mode": "matches", "pattern": "needle"})
+    out = engine.search({"mode": "validate", "cursor": str(Cursor(saved.facts["snapshot"], "matches", 0))})
+    assert [x["path"] for x in out.rows] == [".hidden/d", "doc/c.md", "src/a.py"] and out.facts["validity"] == "unknown" and "1 more sources were not checked" in out.reasons
+
+
+def test_absence_is_not_told_when_sources_change_during_the_scan(spark, tmp_path, monkeypatch):
+    place, other = str(tmp_path / "t"), str(tmp_path / "u")
+    spark.createDataFrame(ROWS, "path string, text string").write.parquet(place)
+    ask = {"mode": "audit", "patterns": [{"id": "a", "literal": "needle"}, {"id": "b", "literal": "absent"}]}
+    engine = Engine(lambda: spark.read.parquet(place))
+    assert [x["status"] for x in engine.search(ask).rows] == ["present", "absent_with_complete_coverage"]
+    scan = audit.audit
+
+    def slow(*args):
+        out = scan(*args)
+        out.count()
+        spark.createDataFrame([("doc/c.md", "absent\n"), *ROWS[:2]], "path string, text string").write.mode("overwrite").parquet(other)
+        monkeypatch.setattr(audit, "audit", scan)
+        return out
+
+    monkeypatch.setattr(audit, "audit", slow)
+    out = Engine(lambda: spark.read.parquet(place), current=lambda: spark.read.parquet(other)).search(ask)
+    assert [x["status"] for x in out.rows] == ["present", "unknown"] and out.partial and out.facts["changed_sources"] == [".hidden/d", "doc/c.md"]
+
+
+def test_roles_are_those_of_occurrences(spark):
+    text = "x = needle('needle')  # needle needle\n"
+    engine = Engine(spark.createDataFrame([("a.py", text), ("b.py", "needle = 1\n")], "path string, text string"), syntax=SX.PythonSyntax())
+    ask = lambda role: engine.search({"mode": "matches", "pattern": "needle", "roles": [role]})
+    for role, n in (("comment", 2), ("string", 1), ("call", 1)):
+        out = ask(role)
+        assert (out.counts["found"], out.counts["occurrences"], out.counts["files"], out.rows[0]["n"], len(out.rows[0]["occurrences"])) == (1, n, 1, n, n)
+    assert [(x["start"], x["end"]) for x in ask("comment").rows[0]["occurrences"]] == [(24, 30), (31, 37)]
+    assert ask("code").counts["occurrences"] == 2 and ask("declaration").counts["found"] == 0
+    many = engine.search({"anyOf": ["needle", "x ="], "roles": ["comment"]})
+    assert many.counts["found"] == 2 and many.facts["term_counts"] == {"needle": (2, 1), "x =": (0, 0)}
+    assert [r["path"] for r in engine.search({"allOf": ["needle", " = "], "roles": ["code"]}).rows] == ["a.py", "b.py"]
+    assert engine.search({"mode": "matches", "pattern": "needle", "roles": ["code"], "maxFilesToParse": 1}).partial
+
+
+def test_occurrences_lie_wholly_in_changed_lines(spark):
+    base = spark.createDataFrame([("a", "one\ntwo\nthree\n"), ("b", "x\ny")], "path string, text string")
+    now = spark.createDataFrame([("a", "one\nTWO two\nthree\n"), ("b", "x\ny z"), ("c", "two\n")], "path string, text string")
+    engine = Engine(now, base=base)
+    lines = lambda **raw: [(r["path"], r["line_no"]) for r in engine.search({"mode": "matches", "changes": {}, **raw}).rows]
+    assert lines(pattern="two", ignoreCase=False) == [("a", 2), ("c", 1)] and lines(pattern="three") == []
+    # An empty match belongs to the line that it begins in; at the end of a last line without a line feed it counts.
+    assert lines(pattern="^") == [("a", 2), ("b", 2), ("c", 1)] and lines(pattern="$") == [("a", 2), ("b", 2), ("c", 1)]
+    out = engine.search({"anyOf": ["two", "x"], "changes": {}})
+    assert out.facts["term_counts"] == {"two": (2, 2), "x": (0, 0)} and [(r["path"], r["line_no"], r["start"]) for r in out.rows] == [("a", 2, 4), ("c", 1, 0)]
+    assert [r["path"] for r in engine.search({"allOf": ["y", "z"], "changes": {}}).rows] == ["b"] and engine.search({"allOf": ["x", "z"], "changes": {}}).rows == []
+
+
+@pytest.mark.parametrize("raw", [
+    {"anyOf": ["a", "b"], "ignoreCase": True}, {"allOf": ["a", "b"], "literal": True}, {"anyOf": ["a", "b"], "context": 2}, {"pattern": "a", "matchIndex": 1}, {"anyOf": ["a", "b"], "scope": "auto"},
+    {"mode": "outline", "path": "a", "cursor": "x"}, {"mode": "outline", "path": "a", "matchIndex": 1},
+])
+def test_fields_without_use_are_refused(raw):
+    with pytest.raises(EvidenceError):
+        parse(raw)
+
+
+def test_a_saved_match_is_followed(engine):
+    out = engine.search({"mode": "matches", "pattern": "return"})
+    cursor = str(Cursor(out.facts["snapshot"], "matches", 0))
+    assert [r["name"] for r in engine.search({"mode": "outline", "cursor": cursor, "matchIndex": 1}).rows] == ["A", "run"]
+    with pytest.raises(EvidenceError):
+        engine.search({"mode": "outline", "cursor": cursor, "matchIndex": 9})
+
+
+def test_nothing_outlines_other_languages(spark):
+    for facts in (None, {"imports": None}):
+        engine = Engine(spark.createDataFrame(ROWS, "path string, text string"), syntax=SX.PythonSyntax(), facts=facts)
+        with pytest.raises(CapabilityError):
+            engine.search({"mode": "outline", "path": "src/x.ts"})
+
+
+def test_all_passages_take_part(spark):
+    rows = [(f"p{i:02}", "needle here\n" if i % 2 else "other words\n") for i in range(30)]
+    engine = Engine(spark.createDataFrame(rows, "path string, text string"), encoder=HashingEncoder(), limits=Limits(retained_lines=10))
+    out = engine.search({"mode": "concept", "query": "other words"})
+    assert out.partial and out.counts["found"] == 30 and out.counts["retained"] == 10
+    assert out.facts["score_profile"]["n"] == 30 if "n" in out.facts["score_profile"] else True
+    hybrid = engine.search({"mode": "hybrid", "query": "needle"})
+    assert hybrid.counts["exact"] == 15 and not hybrid.partial
+    assert engine.search({"mode": "concept", "query": "x", "maxFilesToParse": 3}).counts["found"] == 3
+
+
+def test_dropped_snapshots_leave_no_files(spark, tmp_path):
+    engine = Engine(spark.createDataFrame(ROWS, "path string, text string"), limits=Limits(snapshots=1))
+    first = engine.search({"mode": "matches", "pattern": "needle"})
+    held, _ = engine.snapshots.get(str(Cursor(first.facts["snapshot"], "matches", 0)))
+    files = [d._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:") for d in (held.rows, held.manifest)]
+    assert all(os.path.isdir(f) for f in files)
+    engine.search({"mode": "matches", "pattern": "class"})
+    assert not any(os.path.isdir(f) for f in files)
+
+
 def test_search_in_changed_lines(spark):
     base = spark.createDataFrame([("src/b.txt", "no\nNeedle and needle\n"), *ROWS[2:]], "path string, text string")
     out = Engine(spark.createDataFrame(ROWS, "path string, text string"), base=base).search({"mode": "matches", "pattern": "needle", "changes": {}})
