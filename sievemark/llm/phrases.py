@@ -58,6 +58,16 @@ def slices(data: np.ndarray):
         a = b
 
 
+def joined(texts: pa.Array):
+    """Some consecutive texts at a time, about ``SLICE_BYTES`` in all, as one: between texts a piece ends."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64) + 1)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, "right")))
+        yield "\n".join(texts.slice(a, b - a).to_pylist()).encode()
+        a = b
+
+
 def piece_words(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The words of some text (A-Z in lower case), and which of them begin a piece."""
     data = LOWER[data]
@@ -101,15 +111,15 @@ def _shards(batches, shard_words: int):
     for batch in batches:
         langs = batch.column(1)
         for lang in langs.unique().to_pylist():
-            texts = batch.column(0).filter(pc.equal(langs, lang))
-            for part in slices(np.frombuffer("\n".join(texts.to_pylist()).encode(), np.uint8)):
-                words, begins = piece_words(part)
-                if len(words):
-                    held.setdefault(lang, []).append((words.dictionary_encode(), begins))
-                    count += len(words)
-                if count >= shard_words:
-                    yield from rows()
-                    held, count = {}, 0
+            for text in joined(batch.column(0).filter(pc.equal(langs, lang))):
+                for part in slices(np.frombuffer(text, np.uint8)):
+                    words, begins = piece_words(part)
+                    if len(words):
+                        held.setdefault(lang, []).append((words.dictionary_encode(), begins))
+                        count += len(words)
+                    if count >= shard_words:
+                        yield from rows()
+                        held, count = {}, 0
     yield from rows()
 
 
@@ -146,10 +156,11 @@ def _bits(batches):
     for batch in batches:
         at = batch.column(1).to_numpy()
         for part in np.unique(at >> SLICE_BITS).tolist():
-            bits = held.setdefault(part, np.zeros(1 << SLICE_BITS, bool))
-            bits[at[at >> SLICE_BITS == part] & ((1 << SLICE_BITS) - 1)] = True
+            bits = held.setdefault(part, np.zeros(1 << SLICE_BITS - 3, np.uint8))
+            own = at[at >> SLICE_BITS == part] & ((1 << SLICE_BITS) - 1)
+            np.bitwise_or.at(bits, own >> 3, (1 << (own & 7)).astype(np.uint8))
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(b, bitorder="little").tobytes() for b in held.values()], pa.binary())], names=["part", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([b.tobytes() for b in held.values()], pa.binary())], names=["part", "bits"])
 
 
 def bloom(hashes: DataFrame) -> np.ndarray:
