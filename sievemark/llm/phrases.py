@@ -27,7 +27,7 @@ from .common import cut, release, remove, shared_dir
 from .vectext import LOWER, U64, keys, mix, word_hashes
 
 #: Words of a shard, about.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 #: Bytes of text that are taken apart at a time; a longer piece is taken whole.
 SLICE_BYTES = 1 << 20
 SALTS = 64
@@ -233,21 +233,22 @@ class SuffixAutomaton:
     equally often.  ``count``, ``longest``, ``shortest`` and ``link`` (-1 at the root) are those of the states.
     """
 
-    def __init__(self, numbers: np.ndarray, size: int, allowed: np.ndarray, depth: int):
-        at, kind, left, right = pairs(numbers, size)
+    def __init__(self, numbers: np.ndarray, size: int, found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], allowed: np.ndarray, depth: int):
+        """``found`` are the :func:`pairs` of the pieces, of which those ``allowed`` may stand in a substring."""
+        at, kind, left, right = found
         words = np.flatnonzero(numbers > 0)
         good = np.zeros(len(left), bool)
         good[allowed] = True
         # node[p] is the number, by length, of the substring that begins at place p, or -1.
         node = np.full(len(numbers) + 1, -1, np.int64)
         node[words] = numbers[words] - 1
-        head, tail, last, found = [None], [None], [np.arange(size)], [np.bincount(node[words], minlength=size)]
+        head, tail, last, often = [None], [None], [np.arange(size)], [np.bincount(node[words], minlength=size)]
         renumber = np.cumsum(good) - 1
         places = at[good[kind]]
         head.append(left[good])
         tail.append(right[good])
         last.append(right[good])
-        found.append(np.bincount(renumber[kind[good[kind]]], minlength=len(head[1])))
+        often.append(np.bincount(renumber[kind[good[kind]]], minlength=len(head[1])))
         node[:] = -1
         node[places] = renumber[kind[good[kind]]]
         for _ in range(3, depth + 1):
@@ -257,10 +258,10 @@ class SuffixAutomaton:
             last.append(last[-1][kinds % wide])
             head.append(kinds // wide)
             tail.append(kinds % wide)
-            found.append(np.bincount(kind, minlength=len(kinds)))
+            often.append(np.bincount(kind, minlength=len(kinds)))
             node[:] = -1
             node[places] = kind
-        self.head, self.tail, self.last, self._found = head, tail, last, found
+        self.head, self.tail, self.last, self._found = head, tail, last, often
         self._states(depth)
 
     def _states(self, depth: int) -> None:
@@ -296,9 +297,9 @@ class SuffixAutomaton:
 
 def _phrases(batches, words_filter, pairs_filter, depth: int):
     for lang, words, h, numbers in _frequent(batches, words_filter):
-        _, _, left, right = pairs(numbers, len(words))
-        allowed = np.flatnonzero(may_hold(pairs_filter.value, pair_hashes(h, left, right)))
-        for m, texts, n in SuffixAutomaton(numbers, len(words), allowed, depth).substrings(words):
+        found = pairs(numbers, len(words))
+        allowed = np.flatnonzero(may_hold(pairs_filter.value, pair_hashes(h, *found[2:])))
+        for m, texts, n in SuffixAutomaton(numbers, len(words), found, allowed, depth).substrings(words):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), texts, pa.array(np.full(len(n), m, np.int32)), pa.array(n, pa.int64())], names=["lang", "phrase", "m", "n"])
 
 
