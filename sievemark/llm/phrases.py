@@ -14,13 +14,14 @@ is counted under its text.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, release, remove, shared_dir
@@ -31,8 +32,10 @@ SHARD_WORDS = 500_000
 #: Bytes of text that are taken apart at a time; a longer piece is taken whole.
 SLICE_BYTES = 1 << 20
 SALTS = 64
-#: Bits of a filter as a power of two (16 MiB), and of the slices that tasks make of it.
-FILTER_BITS, SLICE_BITS = 27, 17
+#: Bits of a filter as a power of two (8 MiB), and of the slices that tasks make of it.
+FILTER_BITS, SLICE_BITS = 26, 17
+#: Documents that a task takes at a time; of shards, which are large, it takes one.
+BATCH_DOCUMENTS = 1000
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAP = _BREAK.copy()
@@ -306,13 +309,26 @@ def _phrases(batches, words_filter, pairs_filter, depth: int):
 # Over all shards
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for what is computed meanwhile: memory follows the size of rows, not their number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def frequent_phrases(docs: DataFrame, least: int = 100, depth: int = 5, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, m, a`` of all phrases of 1 to ``depth`` words that occur ``least`` times, and ``lang, total``: the
     words of each language.  Both are settled."""
     spark = docs.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/phrases-{uuid.uuid4().hex}"
     rows = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"), F.coalesce(docs[lang_col], F.lit("und")).alias("lang"))
-    rows.mapInArrow(partial(_shards, shard_words=shard_words), _SHARD).write.option("compression", "zstd").parquet(base)
+    with batches_of(spark, BATCH_DOCUMENTS):
+        rows.mapInArrow(partial(_shards, shard_words=shard_words), _SHARD).write.option("compression", "zstd").parquet(base)
     shards = spark.read.schema(_SHARD).parquet(base)
     coded = shards.select("shard", "lang", "words", "numbers")
 
@@ -321,13 +337,16 @@ def frequent_phrases(docs: DataFrame, least: int = 100, depth: int = 5, lang_col
     words = cut(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
     words_filter = spark.sparkContext.broadcast(bloom(words.select("lang", "phrase").mapInArrow(_word_hashes, "hash long")))
 
-    frequent = coded.mapInArrow(partial(_pairs, words_filter=words_filter), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("pair")
+    with batches_of(spark, 1):
+        counted = coded.mapInArrow(partial(_pairs, words_filter=words_filter), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        frequent = cut(counted.where(F.col("n") >= least).select("pair"))
     pairs_filter = spark.sparkContext.broadcast(bloom(frequent))
 
-    found = coded.mapInArrow(partial(_phrases, words_filter=words_filter, pairs_filter=pairs_filter, depth=depth), "lang string, phrase string, m int, n long")
-    longer = found.groupBy("lang", "phrase", "m").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    phrases = cut(words.select("lang", "phrase", F.lit(1).alias("m"), "a").union(longer))
-    release(words)
+    with batches_of(spark, 1):
+        found = coded.mapInArrow(partial(_phrases, words_filter=words_filter, pairs_filter=pairs_filter, depth=depth), "lang string, phrase string, m int, n long")
+        longer = found.groupBy("lang", "phrase", "m").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+        phrases = cut(words.select("lang", "phrase", F.lit(1).alias("m"), "a").union(longer))
+    release(words, frequent)
     remove(spark, base)
     words_filter.destroy()
     pairs_filter.destroy()
