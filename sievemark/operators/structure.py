@@ -175,15 +175,17 @@ def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
     return j.select("path", "specifier", F.when(F.col("k") == 1, F.col("c")).alias("target"), reason.alias("reason"))
 
 
-def trace_imports(imports: DataFrame, exports: DataFrame, declarations: DataFrame, files: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
+def trace_imports(imports: DataFrame, exports: DataFrame, declarations: DataFrame, files: DataFrame, hops: int = MAX_HOPS, modules: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
     """``path, local, status, reason, target, name, hops`` for each import binding.
 
     imports: ``path, local, imported, specifier, kind`` (named, default, namespace, side-effect); exports: ``path,
     exported, local, specifier, kind`` (named, default, namespace, star); declarations: ``path, name``.  A name is
     followed through re-exports and local imports to its declaration, at most ``hops`` modules far; a step is a join
-    of what is still open with the fact tables.
+    of what is still open with the fact tables.  ``modules`` says where specifiers lead (:func:`resolve_modules` if it is not
+    given), and ``start`` which of the imports are traced (all of them).
     """
-    modules = resolve_modules(imports.select("path", "specifier").unionByName(exports.where("specifier IS NOT NULL").select("path", "specifier")), files)
+    if modules is None:
+        modules = resolve_modules(imports.select("path", "specifier").unionByName(exports.where("specifier IS NOT NULL").select("path", "specifier")), files)
     m = modules.select(F.col("path").alias("m_path"), F.col("specifier").alias("m_spec"), F.col("target").alias("m_target"), F.col("reason").alias("m_reason"))
     m = cut(m)
     count = lambda d, *k: d.groupBy(*k).agg(F.count(F.lit(1)).alias("n_"), F.first("local").alias("x_local"), F.first("specifier").alias("x_spec"), F.first("kind").alias("x_kind"))
@@ -193,7 +195,7 @@ def trace_imports(imports: DataFrame, exports: DataFrame, declarations: DataFram
     im = imports.where("local IS NOT NULL").groupBy("path", "local").agg(F.count(F.lit(1)).alias("i_n"), F.first("imported").alias("i_imported"), F.first("specifier").alias("i_spec"), F.first("kind").alias("i_kind")).select(F.col("path").alias("i_path"), F.col("local").alias("i_local"), "i_n", "i_imported", "i_spec", "i_kind")
 
     # An open row stands at module ``at`` and follows ``spec`` for ``want``; ``seen`` are the exports it went through.
-    state = imports.select("path", "local", F.col("path").alias("at"), F.col("specifier").alias("spec"), F.col("imported").alias("want"), F.col("kind").alias("how"), F.array().cast("array<string>").alias("seen"))
+    state = (imports if start is None else start).select("path", "local", F.col("path").alias("at"), F.col("specifier").alias("spec"), F.col("imported").alias("want"), F.col("kind").alias("how"), F.array().cast("array<string>").alias("seen"))
     done = []
     for hop in range(1, hops + 1):
         j = state.join(m, (F.col("at") == F.col("m_path")) & F.col("spec").eqNullSafe(F.col("m_spec")), "left")

@@ -39,8 +39,10 @@ class SyntaxProvider(Protocol):
 
     def pattern(self, pattern: str) -> Callable[[str], list[tuple[int, int]]]: ...
 
+    def nodes(self, text: str, most: int) -> list[tuple]: ...
 
-class _Places:
+
+class Places:
     """Offsets in a text from lines and columns; the parser's columns count bytes, those of tokens code points."""
 
     def __init__(self, text: str):
@@ -60,7 +62,7 @@ class _Places:
         return self.of_bytes(n.lineno, n.col_offset), self.of_bytes(n.end_lineno, n.end_col_offset)
 
 
-def _parsed(text: str) -> ast.Module:
+def parsed(text: str) -> ast.Module:
     try:
         return ast.parse(text.replace("\r", " "))  # as long, and lines end at line feeds only
     except (ValueError, RecursionError, MemoryError) as e:
@@ -76,18 +78,18 @@ class PythonSyntax:
     """Python by its own parser."""
 
     languages = frozenset({"python"})
-    offers = frozenset({"roles", "structure"})
+    offers = frozenset({"roles", "structure", "imports", "tests"})
 
     def functions(self, text: str) -> list[tuple[str, int, int]]:
         """(name, start, end) of functions and methods, without their decorators."""
-        places = _Places(text)
-        return sorted((n.name, *places.node(n)) for n in ast.walk(_parsed(text)) if isinstance(n, _FUNCTIONS))
+        places = Places(text)
+        return sorted((n.name, *places.node(n)) for n in ast.walk(parsed(text)) if isinstance(n, _FUNCTIONS))
 
     def roles(self, text: str) -> list[tuple[str, int, int]]:
         """(role, start, end): comments, strings, imports, names that are declared, names that are called, and code
         for all that is neither comment nor string."""
-        places, out = _Places(text), []
-        for n in ast.walk(_parsed(text)):
+        places, out = Places(text), []
+        for n in ast.walk(parsed(text)):
             if isinstance(n, _IMPORTS):
                 out.append(("import", *places.node(n)))
             elif isinstance(n, ast.Call):
@@ -119,6 +121,12 @@ class PythonSyntax:
             out.append(("code", at, len(text)))
         return sorted({*out, *silent}, key=lambda r: (r[1], r[2], r[0]))
 
+    def nodes(self, text: str, most: int) -> list[tuple]:
+        """The tree as rows; see :func:`nodes.python_nodes`."""
+        from .nodes import python_nodes
+
+        return python_nodes(text, most)
+
     def pattern(self, pattern: str) -> Callable[[str], list[tuple[int, int]]]:
         return partial(_structural, wanted=_pattern_nodes(pattern))
 
@@ -203,8 +211,8 @@ def _match_all(wanted: list, nodes: list, bound: dict[str, str]) -> dict[str, st
 
 
 def _structural(text: str, wanted: list[ast.AST]) -> list[tuple[int, int]]:
-    places, out = _Places(text), set()
-    for n in ast.walk(_parsed(text)):
+    places, out = Places(text), set()
+    for n in ast.walk(parsed(text)):
         if len(wanted) == 1:
             if isinstance(n, (ast.expr, ast.stmt)) and _matches(wanted[0], n, {}) is not None:
                 out.add(places.node(n))

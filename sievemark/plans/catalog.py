@@ -16,6 +16,8 @@ from ..operators import audit as A
 from ..operators import budget as B
 from ..operators import changes as C
 from ..operators import files as FI
+from ..operators import modules as MO
+from ..operators import nodes as N
 from ..operators import ranges as G
 from ..operators import search as S
 from ..operators import semantic as M
@@ -739,6 +741,108 @@ def tests(spark, d):
     return X.related_tests(X.trace_imports(*_facts(spark, d)), changed)
 
 
+# Trees, module graphs and scopes of sources that differ in form by their number
+
+#: Statements that sources are put together of, one for each pair of bits of their number; two letters are a language.
+_STATEMENTS = ("{} = f(b)\n", "for i in g(c):\n    h(i)\n", "while t:\n    for j in u:\n        v(j)\n    w()\n", "def k(z):\n    return m(z)\n")
+
+
+def _built_sources(spark, d) -> DataFrame:
+    two = F.coalesce("lang", F.lit("xx"))
+    forms = F.array(*[F.replace(F.lit(t), F.lit("{}"), two) for t in _STATEMENTS])
+    form = lambda i: (F.floor(F.col("doc_id") / F.pow(F.lit(4), i)) % 4 + 1).cast("int")
+    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("doc_id") % 6), lambda i: F.element_at(forms, form(i))), "")
+    return corpus.documents(spark, d).select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), text.alias("text"))
+
+
+#: The nodes of each statement: number, last descendant and parent within it, and where it lies.
+_TREES = """f(form, length, n) AS (VALUES (0, 10, 5), (1, 24, 9), (2, 46, 12), (3, 26, 6)),
+t(form, node, last, parent, kind, name, a, b) AS (VALUES
+(0, 0, 4, -1, 'Assign', NULL, 0, 9), (0, 1, 1, 0, 'Name', '{}', 0, 2), (0, 2, 4, 0, 'Call', 'f', 5, 9), (0, 3, 3, 2, 'Name', 'f', 5, 6), (0, 4, 4, 2, 'Name', 'b', 7, 8),
+(1, 0, 8, -1, 'For', NULL, 0, 23), (1, 1, 1, 0, 'Name', 'i', 4, 5), (1, 2, 4, 0, 'Call', 'g', 9, 13), (1, 3, 3, 2, 'Name', 'g', 9, 10), (1, 4, 4, 2, 'Name', 'c', 11, 12),
+(1, 5, 8, 0, 'Expr', NULL, 19, 23), (1, 6, 8, 5, 'Call', 'h', 19, 23), (1, 7, 7, 6, 'Name', 'h', 19, 20), (1, 8, 8, 6, 'Name', 'i', 21, 22),
+(2, 0, 11, -1, 'While', NULL, 0, 45), (2, 1, 1, 0, 'Name', 't', 6, 7), (2, 2, 8, 0, 'For', NULL, 13, 37), (2, 3, 3, 2, 'Name', 'j', 17, 18), (2, 4, 4, 2, 'Name', 'u', 22, 23),
+(2, 5, 8, 2, 'Expr', NULL, 33, 37), (2, 6, 8, 5, 'Call', 'v', 33, 37), (2, 7, 7, 6, 'Name', 'v', 33, 34), (2, 8, 8, 6, 'Name', 'j', 35, 36),
+(2, 9, 11, 0, 'Expr', NULL, 42, 45), (2, 10, 11, 9, 'Call', 'w', 42, 45), (2, 11, 11, 10, 'Name', 'w', 42, 43),
+(3, 0, 5, -1, 'FunctionDef', 'k', 0, 25), (3, 1, 1, 0, 'arg', 'z', 6, 7), (3, 2, 5, 0, 'Return', NULL, 14, 25), (3, 3, 5, 2, 'Call', 'm', 21, 25), (3, 4, 4, 3, 'Name', 'm', 21, 22), (3, 5, 5, 3, 'Name', 'z', 23, 24)),
+d AS (SELECT 'src/' || doc_id || '.py' AS path, doc_id, coalesce(lang, 'xx') AS two, unnest(range(1 + doc_id % 6)) AS i FROM documents),
+e AS (SELECT path, two, i, ((doc_id >> (2 * i)::INT) & 3)::INT AS form FROM d),
+p AS (SELECT e.*, f.length, f.n, coalesce(sum(length) OVER w, 0)::BIGINT AS base, (1 + coalesce(sum(n) OVER w, 0))::BIGINT AS first
+  FROM e JOIN f ON f.form = e.form WINDOW w AS (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT path, first + node AS node, first + last AS last, CASE WHEN parent < 0 THEN 0 ELSE first + parent END AS parent, kind, replace(name, '{}', two) AS name, base + a AS "start", base + b AS "end", t.form, t.node AS own
+  FROM p JOIN t ON t.form = p.form)"""
+
+
+@query(
+    f"""WITH {_TREES} SELECT path, node, last, parent, kind, name, "start", "end" FROM x
+UNION ALL SELECT path, 0, sum(n)::BIGINT, NULL, 'Module', NULL, 0, sum(length)::BIGINT FROM p GROUP BY path"""
+)
+def syntax_nodes(spark, d):
+    return N.node_table(_built_sources(spark, d), SX.PythonSyntax()).select("path", "node", "last", "parent", "kind", "name", "start", "end")
+
+
+@query(f"""WITH {_TREES} SELECT path, node, name, "start", "end" FROM x WHERE kind = 'Call' AND form IN (1, 2)""")
+def calls_in_loops(spark, d):
+    return N.calls_in_loops(N.node_table(_built_sources(spark, d), SX.PythonSyntax()))
+
+
+@query(f"""WITH {_TREES} SELECT path, node, name, 'k' AS function FROM x WHERE kind = 'Call' AND form = 3""")
+def calls_in_functions(spark, d):
+    return N.enclosing_functions(cut(N.node_table(_built_sources(spark, d), SX.PythonSyntax())))
+
+
+def _package_sources(spark, d) -> DataFrame:
+    """Packages of five sources each: one re-exports what the next declares, others import it by relative and absolute names."""
+    k, form = F.col("doc_id"), F.col("doc_id") % 5
+    number = lambda n: (k + n).cast("string")
+    folder = F.concat(F.lit("pkg/s"), (k - form).cast("string"), F.lit("/"))
+    path = F.when(form == 0, F.concat(folder, F.lit("__init__.py"))).otherwise(F.concat(folder, F.lit("m"), number(0), F.lit(".py")))
+    text = (
+        F.when(form == 0, F.concat(F.lit("from .m"), number(1), F.lit(" import f as g\n"))).when(form == 1, F.lit("def f(x):\n    return x\n")).when(form == 2, F.lit("from . import g\n"))
+        .when(form == 3, F.concat(F.lit("import s"), number(-3), F.lit(".m"), number(-2), F.lit(" as q\n")))
+        .otherwise(F.concat(F.lit("from ..s"), number(1), F.lit(".m"), number(2), F.lit(" import f\nimport os\n")))
+    )
+    return corpus.documents(spark, d).select(path.alias("path"), text.alias("text"))
+
+
+@query(
+    """WITH k AS (SELECT doc_id AS k, doc_id % 5 AS form, 'pkg/s' || (doc_id - doc_id % 5) || '/' AS folder FROM documents),
+i AS (
+  SELECT folder || '__init__.py' AS path, 'g' AS local, folder || 'm' || (k + 1) || '.py' AS target, k + 1 AS needs, 'f' AS name, 1 AS hops, 'resolved' AS status FROM k WHERE form = 0
+  UNION ALL SELECT folder || 'm' || k || '.py', 'g', folder || 'm' || (k - 1) || '.py', k - 1, 'f', 2, 'resolved' FROM k WHERE form = 2
+  UNION ALL SELECT folder || 'm' || k || '.py', 'q', folder || 'm' || (k - 2) || '.py', k - 2, '*', 1, 'module' FROM k WHERE form = 3
+  UNION ALL SELECT folder || 'm' || k || '.py', 'f', 'pkg/s' || (k + 1) || '/m' || (k + 2) || '.py', k + 2, 'f', 1, 'resolved' FROM k WHERE form = 4
+  UNION ALL SELECT folder || 'm' || k || '.py', 'os', NULL, -1, '*', 1, 'resolved' FROM k WHERE form = 4)
+SELECT path, local, CASE WHEN h.k IS NULL THEN 'unresolved' ELSE status END AS status,
+       CASE WHEN h.k IS NULL THEN CASE WHEN needs < 0 THEN 'package-or-alias' ELSE 'missing' END END AS reason,
+       CASE WHEN h.k IS NOT NULL THEN target END AS target, name, hops
+FROM i LEFT JOIN k h ON h.k = i.needs"""
+)
+def python_imports(spark, d):
+    sources = _package_sources(spark, d)
+    return MO.python_traces(cut(MO.python_facts(sources)), sources.select("path"))
+
+
+#: Test cases in which a name is used, hidden by a parameter, by a comprehension, by a class, and by an assignment.
+_CASES = (
+    "def test_{}():\n    go(1)\n", "def test_{}(go):\n    go(1)\n", "def test_{}():\n    return [go for go in x] + [go(1)]\n",
+    "class Test{}:\n    go = 1\n    def test_m(self):\n        return go\n", "def test_{}():\n    go = 2\n    return go\n",
+)
+
+
+@query(
+    """WITH c(form, lines, line, name) AS (VALUES (0, 2, 2, 'test_{}'), (1, 2, NULL, NULL), (2, 2, 2, 'test_{}'), (3, 4, 4, 'Test{}.test_m'), (4, 3, NULL, NULL)),
+k AS (SELECT 'tests/test_' || doc_id || '.py' AS path, (doc_id % 5)::INT AS a, ((doc_id // 5) % 5)::INT AS b FROM documents)
+SELECT path, replace(name, '{}', 'a') AS "case", 'go' AS local, (1 + line)::BIGINT AS line FROM k JOIN c ON form = a WHERE line IS NOT NULL
+UNION ALL SELECT path, replace(y.name, '{}', 'b'), 'go', (1 + x.lines + y.line)::BIGINT FROM k JOIN c x ON x.form = a JOIN c y ON y.form = b WHERE y.line IS NOT NULL"""
+)
+def use_sites(spark, d):
+    body = lambda form, name: F.element_at(F.array(*[F.lit(t.replace("{}", name)) for t in _CASES]), (form + 1).cast("int"))
+    text = F.concat(F.lit("from lib import go\n"), body(F.col("doc_id") % 5, "a"), body(F.floor(F.col("doc_id") / 5) % 5, "b"))
+    sources = corpus.documents(spark, d).select(F.concat(F.lit("tests/test_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), text.alias("text"))
+    return MO.python_facts(sources).where("fact = 'use'").select("path", "case", "local", "line")
+
+
 @query(f"WITH {_SOURCES} SELECT lang, count(*) AS \"count\" FROM s GROUP BY lang")
 def class_counts(spark, d):
     return ST.class_counts(corpus.documents(spark, d), "lang")

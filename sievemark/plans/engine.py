@@ -13,7 +13,7 @@ from typing import Any
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CapabilityError, CursorError, EvidenceError
@@ -24,6 +24,7 @@ from ..functions.redaction import redact, redaction_count
 from ..operators import access as AC
 from ..operators import audit as A
 from ..operators import files as FI
+from ..operators import modules as MO
 from ..operators import search as S
 from ..operators import semantic as M
 from ..operators import stats as ST
@@ -534,23 +535,68 @@ class Engine:
             rows = rows.where((F.col("start_line") <= r.get("line")) & (F.col("end_line") >= r.get("line")))
         return self._analysis("outline", "symbols", rows, ["start_line", "name"])
 
-    def _traces(self) -> DataFrame:
-        if not self.facts or not {"imports", "exports", "declarations"} <= set(self.facts):
-            raise CapabilityError("imports need fact tables of a syntax provider", recovery="choose-capability")
-        return X.trace_imports(self.facts["imports"], self.facts["exports"], self.facts["declarations"], self.sources.select("path"))
-
-    def _imports(self, r: Request) -> Result:
-        rows = self._traces().where(F.col("path") == r.get("path"))
+    def _given(self) -> bool:
+        """Whether there are fact tables of another provider."""
+        return bool(self.facts) and {"imports", "exports", "declarations"} <= set(self.facts)
+
+    def _module_facts(self, r: Request) -> tuple[DataFrame, DataFrame, list[str]]:
+        """The facts of the Python sources in scope, the sources, and what could not be told."""
+        provider = X.required(self.syntax, "the module graph")
+        if "imports" not in provider.offers:
+            raise CapabilityError("the syntax provider tells no imports", recovery="choose-capability")
+        if not r.get("path").lower().endswith((".py", ".pyi")):
+            raise CapabilityError(f"no provider reads the imports of {r.get('path')}", recovery="choose-capability")
+        sources, reasons = self._first(self._scoped(r, path=False), r)
+        if sources.where(F.col("path") == r.get("path")).isEmpty():
+            raise EvidenceError(f"there is no source {r.get('path')!r} in scope", "E_PATH_NOT_FOUND")
+        facts = cut(MO.python_facts(sources))
+        return facts, sources, reasons + self._unparsed(facts.select(F.when(F.col("fact") == "syntax-error", F.col("fact")).otherwise(F.lit("ok")).alias("status")))
+
+    def _chosen_imports(self, r: Request) -> Column:
+        """The bindings of a source, of a line of it, or of a name."""
+        wanted = F.col("path") == r.get("path")
         if r.get("line") is not None:
-            raise CapabilityError("the fact tables of imports have no lines; choose a symbol", recovery="choose-capability")
+            wanted = wanted & F.col("line").between(F.lit(-1), r.get("line")) & (F.col("end_line") >= r.get("line"))
         if r.get("symbol"):
-            rows = rows.where((F.col("local") == r.get("symbol")) | (F.col("name") == r.get("symbol")))
-        return self._coverage(r, self._analysis("imports", "evidence-items", rows, ["path", "local"]))
+            wanted = wanted & ((F.col("local") == r.get("symbol")) | (F.col("imported") == r.get("symbol")))
+        return wanted
+
+    def _imports(self, r: Request) -> Result:
+        if self._given():
+            rows, reasons = self._given_traces().where(F.col("path") == r.get("path")), []
+            if r.get("line") is not None:
+                raise CapabilityError("the fact tables of imports have no lines; choose a symbol", recovery="choose-capability")
+            if r.get("symbol"):
+                rows = rows.where((F.col("local") == r.get("symbol")) | (F.col("name") == r.get("symbol")))
+            return self._syntax(r, self._analysis("imports", "evidence-items", rows, ["path", "local"]), reasons)
+        facts, sources, reasons = self._module_facts(r)
+        manifest = A.manifest(sources.where(F.col("path") == r.get("path")))
+        rows = MO.python_traces(facts, sources.select("path"), self._chosen_imports(r))
+        out = self._analysis("imports", "evidence-items", rows, ["path", "local"], manifest=manifest)
+        release(facts)
+        if not out.counts["found"]:
+            reasons = reasons + ["there is no import at that place"]
+        return self._syntax(r, out, reasons)
+
+    def _given_traces(self) -> DataFrame:
+        return X.trace_imports(self.facts["imports"], self.facts["exports"], self.facts["declarations"], self.sources.select("path"))
 
     def _tests(self, r: Request) -> Result:
-        changed = self.sources.where(F.col("path") == r.get("path")).select("path")
-        rows = X.related_tests(self._traces(), changed).withColumn("order_", (~F.col("test_like")).cast("int"))
-        return self._coverage(r, self._analysis("tests", "evidence-items", rows, ["order_", "test", "target"]))
+        if self._given():
+            changed = self.sources.where(F.col("path") == r.get("path")).select("path")
+            rows = X.related_tests(self._given_traces(), changed).withColumn("order_", (~F.col("test_like")).cast("int"))
+            return self._coverage(r, self._analysis("tests", "evidence-items", rows, ["order_", "test", "target"]))
+        facts, sources, reasons = self._module_facts(r)
+        manifest = A.manifest(sources.where((F.col("path") == r.get("path")) | F.col("path").rlike(MO.TEST_SOURCE)))
+        traces = MO.python_traces(facts, sources.select("path"))
+        if r.get("symbol"):
+            # Only imports that end at that name, or at the module that has it.
+            traces = traces.where((F.col("name") == r.get("symbol")) | (F.col("status") == "module"))
+        rows = MO.related_tests(facts, traces, sources, r.get("path"))
+        order = F.when(F.col("association") == "direct", 0).when(F.col("association") == "indirect", 1).otherwise(2)
+        out = self._analysis("tests", "evidence-items", rows.withColumn("order_", order).withColumn("case_", F.coalesce("case", F.lit(""))), ["order_", "test", "case_"], manifest=manifest)
+        release(facts)
+        return self._syntax(r, out, reasons)
 
     def _source_page(self, c: Cursor) -> Result:
         """The next page of a block that did not fit; only offsets that were given out are taken."""
