@@ -7,8 +7,9 @@ states enumerate substrings with the number of their end positions; these counts
 A frequent phrase has only frequent words and frequent pairs of words.  So words are counted first, then pairs of
 frequent words, and the automata are built over what stands between rare ones: nothing that could be frequent is lost,
 however few of it a shard holds.  What is frequent comes back to the shards as a Bloom filter of fixed size, whatever the
-corpus.  It can let rare words and pairs through, which costs work and changes no result: all that is told
-is counted under its text.
+corpus.  It can let rare words and pairs through, which costs work and changes no result.  Pairs are counted under the
+64-bit hashes of their two words, which the table of frequent words turns into texts again (that two of a thousand million
+words meet a frequent one there has a chance of about one in a thousand); longer phrases, few by then, under their texts.
 """
 
 from __future__ import annotations
@@ -194,11 +195,21 @@ def _hashes(words: pa.Array, lang: str) -> np.ndarray:
     return word_hashes(np.frombuffer(texts.buffers()[2], np.uint8), offsets[:-1], offsets[1:]) ^ salt
 
 
-def _word_hashes(batches):
+def _hashed(batches):
     for batch in batches:
         for lang in batch.column(0).unique().to_pylist():
             words = batch.column(1).filter(pc.equal(batch.column(0), lang))
-            yield pa.RecordBatch.from_arrays([pa.array(_hashes(words, lang).astype(np.int64))], names=["hash"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, pa.array(_hashes(words, lang).astype(np.int64))], names=["lang", "word", "hash"])
+
+
+def _pair_hashes(batches):
+    for batch in batches:
+        left, right = (batch.column(c).to_numpy().astype(U64) for c in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(pair_hashes(left, right).astype(np.int64))], names=["hash"])
+
+
+def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * _ODD + right)
 
 
 def _frequent(batches, words_filter):
@@ -217,11 +228,8 @@ def _frequent(batches, words_filter):
 def _pairs(batches, words_filter):
     for _, words, h, numbers in _frequent(batches, words_filter):
         _, kind, left, right = pairs(numbers, len(words))
-        yield pa.RecordBatch.from_arrays([pa.array(pair_hashes(h, left, right).astype(np.int64)), pa.array(np.bincount(kind, minlength=len(left)).astype(np.int64))], names=["pair", "n"])
-
-
-def pair_hashes(h: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix(h[left] * _ODD + h[right])
+        n = np.bincount(kind, minlength=len(left))
+        yield pa.RecordBatch.from_arrays([pa.array(h[left].astype(np.int64)), pa.array(h[right].astype(np.int64)), pa.array(n.astype(np.int64))], names=["left", "right", "n"])
 
 
 # Automata
@@ -301,8 +309,8 @@ class SuffixAutomaton:
 def _phrases(batches, words_filter, pairs_filter, depth: int):
     for lang, words, h, numbers in _frequent(batches, words_filter):
         found = pairs(numbers, len(words))
-        allowed = np.flatnonzero(may_hold(pairs_filter.value, pair_hashes(h, *found[2:])))
-        for m, texts, n in SuffixAutomaton(numbers, len(words), found, allowed, depth).substrings(words):
+        allowed = np.flatnonzero(may_hold(pairs_filter.value, pair_hashes(h[found[2]], h[found[3]])))
+        for m, texts, n in SuffixAutomaton(numbers, len(words), found, allowed, depth).substrings(words, 3):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), texts, pa.array(np.full(len(n), m, np.int32)), pa.array(n, pa.int64())], names=["lang", "phrase", "m", "n"])
 
 
@@ -335,18 +343,22 @@ def frequent_phrases(docs: DataFrame, least: int = 100, depth: int = 5, lang_col
     totals = cut(shards.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y)).alias("total")))
     counted = shards.select("lang", F.explode(F.arrays_zip("words", "n")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.n").alias("n"))
     words = cut(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
-    words_filter = spark.sparkContext.broadcast(bloom(words.select("lang", "phrase").mapInArrow(_word_hashes, "hash long")))
+    hashed = cut(words.select("lang", "phrase").mapInArrow(_hashed, "lang string, word string, hash long"))
+    words_filter = spark.sparkContext.broadcast(bloom(hashed.select("hash")))
 
     with batches_of(spark, 1):
-        counted = coded.mapInArrow(partial(_pairs, words_filter=words_filter), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-        frequent = cut(counted.where(F.col("n") >= least).select("pair"))
-    pairs_filter = spark.sparkContext.broadcast(bloom(frequent))
+        counted = coded.mapInArrow(partial(_pairs, words_filter=words_filter), "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("a"))
+        frequent = cut(counted.where(F.col("a") >= least))
+    pairs_filter = spark.sparkContext.broadcast(bloom(frequent.select("left", "right").mapInArrow(_pair_hashes, "hash long")))
+    side = lambda name: hashed.select(F.col("lang").alias(f"{name}_lang"), F.col("word").alias(f"{name}_word"), F.col("hash").alias(name))
+    both = frequent.join(side("left"), "left").join(side("right"), "right").where(F.col("left_lang") == F.col("right_lang"))
+    two = both.select(F.col("left_lang").alias("lang"), F.concat_ws(" ", "left_word", "right_word").alias("phrase"), F.lit(2).alias("m"), "a")
 
     with batches_of(spark, 1):
         found = coded.mapInArrow(partial(_phrases, words_filter=words_filter, pairs_filter=pairs_filter, depth=depth), "lang string, phrase string, m int, n long")
         longer = found.groupBy("lang", "phrase", "m").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        phrases = cut(words.select("lang", "phrase", F.lit(1).alias("m"), "a").union(longer))
-    release(words, frequent)
+        phrases = cut(words.select("lang", "phrase", F.lit(1).alias("m"), "a").union(two).union(longer))
+    release(words, hashed, frequent)
     remove(spark, base)
     words_filter.destroy()
     pairs_filter.destroy()
