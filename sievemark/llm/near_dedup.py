@@ -6,7 +6,9 @@ each coordinate-value pair.  Two classes that match in at least ``matches`` coor
 joined (prefix), and of those only pairs that a second class has at all.  Inside a group of classes that meet, the
 collisions of the remaining coordinates are not merged but looked up for candidates alone, and candidates that are
 already connected are skipped.  Every link is confirmed on full shingle sets; only a spanning forest leaves a task, so
-groups of copies are not expanded into pairs.  A large group is dealt over tasks in blocks.
+groups of copies are not expanded into pairs.  A large group is dealt over tasks in blocks: first each class meets the one
+class that leads most of its lists, which connects copies; what is still apart then has its collisions counted on
+signatures, block by block, and full sets move only for members that have a candidate there.
 
 ``matches`` lies five standard deviations under the mean of a pair at the threshold: such a pair is missed with a
 chance of a few in a million.
@@ -29,7 +31,7 @@ from .vectext import LOWER, U64, chunks, keys, mix, windows, word_hashes, words
 COORDINATES = 64
 #: Shingles and members that a group of candidates may have in a task; larger groups are dealt in blocks of that size.
 GROUP_SHINGLES = 2_000_000
-GROUP_MEMBERS = 4096
+GROUP_MEMBERS = 512
 _MULTIPLIERS = keys(COORDINATES, 7) | U64(1)
 
 
@@ -101,6 +103,27 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+class _Overlaps:
+    """Exact numbers of shingles that one set shares with every other of a group, from the members of each shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        every = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        _, self.shingle = np.unique(every, return_inverse=True)
+        order = np.argsort(self.shingle, kind="stable")
+        self.members = owner[order].astype(np.int32)
+        self.many = np.bincount(self.shingle)
+        self.first = np.cumsum(self.many) - self.many
+        self.ends = np.concatenate(([0], np.cumsum(self.sizes)))
+
+    def shared(self, i: int) -> np.ndarray:
+        own = self.shingle[self.ends[i] : self.ends[i + 1]]
+        many = self.many[own]
+        at = np.arange(int(many.sum())) + np.repeat(self.first[own] - (np.cumsum(many) - many), many)
+        return np.bincount(self.members[at], minlength=len(self.sizes))
+
+
 class _Forest:
     """Groups of members; a merge renames the smaller one."""
 
@@ -135,6 +158,7 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, pe
     lists: dict[int, list[int]] = {}
     forest = _Forest(np.arange(m) if known is None else known)
     label, joined = forest.label, []
+    overlaps = _Overlaps(sets)
     for i in np.argsort(ids, kind="stable"):
         n_prefix = int(shared[i].sum()) - need + 1
         if n_prefix <= 0:
@@ -147,18 +171,13 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, pe
             cand = cand[label[cand] != label[i]]
             if two_sided:
                 cand = cand[side[cand] != side[i]]
-            hits = (sig[cand] == sig[i]).sum(axis=1)
-            cand, hits = cand[hits >= need], hits[hits >= need]
-            cand = cand[np.argsort(-hits, kind="stable")]
-            k = 0
-            while k < len(cand):
-                if similar(sets[i], sets[cand[k]], percent):
-                    joined += [int(i), int(cand[k])]
-                    forest.join(i, cand[k])
-                    cand = cand[k + 1 :]
-                    cand, k = cand[label[cand] != label[i]], 0
-                else:
-                    k += 1
+            cand = cand[(sig[cand] == sig[i]).sum(axis=1) >= need]
+            if len(cand):
+                shared_ = overlaps.shared(i)[cand]
+                for c in cand[100 * shared_ >= percent * (overlaps.sizes[i] + overlaps.sizes[cand] - shared_)]:
+                    if label[c] != label[i]:
+                        joined += [int(i), int(c)]
+                        forest.join(i, c)
         for t in prefix:
             lists.setdefault(t, []).append(i)
     low: dict[int, int] = {}
@@ -193,6 +212,37 @@ def _verify(batches, percent: int):
         yield done()
 
 
+def _candidates(batches, percent: int):
+    """The members of each unit that match one of the other side, and are apart from it, in enough coordinates."""
+    need = matches_needed(percent)
+    names = [*_UNIT, "own_", "known_", "class_"]
+    key, rows, sigs = None, [], []
+
+    def done():
+        sig, own, known = np.array(sigs), np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+        left, right = np.flatnonzero(own == 0), np.flatnonzero(own == 1)
+        met = np.zeros(len(rows), bool)
+        for i in right:
+            hits = (sig[left] == sig[i]).sum(axis=1) >= need
+            hits &= known[left] != known[i]
+            met[left[hits]] = True
+            met[i] = hits.any()
+        kept = [rows[i] for i in np.flatnonzero(met)]
+        kinds = [pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in kept], k) for c, k in enumerate(kinds)], names=names)
+
+    for batch in batches:
+        for *row, sig in zip(*(batch.column(c).to_pylist() for c in range(7)), batch.column(7)):
+            if row[:4] != key:
+                if rows:
+                    yield done()
+                key, rows, sigs = row[:4], [], []
+            rows.append(row)
+            sigs.append(sig.values.to_numpy())
+    if rows:
+        yield done()
+
+
 def _compared(units: DataFrame, body: DataFrame, size: int, percent: int) -> DataFrame:
     """``a, b``: the confirmed links inside each unit (``kind, unit_, block_, other_``) of rows ``class_, own_,
     known_``."""
@@ -216,10 +266,10 @@ def _links(postings: DataFrame, classes: DataFrame, body: DataFrame, size: int,
     """``a, b``: links that connect all classes that similar pairs connect.
 
     A group is a component of the graph of classes and posted pairs; a small one is compared in one task.  Of a large
-    one the lists of its pairs are taken in two steps.  First the classes that share the smallest class of a list
-    are compared in blocks, each block with that class: a group of copies is connected by this, however large it is,
-    and every set moves once for each such class.  Then, in lists with classes that are still apart, those
-    outside of the largest connected part are compared with all others, block by block.
+    one the lists of its pairs are taken in two steps.  First each class is compared with one other, the smallest class of
+    most of its lists, in blocks with the others that have the same: a group of copies is connected by this, however large
+    it is, and every set moves once.  Then, in lists with classes that are still apart, those outside of the largest
+    connected part are held against all others, block by block, by their signatures; sets follow for those that match.
     """
     lead = postings.groupBy("token").agg(F.min("class_").alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
     met = cut(postings.join(lead, "token").select("token", "class_", "lead"))
@@ -236,7 +286,8 @@ def _links(postings: DataFrame, classes: DataFrame, body: DataFrame, size: int,
         return found
     big = cut(met.join(large, "class_"))
 
-    star = big.where("class_ <> lead").select("lead", "class_", "n_").distinct()
+    led = big.where("class_ <> lead").groupBy("class_", "n_", "lead").agg(F.count(F.lit(1)).alias("lists"))
+    star = led.groupBy("class_", "n_").agg(F.min_by("lead", F.struct(-F.col("lists"), F.col("lead"))).alias("lead"))
     per = star.groupBy("lead").agg(F.count(F.lit(1)).alias("m"), F.sum("n_").alias("s")).select(F.col("lead").alias("l_"), _blocks(F.col("m"), F.col("s"), group_members, group_shingles).alias("blocks"))
     per = cut(per)
     of_star = lambda c, block: [c.alias("class_"), F.lit(1).alias("kind"), F.col("lead").alias("unit_"), block.alias("block_"), F.lit(0).cast("long").alias("other_"), F.lit(0).alias("own_"), none.alias("known_")]
@@ -259,7 +310,12 @@ def _links(postings: DataFrame, classes: DataFrame, body: DataFrame, size: int,
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         all_ = open_.withColumn("o", every("others")).select(*rows(_block("class_", "blocks", 2), F.col("o"), 0))
         rest = open_.where("known_ <> main").withColumn("b", every("blocks")).select(*rows(F.col("b"), _block("class_", "others", 3), 1))
-        second = cut(_compared(all_.union(rest), body, size, percent))
+        # Only signatures meet all others of their lists.
+        sides = all_.union(rest).join(classes.select(F.col("class_").alias("c_"), "sig_"), F.col("class_") == F.col("c_")).select(*_UNIT, "own_", "known_", "class_", "sig_")
+        kind = "kind int, unit_ long, block_ long, other_ long, own_ int, known_ long, class_ long"
+        near = cut(sides.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(partial(_candidates, percent=percent), kind))
+        second = cut(_compared(near, body, size, percent))
+        release(near)
         # ``a`` and ``b`` of the second step connect what the first has connected.
         result = first.union(second)
     release(met, member, big, per, so_far, lists)

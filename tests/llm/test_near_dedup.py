@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from sievemark.llm.components import components
-from sievemark.llm.near_dedup import drop_near_duplicates, near_duplicates, spanning_links
+from sievemark.llm.near_dedup import _Overlaps, drop_near_duplicates, near_duplicates, spanning_links
 
 DOCS = "doc_id long, text string, component_id string"
 
@@ -81,6 +81,31 @@ def test_a_large_group_is_the_same_in_blocks(spark):
     assert len({c for _, c in want.values()}) > 2
 
 
+@pytest.mark.parametrize("members", [40, 512])
+def test_copies_of_a_template_are_the_same_in_blocks(spark, members):
+    # Most are candidates of each other, near the threshold on either side of it.
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(250):
+        w = list(base)
+        for _ in range(rng.randint(1, 7)):
+            w[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame([(*r, "x") for r in rows], DOCS)
+    want = brute(rows, 3, 85)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df, 3, 85, group_members=members).collect()}
+    assert got == want and 20 < len({c for _, c in want.values()}) < 240
+
+
+def test_overlaps_are_exact():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(40)]
+    o = _Overlaps(sets)
+    for i, x in enumerate(sets):
+        assert o.shared(i).tolist() == [len(np.intersect1d(x, y)) for y in sets]
+
+
 def test_known_links_are_skipped():
     sets = [np.unique(np.arange(100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))] * 4
     ids, side = np.array([4, 3, 2, 1]), np.zeros(4, int)
