@@ -4,12 +4,13 @@ Texts are cut into pieces at punctuation and line ends; the words of one languag
 shard of bounded size.  A shard has an automaton of its pieces (:class:`SuffixAutomaton`) with bounded depth, whose
 states enumerate substrings with the number of their end positions; these counts are added over all shards.
 
-A frequent phrase has only frequent words and frequent pairs of words.  So words are counted first, then pairs of
-frequent words, and the automata are built over what stands between rare ones: nothing that could be frequent is lost,
-however few of it a shard holds.  What is frequent comes back to the shards as a Bloom filter of fixed size, whatever the
-corpus.  It can let rare words and pairs through, which costs work and changes no result.  Pairs are counted under the
-64-bit hashes of their two words, which the table of frequent words turns into texts again (that two of a thousand million
-words meet a frequent one there has a chance of about one in a thousand); longer phrases, few by then, under their texts.
+A frequent phrase has only frequent words and frequent shorter phrases in it.  So words are counted first, then pairs of
+frequent words, then what is one word longer and made of two frequent phrases, and so on: nothing that could be frequent
+is lost, however few of it a shard holds, and rare phrases are not counted for longer ones.  What is frequent comes back
+to the shards as Bloom filters of fixed size, whatever the corpus; they can let rare ones through, which costs work and
+changes no result.  Pairs are counted under the 64-bit hashes of their two words, which the table of frequent words turns
+into texts again (that one of a thousand million words meets a frequent one there has a chance of about one in a
+thousand).  Longer phrases are counted under one hash to find those that may be frequent, and these then under their texts.
 """
 
 from __future__ import annotations
@@ -212,21 +213,20 @@ def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _ODD + right)
 
 
-def _frequent(batches, words_filter):
-    """``lang, words, hashes, numbers`` of each shard without the words that the filter tells to be rare."""
-    bits = words_filter.value
+def _frequent(batches, filters: dict):
+    """``lang, words, hashes, numbers`` of each shard without the words that their filter tells to be rare."""
     for batch in batches:
         for i in range(len(batch)):
             lang, words = batch.column(1)[i].as_py(), batch.column(2)[i].values
             h = _hashes(words, lang)
-            kept = np.flatnonzero(may_hold(bits, h))
+            kept = np.flatnonzero(may_hold(filters[1].value, h))
             numbers = without_rare(np.frombuffer(batch.column(3)[i].as_buffer(), np.int32), kept, len(words))
             if len(numbers):
                 yield lang, words.take(pa.array(kept)), h[kept], numbers
 
 
-def _pairs(batches, words_filter):
-    for _, words, h, numbers in _frequent(batches, words_filter):
+def _pairs(batches, filters: dict):
+    for _, words, h, numbers in _frequent(batches, filters):
         _, kind, left, right = pairs(numbers, len(words))
         n = np.bincount(kind, minlength=len(left))
         yield pa.RecordBatch.from_arrays([pa.array(h[left].astype(np.int64)), pa.array(h[right].astype(np.int64)), pa.array(n.astype(np.int64))], names=["left", "right", "n"])
@@ -244,35 +244,31 @@ class SuffixAutomaton:
     equally often.  ``count``, ``longest``, ``shortest`` and ``link`` (-1 at the root) are those of the states.
     """
 
-    def __init__(self, numbers: np.ndarray, size: int, found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], allowed: np.ndarray, depth: int):
-        """``found`` are the :func:`pairs` of the pieces, of which those ``allowed`` may stand in a substring."""
-        at, kind, left, right = found
+    def __init__(self, numbers: np.ndarray, hashes: np.ndarray, depth: int, may=lambda m, hashes: np.ones(len(hashes), bool)):
+        """``hashes`` are those of the words; ``may`` says of hashes of substrings of ``m`` words which to go on with."""
+        size = len(hashes)
         words = np.flatnonzero(numbers > 0)
-        good = np.zeros(len(left), bool)
-        good[allowed] = True
         # node[p] is the number, by length, of the substring that begins at place p, or -1.
         node = np.full(len(numbers) + 1, -1, np.int64)
         node[words] = numbers[words] - 1
-        head, tail, last, often = [None], [None], [np.arange(size)], [np.bincount(node[words], minlength=size)]
-        renumber = np.cumsum(good) - 1
-        places = at[good[kind]]
-        head.append(left[good])
-        tail.append(right[good])
-        last.append(right[good])
-        often.append(np.bincount(renumber[kind[good[kind]]], minlength=len(head[1])))
-        node[:] = -1
-        node[places] = renumber[kind[good[kind]]]
-        for _ in range(3, depth + 1):
+        self.head, self.tail, self.last = [None], [None], [np.arange(size)]
+        self.hashes, self._found = [hashes], [np.bincount(node[words], minlength=size)]
+        places = words
+        for m in range(2, depth + 1):
             places = places[node[places + 1] >= 0]
-            wide = len(head[-1]) or 1
+            wide = max(1, len(self.last[-1]))
             kinds, kind = np.unique(node[places] * wide + node[places + 1], return_inverse=True)
-            last.append(last[-1][kinds % wide])
-            head.append(kinds // wide)
-            tail.append(kinds % wide)
-            often.append(np.bincount(kind, minlength=len(kinds)))
+            head, tail = kinds // wide, kinds % wide
+            last = self.last[-1][tail]
+            h = pair_hashes(self.hashes[-1][head], hashes[last])
+            good = may(m, h)
+            number = np.cumsum(good) - 1
+            for name, values in (("head", head), ("tail", tail), ("last", last), ("hashes", h)):
+                getattr(self, name).append(values[good])
+            places, kind = places[good[kind]], kind[good[kind]]
+            self._found.append(np.bincount(number[kind], minlength=int(good.sum())))
             node[:] = -1
-            node[places] = kind
-        self.head, self.tail, self.last, self._found = head, tail, last, often
+            node[places] = number[kind]
         self._states(depth)
 
     def _states(self, depth: int) -> None:
@@ -306,11 +302,20 @@ class SuffixAutomaton:
                 yield m, texts, self.count[self.state[m - 1]]
 
 
-def _phrases(batches, words_filter, pairs_filter, depth: int):
-    for lang, words, h, numbers in _frequent(batches, words_filter):
-        found = pairs(numbers, len(words))
-        allowed = np.flatnonzero(may_hold(pairs_filter.value, pair_hashes(h[found[2]], h[found[3]])))
-        for m, texts, n in SuffixAutomaton(numbers, len(words), found, allowed, depth).substrings(words, 3):
+def _may(filters: dict):
+    return lambda m, hashes: may_hold(filters[m].value, hashes) if m in filters else np.ones(len(hashes), bool)
+
+
+def _grams(batches, filters: dict, m: int):
+    """Hashes and counts of the substrings of ``m`` words whose parts may be frequent."""
+    for _, _, h, numbers in _frequent(batches, filters):
+        a = SuffixAutomaton(numbers, h, m, _may(filters))
+        yield pa.RecordBatch.from_arrays([pa.array(a.hashes[-1].astype(np.int64)), pa.array(a.count[a.state[-1]].astype(np.int64))], names=["hash", "n"])
+
+
+def _phrases(batches, filters: dict, depth: int):
+    for lang, words, h, numbers in _frequent(batches, filters):
+        for m, texts, n in SuffixAutomaton(numbers, h, depth, _may(filters)).substrings(words, 3):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), texts, pa.array(np.full(len(n), m, np.int32)), pa.array(n, pa.int64())], names=["lang", "phrase", "m", "n"])
 
 
@@ -344,24 +349,33 @@ def frequent_phrases(docs: DataFrame, least: int = 100, depth: int = 5, lang_col
     counted = shards.select("lang", F.explode(F.arrays_zip("words", "n")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.n").alias("n"))
     words = cut(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
     hashed = cut(words.select("lang", "phrase").mapInArrow(_hashed, "lang string, word string, hash long"))
-    words_filter = spark.sparkContext.broadcast(bloom(hashed.select("hash")))
+    filters = {1: spark.sparkContext.broadcast(bloom(hashed.select("hash")))}
 
     with batches_of(spark, 1):
-        counted = coded.mapInArrow(partial(_pairs, words_filter=words_filter), "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("a"))
+        counted = coded.mapInArrow(partial(_pairs, filters=filters), "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("a"))
         frequent = cut(counted.where(F.col("a") >= least))
-    pairs_filter = spark.sparkContext.broadcast(bloom(frequent.select("left", "right").mapInArrow(_pair_hashes, "hash long")))
+    filters[2] = spark.sparkContext.broadcast(bloom(frequent.select("left", "right").mapInArrow(_pair_hashes, "hash long")))
     side = lambda name: hashed.select(F.col("lang").alias(f"{name}_lang"), F.col("word").alias(f"{name}_word"), F.col("hash").alias(name))
     both = frequent.join(side("left"), "left").join(side("right"), "right").where(F.col("left_lang") == F.col("right_lang"))
-    two = both.select(F.col("left_lang").alias("lang"), F.concat_ws(" ", "left_word", "right_word").alias("phrase"), F.lit(2).alias("m"), "a")
-
+    every = words.select("lang", "phrase", F.lit(1).alias("m"), "a").union(both.select(F.col("left_lang").alias("lang"), F.concat_ws(" ", "left_word", "right_word").alias("phrase"), F.lit(2).alias("m"), "a"))
+
+    for m in range(3, depth + 1):
+        with batches_of(spark, 1):
+            grams = coded.mapInArrow(partial(_grams, filters=dict(filters), m=m), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+            some = cut(grams.where(F.col("n") >= least).select("hash"))
+        if some.isEmpty():
+            break
+        filters[m] = spark.sparkContext.broadcast(bloom(some))
+        release(some)
     with batches_of(spark, 1):
-        found = coded.mapInArrow(partial(_phrases, words_filter=words_filter, pairs_filter=pairs_filter, depth=depth), "lang string, phrase string, m int, n long")
-        longer = found.groupBy("lang", "phrase", "m").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        phrases = cut(words.select("lang", "phrase", F.lit(1).alias("m"), "a").union(two).union(longer))
+        if max(filters) > 2:
+            found = coded.mapInArrow(partial(_phrases, filters=filters, depth=max(filters)), "lang string, phrase string, m int, n long")
+            every = every.union(found.groupBy("lang", "phrase", "m").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
+        phrases = cut(every)
     release(words, hashed, frequent)
     remove(spark, base)
-    words_filter.destroy()
-    pairs_filter.destroy()
+    for held in filters.values():
+        held.destroy()
     return phrases, totals
 
 

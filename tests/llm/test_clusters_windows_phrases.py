@@ -222,8 +222,7 @@ def test_slices_end_with_a_piece(monkeypatch):
 def test_automaton_states_are_sets_of_end_positions():
     rng = random.Random(2)
     numbers = np.array([0] + [rng.choice([0, 1, 1, 2, 3]) for _ in range(400)], np.int32)
-    kinds = phrases.pairs(numbers, 3)
-    a = phrases.SuffixAutomaton(numbers, 3, kinds, np.arange(len(kinds[2])), 4)
+    a = phrases.SuffixAutomaton(numbers, np.arange(3, dtype=np.uint64), 4)
     ends = defaultdict(set)
     for m in range(1, 5):
         for i in range(len(numbers) - m + 1):
