@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EvidenceError
-from ..session import cut
-from .budget import retained, running_sum
+from .budget import numbered, retained, running_sum
 
 FILES, BYTES, SOURCE_BYTES = 200, 32 << 20, 5 << 20
-#: A fold over all sources takes so many at a time.
-ENUMERATED = 50_000
+#: Sources that the driver sees at a time at most, as paths and sizes.
+LISTED = 10_000
 
 
 def admit(sources: DataFrame, on_budget: str = "skip", max_bytes: int = BYTES, max_files: int = FILES, source_bytes: int = SOURCE_BYTES, key: str | None = None) -> DataFrame:
@@ -19,13 +18,17 @@ def admit(sources: DataFrame, on_budget: str = "skip", max_bytes: int = BYTES, m
 
     ``skip`` leaves out a source that doesn't fit and goes on; ``sticky`` makes everything after the first such source
     unavailable; ``stop`` returns only what comes before it.  Sources above ``source_bytes`` are skipped in each case
-    but ``sticky``, where they use the budget up.  ``skip`` is a fold, so it goes by ``key``; without one it takes
-    ``ENUMERATED`` sources at a time, only those that may still fit, until the file budget is spent or none is left.
+    but ``sticky``, where they use the budget up.  ``skip`` is a fold, by ``key`` in the task of the key; without one see
+    :func:`admitted_paths`.
     """
     rows = sources.select(*([key] if key else []), "path", "size")
     if on_budget == "skip":
         near = rows.where(F.col("size") <= source_bytes)
-        kept = (retained(near, "size", ["path"], key, max_bytes, max_files) if key else _retained_of_all(near, max_bytes, max_files)).select("path", F.lit("admitted").alias("status"))
+        if key:
+            kept = retained(near, "size", ["path"], key, max_bytes, max_files).select("path", F.lit("admitted").alias("status"))
+        else:
+            kept = rows.sparkSession.createDataFrame([(p, "admitted") for p in admitted_paths(near, max_bytes, max_files)], "path string, status string")
+            kept = F.broadcast(kept) if max_files <= LISTED else kept
         return rows.join(kept, "path", "left").select(*([key] if key else []), "path", "size", F.coalesce("status", F.lit("unavailable")).alias("status"))
     if on_budget not in ("sticky", "stop"):
         raise EvidenceError("on_budget is skip, sticky or stop", "E_BUDGET")
@@ -43,28 +46,36 @@ def admit(sources: DataFrame, on_budget: str = "skip", max_bytes: int = BYTES, m
     return out if on_budget == "sticky" else out.where("status = 'admitted'")
 
 
-def _retained_of_all(rows: DataFrame, max_bytes: int, max_files: int) -> DataFrame:
-    """``retained`` over all rows as one group; the driver sees counts, sums and the last path of each step."""
-    kept, left = None, rows.withColumn("key_", F.lit(0))
-    while True:
-        # What is above the bytes that are left can't fit later either.
-        left = left.where(F.col("size") <= max_bytes)
-        some = cut(left.orderBy("path").limit(ENUMERATED))
-        more = cut(retained(some, "size", ["path"], "key_", max_bytes, max_files))
-        kept = more if kept is None else kept.union(more)
-        n, last = some.agg(F.count(F.lit(1)), F.max("path")).first()
-        files, size = more.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-        max_files, max_bytes = max_files - files, max_bytes - size
-        if n < ENUMERATED or max_files <= 0:
-            return kept
-        left = left.where(F.col("path") > last)
+def admitted_paths(sources: DataFrame, max_bytes: int, max_files: int) -> list[str]:
+    """The paths that are admitted, in order, where one that doesn't fit is skipped: at most ``max_files``.
+
+    What is left of the budget only shrinks, so a source larger than that can't follow any more.  Each step asks for
+    the next sources that could still fit, one more than may be admitted: a top-k of paths and sizes, which no task
+    sorts as a whole and of which the first always is admitted.  So there are at most as many steps as admitted
+    sources, and few in practice, as a step ends either all of the files or most of the bytes.
+    """
+    out: list[str] = []
+    after = None
+    while max_files > len(out) and max_bytes >= 0:
+        left = sources.where(F.col("size") <= max_bytes)
+        if after is not None:
+            left = left.where(F.col("path") > after)
+        most = min(max_files - len(out) + 1, LISTED)
+        some = left.orderBy("path").limit(most).collect()
+        for row in some:
+            if row["size"] <= max_bytes and len(out) < max_files:
+                max_bytes -= row["size"]
+                out.append(row["path"])
+        if len(some) < most:
+            break
+        after = some[-1]["path"]
+    return out
 
 
 def round_robin(items: DataFrame, tier: str = "tier", key: str = "path", position: str = "position") -> DataFrame:
     """Items by tier, then one of each source in turn, then by source: ``ord`` from 1 within a tier."""
-    turn = F.row_number().over(Window.partitionBy(tier, key).orderBy(position))
-    w = Window.partitionBy(tier).orderBy("turn_", key)
-    return items.withColumn("turn_", turn).withColumn("ord", F.row_number().over(w)).drop("turn_")
+    turns = numbered(items, [tier, key], [position], "turn_")
+    return numbered(turns, [tier], ["turn_", key], "ord").withColumn("ord", F.col("ord").cast("int")).drop("turn_")
 
 
 def visible_history(historic: DataFrame, current_rules_hide: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ skips such a row and goes on."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +36,19 @@ def running_sum(rows: DataFrame, size: str, order: list[str | Column]) -> DataFr
     return dealt.join(F.broadcast(base), "part_").withColumn("upto_", F.col("base_") + F.sum(size).over(inner)).drop("base_")
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str | Column], name: str) -> DataFrame:
+    """``name``: the place of a row from 1 among those with its values of ``by``.
+
+    Places in the order of all rows come from range partitions; from them the first place of each group is taken away.
+    So a group with most of the rows is spread over tasks like the others.
+    """
+    placed = cut(running_sum(rows.withColumn("one_", F.lit(1)), "one_", [*by, *order]).drop("one_", "part_"))
+    first = placed.groupBy(*by).agg(F.min("upto_").alias("first_"))
+    keys = first.select(*[F.col(c).alias(f"g{i}_") for i, c in enumerate(by)], "first_")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"g{i}_")) for i, c in enumerate(by)])
+    return placed.join(keys, same).withColumn(name, F.col("upto_") - F.col("first_") + 1).drop("upto_", "first_", *[f"g{i}_" for i in range(len(by))])
+
+
 def page(rows: DataFrame, number: int, size: int, order: list[str]) -> DataFrame:
     """Page ``number`` (from 0) of ``size`` rows in order, with ``ord`` (from 1)."""
     first = rows.orderBy(*order).limit((number + 1) * size)

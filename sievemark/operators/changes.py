@@ -73,38 +73,78 @@ def rename_pairs(scores: DataFrame) -> DataFrame:
     return best("old_path", "new_path").join(best("new_path", "old_path"), ["old_path", "new_path", "score"]).select("old_path", "new_path", "score")
 
 
-def shortest_edit(old: list[str], new: list[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Changed line ranges (from 1, inclusive) of a shortest edit script, on both sides.
+#: Steps that the comparison of two versions may take.
+STEPS = 2_000_000
 
-    Furthest-reaching paths by edit distance, kept as linked snakes; equal lines at both ends are taken off first.
+
+class StepsSpent(Exception):
+    """Two versions differ in more than the steps allowed can tell."""
+
+
+class _Comparison:
+    """A shortest edit script in space that grows with the lines alone.
+
+    Paths are followed from both ends at once until they meet; the stretch of equal lines where they do divides the
+    comparison into two smaller ones.  Only how far each diagonal reaches is kept, for the parts in turn.
     """
-    lo = 0
-    while lo < min(len(old), len(new)) and old[lo] == new[lo]:
-        lo += 1
-    tail = 0
-    while tail < min(len(old), len(new)) - lo and old[-1 - tail] == new[-1 - tail]:
-        tail += 1
-    a, b = old[lo : len(old) - tail], new[lo : len(new) - tail]
-    if not a or not b:
-        return ([(lo + 1, lo + len(a))] if a else []), ([(lo + 1, lo + len(b))] if b else [])
-    reach = {1: (0, None)}  # by diagonal: how far, and the links of steps that led there
-    for d in range(len(a) + len(b) + 1):
-        for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and reach[k - 1][0] < reach[k + 1][0])
-            x, link = reach[k + 1] if down else (reach[k - 1][0] + 1, reach[k - 1][1])
-            if d:
-                link = (("+", x - k - 1) if down else ("-", x - 1), link)
-            y = x - k
-            while x < len(a) and y < len(b) and a[x] == b[y]:
-                x, y = x + 1, y + 1
-            reach[k] = (x, link)
-            if x >= len(a) and y >= len(b):
-                gone, come = [], []
-                while link:
-                    (sign, at), link = link
-                    (come if sign == "+" else gone).append(lo + at + 1)
-                return _islands(gone), _islands(come)
-    raise AssertionError("no edit script")
+
+    def __init__(self, old: list[str], new: list[str], steps: int):
+        self.old, self.new, self.left = old, new, steps
+        self.gone: list[int] = []
+        self.come: list[int] = []
+        todo = [(0, len(old), 0, len(new))]
+        while todo:
+            a0, a1, b0, b1 = todo.pop()
+            while a0 < a1 and b0 < b1 and old[a0] == new[b0]:
+                a0, b0 = a0 + 1, b0 + 1
+            while a0 < a1 and b0 < b1 and old[a1 - 1] == new[b1 - 1]:
+                a1, b1 = a1 - 1, b1 - 1
+            if a0 == a1 or b0 == b1:
+                self.gone += range(a0 + 1, a1 + 1)
+                self.come += range(b0 + 1, b1 + 1)
+            else:
+                x, y, u, v = self._middle(a0, a1, b0, b1)
+                todo += [(a0, x, b0, y), (u, a1, v, b1)]
+
+    def _step(self) -> None:
+        self.left -= 1
+        if self.left < 0:
+            raise StepsSpent
+
+    def _middle(self, a0: int, a1: int, b0: int, b1: int) -> tuple[int, int, int, int]:
+        """Where the stretch in the middle of a shortest path begins and ends."""
+        n, m = a1 - a0, b1 - b0
+        delta = n - m
+        ahead, back = {1: 0}, {1: 0}  # furthest lines of ``old`` by diagonal, from the start and from the end
+        for d in range((n + m + 1) // 2 + 1):
+            for k in range(-d, d + 1, 2):
+                self._step()
+                x = ahead[k + 1] if k == -d or (k != d and ahead[k - 1] < ahead[k + 1]) else ahead[k - 1] + 1
+                y = x - k
+                at = x, y
+                while x < n and y < m and self.old[a0 + x] == self.new[b0 + y]:
+                    x, y = x + 1, y + 1
+                ahead[k] = x
+                if delta % 2 and -(d - 1) <= delta - k <= d - 1 and x + back.get(delta - k, -1) >= n:
+                    return a0 + at[0], b0 + at[1], a0 + x, b0 + y
+            for k in range(-d, d + 1, 2):
+                self._step()
+                x = back[k + 1] if k == -d or (k != d and back[k - 1] < back[k + 1]) else back[k - 1] + 1
+                y = x - k
+                at = x, y
+                while x < n and y < m and self.old[a1 - 1 - x] == self.new[b1 - 1 - y]:
+                    x, y = x + 1, y + 1
+                back[k] = x
+                if not delta % 2 and -d <= delta - k <= d and x + ahead.get(delta - k, -1) >= n:
+                    return a1 - x, b1 - y, a1 - at[0], b1 - at[1]
+        raise AssertionError("no path")
+
+
+def shortest_edit(old: list[str], new: list[str], steps: int = STEPS) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Changed line ranges (from 1, inclusive) of a shortest edit script, on both sides; :class:`StepsSpent` if it is
+    not found in so many steps."""
+    c = _Comparison(old, new, steps)
+    return _islands(c.gone), _islands(c.come)
 
 
 def _islands(numbers: list[int]) -> list[tuple[int, int]]:
@@ -117,8 +157,11 @@ def _islands(numbers: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def changed_lines(base: DataFrame, target: DataFrame) -> DataFrame:
-    """``path, side, start_line, end_line`` of the lines that differ between versions of a path (``path, text``)."""
+def changed_lines(base: DataFrame, target: DataFrame, steps: int = STEPS) -> DataFrame:
+    """``path, side, start_line, end_line`` of the lines that differ between versions of a path (``path, text``).
+
+    A path whose comparison takes more than ``steps`` has one row with the side ``unknown`` and no lines.
+    """
     a, b = base.select("path", F.col("text").alias("a")), target.select("path", F.col("text").alias("b"))
     pairs = a.join(b, "path").where(F.col("a") != F.col("b"))
 
@@ -126,9 +169,13 @@ def changed_lines(base: DataFrame, target: DataFrame) -> DataFrame:
         for part in parts:
             rows = []
             for path, x, y in zip(part["path"], part["a"], part["b"]):
-                gone, come = shortest_edit(_feed_lines(x), _feed_lines(y))
+                try:
+                    gone, come = shortest_edit(_feed_lines(x), _feed_lines(y), steps)
+                except StepsSpent:
+                    rows.append((path, "unknown", None, None))
+                    continue
                 rows += [(path, "old", s, e) for s, e in gone] + [(path, "new", s, e) for s, e in come]
-            yield pd.DataFrame(rows, columns=["path", "side", "start_line", "end_line"])
+            yield pd.DataFrame(rows, columns=["path", "side", "start_line", "end_line"]).astype({"start_line": "Int64", "end_line": "Int64"})
 
     return pairs.mapInPandas(diff, "path string, side string, start_line long, end_line long")
 

@@ -90,6 +90,7 @@ class Limits:
     inspect_targets: int = 5
     inspect_lines: int = 10
     validated_sources: int = 200
+    diff_steps: int = 2_000_000
     #: Bytes of a page that are kept for its head and for the request that goes on.
     page_reserve: int = 1024
     summary_reserve: int = 3584

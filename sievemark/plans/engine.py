@@ -213,7 +213,9 @@ class Engine:
             found = scan(scoped)
             expanded = not found.isEmpty()
         if r.get("changes") is not None:
-            found = self._replaced(found, S.only_inside(found, self._changed_ranges(scoped)))
+            ranges, untold = self._changed_ranges(scoped)
+            found = self._replaced(found, S.only_inside(found, ranges))
+            unknown = unknown + untold
         if r.get("roles"):
             intervals, unparsed = self._roles(found, r, scoped)
             found = self._replaced(found, S.only_inside(found, intervals))
@@ -289,8 +291,8 @@ class Engine:
         out = [{k: v for k, v in x.asDict(recursive=True).items() if k != "size_"} for x in rows]
         return Result(c.kind, "lines" if sized else "items", out, {"retained": s.count, "returned": len(out)}, cursor=str(after) if after else None, facts={"snapshot": s.id})
 
-    def _changed_ranges(self, scoped: DataFrame) -> DataFrame:
-        """``path, start, end``: what has changed in the sources, as ranges of their texts.
+    def _changed_ranges(self, scoped: DataFrame) -> tuple[DataFrame, list[str]]:
+        """``path, start, end``: what has changed in the sources, as ranges of their texts, and what could not be told.
 
         Changed lines reach to the start of the next one, so an occurrence that goes on into an unchanged line is in
         none of them, nor is an empty one where that begins.  A last line without a line feed reaches one place further,
@@ -299,12 +301,15 @@ class Engine:
         if self.base is None:
             raise CapabilityError("there is no earlier version to compare with", "E_CHANGES")
         old, new = self.base.select("path", "text"), scoped.select("path", "text")
-        lines = changed_lines(old, new).where("side = 'new'").select("path", "start_line", "end_line")
+        every = cut(changed_lines(old, new, self.limits.diff_steps))
+        unknown = every.where("side = 'unknown'").count()
+        reasons = [f"the changes of {unknown} sources take too many steps to tell"] if unknown else []
+        lines = every.where("side = 'new'").select("path", "start_line", "end_line")
         starts = new.join(lines.select("path").distinct(), "path", "left_semi").select("path", T.line_starts("text").alias("s_"))
         at = lambda line: F.element_at("s_", line.cast("int"))
         ranges = lines.join(starts, "path").select("path", at(F.col("start_line")).alias("start"), at(F.col("end_line") + 1).alias("end"))
         added = new.join(old.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("start"), (F.length("text") + F.when(F.col("text").endswith("\n"), 0).otherwise(1)).cast("long").alias("end"))
-        return ranges.union(added)
+        return ranges.union(added), reasons
 
     def _roles(self, found: DataFrame, r: Request, scoped: DataFrame) -> tuple[DataFrame, list[str]]:
         """``path, start, end``: the intervals of some roles in the sources with matches, and what could not be told."""
@@ -376,9 +381,11 @@ class Engine:
         placed = found.withColumn("from_", F.col("start")).withColumn("to_", F.col("end")).withColumn("start", F.col("start") + F.col("at")).withColumn("end", F.col("end") + F.col("at"))
         inside = lambda rows, ranges: S.with_role(rows, ranges.select("path", F.lit("").alias("role"), "start", "end"), [""], "term_index")
         if r.get("changes") is not None:
-            placed = inside(placed, self._changed_ranges(scoped))
+            ranges, reasons = self._changed_ranges(scoped)
+            placed = inside(placed, ranges)
         if r.get("roles"):
-            intervals, reasons = self._roles(found, r, scoped)
+            intervals, more = self._roles(found, r, scoped)
+            reasons = reasons + more
             placed = inside(placed, intervals)
         return self._replaced(found, placed.withColumn("start", F.col("from_")).withColumn("end", F.col("to_")).select(*[c for c in found.columns if c != "at"])), reasons
 

@@ -13,6 +13,7 @@ from sievemark.functions import paths as P
 from sievemark.functions import text as T
 from sievemark.functions.pattern import Pattern, escape, smart_case_is_sensitive
 from sievemark.functions.redaction import mask, redact, redaction_count, sensitive
+from sievemark.operators import access as AC
 from sievemark.operators import audit as A
 from sievemark.operators import budget as B
 from sievemark.operators import changes as C
@@ -279,3 +280,27 @@ def test_ordinary_terms(spark):
 def test_previews_do_not_overlap(spark):
     found = spark.createDataFrame([("p", n) for n in (1, 2, 9, 30)] + [("q", 5)], "path string, line_no int")
     assert sorted(tuple(r) for r in S.preview_windows(found).collect()) == [("p", 1, 7), ("p", 27, 33), ("q", 2, 8)]
+
+
+def test_comparisons_end_when_their_steps_are_spent(spark):
+    old, new = [f"a{i}" for i in range(1500)], [f"b{i}" for i in range(1500)]
+    with pytest.raises(C.StepsSpent):
+        C.shortest_edit(old, new)
+    # Few differences in long sources take few steps.
+    long = [f"line {i}" for i in range(100_000)]
+    changed = [x for i, x in enumerate(long) if i != 70_000]
+    changed[10] = "other"
+    assert C.shortest_edit(long, changed, 100) == ([(11, 11), (70_001, 70_001)], [(11, 11)])
+    base = table(spark, [("same", "x\n"), ("far", "\n".join(old)), ("near", "x\ny\n")])
+    now = table(spark, [("same", "x\n"), ("far", "\n".join(new)), ("near", "x\nz\n")])
+    got = {(r["path"], r["side"], r["start_line"]) for r in C.changed_lines(base, now, 1000).collect()}
+    assert got == {("far", "unknown", None), ("near", "old", 2), ("near", "new", 2)}
+
+
+def test_turns_are_taken_in_one_large_tier(spark):
+    df = spark.range(500).select(F.lit(1).alias("tier"), F.concat(F.lit("p"), (F.col("id") % 7).cast("string")).alias("path"), F.col("id").alias("position")).repartition(5)
+    df = df.union(spark.createDataFrame([(None, "q", 1), (None, None, 2), (None, None, 1)], "tier int, path string, position long"))
+    got = [(r["tier"], r["path"], r["position"]) for r in AC.round_robin(df).orderBy("tier", "ord").collect()]
+    want = sorted(((i // 7, f"p{i % 7}", i) for i in range(500)))
+    assert got == [(None, None, 1), (None, "q", 1), (None, None, 2), *((1, p, i) for _, p, i in want)]
+    assert sorted(r["ord"] for r in AC.round_robin(df.where("tier = 1")).collect()) == list(range(1, 501))

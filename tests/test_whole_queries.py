@@ -113,7 +113,7 @@ def test_scopes_reach_the_end_of_long_lines(spark, tmp_path):
 
 
 def test_sources_behind_the_first_step_are_tried(spark, monkeypatch):
-    monkeypatch.setattr(AC, "ENUMERATED", 10)
+    monkeypatch.setattr(AC, "LISTED", 10)
     rng = random.Random(8)
     rows = [(f"p{i:03}", rng.randrange(1, 60)) for i in range(45)]
     for most, files in ((200, 30), (2000, 12), (2000, 99)):
