@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import line_array
+from ..session import cut
 
 
 def change_set(base: DataFrame, target: DataFrame, renames: DataFrame | None = None) -> DataFrame:
@@ -38,17 +39,36 @@ def _rarest(lines: DataFrame, often: DataFrame, least: int) -> DataFrame:
     return lines.join(often, "line").withColumn("left", left).where(100 * F.col("left") >= least * F.col("size")).select("path", "size", "line")
 
 
+def content_classes(sources: DataFrame) -> DataFrame:
+    """``path, class_path, members, version`` of sources: those with equal texts are a class, named by its smallest path.
+
+    Only paths and digests move.  A class with most of the sources is counted before the shuffle, and its rows are
+    joined with one row, which the rule for skewed joins may split.
+    """
+    hashed = sources.select("path", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("version"))
+    first = hashed.groupBy("version").agg(F.min("path").alias("class_path"), F.count(F.lit(1)).alias("members"))
+    return hashed.join(first, "version").select("path", "class_path", "members", "version")
+
+
 def similarity(deleted: DataFrame, added: DataFrame, least: int = 50) -> DataFrame:
-    """``old_path, new_path, score`` of the pairs that share at least ``least`` percent of their bytes in whole lines.
+    """``old_path, new_path, score, old_members, new_members`` of the classes of equal texts that share at least
+    ``least`` percent of their bytes in whole lines; a class goes by its smallest path (:func:`content_classes` has the
+    members), so copies make no pairs among themselves.
 
-    Pairs come from shared lines, never from a product of both sides.  Equal texts score 100, others at most 99, and
-    texts of which one is less than half as long score nothing.
+    Pairs come from shared lines, never from a product of both sides.  Equal texts, empty ones too, score 100 before
+    lines are looked at; others at most 99, and texts of which one is less than half as long score nothing.
 
     In an order of all lines that is the same for both sides, the first line that a pair shares has all shared bytes
     at or behind it, on either side.  So a pair with enough of them meets in the leading lines behind which at least
     ``least`` percent remain; with the rarest lines first, frequent ones seldom lead, and no pair is lost.
     """
-    o, n = _line_counts(deleted), _line_counts(added)
+    def side(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The classes, and the counted lines of one text of each; both are read several times."""
+        classes = cut(content_classes(sources).where("path = class_path").select("class_path", "members", "version"))
+        lines = cut(_line_counts(sources.join(classes.select(F.col("class_path").alias("path")), "path", "left_semi")))
+        return classes, lines
+
+    (c1, o), (c2, n) = side(deleted), side(added)
     often = o.select("line").union(n.select("line")).groupBy("line").agg(F.count(F.lit(1)).alias("often"))
     a = _rarest(o, often, least).select(F.col("path").alias("old_path"), F.col("size").alias("s1"), "line")
     b = _rarest(n, often, least).select(F.col("path").alias("new_path"), F.col("size").alias("s2"), "line")
@@ -57,20 +77,39 @@ def similarity(deleted: DataFrame, added: DataFrame, least: int = 50) -> DataFra
     mine = o.select(F.col("path").alias("old_path"), "line", F.col("n").alias("n1"), "bytes")
     theirs = n.select(F.col("path").alias("new_path"), "line", F.col("n").alias("n2"))
     j = met.join(mine, "old_path").join(theirs, ["new_path", "line"]).groupBy("old_path", "new_path", "s1", "s2").agg(F.sum(F.least("n1", "n2") * F.col("bytes")).alias("common"))
-    h1 = deleted.select(F.col("path").alias("old_path"), F.sha2(F.col("text").cast("binary"), 256).alias("h1"))
-    h2 = added.select(F.col("path").alias("new_path"), F.sha2(F.col("text").cast("binary"), 256).alias("h2"))
-    near = j.where(100 * F.col("common") >= least * big).join(h1, "old_path").join(h2, "new_path")
-    score = F.when(F.col("h1") == F.col("h2"), F.lit(100)).otherwise(F.least(F.lit(99), F.floor(100 * F.col("common") / big))).cast("long")
-    return near.select("old_path", "new_path", score.alias("score")).where(F.col("score") >= least)
+    near = j.where(100 * F.col("common") >= least * big).select("old_path", "new_path", F.least(F.lit(99), F.floor(100 * F.col("common") / big)).cast("long").alias("score")).where(F.col("score") >= least)
+    old = c1.select(F.col("class_path").alias("old_path"), F.col("members").alias("old_members"), F.col("version").alias("v1"))
+    new = c2.select(F.col("class_path").alias("new_path"), F.col("members").alias("new_members"), F.col("version").alias("v2"))
+    equal = old.join(new, F.col("v1") == F.col("v2")).select("old_path", "new_path", F.lit(100).cast("long").alias("score"), "old_members", "new_members")
+    other = near.join(old, "old_path").join(new, "new_path").where("v1 <> v2").select("old_path", "new_path", "score", "old_members", "new_members")
+    return equal.union(other)
+
+
+def judged_renames(scores: DataFrame) -> DataFrame:
+    """``old_path, new_path, score, reason`` of the best pairs of classes: no reason where one source became one other,
+    else why they stay additions and deletions.
+
+    ``copies``: a class has several members, so which of them it was can't be told; ``several-targets`` and
+    ``several-origins``: another is as good; ``better-elsewhere``: the best of one has a better one itself.
+    """
+    def best(key: str) -> DataFrame:
+        top = scores.groupBy(key).agg(F.max("score").alias("top"))
+        per = scores.join(top, key).where("score = top").groupBy(key).agg(F.max("score").alias(f"{key}_top"), F.count(F.lit(1)).alias(f"{key}_n"))
+        return per
+
+    j = scores.join(best("old_path"), "old_path").join(best("new_path"), "new_path")
+    j = j.where((F.col("score") == F.col("old_path_top")) | (F.col("score") == F.col("new_path_top")))
+    reason = (
+        F.when((F.col("score") < F.col("old_path_top")) | (F.col("score") < F.col("new_path_top")), F.lit("better-elsewhere"))
+        .when((F.col("old_members") > 1) | (F.col("new_members") > 1), F.lit("copies"))
+        .when(F.col("old_path_n") > 1, F.lit("several-targets")).when(F.col("new_path_n") > 1, F.lit("several-origins"))
+    )
+    return j.select("old_path", "new_path", "score", reason.alias("reason"))
 
 
 def rename_pairs(scores: DataFrame) -> DataFrame:
     """Pairs that are each other's only best; ambiguous ones stay additions and deletions."""
-    def best(key: str, other: str) -> DataFrame:
-        top = scores.groupBy(key).agg(F.max("score").alias("score"))
-        return scores.join(top, [key, "score"]).groupBy(key, "score").agg(F.count(F.lit(1)).alias("k"), F.first(other).alias(other)).where("k = 1").select(key, other, "score")
-
-    return best("old_path", "new_path").join(best("new_path", "old_path"), ["old_path", "new_path", "score"]).select("old_path", "new_path", "score")
+    return judged_renames(scores).where("reason IS NULL").select("old_path", "new_path", "score")
 
 
 #: Steps that the comparison of two versions may take.

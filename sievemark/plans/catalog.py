@@ -597,6 +597,14 @@ def rename_pairs(spark, d):
     return C.rename_pairs(C.similarity(*_moved(spark, d)))
 
 
+@query(
+    """WITH h AS (SELECT doc_id, sha256(text) AS v, concat_ws('/', source, lang, doc_id::VARCHAR || '.txt') AS path FROM documents)
+SELECT path, min(path) OVER w AS class_path, count(*) OVER w AS members FROM h WINDOW w AS (PARTITION BY v)"""
+)
+def content_classes(spark, d):
+    return C.content_classes(corpus.documents(spark, d)).drop("version")
+
+
 @query(
     f"""WITH {_SOURCES}, b AS (SELECT path, text FROM s WHERE doc_id % 15 <> 0), a AS (SELECT path, text || CASE WHEN doc_id % 10 = 0 THEN '!' ELSE '' END AS text FROM s WHERE doc_id % 4 <> 0)
 SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'deleted' ELSE 'modified' END AS change

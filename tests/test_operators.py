@@ -177,7 +177,13 @@ def test_shortest_edit(a, b):
 def test_ambiguous_renames_stay_apart(spark):
     gone = table(spark, [("a", "x\ny\n"), ("b", "x\ny\n"), ("c", "p\nq\nr\n")])
     come = table(spark, [("d", "x\ny\n"), ("e", "p\nq\ns\n")])
-    assert [tuple(r) for r in C.rename_pairs(C.similarity(gone, come)).collect()] == [("c", "e", 66)]
+    scores = C.similarity(gone, come)
+    assert [tuple(r) for r in C.rename_pairs(scores).collect()] == [("c", "e", 66)]
+    assert sorted(tuple(r) for r in C.judged_renames(scores).collect()) == [("a", "d", 100, "copies"), ("c", "e", 66, None)]
+    two = C.judged_renames(C.similarity(table(spark, [("a", "x\ny\nz\nw\n")]), table(spark, [("b", "x\ny\nz\nv\n"), ("c", "x\ny\nz\nu\n"), ("d", "x\ny\n"), ("e", "")])))
+    assert sorted(tuple(r) for r in two.collect()) == [("a", "b", 75, "several-targets"), ("a", "c", 75, "several-targets"), ("a", "d", 50, "better-elsewhere")]
+    copies = spark.range(3000).select(F.col("id").cast("string").alias("path"), F.lit("same\n").alias("text"))
+    assert [tuple(r) for r in C.similarity(copies, copies).collect()] == [("0", "0", 100, 3000, 3000)]
 
 
 @settings(max_examples=80, deadline=None)

@@ -34,7 +34,7 @@ def scores(docs):
             x, y = Counter(a.splitlines(True)), Counter(b.splitlines(True))
             big, small = max(len(a), len(b)), min(len(a), len(b))
             shared = sum(len(k) * n for k, n in (x & y).items())
-            if shared and 2 * small >= big and (score := 100 if a == b else min(99, 100 * shared // big)) >= 50:
+            if (shared or a == b) and 2 * small >= big and (score := 100 if a == b else min(99, 100 * shared // big)) >= 50:
                 out.append((p, q, score))
     return out
 
@@ -42,7 +42,15 @@ def scores(docs):
 def test_similarity_and_renames_of_all_documents(spark, docs):
     want = scores(docs[1])
     assert sum(int(p.split("/")[-1][:-4]) % 20 != 0 for p, _, _ in want) > 40
-    assert sorted(tuple(r) for r in catalog.queries()["similarity"](spark, docs[0]).collect()) == sorted(want)
+    # Rows are classes of equal texts; with their members they are all pairs.
+    old = {p: t for p, (_, t) in docs[1].items()}
+    new = {f"moved/{p}": t + "\nadded line" if i % 40 == 0 else t for p, (i, t) in docs[1].items()}
+    alike = lambda side, p: [q for q, t in side.items() if t == side[p]]
+    rows = catalog.queries()["similarity"](spark, docs[0]).collect()
+    assert all((r["old_path"], r["new_path"]) == (min(alike(old, r["old_path"])), min(alike(new, r["new_path"]))) for r in rows)
+    assert all((r["old_members"], r["new_members"]) == (len(alike(old, r["old_path"])), len(alike(new, r["new_path"]))) for r in rows)
+    assert sorted((p, q, r["score"]) for r in rows for p in alike(old, r["old_path"]) for q in alike(new, r["new_path"])) == sorted(want)
+    assert max(r["old_members"] for r in rows) > 2 and 100 in {r["score"] for r in rows if old[r["old_path"]] == ""}
     only = lambda k, r: [x for x in want if x[k] == r[k] and x[2] >= r[2]] == [r]
     got = catalog.queries()["rename_pairs"](spark, docs[0]).collect()
     assert sorted(tuple(r) for r in got) == sorted(r for r in want if only(0, r) and only(1, r))
