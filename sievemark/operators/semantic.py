@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+import time
+import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CapabilityError
+from ..session import cut, release
 from .budget import running_sum
 from .ranges import greedy_dedupe, overlap_anti
 
@@ -20,7 +24,12 @@ PASSAGE_CHARACTERS, PASSAGE_OVERLAP = 1000, 160
 
 
 class Encoder(Protocol):
-    """Vectors of texts.  No model comes with the engine; without an encoder semantic modes are unavailable."""
+    """Vectors of texts.  No model comes with the engine; without an encoder semantic modes are unavailable.
+
+    An encoder that reads only so many tokens has ``window_tokens`` and says with ``spans`` where the tokens of a text
+    lie; longer passages are embedded in windows then.  ``encode`` gets the role apart and puts it before the text itself;
+    what that takes of a window is ``role_tokens``.
+    """
 
     dimension: int
     version: str
@@ -36,8 +45,14 @@ def _trigram(t: str) -> int:
 class HashingEncoder:
     """A deterministic encoder for tests: hashed character trigrams.  It says nothing about meaning."""
 
-    def __init__(self, dimension: int = 64):
-        self.dimension, self.version = dimension, f"hashing-{dimension}"
+    role_tokens = 0
+
+    def __init__(self, dimension: int = 64, window_tokens: int | None = None):
+        self.dimension, self.version, self.window_tokens = dimension, f"hashing-{dimension}", window_tokens
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Words stand for tokens here."""
+        return [m.span() for m in re.finditer(r"\S+", text)]
 
     def encode(self, texts: list[str], role: str) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension), np.float32)
@@ -85,9 +100,38 @@ def passages(sources: DataFrame, key: str = "path", size: int = PASSAGE_CHARACTE
     return sources.select(key, "text").mapInPandas(cut, f"{key} {kind}, start long, end long, line long, text string")
 
 
-def cache_key(text: Column, role: str) -> Column:
-    """Content address of an embedding."""
-    return F.sha2(F.concat(F.lit(role + "\0"), text), 256)
+def cache_key(text: Column, role: str, version: str = "") -> Column:
+    """Content address of an embedding: of the encoder's version, the role and the text."""
+    return F.sha2(F.concat(F.lit(f"{version}\0{role}\0" if version else role + "\0"), text), 256)
+
+
+def window_bounds(text: str, encoder: Encoder, overlap: int | None = None) -> list[tuple[int, int]]:
+    """Half-open ranges of a passage that the encoder can read as a whole; all of it if it may be of any length.
+
+    Windows overlap by a quarter, or by ``overlap`` tokens, and leave no character out: each begins where its first token
+    does (the first at the start) and reaches to the token behind its last one.
+    """
+    most = getattr(encoder, "window_tokens", None)
+    if most is None:
+        return [(0, len(text))]
+    spans = encoder.spans(text)
+    size = max(1, most - getattr(encoder, "role_tokens", 0))
+    if len(spans) <= size:
+        return [(0, len(text))]
+    tokens = token_windows(len(spans), size, size // 4 if overlap is None else overlap)
+    return [(spans[a][0] if a else 0, spans[b][0] if b < len(spans) else len(text)) for a, b in tokens]
+
+
+def windows(passages: DataFrame, encoder: Encoder, *keys: str) -> DataFrame:
+    """``keys, window, text``: the windows of passages (``keys, text``); one pass without a shuffle."""
+    kinds = ", ".join(f"`{k}` {passages.schema[k].dataType.simpleString()}" for k in keys)
+
+    def cut_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(*k, i, t[a:b]) for *k, t in part.itertuples(index=False) for i, (a, b) in enumerate(window_bounds(t, encoder))]
+            yield pd.DataFrame(rows, columns=[*keys, "window", "text"])
+
+    return passages.select(*keys, "text").mapInPandas(cut_up, f"{kinds}, window int, text string")
 
 
 def embed(texts: DataFrame, encoder: Encoder, role: str = "passage", batch: int = 64) -> DataFrame:
@@ -104,13 +148,93 @@ def embed(texts: DataFrame, encoder: Encoder, role: str = "passage", batch: int
     return texts.select("key", "text").dropDuplicates(["key"]).mapInPandas(run, "key string, embedding array<float>")
 
 
-def embed_cached(texts: DataFrame, encoder: Encoder, cache: DataFrame | None, role: str = "passage") -> DataFrame:
-    """Embeddings from a cache (``key, embedding``), and the missing ones computed."""
-    if cache is None:
-        return embed(texts, encoder, role)
-    keys = texts.select("key").distinct()
-    missing = texts.join(cache.select("key"), "key", "left_anti")
-    return cache.join(keys, "key", "left_semi").select("key", "embedding").unionByName(embed(missing, encoder, role))
+class EmbeddingCache:
+    """Embeddings by content address, in a folder of any file system that Spark writes.
+
+    Vectors are written to a folder of their own, and count from when a mark with its name exists: a write that is
+    broken off, or made twice by a task that is tried again, leaves nothing that is read.  Two runs may write the same
+    key; its vectors are equal, and one is taken.  ``prune`` writes what stays as one new folder, whose mark says which
+    folders it stands for.  The driver sees the names of folders only.
+    """
+
+    _ROWS = "key string, embedding array<float>"
+
+    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], float] = time.time):
+        self.spark, self.root, self.clock = spark, root.rstrip("/"), clock
+
+    def _files(self):
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def folders(self, kind: str) -> list[str]:
+        """Folders of vectors or of uses that count: those with a mark, less those that another one stands for."""
+        fs, path = self._files()
+        marks = path(f"{self.root}/marks")
+        names = [s.getPath().getName() for s in fs.listStatus(marks)] if fs.exists(marks) else []
+        gone: set[str] = set()
+        for name in names:
+            if name.endswith(".instead"):
+                lines = [r[0] for r in self.spark.read.text(f"{self.root}/marks/{name}").collect()]
+                gone |= {x for x in lines if x}
+        live = {n.removesuffix(".instead") for n in names}
+        return sorted(n for n in live - gone if n.startswith(kind))
+
+    def _commit(self, rows: DataFrame, kind: str, instead: list[str] | None = None) -> None:
+        name = f"{kind}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{name}")
+        fs, path = self._files()
+        if instead is None:
+            fs.create(path(f"{self.root}/marks/{name}"), False).close()
+            return
+        # Written beside and renamed, so that a mark is there with all it says or not at all.
+        beside = path(f"{self.root}/{name}.mark")
+        out = fs.create(beside, False)
+        out.write(bytearray(("\n".join(instead) + "\n").encode()))
+        out.close()
+        fs.rename(beside, path(f"{self.root}/marks/{name}.instead"))
+
+    def vectors(self) -> DataFrame:
+        """``key, embedding``; a key once."""
+        found = [f"{self.root}/{n}" for n in self.folders("vectors")]
+        if not found:
+            return self.spark.createDataFrame([], self._ROWS)
+        return self.spark.read.schema(self._ROWS).parquet(*found).dropDuplicates(["key"])
+
+    def embedded(self, texts: DataFrame, encoder: Encoder, role: str = "passage") -> DataFrame:
+        """``key, embedding`` of ``key, text``: what is missing is embedded and kept, then all is read from the cache."""
+        every = cut(texts.dropDuplicates(["key"]))
+        missing = cut(every.join(self.vectors().select("key"), "key", "left_anti"))
+        if not missing.isEmpty():
+            self._commit(embed(missing, encoder, role), "vectors")
+        now = int(self.clock() * 1000)
+        self._commit(every.select("key", F.lit(now).cast("long").alias("used_ms")), "uses")
+        out = cut(self.vectors().join(every.select("key"), "key", "left_semi"))
+        release(every, missing)
+        return out
+
+    def prune(self, max_bytes: int) -> None:
+        """Keep the vectors used last, in at most ``max_bytes``."""
+        vectors, uses = self.folders("vectors"), self.folders("uses")
+        if not vectors:
+            return
+        used = self.spark.read.schema("key string, used_ms long").parquet(*[f"{self.root}/{n}" for n in uses]) if uses else self.spark.createDataFrame([], "key string, used_ms long")
+        last = used.groupBy("key").agg(F.max("used_ms").alias("used_ms"))
+        rows = self.vectors().join(last, "key", "left").withColumn("used_ms", F.coalesce("used_ms", F.lit(0).cast("long")))
+        kept = cut(prune_cache(rows, max_bytes))
+        self._commit(kept.select("key", "embedding"), "vectors", vectors)
+        self._commit(kept.select("key", "used_ms"), "uses", uses)
+        release(kept)
+        # Readers that listed the old folders may still be at work; what no mark counts goes with the next pruning.
+        fs, path = self._files()
+        live = set(self.folders("vectors")) | set(self.folders("uses"))
+        for status in fs.listStatus(path(self.root)):
+            name = status.getPath().getName()
+            if name.startswith(("vectors-", "uses-")) and name not in live | set(vectors) | set(uses) and not name.endswith(".mark") and self._old(status):
+                fs.delete(status.getPath(), True)
+
+    def _old(self, status) -> bool:
+        """Whether a folder that no mark counts is no write that is still going on."""
+        return self.clock() * 1000 - status.getModificationTime() > 3_600_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -155,13 +279,20 @@ def rank(scored: DataFrame) -> DataFrame:
     return with_ranking_score(scored).orderBy(F.desc("ranking_score"), "path", "line")
 
 
-def concept(sources: DataFrame, query: str, encoder: Encoder | None, limit: int | None = 50_000, cache: DataFrame | None = None) -> DataFrame:
-    """``path, start, end, line, text, score, ranking_score`` of the passages nearest to a query; without a limit of all, in no order."""
+def concept(sources: DataFrame, query: str, encoder: Encoder | None, limit: int | None = 50_000, cache: EmbeddingCache | None = None) -> DataFrame:
+    """``path, start, end, line, text, score, ranking_score`` of the passages nearest to a query; without a limit of all, in no order.
+
+    A passage that is longer than the encoder reads scores as its best window.  Each different window is embedded once;
+    with a cache, only those that no run has embedded before.
+    """
     encoder = required(encoder)
-    p = passages(sources).withColumn("key", cache_key(F.col("text"), "passage"))
-    vectors = embed_cached(p.select("key", "text"), encoder, cache)
+    p = passages(sources)
     q = encoder.encode([query], "query")[0].tolist()
-    scored = cosine(p.join(vectors, "key"), q).select("path", "start", "end", "line", "text", "score")
+    keyed = windows(p, encoder, "path", "start", "end").withColumn("key", cache_key(F.col("text"), "passage", encoder.version))
+    texts = keyed.select("key", "text")
+    vectors = embed(texts, encoder) if cache is None else cache.embedded(texts, encoder)
+    best = passage_scores(cosine(keyed.select("path", "start", "end", "key").join(vectors, "key"), q), "path", "start", "end")
+    scored = p.join(best, ["path", "start", "end"]).select("path", "start", "end", "line", "text", "score")
     return with_ranking_score(scored) if limit is None else rank(scored).limit(limit)
 
 

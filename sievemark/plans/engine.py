@@ -77,12 +77,13 @@ class Engine:
 
     def __init__(
         self, sources: DataFrame | Callable[[], DataFrame], *, current: Callable[[], DataFrame] | None = None, base: DataFrame | None = None, encoder: M.Encoder | None = None, judge: M.Judge | None = None, syntax: SX.SyntaxProvider | None = None,
-        facts: Mapping[str, DataFrame] | None = None, limits: Limits = Limits(), clock=None, partial_reasons: list[str] | None = None, remaining: float | None = None,
+        facts: Mapping[str, DataFrame] | None = None, cache: M.EmbeddingCache | None = None, limits: Limits = Limits(), clock=None, partial_reasons: list[str] | None = None, remaining: float | None = None,
     ):
         self.read = sources if callable(sources) else lambda: sources
         self.sources = self.read()
         self.current, self.base = current or self.read, base
         self.encoder, self.judge, self.syntax, self.facts, self.limits = encoder, judge, syntax, facts, limits
+        self.cache = cache
         self.reasons = partial_reasons or []
         #: The share of the reader's context that is left, if known; it bounds pages.
         self.remaining = remaining
@@ -457,7 +458,7 @@ class Engine:
     def _concept(self, r: Request) -> Result:
         encoder, (scoped, reasons) = M.required(self.encoder), self._bounded(r)
         manifest = A.manifest(scoped)
-        every = cut(M.concept(scoped, r.get("query"), encoder, None))
+        every = cut(M.concept(scoped, r.get("query"), encoder, None, self.cache))
         total, order = every.count(), ["order_", "path", "line"]
         ranked = every.withColumn("order_", -F.col("ranking_score"))
         if total > self.limits.retained_lines:
@@ -477,7 +478,7 @@ class Engine:
         # Passages count from the start of the text, and so do these.
         placed = cut(S.in_text(S.matching_lines(scoped, p, ranges=True, places=True)))
         # All passages: those that overlap a better one go before the best are taken.
-        ranked = cut(M.concept(scoped, r.get("query"), encoder, None))
+        ranked = cut(M.concept(scoped, r.get("query"), encoder, None, self.cache))
         # The sources must be the same after the ranking as before the scan; otherwise they changed meanwhile.
         if not A.changed_files(manifest, scoped.select("path", content_hash(F.col("text")).alias("version"))).isEmpty():
             raise EvidenceError("the sources changed during the search", "E_SOURCES_CHANGED", recovery="retry")

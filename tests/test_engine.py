@@ -1,5 +1,6 @@
 import os
 import subprocess
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -421,3 +422,59 @@ def test_streams(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(f"found{i}").outputMode(mode).option("checkpointLocation", str(tmp_path / f"c{i}")).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(f"found{i}").count() == 1
+
+
+class CountingEncoder(HashingEncoder):
+    """Notes in a folder what it is asked for, so that the tests see what workers embed."""
+
+    def __init__(self, folder, window_tokens=None):
+        super().__init__(64, window_tokens)
+        self.folder = folder
+
+    def encode(self, texts, role):
+        if role == "passage":
+            with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\n".join(map(repr, texts)))
+        return super().encode(texts, role)
+
+    def seen(self):
+        out = [line for name in os.listdir(self.folder) for line in open(f"{self.folder}/{name}").read().split("\n")]
+        for name in os.listdir(self.folder):
+            os.remove(f"{self.folder}/{name}")
+        return out
+
+
+def test_long_passages_are_read_in_windows(spark):
+    encoder = HashingEncoder(64, 8)
+    text = "  " + " ".join(f"w{i}" for i in range(20)) + " end \n"
+    bounds = semantic.window_bounds(text, encoder)
+    assert bounds[0][0] == 0 and bounds[-1][1] == len(text) and all(a < c < b < d for (a, b), (c, d) in zip(bounds, bounds[1:]))
+    assert all(len(text[a:b].split()) <= 8 for a, b in bounds) and semantic.window_bounds("a b", encoder) == [(0, 3)] and semantic.window_bounds(text, HashingEncoder()) == [(0, len(text))]
+    # What matters stands in the last window of a passage, where a reader of its first tokens would not get.
+    rows = [("long", " ".join(f"filler{i % 3}" for i in range(60)) + " quartz heron umbrella"), ("short", "filler1 filler2 umbrella things here")]
+    df = spark.createDataFrame(rows, "path string, text string")
+    first = lambda e: semantic.concept(df, "quartz heron umbrella", e, 1).first()
+    assert first(encoder)["path"] == "long" and first(encoder)["score"] > 0.8 and first(HashingEncoder())["score"] < first(encoder)["score"]
+
+
+def test_a_cache_embeds_once(spark, tmp_path):
+    (tmp_path / "seen").mkdir()
+    clock = Clock()
+    encoder = CountingEncoder(str(tmp_path / "seen"))
+    cache = semantic.EmbeddingCache(spark, f"file://{tmp_path}/cache", clock)
+    df = spark.createDataFrame([("a", "one two"), ("b", "three"), ("c", "one two")], "path string, text string")
+    ask = lambda rows: sorted((r["path"], round(r["score"], 6)) for r in semantic.concept(rows, "one", encoder, None, cache).collect())
+    want = sorted((r["path"], round(r["score"], 6)) for r in semantic.concept(df, "one", HashingEncoder(), None).collect())
+    assert ask(df) == want and sorted(encoder.seen()) == ["'one two'", "'three'"]
+    assert ask(df) == want and encoder.seen() == []
+    # A write that was broken off has no mark, and is not read.
+    spark.createDataFrame([("bad", [0.0])], "key string, embedding array<float>").write.parquet(f"file://{tmp_path}/cache/vectors-broken")
+    assert cache.vectors().count() == 2
+    clock.now = 10.0
+    assert ask(df.where("path = 'b'")) == [x for x in want if x[0] == "b"]
+    # The vector used last stays; the other one is embedded again when it is needed.
+    cache.prune(64 * 4 + 64)
+    assert cache.vectors().count() == 1 and len(cache.folders("vectors")) == 1
+    assert ask(df) == want and encoder.seen() == ["'one two'"] and cache.vectors().count() == 2
+    engine = Engine(df, encoder=encoder, cache=cache)
+    assert engine.search({"mode": "concept", "query": "one"}).counts["found"] == 3 and encoder.seen() == []
