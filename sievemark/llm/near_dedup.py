@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, release, unpacked
+from .common import BROADCAST_BYTES, cut, packed, release, unpacked
 from .components import components
 from .vectext import LOWER, U64, chunks, keys, mix, windows, word_hashes, words
 
@@ -32,6 +32,8 @@ COORDINATES = 64
 #: Shingles and members that a group of candidates may have in a task; larger groups are dealt in blocks of that size.
 GROUP_SHINGLES = 2_000_000
 GROUP_MEMBERS = 512
+#: Members of a group up to which all blocks of it meet by signatures; in a larger one those of each list do.
+WHOLE_GROUP = 1 << 16
 _MULTIPLIERS = keys(COORDINATES, 7) | U64(1)
 
 
@@ -193,9 +195,9 @@ def _verify(batches, percent: int):
     key, ids, sets, side, known = None, [], [], [], []
 
     def done():
-        if key[0] == 2 and len(set(side)) < 2:
+        if key[0] >= 2 and len(set(side)) < 2:
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
-        links = spanning_links(np.array(ids), [np.frombuffer(s, U64) for s in sets], np.array(side), percent, np.array(known) if key[0] == 2 else None)
+        links = spanning_links(np.array(ids), [np.frombuffer(s, U64) for s in sets], np.array(side), percent, np.array(known) if key[0] >= 2 else None)
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
     for batch in batches:
@@ -212,6 +214,13 @@ def _verify(batches, percent: int):
         yield done()
 
 
+def _sketches(batches):
+    """The last byte of each coordinate: two that match in the coordinate match in it."""
+    for batch in batches:
+        sigs = batch.column(1).flatten().to_numpy().reshape(-1, COORDINATES)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in (sigs & 0xFF).astype(np.uint8)], pa.binary())], names=["c_", "sketch_"])
+
+
 def _candidates(batches, percent: int):
     """The members of each unit that match one of the other side, and are apart from it, in enough coordinates."""
     need = matches_needed(percent)
@@ -219,7 +228,7 @@ def _candidates(batches, percent: int):
     key, rows, sigs = None, [], []
 
     def done():
-        sig, own, known = np.array(sigs), np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+        sig, own, known = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, COORDINATES), np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
         left, right = np.flatnonzero(own == 0), np.flatnonzero(own == 1)
         met = np.zeros(len(rows), bool)
         for i in right:
@@ -232,13 +241,13 @@ def _candidates(batches, percent: int):
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in kept], k) for c, k in enumerate(kinds)], names=names)
 
     for batch in batches:
-        for *row, sig in zip(*(batch.column(c).to_pylist() for c in range(7)), batch.column(7)):
+        for *row, sig in zip(*(batch.column(c).to_pylist() for c in range(8))):
             if row[:4] != key:
                 if rows:
                     yield done()
                 key, rows, sigs = row[:4], [], []
             rows.append(row)
-            sigs.append(sig.values.to_numpy())
+            sigs.append(sig)
     if rows:
         yield done()
 
@@ -246,8 +255,10 @@ def _candidates(batches, percent: int):
 def _compared(units: DataFrame, body: DataFrame, size: int, percent: int) -> DataFrame:
     """``a, b``: the confirmed links inside each unit (``kind, unit_, block_, other_``) of rows ``class_, own_,
     known_``."""
-    wanted = units.select("class_").distinct()
-    texts = body.join(wanted, body["id_"] == wanted["class_"]).select("class_", "text_")
+    wanted = units.select(F.col("class_").alias("w_")).distinct()
+    # Ids only, and measured: texts move when there are too many of them.
+    wanted = F.broadcast(wanted) if wanted.count() * 16 <= BROADCAST_BYTES else wanted
+    texts = body.join(wanted, body["id_"] == wanted["w_"], "left_semi").select(F.col("id_").alias("class_"), "text_")
     # An id with several texts has several sets; each is compared, under that id.
     sets = texts.mapInArrow(partial(_sets, size=size), "class_ long, set_ binary")
     dealt = units.join(sets, "class_").repartition(*_UNIT).select(*_UNIT, "own_", "known_", "class_", "set_")
@@ -262,21 +273,22 @@ def _block(of: str, blocks: str, seed: int) -> Column:
     return F.pmod(F.xxhash64(of, F.lit(seed)), F.col(blocks))
 
 
-def _links(postings: DataFrame, classes: DataFrame, body: DataFrame, size: int, percent: int, group_members: int, group_shingles: int) -> DataFrame:
+def _links(postings: DataFrame, classes: DataFrame, body: DataFrame, size: int, percent: int, group_members: int, group_shingles: int, whole_group: int) -> DataFrame:
     """``a, b``: links that connect all classes that similar pairs connect.
 
     A group is a component of the graph of classes and posted pairs; a small one is compared in one task.  Of a large
     one the lists of its pairs are taken in two steps.  First each class is compared with one other, the smallest class of
     most of its lists, in blocks with the others that have the same: a group of copies is connected by this, however large
-    it is, and every set moves once.  Then, in lists with classes that are still apart, those outside of the largest
-    connected part are held against all others, block by block, by their signatures; sets follow for those that match.
+    it is, and every set moves once.  Then, in groups with classes that are still apart, those outside of the largest
+    connected part are held against all others, block by block, by sketches of their signatures; sets follow for those
+    that match.
     """
     lead = postings.groupBy("token").agg(F.min("class_").alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
     met = cut(postings.join(lead, "token").select("token", "class_", "lead"))
     coarse = components(met, "class_", "lead")
     sized = coarse.join(classes.select("class_", "n_"), coarse["node"] == classes["class_"]).select("class_", "component", "n_")
     total = sized.groupBy("component").agg(F.sum("n_").alias("shingles"), F.count(F.lit(1)).alias("members"))
-    member = cut(sized.join(total, "component").select("class_", "n_", "component", ((F.col("shingles") > group_shingles) | (F.col("members") > group_members)).alias("large")))
+    member = cut(sized.join(total, "component").select("class_", "n_", "component", F.col("members").alias("size_"), ((F.col("shingles") > group_shingles) | (F.col("members") > group_members)).alias("large")))
     none = F.lit(None).cast("long")
     small = member.where("NOT large").select("class_", F.lit(0).alias("kind"), F.col("component").alias("unit_"), F.lit(0).cast("long").alias("block_"), F.lit(0).cast("long").alias("other_"), F.lit(0).alias("own_"), none.alias("known_"))
     large = member.where("large").select("class_", "n_")
@@ -296,35 +308,41 @@ def _links(postings: DataFrame, classes: DataFrame, body: DataFrame, size: int,
     first = cut(_compared(small.union(spread).union(heads), body, size, percent))
 
     so_far = cut(components(first, "a", "b"))
-    known = big.join(so_far.withColumnRenamed("component", "c_"), big["class_"] == so_far["node"], "left").select("token", "class_", "n_", F.coalesce("c_", "class_").alias("known_"))
-    parts = known.groupBy("token", "known_").agg(F.count(F.lit(1)).alias("m"), F.sum("n_").alias("s"))
-    lists = parts.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.max(F.struct("m", "s", "known_")).alias("main")).where("parts > 1")
+    placed = member.where("large").join(so_far.select("node", F.col("component").alias("c_")), F.col("class_") == F.col("node"), "left")
+    placed = cut(placed.select("class_", "n_", F.coalesce("c_", "class_").alias("known_"), F.col("component").alias("group_"), "size_"))
+    # All blocks of a group meet, each class once; of a very large group those of each list, in which a class is often.
+    of_group = placed.where(F.col("size_") <= whole_group).select(F.lit(2).alias("kind"), F.col("group_").alias("unit"), "class_", "n_", "known_")
+    of_list = met.join(placed.where(F.col("size_") > whole_group), "class_").select(F.lit(3).alias("kind"), F.col("token").alias("unit"), "class_", "n_", "known_")
+    known = of_group.union(of_list)
+    parts = known.groupBy("kind", "unit", "known_").agg(F.count(F.lit(1)).alias("m"), F.sum("n_").alias("s"))
+    lists = parts.groupBy("kind", "unit").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.max(F.struct("m", "s", "known_")).alias("main")).where("parts > 1")
     lists = cut(lists.select(
-        F.col("token").alias("t_"), F.col("main.known_").alias("main"), _blocks(F.col("m"), F.col("s"), group_members, group_shingles).alias("blocks"),
+        F.col("kind").alias("k_"), F.col("unit").alias("t_"), F.col("main.known_").alias("main"), _blocks(F.col("m"), F.col("s"), group_members, group_shingles).alias("blocks"),
         _blocks(F.col("m") - F.col("main.m"), F.col("s") - F.col("main.s"), group_members, group_shingles).alias("others"),
     ))
     result = first
     if not lists.isEmpty():
-        open_ = cut(known.join(lists, known["token"] == lists["t_"]))
-        rows = lambda block, other, own: [F.col("class_"), F.lit(2).alias("kind"), F.col("token").alias("unit_"), block.alias("block_"), other.alias("other_"), F.lit(own).alias("own_"), F.col("known_")]
+        open_ = cut(known.join(lists, (known["kind"] == lists["k_"]) & (known["unit"] == lists["t_"])))
+        rows = lambda block, other, own: [F.col("class_"), F.col("kind"), F.col("unit").alias("unit_"), block.alias("block_"), other.alias("other_"), F.lit(own).alias("own_"), F.col("known_")]
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         all_ = open_.withColumn("o", every("others")).select(*rows(_block("class_", "blocks", 2), F.col("o"), 0))
         rest = open_.where("known_ <> main").withColumn("b", every("blocks")).select(*rows(F.col("b"), _block("class_", "others", 3), 1))
-        # Only signatures meet all others of their lists.
-        sides = all_.union(rest).join(classes.select(F.col("class_").alias("c_"), "sig_"), F.col("class_") == F.col("c_")).select(*_UNIT, "own_", "known_", "class_", "sig_")
+        # Only sketches meet all others.
+        sketches = classes.select("class_", "sig_").mapInArrow(_sketches, "c_ long, sketch_ binary")
+        sides = all_.union(rest).join(sketches, F.col("class_") == F.col("c_")).select(*_UNIT, "own_", "known_", "class_", "sketch_")
         kind = "kind int, unit_ long, block_ long, other_ long, own_ int, known_ long, class_ long"
         near = cut(sides.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(partial(_candidates, percent=percent), kind))
         second = cut(_compared(near, body, size, percent))
-        release(near)
+        release(near, open_)
         # ``a`` and ``b`` of the second step connect what the first has connected.
         result = first.union(second)
-    release(met, member, big, per, so_far, lists)
+    release(met, member, big, per, so_far, placed, lists)
     return result
 
 
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
-    group_shingles: int = GROUP_SHINGLES, group_members: int = GROUP_MEMBERS,
+    group_shingles: int = GROUP_SHINGLES, group_members: int = GROUP_MEMBERS, whole_group: int = WHOLE_GROUP,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
@@ -345,7 +363,7 @@ def near_duplicates(
     prefix = ranked.where(F.size("l") >= need).select("class_", F.explode(F.slice("l", F.lit(1), F.size("l") - need + 1)).alias("x"))
     postings = cut(prefix.select("class_", F.col("x.token").alias("token")))
 
-    links = _links(postings, classes, body, shingle, percent, group_members, group_shingles)
+    links = _links(postings, classes, body, shingle, percent, group_members, group_shingles, whole_group)
     label = components(links, "a", "b")
 
     mine = feats.join(classes.select("hi_", "lo_", "n_", "class_"), ["hi_", "lo_", "n_"], "left")

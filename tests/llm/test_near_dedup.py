@@ -81,8 +81,8 @@ def test_a_large_group_is_the_same_in_blocks(spark):
     assert len({c for _, c in want.values()}) > 2
 
 
-@pytest.mark.parametrize("members", [40, 512])
-def test_copies_of_a_template_are_the_same_in_blocks(spark, members):
+@pytest.mark.parametrize(("members", "whole"), [(40, 1 << 16), (40, 20), (512, 1 << 16)])
+def test_copies_of_a_template_are_the_same_in_blocks(spark, members, whole):
     # Most are candidates of each other, near the threshold on either side of it.
     rng = random.Random(4)
     base = [f"b{i}" for i in range(100)]
@@ -94,7 +94,7 @@ def test_copies_of_a_template_are_the_same_in_blocks(spark, members):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame([(*r, "x") for r in rows], DOCS)
     want = brute(rows, 3, 85)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df, 3, 85, group_members=members).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df, 3, 85, group_members=members, whole_group=whole).collect()}
     assert got == want and 20 < len({c for _, c in want.values()}) < 240
 
 
