@@ -16,6 +16,7 @@ from ..operators import audit as A
 from ..operators import budget as B
 from ..operators import changes as C
 from ..operators import files as FI
+from ..operators import ignore as IG
 from ..operators import modules as MO
 from ..operators import nodes as N
 from ..operators import ranges as G
@@ -911,6 +912,18 @@ def visible_history(spark, d):
     return AC.visible_history(docs.select("path"), docs.where("lang = 'fr'"))
 
 
+@query(
+    f"""WITH {_SOURCES} SELECT path FROM s WHERE NOT (
+  source LIKE '%1' OR (lang = 'fr' AND source NOT LIKE '%2') OR (lang = 'de' AND doc_id % 10 = 5 AND doc_id % 100 <> 15) OR source IS NULL)"""
+)
+def history_by_rules(spark, d):
+    docs = corpus.documents(spark, d).where("source IS NOT NULL")
+    # One file at the top, and one in each folder of a source.
+    top = docs.agg(F.count(F.lit(1))).select(F.lit(".gitignore").alias("path"), F.lit("*1/\n# French, but for some sources\nfr/\n!/*2/fr/\n").alias("text"))
+    nested = docs.select(F.concat("source", F.lit("/.ignore")).alias("path"), F.lit("de/*5.txt\n!de/15.txt\n!*[0-9]15.txt\n").alias("text")).distinct()
+    return IG.visible(docs.select("path"), top.union(nested))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

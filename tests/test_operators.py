@@ -1,5 +1,6 @@
 import random
 import re
+import subprocess
 import time
 
 import duckdb
@@ -17,6 +18,7 @@ from sievemark.operators import access as AC
 from sievemark.operators import audit as A
 from sievemark.operators import budget as B
 from sievemark.operators import changes as C
+from sievemark.operators import ignore as IG
 from sievemark.operators import ranges as G
 from sievemark.operators import search as S
 from sievemark.operators import semantic as M
@@ -310,3 +312,23 @@ def test_turns_are_taken_in_one_large_tier(spark):
     want = sorted(((i // 7, f"p{i % 7}", i) for i in range(500)))
     assert got == [(None, None, 1), (None, "q", 1), (None, None, 2), *((1, p, i) for _, p, i in want)]
     assert sorted(r["ord"] for r in AC.round_robin(df.where("tier = 1")).collect()) == list(range(1, 501))
+
+
+def test_ignore_rules_are_those_of_git(spark, tmp_path):
+    files = {
+        ".gitignore": "*.log\n!keep.log\n/build\nout/\n**/tmp/x*\na/*/c.txt\n\\#odd\n \ntrail \n[ab].q\n{x}.z\n",
+        "a/.gitignore": "!*.log\n/only\nsub/\n", "a/b/.gitignore": "*.log\n!deep.log\n*.md\n", "build/.gitignore": "!*\n",
+    }
+    names = ["x.log", "keep.log", "c.txt", "only", "#odd", "trail", "a.q", "{x}.z", "x.z", "deep.log", "r.md", "xy", "build", "out", "sub"]
+    folders = ["", "a/", "a/b/", "build/", "out/", "q/out/", "tmp/", "q/tmp/", "a/sub/", "a/b/sub/deep/", "a/only/", "q/build/"]
+    paths = [f + n for f in folders for n in names]
+    git = lambda *a, **k: subprocess.run(["git", "-C", str(tmp_path), *a], capture_output=True, text=True, **k)
+    git("init", "-q")
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    hidden = set(git("-c", "core.quotePath=false", "-c", "core.excludesFile=", "check-ignore", "--no-index", "--stdin", input="\n".join(paths)).stdout.split("\n")) - {""}
+    got = {r["path"] for r in IG.ignored(table(spark, [(p, "") for p in paths]).select("path"), IG.rules(table(spark, list(files.items())))).collect()}
+    assert got == hidden and 20 < len(hidden) < len(paths) - 20
+    more = table(spark, [("x/.ssh/id", ""), ("x/ssh/id", "")]).select("path")
+    assert [r["path"] for r in IG.visible(more, table(spark, [("x/.gitignore", "!*\n")])).collect()] == ["x/ssh/id"]
