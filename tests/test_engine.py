@@ -148,7 +148,7 @@ def test_structure_roles_and_functions_of_python(spark):
     assert [(r["path"], r["scope"]) for r in inside.rows] == [("a.py", "one"), ("a.py", "two")] and inside.partial is False
     assert [r["path"] for r in engine.search({"allOf": ["needle", "go("]}).rows] == ["a.py", "d.py"]
     offered = {r["capability"]: r["available"] for r in engine.search({"mode": "capabilities"}).rows if r["language"] == "python"}
-    assert offered == {"outline": True, "roles": True, "structure": True}
+    assert offered == {"outline": True, "roles": True, "structure": True, "imports": True, "tests": True}
 
 
 def test_terms_found_and_retained(spark):
