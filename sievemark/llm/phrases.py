@@ -5,12 +5,13 @@ shard of bounded size.  A shard has an automaton of its pieces (:class:`SuffixAu
 states enumerate substrings with the number of their end positions; these counts are added over all shards.
 
 A frequent phrase has only frequent words and frequent shorter phrases in it.  So words are counted first, then pairs of
-frequent words, then what is one word longer and made of two frequent phrases, and so on: nothing that could be frequent
-is lost, however few of it a shard holds, and rare phrases are not counted for longer ones.  What is frequent comes back
+frequent words, then three words made of two frequent pairs, and the rest over what is left by then: nothing that could be
+frequent is lost, however few of it a shard holds, and rare phrases are not counted for longer ones.  What is frequent comes back
 to the shards as Bloom filters of fixed size, whatever the corpus; they can let rare ones through, which costs work and
 changes no result.  Pairs are counted under the 64-bit hashes of their two words, which the table of frequent words turns
 into texts again (that one of a thousand million words meets a frequent one there has a chance of about one in a
-thousand).  Longer phrases are counted under one hash to find those that may be frequent, and these then under their texts.
+thousand).  Three words are counted under one hash to find those that may be frequent, and these, and what is longer, then
+under their texts.
 """
 
 from __future__ import annotations
@@ -334,6 +335,15 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+def _settled_bloom(hashes: DataFrame) -> np.ndarray:
+    """The filter of hashes that are settled first, as batches of one shard are no size for them."""
+    some = cut(hashes)
+    with batches_of(hashes.sparkSession, 10_000):
+        out = bloom(some)
+    release(some)
+    return out
+
+
 def frequent_phrases(docs: DataFrame, least: int = 100, depth: int = 5, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, m, a`` of all phrases of 1 to ``depth`` words that occur ``least`` times, and ``lang, total``: the
     words of each language.  Both are settled."""
@@ -359,17 +369,11 @@ def frequent_phrases(docs: DataFrame, least: int = 100, depth: int = 5, lang_col
     both = frequent.join(side("left"), "left").join(side("right"), "right").where(F.col("left_lang") == F.col("right_lang"))
     every = words.select("lang", "phrase", F.lit(1).alias("m"), "a").union(both.select(F.col("left_lang").alias("lang"), F.concat_ws(" ", "left_word", "right_word").alias("phrase"), F.lit(2).alias("m"), "a"))
 
-    for m in range(3, depth + 1):
-        with batches_of(spark, 1):
-            grams = coded.mapInArrow(partial(_grams, filters=dict(filters), m=m), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-            some = cut(grams.where(F.col("n") >= least).select("hash"))
-        if some.isEmpty():
-            break
-        filters[m] = spark.sparkContext.broadcast(bloom(some))
-        release(some)
     with batches_of(spark, 1):
-        if max(filters) > 2:
-            found = coded.mapInArrow(partial(_phrases, filters=filters, depth=max(filters)), "lang string, phrase string, m int, n long")
+        if depth > 2:
+            grams = coded.mapInArrow(partial(_grams, filters=dict(filters), m=3), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+            filters[3] = spark.sparkContext.broadcast(_settled_bloom(grams.where(F.col("n") >= least).select("hash")))
+            found = coded.mapInArrow(partial(_phrases, filters=filters, depth=depth), "lang string, phrase string, m int, n long")
             every = every.union(found.groupBy("lang", "phrase", "m").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
         phrases = cut(every)
     release(words, hashed, frequent)
