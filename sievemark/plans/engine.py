@@ -441,7 +441,7 @@ class Engine:
         counted = cut(A.audit(scoped, literals, True))
         after = self.current().select("path", content_hash(F.col("text")).alias("version"))
         changed = [x["path"] for x in A.changed_files(before, after).orderBy("path").limit(self.limits.page_items).collect()]
-        closed = not self.reasons and not changed and A.closure(before, before, ignored)
+        closed = not self.reasons and not changed and (ignored is None or ignored.isEmpty())
         release(before)
         rows = [x.asDict() for x in counted.orderBy("id").collect()]
         for x in rows:
