@@ -8,10 +8,11 @@ A frequent phrase has only frequent words and frequent shorter phrases in it.  S
 frequent words, then three words made of two frequent pairs, and the rest over what is left by then: nothing that could be
 frequent is lost, however few of it a shard holds, and rare phrases are not counted for longer ones.  What is frequent comes back
 to the shards as Bloom filters of fixed size, whatever the corpus; they can let rare ones through, which costs work and
-changes no result.  Pairs are counted under the 64-bit hashes of their two words, which the table of frequent words turns
-into texts again (that one of a thousand million words meets a frequent one there has a chance of about one in a
-thousand).  Three words are counted under one hash to find those that may be frequent, and these, and what is longer, then
-under their texts.
+changes no result.
+
+To find the pairs and three words that may be frequent it is enough to count the buckets that their hashes fall in: a task adds
+up those of its shards and hands them on sorted, as differences, some two bytes for each.  What falls in full buckets is
+then counted under its text, added up in the task that found it and again over all tasks.
 """
 
 from __future__ import annotations
@@ -37,8 +38,14 @@ SLICE_BYTES = 1 << 20
 SALTS = 64
 #: Bits of a filter as a power of two (8 MiB), and of the slices that tasks make of it.
 FILTER_BITS, SLICE_BITS = 26, 17
-#: Documents that a task takes at a time; of shards, which are large, it takes one.
-BATCH_DOCUMENTS = 1000
+#: Documents that a task takes at a time, of what takes ``BATCH_BYTES`` or somewhat more.
+BATCH_DOCUMENTS, BATCH_BYTES = 1000, 2 << 20
+#: Shards of a row group; a reader holds one, decoded.
+GROUP_SHARDS = 4
+#: Buckets as a power of two, and those of a part; of phrases, parts.
+BUCKET_BITS, PART_BITS, PHRASE_PART_BITS = 28, 20, 8
+#: Counts that a task adds up before it hands them on.
+HELD_COUNTS = 1 << 20
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAP = _BREAK.copy()
@@ -179,15 +186,7 @@ def bloom(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-# Pairs
-
-
-def pairs(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of all pairs, for each the number of its kind, and the two words (from 0) of each kind."""
-    a, b = numbers[:-1].astype(np.int64), numbers[1:].astype(np.int64)
-    at = np.flatnonzero((a > 0) & (b > 0))
-    kinds, kind = np.unique((a[at] - 1) * size + b[at] - 1, return_inverse=True)
-    return at, kind, kinds // max(size, 1), kinds % max(size, 1)
+# Hashes
 
 
 def _hashes(words: pa.Array, lang: str) -> np.ndarray:
@@ -204,12 +203,6 @@ def _hashed(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, pa.array(_hashes(words, lang).astype(np.int64))], names=["lang", "word", "hash"])
 
 
-def _pair_hashes(batches):
-    for batch in batches:
-        left, right = (batch.column(c).to_numpy().astype(U64) for c in range(2))
-        yield pa.RecordBatch.from_arrays([pa.array(pair_hashes(left, right).astype(np.int64))], names=["hash"])
-
-
 def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _ODD + right)
 
@@ -226,13 +219,6 @@ def _frequent(batches, filters: dict):
                 yield lang, words.take(pa.array(kept)), h[kept], numbers
 
 
-def _pairs(batches, filters: dict):
-    for _, words, h, numbers in _frequent(batches, filters):
-        _, kind, left, right = pairs(numbers, len(words))
-        n = np.bincount(kind, minlength=len(left))
-        yield pa.RecordBatch.from_arrays([pa.array(h[left].astype(np.int64)), pa.array(h[right].astype(np.int64)), pa.array(n.astype(np.int64))], names=["left", "right", "n"])
-
-
 # Automata
 
 
@@ -304,44 +290,161 @@ class SuffixAutomaton:
 
 
 def _may(filters: dict):
-    return lambda m, hashes: may_hold(filters[m].value, hashes) if m in filters else np.ones(len(hashes), bool)
+    return lambda m, hashes: may_hold(filters[m].value, buckets(hashes)) if m in filters else np.ones(len(hashes), bool)
+
+
+# Buckets
+
 
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> U64(64 - BUCKET_BITS)
 
-def _grams(batches, filters: dict, m: int):
-    """Hashes and counts of the substrings of ``m`` words whose parts may be frequent."""
+
+def encoded(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending places in a part, and what is counted there; :func:`decoded` gives them back."""
+    planes = lambda x, kind: np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return pa.compress(planes(np.diff(at, prepend=0), "<u4") + planes(n, "<i8"), codec="zstd", asbytes=True)
+
+
+def decoded(size: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=12 * size, codec="zstd"), np.uint8)
+    values = lambda x, kind: np.ascontiguousarray(x.reshape(-1, size).T).view(kind).ravel()
+    return np.cumsum(values(raw[: 4 * size], "<u4"), dtype=np.int64), values(raw[4 * size :], "<i8")
+
+
+def _bucket_counts(batches, filters: dict, m: int, least: int):
+    """``part, size, counts``: what the buckets of the substrings of ``m`` words get from a task whose parts may be
+    frequent; more than ``least`` counts as ``least``."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def rows():
+        at, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(at, kind="stable")
+        at, n = at[order], n[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        at, n = at[first], np.minimum(np.add.reduceat(n, first), least)
+        parts, begins = np.unique(at >> PART_BITS, return_index=True)
+        ends = np.append(begins[1:], len(at))
+        counts = [encoded(at[a:b] & ((1 << PART_BITS) - 1), n[a:b]) for a, b in zip(begins, ends)]
+        yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(ends - begins), pa.array(counts, pa.binary())], names=["part", "size", "counts"])
+
+    size = 0
     for _, _, h, numbers in _frequent(batches, filters):
         a = SuffixAutomaton(numbers, h, m, _may(filters))
-        yield pa.RecordBatch.from_arrays([pa.array(a.hashes[-1].astype(np.int64)), pa.array(a.count[a.state[-1]].astype(np.int64))], names=["hash", "n"])
+        if len(a.hashes[-1]):
+            held.append((buckets(a.hashes[-1]).astype(np.int64), a.count[a.state[-1]].astype(np.int64)))
+            size += len(held[-1][0])
+        if size >= HELD_COUNTS:
+            yield from rows()
+            held, size = [], 0
+    if held:
+        yield from rows()
+
+
+def _full(batches, least: int):
+    """The buckets that get ``least`` and more, from the counts of all tasks sorted by part."""
+    now, sums = None, np.zeros(1 << PART_BITS, np.int64)
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(sums >= least) + (now << PART_BITS))], names=["bucket"])
+
+    for batch in batches:
+        for part, size, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            if part != now:
+                if now is not None:
+                    yield row()
+                now = part
+                sums[:] = 0
+            at, n = decoded(size, counts)
+            sums[at] += n
+    if now is not None:
+        yield row()
+
+
+# Phrases
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    sums = pa.concat_tables(tables).group_by(["part", "phrase", "m"], use_threads=False).aggregate([("n", "sum")])
+    return sums.rename_columns(["part", "phrase", "m", "n"])
+
+
+_PARTS = "lang string, part long, phrases array<string>, m array<int>, n array<long>"
 
 
 def _phrases(batches, filters: dict, depth: int):
+    """The counts of a task, a row for the phrases of a language whose hashes begin alike."""
+    held: dict[str, list[pa.Table]] = {}
+
+    def rows():
+        for lang, tables in held.items():
+            sums = _added(tables).sort_by("part").combine_chunks()
+            parts, begins = np.unique(sums["part"].to_numpy(), return_index=True)
+            ends = pa.array(np.append(begins, len(sums)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays(sums[c].chunks)) for c in ("phrase", "m", "n")]
+            for a in range(0, len(parts), 16):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts[a : a + 16]), pa.string()), pa.array(parts[a : a + 16]), *(x.slice(a, 16) for x in lists)], names=["lang", "part", "phrases", "m", "n"])
+
+    size = 0
     for lang, words, h, numbers in _frequent(batches, filters):
-        for m, texts, n in SuffixAutomaton(numbers, h, depth, _may(filters)).substrings(words, 3):
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), texts, pa.array(np.full(len(n), m, np.int32)), pa.array(n, pa.int64())], names=["lang", "phrase", "m", "n"])
+        automaton = SuffixAutomaton(numbers, h, depth, _may(filters))
+        for m, texts, n in automaton.substrings(words):
+            if len(n):
+                part = (automaton.hashes[m - 1] >> U64(64 - PHRASE_PART_BITS)).astype(np.int64)
+                held.setdefault(lang, []).append(pa.table({"part": part, "phrase": texts, "m": pa.array(np.full(len(n), m, np.int32)), "n": pa.array(n, pa.int64())}))
+                size += len(n)
+        if size >= HELD_COUNTS:
+            # What is left once they are added up decides.
+            held = {lang: [_added(tables)] for lang, tables in held.items()}
+            size = sum(len(tables[0]) for tables in held.values())
+            if 2 * size >= HELD_COUNTS:
+                yield from rows()
+                held, size = {}, 0
+    yield from rows()
+
+
+def _summed(batches, least: int):
+    """``lang, phrase, m, a`` of the phrases that occur ``least`` times, from the rows of all tasks sorted by language and part."""
+    now, held, size = None, [], 0
+
+    def rows():
+        sums = _added(held)
+        sums = sums.filter(pc.greater_equal(sums["n"], least))
+        sums = sums.add_column(0, "lang", pa.array([now[0]] * len(sums), pa.string()))
+        yield from sums.select(["lang", "phrase", "m", "n"]).rename_columns(["lang", "phrase", "m", "a"]).to_batches(10_000)
+
+    for batch in batches:
+        for i in range(len(batch)):
+            own = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+            if own != now:
+                if held:
+                    yield from rows()
+                now, held, size = own, [], 0
+            phrases, m, n = (batch.column(c)[i].values for c in range(2, 5))
+            held.append(pa.table({"part": np.full(len(n), own[1], np.int64), "phrase": phrases, "m": m, "n": n}))
+            size += len(n)
+            if size >= HELD_COUNTS:
+                held = [_added(held)]
+                size = len(held[0]) // 2
+    if held:
+        yield from rows()
 
 
 # Over all shards
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of so many rows for what is computed meanwhile: memory follows the size of rows, not their number."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def batches_of(spark: SparkSession, rows: int, size: int):
+    """Arrow batches of so many rows, or of somewhat more than ``size`` bytes, for what is computed meanwhile."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, str(value))
         yield
     finally:
-        spark.conf.set(name, before)
-
-
-def _settled_bloom(hashes: DataFrame) -> np.ndarray:
-    """The filter of hashes that are settled first, as batches of one shard are no size for them."""
-    some = cut(hashes)
-    with batches_of(hashes.sparkSession, 10_000):
-        out = bloom(some)
-    release(some)
-    return out
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, depth: int = 5, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -350,33 +453,27 @@ def frequent_phrases(docs: DataFrame, least: int = 100, depth: int = 5, lang_col
     spark = docs.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/phrases-{uuid.uuid4().hex}"
     rows = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"), F.coalesce(docs[lang_col], F.lit("und")).alias("lang"))
-    with batches_of(spark, BATCH_DOCUMENTS):
-        rows.mapInArrow(partial(_shards, shard_words=shard_words), _SHARD).write.option("compression", "zstd").parquet(base)
-    shards = spark.read.schema(_SHARD).parquet(base)
-    coded = shards.select("shard", "lang", "words", "numbers")
-
-    totals = cut(shards.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y)).alias("total")))
-    counted = shards.select("lang", F.explode(F.arrays_zip("words", "n")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.n").alias("n"))
-    words = cut(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
-    hashed = cut(words.select("lang", "phrase").mapInArrow(_hashed, "lang string, word string, hash long"))
-    filters = {1: spark.sparkContext.broadcast(bloom(hashed.select("hash")))}
-
-    with batches_of(spark, 1):
-        counted = coded.mapInArrow(partial(_pairs, filters=filters), "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("a"))
-        frequent = cut(counted.where(F.col("a") >= least))
-    filters[2] = spark.sparkContext.broadcast(bloom(frequent.select("left", "right").mapInArrow(_pair_hashes, "hash long")))
-    side = lambda name: hashed.select(F.col("lang").alias(f"{name}_lang"), F.col("word").alias(f"{name}_word"), F.col("hash").alias(name))
-    both = frequent.join(side("left"), "left").join(side("right"), "right").where(F.col("left_lang") == F.col("right_lang"))
-    every = words.select("lang", "phrase", F.lit(1).alias("m"), "a").union(both.select(F.col("left_lang").alias("lang"), F.concat_ws(" ", "left_word", "right_word").alias("phrase"), F.lit(2).alias("m"), "a"))
-
-    with batches_of(spark, 1):
-        if depth > 2:
-            grams = coded.mapInArrow(partial(_grams, filters=dict(filters), m=3), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-            filters[3] = spark.sparkContext.broadcast(_settled_bloom(grams.where(F.col("n") >= least).select("hash")))
-            found = coded.mapInArrow(partial(_phrases, filters=filters, depth=depth), "lang string, phrase string, m int, n long")
-            every = every.union(found.groupBy("lang", "phrase", "m").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
+    with batches_of(spark, BATCH_DOCUMENTS, BATCH_BYTES):
+        made = rows.mapInArrow(partial(_shards, shard_words=shard_words), _SHARD)
+        made.write.option("compression", "zstd").option("parquet.block.row.count.limit", str(GROUP_SHARDS)).parquet(base)
+        shards = spark.read.schema(_SHARD).parquet(base)
+        coded = shards.select("shard", "lang", "words", "numbers")
+
+        totals = cut(shards.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y)).alias("total")))
+        counted = shards.select("lang", F.explode(F.arrays_zip("words", "n")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.n").alias("n"))
+        words = cut(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
+        hashed = words.select("lang", "phrase").mapInArrow(_hashed, "lang string, word string, hash long")
+        filters = {1: spark.sparkContext.broadcast(bloom(hashed.select("hash")))}
+        for m in range(2, min(3, depth) + 1):
+            of_tasks = coded.mapInArrow(partial(_bucket_counts, filters=dict(filters), m=m, least=least), "part long, size long, counts binary")
+            full = of_tasks.repartition("part").sortWithinPartitions("part").mapInArrow(partial(_full, least=least), "bucket long")
+            filters[m] = spark.sparkContext.broadcast(bloom(full))
+        every = words.select("lang", "phrase", F.lit(1).alias("m"), "a")
+        if depth > 1:
+            found = coded.mapInArrow(partial(_phrases, filters=filters, depth=depth), _PARTS).repartition("lang", "part").sortWithinPartitions("lang", "part")
+            every = every.union(found.mapInArrow(partial(_summed, least=least), "lang string, phrase string, m int, a long"))
         phrases = cut(every)
-    release(words, hashed, frequent)
+    release(words)
     remove(spark, base)
     for held in filters.values():
         held.destroy()

@@ -5,8 +5,12 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +258,59 @@ def test_filters_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(phrases, "may_hold", lambda bits, hashes: np.ones(len(hashes), bool))
     numbers = np.array([0, 1, 2, 3, 0, 3, 1], np.int32)
     assert phrases.without_rare(numbers, np.array([0, 2]), 3).tolist() == [2, 1, 0]
+
+
+def some_shards(n=6, words=300):
+    rng = random.Random(8)
+    texts = [[rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(words)] for _ in range(n)]
+    rows = []
+    for i, text in enumerate(texts):
+        own = sorted(set(text))
+        numbers = np.array([0, *(own.index(w) + 1 for w in text)], np.int32)
+        rows.append(phrases._shard_row(i, "en", pa.array(own), np.zeros(len(own), np.int64), numbers).select(["shard", "lang", "words", "numbers"]))
+    everything = SimpleNamespace(value=np.full(1 << phrases.FILTER_BITS - 3, 255, np.uint8))
+    return texts, rows, {1: everything}
+
+
+@pytest.mark.parametrize("held", [50, 1 << 20])
+def test_buckets_add_up_over_tasks(monkeypatch, held):
+    monkeypatch.setattr(phrases, "HELD_COUNTS", held)
+    texts, rows, filters = some_shards()
+    tasks = [b for part in (rows[:2], rows[2:]) for b in phrases._bucket_counts(part, filters, 2, 4)]
+    handed = sorted((r for b in tasks for r in b.to_pylist()), key=lambda r: r["part"])
+    assert len(tasks) == (2 if held > 1000 else 6)
+    got = [x for b in phrases._full([pa.RecordBatch.from_pylist(handed, schema=tasks[0].schema)], 4) for x in b.column(0).to_pylist()]
+    names = sorted({w for t in texts for w in t})
+    of = dict(zip(names, phrases._hashes(pa.array(names), "en")))
+    pairs = Counter(p for t in texts for p in zip(t, t[1:]))
+    sums = Counter()
+    for (a, b), n in pairs.items():
+        sums[int(phrases.buckets(phrases.pair_hashes(np.array([of[a]]), np.array([of[b]])))[0])] += n
+    assert sorted(got) == sorted(x for x, n in sums.items() if n >= 4) and len(got) > 20
+    # Two bytes or so for a count, where a row of hashes took 24.
+    assert phrases.decoded(3, phrases.encoded(np.array([0, 7, 900_000]), np.array([1, 300, 1 << 40])))[1].tolist() == [1, 300, 1 << 40]
+    assert len(phrases.encoded(np.arange(0, 1 << 20, 170), np.ones(6169, np.int64))) < 2 * 6169
+
+
+@pytest.mark.parametrize("held", [200, 1 << 20])
+def test_a_task_adds_up_its_shards(monkeypatch, held):
+    monkeypatch.setattr(phrases, "HELD_COUNTS", held)
+    texts, rows, filters = some_shards()
+    batches = list(phrases._phrases(rows, filters, 3))
+    handed = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["part"])
+    if held > 10_000:
+        # One row for each part, not one for each phrase of each shard.
+        assert len(handed) <= 1 << phrases.PHRASE_PART_BITS and len({p for r in handed for p in r["phrases"]}) == sum(len(r["phrases"]) for r in handed) > 3 * len(handed)
+    want = Counter(" ".join(t[i : i + m]) for t in texts for m in (2, 3) for i in range(len(t) - m + 1))
+    got = pa.Table.from_batches(phrases._summed([pa.RecordBatch.from_pylist(handed, schema=batches[0].schema)], 2)).to_pylist()
+    assert {(r["phrase"], r["m"]): r["a"] for r in got} == {(p, len(p.split())): n for p, n in want.items() if n >= 2} and len(got) > 100
+
+
+def test_a_reader_of_shards_holds_few(spark, monkeypatch):
+    left = []
+    monkeypatch.setattr(phrases, "remove", lambda spark, path: left.append(path))
+    df = spark.range(6, numPartitions=1).selectExpr("repeat('one two three four five six. ', 40000) AS text", "'en' AS lang")
+    phrases.frequent_phrases(df, shard_words=12)
+    files = [pq.ParquetFile(f).metadata for f in Path(left[-1].removeprefix("file:")).glob("*.parquet")]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) >= 8 and max(groups) <= 4
