@@ -12,15 +12,19 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CapabilityError
+from ..functions.batches import by_text
 from ..session import cut, release
 from .budget import running_sum
 from .ranges import greedy_dedupe, overlap_anti
 
 PASSAGE_CHARACTERS, PASSAGE_OVERLAP = 1000, 160
+#: Passages that a worker hands back at a time.
+PASSAGES_AT_A_TIME = 1024
 
 
 class Encoder(Protocol):
@@ -88,16 +92,38 @@ def passage_bounds(text: str, size: int = PASSAGE_CHARACTERS, overlap: int = PAS
     return out
 
 
-def passages(sources: DataFrame, key: str = "path", size: int = PASSAGE_CHARACTERS, overlap: int = PASSAGE_OVERLAP) -> DataFrame:
-    """``key, start, end, line, text``; where a passage begins depends on the one before, so Arrow batches do it."""
+def passages(sources: DataFrame, key: str = "path", size: int = PASSAGE_CHARACTERS, overlap: int = PASSAGE_OVERLAP, texts: bool = True) -> DataFrame:
+    """``key, start, end, line`` and, with ``texts``, ``text``; where a passage begins depends on the one before, so Arrow
+    batches do it, some texts and some passages at a time."""
     kind = sources.schema[key].dataType.simpleString()
-
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [(k, a, b, t.count("\n", 0, a) + 1, t[a:b]) for k, t in zip(part[key], part["text"]) if t for a, b in passage_bounds(t, size, overlap)]
-            yield pd.DataFrame(rows, columns=[key, "start", "end", "line", "text"])
-
-    return sources.select(key, "text").mapInPandas(cut, f"{key} {kind}, start long, end long, line long, text string")
+    names = [key, "start", "end", "line", "text"][: 4 + texts]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_text(batch, 1):
+                rows, starts, ends, lines, found = [], [], [], [], []
+
+                def made() -> pa.RecordBatch:
+                    columns = [part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, ends, lines))]
+                    return pa.RecordBatch.from_arrays([*columns, *([pa.array(found, pa.string())] if texts else [])], names=names)
+
+                for row, t in enumerate(part.column(1).to_pylist()):
+                    before, line = 0, 1
+                    for a, b in passage_bounds(t or "", size, overlap):
+                        line += t.count("\n", before, a)
+                        before = a
+                        rows.append(row)
+                        starts.append(a)
+                        ends.append(b)
+                        lines.append(line)
+                        if texts:
+                            found.append(t[a:b])
+                        if len(rows) >= PASSAGES_AT_A_TIME:
+                            yield made()
+                            rows, starts, ends, lines, found = [], [], [], [], []
+                yield made()
+
+    return sources.select(key, "text").mapInArrow(cut, f"{key} {kind}, start long, end long, line long" + ", text string" * texts)
 
 
 def cache_key(text: Column, role: str, version: str = "") -> Column:

@@ -544,7 +544,7 @@ FROM (SELECT path, text, n, greatest(a + 1, b - 160) AS a2, substring(text, grea
 SELECT path, a::BIGINT AS "start", b::BIGINT AS "end", (a - length(replace(substring(text, 1, a), chr(10), '')) + 1)::BIGINT AS line FROM t"""
 )
 def passages(spark, d):
-    return M.passages(corpus.documents(spark, d)).drop("text")
+    return M.passages(corpus.documents(spark, d), texts=False)
 
 
 @query()

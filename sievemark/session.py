@@ -19,6 +19,19 @@ def importable(spark: SparkSession) -> SparkSession:
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *(p for p in paths if p)])
+    return small_batches(spark)
+
+
+#: Bytes of rows that go to a Python worker at a time; Spark's default is 64 MiB.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Let Arrow batches take about ``ARROW_BYTES``, as each task holds some in the JVM and in Python; a session that
+    sets ``spark.sql.execution.arrow.maxBytesPerBatch`` itself keeps what it says."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(ARROW_BYTES))
     return spark
 
 

@@ -4,6 +4,7 @@ import subprocess
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,6 +25,7 @@ from sievemark.operators import search as S
 from sievemark.operators import semantic as M
 from sievemark.operators import structure as X
 from sievemark.plans import catalog
+from sievemark.session import small_batches
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -332,3 +334,37 @@ def test_ignore_rules_are_those_of_git(spark, tmp_path):
     assert got == hidden and 20 < len(hidden) < len(paths) - 20
     more = table(spark, [("x/.ssh/id", ""), ("x/ssh/id", "")]).select("path")
     assert [r["path"] for r in IG.visible(more, table(spark, [("x/.gitignore", "!*\n")])).collect()] == ["x/ssh/id"]
+
+
+class Sources:
+    """What a worker does with the batches of some sources: the function given to ``mapInArrow``."""
+
+    def __init__(self, spark):
+        self.schema = spark.createDataFrame([], "path string, text string").schema
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, f, schema):  # noqa: N802
+        return f
+
+
+def test_passages_leave_a_worker_some_at_a_time(spark):
+    texts = ["", None, "ab\n" * 50_000, "é" * 2_000_000, *["line of a text\n" * (i % 200) for i in range(3000)]]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(texts))]), pa.array(texts, pa.string())], names=["path", "text"])
+    out = list(M.passages(Sources(spark))([batch]))
+    assert max(len(b) for b in out) <= 1024 and max(b.nbytes for b in out) < 4 << 20
+    got = [r for b in out for r in b.to_pylist()]
+    want = [(str(i), a, b, t.count("\n", 0, a) + 1, t[a:b]) for i, t in enumerate(texts) if t for a, b in M.passage_bounds(t)]
+    assert [(r["path"], r["start"], r["end"], r["line"], r["text"]) for r in got] == want
+    bare = [r for b in M.passages(Sources(spark), texts=False)([batch]) for r in b.to_pylist()]
+    assert [tuple(r.values()) for r in bare] == [r[:4] for r in want]
+
+
+def test_arrow_batches_are_small_unless_the_session_says_so(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = lambda s: [r[0] for r in s.range(3000, numPartitions=1).selectExpr("repeat('x', 10000) AS t").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in bs), "n long").collect()]
+    own = spark.newSession()
+    assert max(sizes(small_batches(own))) < 5 << 20
+    own.conf.set(name, "16m")
+    assert small_batches(own).conf.get(name) == "16m"
