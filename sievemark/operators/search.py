@@ -9,8 +9,9 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Sequence
 from functools import partial, reduce
-from itertools import accumulate
+from itertools import accumulate, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType
 
 from ..errors import EvidenceError
 from ..functions import text as T
+from ..functions.batches import by_text
 from ..functions.pattern import Pattern, escape
 
 
@@ -115,27 +117,35 @@ def _has_any(column: str, terms: list[str]) -> Column:
     return reduce(Column.__or__, [F.col(column).contains(t) for t in terms])
 
 
+#: Occurrences that a worker hands back at a time.
+OCCURRENCES_AT_A_TIME = 1 << 15
+
+
+def _found(texts: list[str], terms: list[str], by_line: bool):
+    """``(row, term index, line, start, where the line begins)`` of each occurrence."""
+    for r, text in enumerate(texts):
+        begins = [0, *accumulate(len(line) + 1 for line in text.split("\n"))] if by_line else [0]
+        for i, term in enumerate(terms):
+            at = text.find(term)
+            while at >= 0:
+                line = bisect_right(begins, at)
+                yield r, i, line, at - begins[line - 1], begins[line - 1]
+                at = text.find(term, at + len(term))
+
+
 def _occurring(batches, terms: list[str], by_line: bool, places: bool):
+    """Some texts and some occurrences at a time: what a worker holds grows with neither."""
+    sizes, words = np.array([len(t) for t in terms]), pa.array(terms, pa.string())
     for batch in batches:
         names = batch.schema.names[:-1]
-        rows, index, number, start, end, place = [], [], [], [], [], []
-        for r, text in enumerate(batch.column(len(names)).to_pylist()):
-            begins = [0, *accumulate(len(line) + 1 for line in text.split("\n"))] if by_line else [0]
-            for i, term in enumerate(terms):
-                at = text.find(term)
-                while at >= 0:
-                    line = bisect_right(begins, at)
-                    rows.append(r)
-                    index.append(i)
-                    number.append(line)
-                    start.append(at - begins[line - 1])
-                    place.append(begins[line - 1])
-                    at = text.find(term, at + len(term))
-            end += [a + len(terms[i]) for a, i in zip(start[len(end) :], index[len(end) :])]
-        keys = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(len(names))]
-        out = [*keys, pa.array(index, pa.int32()), pa.array([terms[i] for i in index], pa.string()), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
-        more = [pa.array(place, pa.int64())] if places else []
-        yield pa.RecordBatch.from_arrays(out + more, names=[*names, "term_index", "term", "line_no", "start", "end", "at"][: len(out + more)])
+        for part in by_text(batch, len(names)):
+            found = _found(part.column(len(names)).to_pylist(), terms, by_line)
+            while some := list(islice(found, OCCURRENCES_AT_A_TIME)):
+                row, index, number, start, place = np.array(some, np.int64).T
+                keys = [part.column(k).take(pa.array(row)) for k in range(len(names))]
+                out = [*keys, pa.array(index.astype(np.int32)), words.take(pa.array(index)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(start + sizes[index])]
+                more = [pa.array(place)] if places else []
+                yield pa.RecordBatch.from_arrays(out + more, names=[*names, "term_index", "term", "line_no", "start", "end", "at"][: len(out + more)])
 
 
 def any_of(sources: DataFrame, terms: Sequence[str], *keys: str, by_line: bool = True, places: bool = False) -> DataFrame:

@@ -361,6 +361,21 @@ def test_passages_leave_a_worker_some_at_a_time(spark):
     assert [tuple(r.values()) for r in bare] == [r[:4] for r in want]
 
 
+@pytest.mark.parametrize("by_line", [True, False])
+def test_occurrences_leave_a_worker_some_at_a_time(by_line):
+    texts = ["aab\n" * 60_000, *["b aa\nab" * 300 for _ in range(400)], ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc", "text"])
+    out = list(S._occurring([batch], ["aa", "b"], by_line, True))
+    assert len(out) > 5 and max(len(b) for b in out) <= 1 << 15
+    want = []
+    for doc, text in enumerate(texts):
+        at = 0
+        for number, line in enumerate(text.split("\n") if by_line else [text], 1):
+            want += [(doc, i, t, number, m.start(), m.end(), at) for i, t in enumerate(["aa", "b"]) for m in re.finditer(t, line)]
+            at += len(line) + 1
+    assert sorted(tuple(r.values()) for b in out for r in b.to_pylist()) == sorted(want)
+
+
 def test_arrow_batches_are_small_unless_the_session_says_so(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     sizes = lambda s: [r[0] for r in s.range(3000, numPartitions=1).selectExpr("repeat('x', 10000) AS t").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in bs), "n long").collect()]
