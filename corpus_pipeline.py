@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievemark.llm import exact_dedup, language_id, mixing, near_dedup, packing
 from sievemark.llm.common import cut, remove, shared_dir, table
+from sievemark.session import small_batches
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +40,16 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
+def _bounded(stage):
+    return lambda spark, docs, sf_dir: stage(small_batches(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("exact_dedup", drop_exact),
-    ("minhash_near_dedup", drop_near),
-    ("mix_sources", mix_sources),
-    ("best_fit_packing", pack),
+    ("language_id", _bounded(identify_language)),
+    ("exact_dedup", _bounded(drop_exact)),
+    ("minhash_near_dedup", _bounded(drop_near)),
+    ("mix_sources", _bounded(mix_sources)),
+    ("best_fit_packing", _bounded(pack)),
 ]
 
 #: SQL expresses neither the trained model nor the packing.

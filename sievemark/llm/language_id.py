@@ -23,7 +23,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
 from .vectext import LOWER, U64, Chunk, chunks, keys, mix
 
 BUCKET_BITS = 16
@@ -286,13 +285,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 
 
 def keep_accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language is rejected; all columns as they were."""
-    rows = packed(docs, text_=docs[text_col], letters_=_letters(docs[text_col]))
-    schema = rows.select("row_").schema
+    """``docs`` without the rows whose language is rejected; all columns as they were.
 
-    def kept(batches):
-        for batch in batches:
-            _, _, accepted = predict(batch.column(1), batch.column(2), model)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(accepted))], names=["row_"])
+    Only texts go to Python and only verdicts come back; the rows wait for them in Spark, which spills them.
+    """
+
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array, letters: pa.Array) -> pa.Array:
+        return pa.array(predict(texts, letters, model)[2])
 
-    return unpacked(rows.mapInArrow(kept, schema), docs)
+    return docs.where(accepted(docs[text_col], _letters(docs[text_col])))

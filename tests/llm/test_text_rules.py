@@ -202,3 +202,15 @@ def test_resampling_without_targets_or_rows(spark):
     got = R.resample(spark.createDataFrame(rows, DOCS), none, 0.5).collect()
     assert all(r["log_weight"] == 0 for r in got) and 5 <= sum(r["kept"] for r in got) <= 7
     assert R.target_share(spark.createDataFrame([], "doc_id long, quality int")) == 1.0
+
+
+def test_rejection_sends_texts_only(spark):
+    """Rows wait in Spark: a worker gets the texts, and gives back verdicts."""
+    rows = [(i, ("ka lo mi " if i % 2 else "schein ung ver ") * 9, "aa" if i % 2 else "bb", "x" * 5) for i in range(90)] + [(90, None, "aa", None), (91, "123", None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, more string")
+    model = L.learn(df)
+    kept = L.keep_accepted(df, model)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    want = {r.doc_id for r in L.languages(df, model).collect() if r.accepted}
+    assert sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[0] in want) and len(want) > 80
