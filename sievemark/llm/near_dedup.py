@@ -254,15 +254,17 @@ def _candidates(batches, percent: int):
 
 def _compared(units: DataFrame, body: DataFrame, size: int, percent: int) -> DataFrame:
     """``a, b``: the confirmed links inside each unit (``kind, unit_, block_, other_``) of rows ``class_, own_,
-    known_``."""
-    wanted = units.select(F.col("class_").alias("w_")).distinct()
+    known_``; settled."""
+    ids = cut(units.select(F.col("class_").alias("w_")).distinct())
     # Ids only, and measured: texts move when there are too many of them.
-    wanted = F.broadcast(wanted) if wanted.count() * 16 <= BROADCAST_BYTES else wanted
+    wanted = F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
     texts = body.join(wanted, body["id_"] == wanted["w_"], "left_semi").select(F.col("id_").alias("class_"), "text_")
     # An id with several texts has several sets; each is compared, under that id.
     sets = texts.mapInArrow(partial(_sets, size=size), "class_ long, set_ binary")
     dealt = units.join(sets, "class_").repartition(*_UNIT).select(*_UNIT, "own_", "known_", "class_", "set_")
-    return dealt.sortWithinPartitions(*_UNIT).mapInArrow(partial(_verify, percent=percent), "a long, b long")
+    found = cut(dealt.sortWithinPartitions(*_UNIT).mapInArrow(partial(_verify, percent=percent), "a long, b long"))
+    release(ids)
+    return found
 
 
 def _blocks(members: Column, shingles: Column, group_members: int, group_shingles: int) -> Column:
@@ -289,25 +291,28 @@ def _links(postings: DataFrame, classes: DataFrame, body: DataFrame, size: int,
     sized = coarse.join(classes.select("class_", "n_"), coarse["node"] == classes["class_"]).select("class_", "component", "n_")
     total = sized.groupBy("component").agg(F.sum("n_").alias("shingles"), F.count(F.lit(1)).alias("members"))
     member = cut(sized.join(total, "component").select("class_", "n_", "component", F.col("members").alias("size_"), ((F.col("shingles") > group_shingles) | (F.col("members") > group_members)).alias("large")))
+    release(coarse)
     none = F.lit(None).cast("long")
     small = member.where("NOT large").select("class_", F.lit(0).alias("kind"), F.col("component").alias("unit_"), F.lit(0).cast("long").alias("block_"), F.lit(0).cast("long").alias("other_"), F.lit(0).alias("own_"), none.alias("known_"))
     large = member.where("large").select("class_", "n_")
     if large.isEmpty():
-        found = cut(_compared(small, body, size, percent))
+        found = _compared(small, body, size, percent)
         release(met, member)
         return found
     big = cut(met.join(large, "class_"))
 
     led = big.where("class_ <> lead").groupBy("class_", "n_", "lead").agg(F.count(F.lit(1)).alias("lists"))
-    star = led.groupBy("class_", "n_").agg(F.min_by("lead", F.struct(-F.col("lists"), F.col("lead"))).alias("lead"))
+    star = cut(led.groupBy("class_", "n_").agg(F.min_by("lead", F.struct(-F.col("lists"), F.col("lead"))).alias("lead")))
+    release(big)
     per = star.groupBy("lead").agg(F.count(F.lit(1)).alias("m"), F.sum("n_").alias("s")).select(F.col("lead").alias("l_"), _blocks(F.col("m"), F.col("s"), group_members, group_shingles).alias("blocks"))
     per = cut(per)
     of_star = lambda c, block: [c.alias("class_"), F.lit(1).alias("kind"), F.col("lead").alias("unit_"), block.alias("block_"), F.lit(0).cast("long").alias("other_"), F.lit(0).alias("own_"), none.alias("known_")]
     spread = star.join(per, star["lead"] == per["l_"]).select(*of_star(F.col("class_"), _block("class_", "blocks", 1)))
     heads = per.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("lead", F.col("l_")).select(*of_star(F.col("l_"), F.col("block")))
-    first = cut(_compared(small.union(spread).union(heads), body, size, percent))
+    first = _compared(small.union(spread).union(heads), body, size, percent)
+    release(star, per)
 
-    so_far = cut(components(first, "a", "b"))
+    so_far = components(first, "a", "b")
     placed = member.where("large").join(so_far.select("node", F.col("component").alias("c_")), F.col("class_") == F.col("node"), "left")
     placed = cut(placed.select("class_", "n_", F.coalesce("c_", "class_").alias("known_"), F.col("component").alias("group_"), "size_"))
     # All blocks of a group meet, each class once; of a very large group those of each list, in which a class is often.
@@ -332,11 +337,11 @@ def _links(postings: DataFrame, classes: DataFrame, body: DataFrame, size: int,
         sides = all_.union(rest).join(sketches, F.col("class_") == F.col("c_")).select(*_UNIT, "own_", "known_", "class_", "sketch_")
         kind = "kind int, unit_ long, block_ long, other_ long, own_ int, known_ long, class_ long"
         near = cut(sides.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(partial(_candidates, percent=percent), kind))
-        second = cut(_compared(near, body, size, percent))
+        second = _compared(near, body, size, percent)
         release(near, open_)
         # ``a`` and ``b`` of the second step connect what the first has connected.
         result = first.union(second)
-    release(met, member, big, per, so_far, placed, lists)
+    release(met, member, so_far, placed, lists)
     return result
 
 
@@ -370,7 +375,7 @@ def near_duplicates(
     all_rows = mine.join(label, mine["class_"] == label["node"], "left")
     component = F.when(F.col("n_") > 0, F.coalesce("component", "class_")).otherwise(F.col("id_"))
     out = cut(all_rows.select(F.col("id_").alias(id_col), F.col("n_").alias("n_shingles"), component.alias("component_id"), F.col("id_").eqNullSafe(component).alias("kept")))
-    release(feats, classes, postings)
+    release(feats, classes, postings, label)
     return out
 
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from sievemark.llm import components as components_module
 from sievemark.llm.components import components
 from sievemark.llm.near_dedup import _Overlaps, drop_near_duplicates, near_duplicates, spanning_links
 
@@ -136,3 +137,43 @@ def test_components_of_long_chains(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     want = {i: 0 for i in range(61)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
     assert got == want
+
+
+@pytest.mark.parametrize("broadcast", [8 << 20, 0])
+def test_components_of_random_graphs(spark, monkeypatch, broadcast):
+    # Minima are broadcast, or shuffled when there are too many of them.
+    monkeypatch.setattr(components_module, "BROADCAST_BYTES", broadcast)
+    rng = random.Random(6)
+    nodes = rng.sample(range(-1000, 1000), 300)
+    edges = [tuple(rng.sample(nodes, 2)) for _ in range(170)] + [(nodes[0], x) for x in nodes[:40]]
+    label = {x: x for e in edges for x in e}
+    for _ in nodes:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = components(spark.createDataFrame(edges + edges[:50], "a long, b long"), "a", "b")
+    want = {x: c for x, c in label.items() if any(x in e and e[0] != e[1] for e in edges)}
+    assert {r["node"]: r["component"] for r in got.collect()} == want
+    assert got.count() == len(want) and 10 < len(set(want.values())) < 100
+    assert components(spark.createDataFrame([(3, 3), (None, 1)], "a long, b long"), "a", "b").count() == 0
+
+
+def _stage(spark):
+    """The number of the last stage so far."""
+    group = f"stage-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    spark.sparkContext.parallelize([1], 1).count()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    return max(k for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds)
+
+
+def test_rounds_of_the_components_take_few_stages(spark):
+    # Each stage of a cluster has hundreds of tasks with small files, however few edges there are.
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(1000 + i, 1000) for i in range(30)], "a long, b long")
+    before = _stage(spark)
+    got = components(edges, "a", "b")
+    after = _stage(spark)
+    tracker = spark.sparkContext.statusTracker()
+    ran = [i for k in range(before + 1, after) if (i := tracker.getStageInfo(k)) and i.numCompletedTasks]
+    assert {r["component"] for r in got.collect()} == {0, 1000}
+    assert 20 < len(ran) < 75
